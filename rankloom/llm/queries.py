@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, chunk_store, exact_dedup, jaccard_join, language_id, licenses, packing, secrets
+from . import chat, chunk_store, context_mixing, decontamination, exact_dedup, jaccard_join, language_id, licenses, packing, secrets
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_store.read_store(chunk_store.write_store(_docs(spark, sf_dir)))
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scored(_docs(spark, sf_dir))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_docs(spark, sf_dir))
 
@@ -29,6 +33,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(_docs(spark, sf_dir))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_docs(spark, sf_dir))
 
@@ -47,9 +55,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chunk_store": op1_chunk_store,
+    "op2_context_mixing": op2_context_mixing,
     "op3_secrets": op3_secrets,
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_licenses": op7_licenses,
     "op8_packing": op8_packing,
     "op9_chat": op9_chat,
