@@ -67,8 +67,8 @@ def pieces(batches, name: str = "text", limit: int = 8 << 20):
 
 
 def texts(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
-    """The texts as large strings, null as empty."""
-    return pc.fill_null(column(batch, name).cast(pa.large_string()), "")
+    """The texts as large strings, null as empty, in buffers of their own: some kernels misread strings that do not begin at their buffer's start."""
+    return pc.fill_null(column(batch, name).take(pa.array(np.arange(batch.num_rows))).cast(pa.large_string()), "")
 
 
 def words_of(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
