@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of plans that ended in a saved table; it acts when the driver collects garbage, else only every half hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_saved(df: DataFrame) -> None:
     """Deletes the files of a table that saved() wrote, once nothing reads it any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

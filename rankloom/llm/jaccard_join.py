@@ -10,10 +10,12 @@ are never expanded into pairs:
    of whose prefix tokens stands in another document have no link and are done.
 3. The others form groups: those that share a min-hash are compared with one leader each, a linear
    number of exact comparisons; verified links join groups (components) over several rounds.
-4. The matrix holds each group's prefix tokens. A document is a query to another group where it has one
-   of that group's prefix tokens, from the smaller group to the larger. For these the group's whole
-   token union bounds the overlap; a group is opened only if at least 0.75 n tokens of the query stand
-   in it, and then every member of fitting size is compared exactly.
+4. All remaining documents are partitioned into groups of about MEMBERS similar ones: parts of a
+   component, or documents under the same most frequent prefix token. The matrix says which prefix tokens
+   stand in which group; two groups are compared if they have one in common, their sizes fit, and not
+   all their members are in one component already. A group is stored with its token union and, per
+   token, which members hold it. A query of the other group is bounded by its overlap with the union; only
+   if that reaches ceil(0.75 n) is the group opened, and the members' exact overlaps are summed up.
 
 Nothing is capped: the bound on the frequent tokens' table only decides the order, and any order is exact.
 
@@ -30,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import column, pieces, saved, texts
+from .common import column, drop_saved, pieces, release, saved, texts
 from .components import components
 from .shingles import overlap, sets_of
 
@@ -40,6 +42,7 @@ FREQUENT, REPORTED = 1 << 20, 3
 #: Odd multipliers of the min-hash permutations.
 PERMUTATIONS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BATCH = 16 << 20
+MEMBERS = 48
 
 
 def needed(n: int) -> int:
@@ -124,25 +127,47 @@ def _links(batches):
         yield pa.RecordBatch.from_arrays([column(batch, "a").take(at), column(batch, "b").take(at)], ["a", "b"])
 
 
-def _token_rows(name: str):
-    """Explodes sets; the distinct (name, token) of each batch."""
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                key = column(part, name).to_numpy()
-                sets = [np.frombuffer(x, np.int64) for x in column(part, "tokens").to_pylist()]
-                if not sets:
-                    continue
-                k, t = np.repeat(key, [len(x) for x in sets]), np.concatenate(sets)
-                o = np.lexsort((t, k))
-                k, t = k[o], t[o]
-                new = np.ones(len(k), bool)
-                new[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(k[new]), pa.array(t[new])], [name, "token"])
-
-    return run
+class Group:
+    """Documents (id, component, n, tokens) as a matrix: the sorted token union, and per token its members."""
+
+    def __init__(self, docs: list[dict]):
+        self.docs = docs
+        self.sets = [np.frombuffer(d["tokens"], np.uint64) for d in docs]
+        every = np.concatenate(self.sets)
+        self.union, place = np.unique(every, return_inverse=True)
+        self.holds = np.zeros((len(self.union), len(docs)), np.uint8)
+        self.holds[place, np.repeat(np.arange(len(docs)), [len(s) for s in self.sets])] = 1
+        self.n = np.array([len(s) for s in self.sets])
+        self.component = np.array([d["component"] for d in docs])
+
+    def links(self, q: dict, tokens: np.ndarray) -> np.ndarray:
+        """Numbers of the members of other components that link with a query."""
+        at = np.searchsorted(self.union, tokens)
+        at[at == len(self.union)] = 0
+        at = at[self.union[at] == tokens]
+        if len(at) < needed(len(tokens)):  # not all of the union would do
+            return np.empty(0, np.int64)
+        both = self.holds[at].sum(0, dtype=np.int64)
+        return np.flatnonzero((100 * both >= PERCENT * (len(tokens) + self.n - both)) & (self.component != q["component"]))
+
+
+def _compared(batches):
+    """For rows (docs of the one group, docs of the other) the links between components, one for each pair of components."""
+    last, group = None, None
+    for batch in batches:
+        a, b = [], []
+        for x, left, right in zip(column(batch, "ga").to_pylist(), column(batch, "left"), column(batch, "right"), strict=True):
+            if x != last:
+                last, group = x, Group(left.as_py())
+            seen = set()
+            for q in right.as_py():
+                for i in group.links(q, np.frombuffer(q["tokens"], np.uint64)).tolist():
+                    pair = (q["component"], int(group.component[i]))
+                    if pair not in seen:
+                        seen.add(pair)
+                        a.append(q["doc_id"])
+                        b.append(group.docs[i]["doc_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _fits(a: str, b: str) -> str:
@@ -192,9 +217,12 @@ def linked(documents: DataFrame) -> DataFrame:
     posts = saved(shared.join(rep_of, "doc_id").select("token", F.col("rep").alias("doc_id")).distinct(), "posts")
     some = posts.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("token")
     posts = saved(posts.join(some, "token", "left_semi"), "matrix")
+    drop_saved(shared)
+    release(spark)
     open_docs = saved(posts.select("doc_id").distinct().join(same.select(F.col("rep").alias("doc_id"), "sig", "mins"), "doc_id"), "open")
     sets = docs.join(open_docs.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, sig binary, n long, tokens binary")
     sets = saved(sets.join(open_docs.select("doc_id", "sig"), ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "tokens"), "sets")
+    release(spark)
     # 3. groups
     keys = saved(open_docs.select("doc_id", F.posexplode("mins").alias("perm", "key")), "keys")
     labels = None
@@ -203,6 +231,7 @@ def linked(documents: DataFrame) -> DataFrame:
         labels = components(links, labels)
     # 4. the token-group matrix
     links = saved(_across(posts, labels, sets), "links")
+    release(spark)
     labels = components(links, labels).withColumnRenamed("node", "rep")
     classes = same.select("sig", "rep").join(labels, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -210,25 +239,34 @@ def linked(documents: DataFrame) -> DataFrame:
 
 
 def _across(posts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between documents of different groups."""
+    """Links between documents of different components."""
     labels = labels.withColumnRenamed("node", "doc_id")
-    member = saved(sets.select("doc_id", "n").join(labels, "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("group")), "members")
-    size = member.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
-    cells = posts.join(member.select("doc_id", "group"), "doc_id")
-    several = cells.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo <> hi").select("token")
-    cells = saved(cells.join(several, "token", "left_semi").join(size, "group"), "cells")
-    matrix = cells.select("token", F.col("group").alias("other"), F.col("members").alias("other_members")).distinct()
-    # from the smaller group to the larger
-    asked = cells.join(matrix, "token").filter("members < other_members or (members = other_members and group < other)").select("doc_id", "other").distinct()
-    asked = saved(asked, "asked")
-    unions = sets.join(member.join(asked.select(F.col("other").alias("group")).distinct(), "group", "left_semi").select("doc_id", "group"), "doc_id").select("group", "tokens").mapInArrow(_token_rows("group"), "group long, token long").groupBy("group", "token").agg(F.lit(1).alias("one")).select(F.col("group").alias("other"), "token")
-    tokens = sets.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "tokens").mapInArrow(_token_rows("doc_id"), "doc_id long, token long")
-    bound = asked.join(tokens, "doc_id").join(unions, ["other", "token"]).groupBy("doc_id", "other").agg(F.count(F.lit(1)).alias("most"))
-    opened = saved(bound.join(member.select("doc_id", "n"), "doc_id").filter(f"100 * most >= {PERCENT} * n"), "opened")
-    pairs = opened.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("other").alias("group"), "most").join(member.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), "group"), "group")
-    # most bounds the intersection, so the union is n_a + n_b - most at least
-    pairs = pairs.filter(f"a <> b and {_fits('n_a', 'n_b')} and 100 * least(most, n_b) >= {PERCENT} * (n_a + n_b - least(most, n_b))").select("a", "b")
-    return _verified(pairs, sets)
+    frequency = posts.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
+    common = posts.join(frequency, "token").groupBy("doc_id").agg(F.max(F.struct("f", "token")).alias("t"))
+    member = sets.select("doc_id", "n").join(labels, "doc_id", "left").join(common, "doc_id").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.when(F.col("component").isNull(), F.col("t.token")).otherwise(F.col("component")).alias("near"))
+    # documents of like size together: long ones are few and fit few others
+    member = member.withColumn("near", F.xxhash64("near", F.floor(F.log2("n")))).select("doc_id", "n", "component", "near")
+    parts = member.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
+    member = saved(member.join(parts, "near").select("doc_id", "n", "component", F.xxhash64("near", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("g")), "members")
+    cells = posts.join(member, "doc_id").groupBy("token", "g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("m"))
+    several = cells.groupBy("token").agg(F.min("lo").alias("all_lo"), F.max("hi").alias("all_hi")).filter("all_lo <> all_hi").select("token")
+    cells = saved(cells.join(several, "token", "left_semi"), "cells")
+    release(sets.sparkSession)
+    # of the groups that hold a token, those within its largest component need no comparison with each other
+    largest = cells.filter("lo = hi").groupBy("token", "lo").agg(F.sum("m").alias("m")).groupBy("token").agg(F.max_by("lo", F.struct("m", "lo")).alias("largest"))
+    asking = cells.join(largest, "token", "left").filter("not (lo = hi and lo <=> largest)").select("token", *(F.col(c).alias(f"{c}_a") for c in ("g", "lo", "hi", "least", "most")))
+    fits = f"100 * most_a >= {PERCENT} * least and 100 * most >= {PERCENT} * least_a"
+    pairs = asking.join(cells, "token").filter(f"{fits} and not (lo_a = hi_a and lo_a = lo and lo = hi)").select(F.least("g", "g_a").alias("x"), F.greatest("g", "g_a").alias("y")).distinct()
+    size = member.groupBy("g").agg(F.sum("n").alias("tokens"))
+    sizes = pairs.join(size.select(F.col("g").alias("x"), F.col("tokens").alias("tx")), "x").join(size.select(F.col("g").alias("y"), F.col("tokens").alias("ty")), "y")
+    # the smaller group travels to the larger
+    pairs = saved(sizes.select(F.when(F.expr("tx >= ty"), F.col("x")).otherwise(F.col("y")).alias("ga"), F.when(F.expr("tx >= ty"), F.col("y")).otherwise(F.col("x")).alias("gb")), "pairs")
+    used = pairs.select(F.explode(F.array("ga", "gb")).alias("g")).distinct()
+    groups = saved(sets.join(member.join(used, "g", "left_semi").select("doc_id", "component", "g"), "doc_id").groupBy("g").agg(F.collect_list(F.struct("doc_id", "component", "n", "tokens")).alias("docs")), "groups")
+    release(sets.sparkSession)
+    sent = pairs.join(groups.select(F.col("g").alias("gb"), F.col("docs").alias("right")), "gb")
+    both = sent.join(groups.select(F.col("g").alias("ga"), F.col("docs").alias("left")), "ga")
+    return both.select("ga", "left", "right").mapInArrow(_compared, "a long, b long")
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
