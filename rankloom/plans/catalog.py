@@ -1,4 +1,355 @@
-"""The registered queries of the retrieval engine and their SQL."""
+"""The registered queries of the retrieval engine, with their SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+benchmark items are the questions, documents that contain an item's text are relevant to it, and
+embeddings stand for vectors of chunks. Every query runs over its whole tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import text as X
+from ..operators import chunk, context, graph, metrics, retrieve as R
+from ..session import table
+from ..sources import store
+from ..streaming.ingest import event_windows
+from . import oracles
+
+#: Query vectors, and entities of the graph queries: small stated question sets.
+N_QUERIES = 50
+
+
+def _docs(s, d):
+    return table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+
+
+def _questions(s, d):
+    return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _vectors(s, d):
+    return table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+
+
+def _queries(s, d):
+    return table(s, d, "embeddings").filter(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def _dense(s, d, k=5, where=None):
+    return R.dense(_queries(s, d), _vectors(s, d), k, where)
+
+
+def _bm25(s, d, k=5):
+    return R.bm25(_questions(s, d), _docs(s, d), k)
+
+
+def _overlap(s, d, k=5):
+    return R.overlap(_questions(s, d), _docs(s, d), k)
+
+
+def _lists(s, d, k=20):
+    return {"bm25": _bm25(s, d, k), "overlap": _overlap(s, d, k)}
+
+
+def _golden(s, d):
+    """query_id, kind, relevant: documents that contain the item. A stated question set against all rows, in one pass."""
+    items = _questions(s, d)
+    found = _docs(s, d).join(F.broadcast(items), F.contains(F.col("text"), F.col("query"))).groupBy("query_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("relevant"))
+    rel = F.coalesce("relevant", F.expr("cast(array() as array<bigint>)"))
+    return items.join(found, "query_id", "left").select("query_id", rel.alias("relevant"), F.when(F.size(rel) == 0, "unanswerable").when(F.size(rel) > 1, "multi").otherwise("single").alias("kind"))
+
+
+def _results(s, d):
+    lists = R.to_documents(_bm25(s, d, 20), F.col("chunk_id"))
+    arrays = metrics.ranked_arrays(lists)
+    none = F.expr("cast(array() as array<bigint>)")
+    return metrics.per_question(_golden(s, d).join(arrays, "query_id", "left").withColumn("retrieved", F.coalesce("retrieved", none)))
+
+
+def _chunks(s, d):
+    return chunk.fixed(table(s, d, "documents"))
+
+
+def _hits(s, d):
+    c = _chunks(s, d).select("doc_id", "chunk_id", "text", "start_char", "end_char")
+    return R.bm25(_questions(s, d), c.select("chunk_id", "text"), 15).join(c.drop("text"), "chunk_id")
+
+
+def _mentions(s, d):
+    return table(s, d, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.col("l_partkey").alias("entity"))
+
+
+def _edges(s, d):
+    return graph.edges(_mentions(s, d))
+
+
+def doc_scan_filter(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").filter("lang = 'en' and n_chars > 1000").select("doc_id", "lang", "source", "n_chars")
+
+
+def doc_title(s, d):
+    h = table(s, d, "pages")
+    head = X.collapse(F.regexp_replace(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1), "<[^>]*>", " "))
+    stem = F.regexp_extract("url", r"([^/]*)/?$", 1)
+    return h.select("page_id", F.when(head != "", head).otherwise(F.translate(stem, "-_", "  ")).alias("title"))
+
+
+def content_sha(s, d):
+    return table(s, d, "documents").select("doc_id", X.content_sha(F.col("text")).alias("sha"))
+
+
+def chunk_fixed(s, d):
+    return _chunks(s, d).select("doc_id", "chunk_id", "chunk_index", "start_char", "end_char", F.md5("text").alias("text_md5"))
+
+
+def chunk_stats(s, d):
+    return chunk.stats(_chunks(s, d))
+
+
+def chunk_adjacent_overlap(s, d):
+    return chunk.adjacent(_chunks(s, d))
+
+
+def chunk_histogram(s, d):
+    return _chunks(s, d).groupBy(F.floor(F.length("text") / 64).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def chunk_recursive(s, d):
+    return chunk.recursive(table(s, d, "documents"))
+
+
+def tokenize(s, d):
+    t = X.tokens(F.col("text"))
+    return table(s, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_types"))
+
+
+def term_stats_df_idf(s, d):
+    return R.term_statistics(table(s, d, "documents"))
+
+
+def dense_topk(s, d):
+    return _dense(s, d)
+
+
+def dense_topk_prefilter(s, d):
+    return _dense(s, d, where=F.col("label") == 3)
+
+
+def dense_postfilter_contrast(s, d):
+    return _dense(s, d, 10).join(_vectors(s, d).select("chunk_id", "label"), "chunk_id").filter("label = 3").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_left"))
+
+
+def bm25_topk(s, d):
+    return _bm25(s, d)
+
+
+def rrf_fusion(s, d):
+    return R.fuse(_lists(s, d)).drop("ranks")
+
+
+def rrf_weighted(s, d):
+    return R.fuse(_lists(s, d), weights={"bm25": 2.0, "overlap": 0.5}).drop("ranks")
+
+
+def rrf_k_sweep(s, d):
+    out = None
+    for k in (1, 10, 60, 200):
+        one = R.fuse(_lists(s, d), rrf_k=k).select(F.lit(k).alias("rrf_k"), "query_id", "chunk_id", "score", "rank")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _turns(s, d):
+    return table(s, d, "conversations").filter("role = 'user'")
+
+
+def variants_fusion(s, d):
+    asked = table(s, d, "embeddings").filter(F.col("vec_id") < 3 * N_QUERIES).select(F.floor(F.col("vec_id") / 3).alias("q"), (F.col("vec_id") % 3).cast("int").alias("variant"), F.col("embedding").alias("query"), F.col("vec_id").alias("query_id"))
+    lists = R.dense(asked.select("query_id", "query"), _vectors(s, d), 10).join(asked.select("query_id", "q", "variant"), "query_id")
+    return R.fuse_variants(lists.select(F.col("q").alias("query_id"), "variant", "chunk_id", "score", "rank"))
+
+
+def variant_clean(s, d):
+    lines = X.clean_lines(F.col("text"))
+    return _turns(s, d).select("conv_id", "turn", F.size(lines).alias("n_lines"), F.coalesce(F.element_at(lines, 1), F.lit("")).alias("first_line"))
+
+
+def rerank_overlap(s, d):
+    short = _bm25(s, d, 10).join(_overlap(s, d, 1000000).select("query_id", "chunk_id", F.col("score").alias("other")), ["query_id", "chunk_id"])
+    return R.rerank(short, F.col("other"), 5).select("query_id", "chunk_id", "score", "rank", "rank_before", "moved")
+
+
+def rerank_movement(s, d):
+    return rerank_overlap(s, d).groupBy("moved").agg(F.count(F.lit(1)).alias("n"))
+
+
+def depth_sweep(s, d):
+    golden = _golden(s, d).filter("size(relevant) > 0")
+    hits = _bm25(s, d, 50).join(golden, "query_id").filter(F.array_contains("relevant", F.col("chunk_id"))).groupBy("query_id").agg(F.min("rank").alias("best"))
+    depths = F.explode(F.array(*(F.lit(x) for x in (3, 5, 10, 25, 50))))
+    return golden.select("query_id").join(hits, "query_id", "left").withColumn("depth", depths).groupBy("depth").agg(F.round(F.avg(F.when(F.col("best") <= F.col("depth"), 1.0).otherwise(0.0)), 6).alias("hit_rate"))
+
+
+def parent_window_expand(s, d):
+    return context.windows(_hits(s, d), table(s, d, "documents"), 300).select("query_id", "chunk_id", "rank", "from_char", "to_char")
+
+
+def parent_merge(s, d):
+    return context.merged_windows(context.windows(_hits(s, d), table(s, d, "documents")))
+
+
+def route_lexical(s, d):
+    t = F.col("text")
+    return table(s, d, "conversations").select("conv_id", "turn", X.looks_lexical(t).alias("lexical"), X.which_identifier(t).alias("pattern"))
+
+
+def route_crosstab(s, d):
+    return table(s, d, "conversations").select("role", X.looks_lexical(F.col("text")).alias("x")).groupBy("role").agg(F.count_if("x").alias("lexical"), F.count_if(~F.col("x")).alias("semantic"))
+
+
+def dedupe_to_documents(s, d):
+    return R.to_documents(_dense(s, d, 20), F.col("chunk_id") % 40)
+
+
+def golden_labels(s, d):
+    return _golden(s, d).select("query_id", "kind", F.size("relevant").alias("n_relevant"))
+
+
+def golden_validate(s, d):
+    g = _questions(s, d).select((F.col("query_id") % 30).alias("id"), F.when(F.col("query_id") % 4 == 0, "unanswerable").otherwise("lookup").alias("kind"), F.when(F.col("query_id") % 5 == 0, F.expr("cast(array() as array<bigint>)")).otherwise(F.array(F.col("query_id"), F.col("query_id") * 1000000 + 7)).alias("relevant"))
+    return metrics.validated(g, table(s, d, "documents"))
+
+
+def metrics_per_question(s, d):
+    return _results(s, d)
+
+
+def metrics_by_kind(s, d):
+    return metrics.summary(_results(s, d))
+
+
+def ceiling_flag(s, d):
+    return metrics.ceiling(_results(s, d))
+
+
+def near_misses(s, d):
+    return _results(s, d).filter("n_relevant > 0 and (first_rank is null or first_rank > 3)").select("query_id", "first_rank", F.when(F.col("first_rank").isNull(), "absent").otherwise("near miss").alias("what"))
+
+
+def run_compare(s, d):
+    a = _results(s, d).select(F.lit("bm25").alias("run"), "query_id", F.col("recall_at_5").alias("recall"))
+    lists = metrics.ranked_arrays(R.to_documents(_overlap(s, d, 20), F.col("chunk_id")))
+    b = metrics.per_question(_golden(s, d).join(lists, "query_id")).filter("n_relevant > 0").select(F.lit("overlap").alias("run"), "query_id", F.col("recall_at_5").alias("recall"))
+    return metrics.compared(a.unionByName(b))
+
+
+def abstain_gate(s, d):
+    return context.gate(_overlap(s, d), _questions(s, d))
+
+
+def threshold_sweep(s, d):
+    best = context.gate(_overlap(s, d), _questions(s, d)).join(_golden(s, d), "query_id").select("best_score", (F.size("relevant") > 0).alias("answerable"))
+    return context.threshold_sweep(best, [0.5, 0.6, 0.7, 0.9])
+
+
+def crag_split(s, d):
+    return context.verdicts(context.gate(_overlap(s, d), _questions(s, d)), 0.5, 0.9).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _blocks(s, d):
+    p = _hits(s, d).filter("rank <= 5").join(_chunks(s, d).select("chunk_id", "text"), "chunk_id").join(table(s, d, "documents").select("doc_id", "source"), "doc_id")
+    return context.blocks(p.select("query_id", "rank", "doc_id", "text", F.col("source").alias("title")))
+
+
+def context_budget(s, d):
+    return context.within_budget(_blocks(s, d), 1500).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.max("used").alias("used"))
+
+
+def prompt_build(s, d):
+    out = context.prompts(_questions(s, d), context.within_budget(_blocks(s, d), 2500))
+    return out.select("query_id", "n_blocks", F.length("prompt").alias("chars"), F.md5("prompt").alias("prompt_md5"))
+
+
+def citations_extract(s, d):
+    t = table(s, d, "documents").select("doc_id", F.concat(F.lit("As [1] and ["), (F.col("doc_id") % 7).cast("string"), F.lit(", 3] say: "), F.substring("text", 1, 40), F.lit(" [2][1] [x] ["), (F.col("n_chars") % 11).cast("string"), F.lit("]")).alias("answer"))
+    return t.select("doc_id", F.array_join(F.transform(F.filter(X.citations(F.col("answer")), lambda x: x.between(1, 5)), lambda x: x.cast("string")), ",").alias("cited"))
+
+
+def judge_groundedness(s, d):
+    top = _bm25(s, d, 1).join(_docs(s, d), "chunk_id").join(_questions(s, d), "query_id").join(_golden(s, d).select("query_id", (F.size("relevant") > 0).alias("answerable")), "query_id")
+    a = top.select("query_id", F.col("query").alias("answer"), F.col("text").alias("context"), F.array(F.substring("query", 1, 12), F.lit("no such words")).alias("expected"), "answerable")
+    return context.judged(a)
+
+
+def refusal_detect(s, d):
+    marked = F.when(F.col("turn") % 3 == 0, F.concat(F.col("text"), F.lit(" The passage Does Not Mention it."))).otherwise(F.col("text"))
+    return table(s, d, "conversations").select("conv_id", "turn", X.looks_like_refusal(marked).alias("refused"))
+
+
+def entity_extract(s, d):
+    marked = F.concat(F.col("text"), F.lit(" See `max_retries`, MAX_RETRY_COUNT and TX-4491 by BM25, Vector Search Index."))
+    return table(s, d, "documents").select("doc_id", F.array_join(X.entities(marked), "|").alias("entities"))
+
+
+def cooccurrence_edges(s, d):
+    return _edges(s, d)
+
+
+def hub_prune(s, d):
+    return graph.pruned(_edges(s, d), 3)
+
+
+def graph_stats(s, d):
+    return graph.stats(_edges(s, d))
+
+
+def graph_retrieve_1hop(s, d):
+    seeds = s.range(1, N_QUERIES + 1).select(F.col("id").alias("query_id"), F.col("id").alias("entity"))
+    return graph.walk(seeds, _edges(s, d), _mentions(s, d), hops=1)
+
+
+def multihop_accumulate(s, d):
+    turns = table(s, d, "embeddings").filter(F.col("vec_id") < 2 * N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    lists = R.dense(turns, _vectors(s, d), 8).select(F.floor(F.col("query_id") / 2).alias("query_id"), (F.col("query_id") % 2).alias("hop"), "chunk_id", "score")
+    return R.accumulated(lists)
+
+
+def cost_accounting(s, d):
+    prices = s.createDataFrame([("large", 5.0, 25.0), ("small", 1.0, 5.0), ("mid", 2.0, 10.0)], "model string, price_in double, price_out double")
+    n = F.length("text")
+    use = table(s, d, "conversations").select(F.element_at(F.array(F.lit("large"), F.lit("small"), F.lit("mid")), (F.col("conv_id") % 3 + 1).cast("int")).alias("model"), n.alias("fresh"), F.when(F.col("turn") == 0, n).otherwise(0).alias("cache_write"), F.when(F.col("turn") > 0, n).otherwise(0).alias("cache_read"), F.floor(n / 4).alias("output"))
+    return context.cost(use, prices).groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+
+
+def ingest_cost_model(s, d):
+    c = _chunks(s, d).join(table(s, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    first = F.col("chunk_index") == 0
+    return c.agg(F.sum(F.when(first, F.col("n_chars")).otherwise(0)).alias("written"), F.sum(F.when(first, F.lit(0)).otherwise(F.col("n_chars"))).alias("read_again"))
+
+
+def upsert_chunks(s, d):
+    old = table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.md5("text").alias("sha"))
+    new = table(s, d, "labels").select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("new"), F.col("quality").cast("string")).alias("sha"))
+    return store.upserted(old, new)
+
+
+def cache_misses_anti_join(s, d):
+    return store.missing(table(s, d, "documents").select("doc_id"), table(s, d, "labels"), "doc_id")
+
+
+def json_tolerant_parse(s, d):
+    raw = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("Sure: "), F.col("props"), F.lit(" done"))).otherwise(F.col("props"))
+    return table(s, d, "events").select("event_id", (X.tolerant_json(raw, "k").isNotNull()).alias("has_k"), (F.length(raw)).alias("chars"))
+
+
+def quality_slices(s, d):
+    return table(s, d, "documents").join(table(s, d, "labels"), "doc_id").groupBy("lang", "quality").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic"), F.max("n_chars").alias("longest"))
+
+
+def windows_of_events(s, d):
+    return event_windows(table(s, d, "events")).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+
+
+_HELPERS = {"table", "event_windows"}
+QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and not k.startswith("_") and k not in _HELPERS and getattr(f, "__module__", "") == __name__}
+ORACLES = oracles.ORACLES
