@@ -6,8 +6,10 @@ are never expanded into pairs:
 
 1. Documents with the same set become one row, its smallest doc_id.
 2. A global order of tokens puts those last that some batch saw in several documents, by frequency. Of
-   its n tokens a set must share one of the first n - ceil(0.75 n) + 1 with any partner; documents none
-   of whose prefix tokens stands in another document have no link and are done.
+   its n tokens a set must share one of the first n - ceil(0.75 n) + 1 with any partner, and with one
+   of its size or more one of the first n - ceil(6/7 n) + 1. So a prefix token counts only if it stands in another
+   document of fitting size, early enough in the smaller of the two; documents without such a token
+   have no link and are done.
 3. The others form groups: those that share a min-hash are compared with one leader each, a linear
    number of exact comparisons; verified links join groups (components) over several rounds.
 4. All remaining documents are partitioned into groups of about MEMBERS similar ones: parts of a
@@ -50,6 +52,24 @@ def needed(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
+def _early(n: int) -> int:
+    """How many first tokens hold one that any partner of n tokens or more shares in its prefix."""
+    return n + 1 + (-2 * PERCENT * n // (100 + PERCENT))
+
+
+def fitting(rows: DataFrame) -> DataFrame:
+    """Of prefix tokens (token, doc_id, n, early) those that stand in another document of fitting size, early in the smaller. Sizes are taken by buckets of a factor 4/3 and their neighbours; counted before they are shuffled, however frequent a token is."""
+    by = rows.withColumn("b", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT))).cast("int"))
+    near = by.groupBy("token", "b").agg(F.count(F.lit(1)).alias("docs"), F.count_if("early").alias("firsts"))
+    near = near.select("token", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)).alias("b"), "docs", "firsts").groupBy("token", "b").agg(F.sum("docs").alias("docs"), F.sum("firsts").alias("firsts")).filter("docs > 1 and firsts > 0")
+    return by.join(near, ["token", "b"]).filter("early or firsts > 0").select("token", "doc_id")
+
+
+def _small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Broadcast if it is counted and small; joined by a shuffle else."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def _signature(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -83,7 +103,7 @@ def _prefixes(frequent):
     def run(batches):
         token, rank = frequent.value
         for batch in pieces(batches, limit=BATCH):
-            done, out, doc, often = set(), [], [], []
+            done, out, doc, often, early, size = set(), [], [], [], [], []
             for d, s in zip(column(batch, "doc_id").to_pylist(), sets_of(texts(batch)), strict=True):
                 if d is None or not len(s) or (g := _signature(s)) in done:
                     continue
@@ -102,17 +122,20 @@ def _prefixes(frequent):
                 else:
                     out.append(rare[:p])
                     often.append(np.zeros(p, bool))
-                doc.append(np.full(len(out[-1]), d, np.int64))
+                doc.append(np.full(p, d, np.int64))
+                early.append(np.arange(p) < _early(len(s)))
+                size.append(np.full(p, len(s), np.int32))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(often))], ["token", "doc_id", "often"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(often)), pa.array(np.concatenate(early)), pa.array(np.concatenate(size))], ["token", "doc_id", "often", "early", "n"])
 
     return run
 
 
 def _sets(batches):
     for batch in pieces(batches, limit=BATCH):
-        sets = sets_of(texts(batch))
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([_signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "sig", "n", "tokens"])
+        rows = [(d, len(s), s.tobytes()) for d, w, s in zip(column(batch, "doc_id").to_pylist(), column(batch, "wanted").to_pylist(), sets_of(texts(batch)), strict=True) if _signature(s) == bytes(w)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "n", "tokens"])
 
 
 def _links(batches):
@@ -177,7 +200,8 @@ def _fits(a: str, b: str) -> str:
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
-    return pairs.join(a, "a").join(b, "b").filter(_fits("n_a", "n_b")).select("a", "b", "tokens_a", "tokens_b").mapInArrow(_links, "a long, b long")
+    ids = pairs.select("b").distinct()
+    return pairs.join(a, "a").join(b.join(_small(ids), "b", "left_semi"), "b").filter(_fits("n_a", "n_b")).select("a", "b", "tokens_a", "tokens_b").mapInArrow(_links, "a long, b long")
 
 
 def _frequent(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -197,8 +221,8 @@ def _stars(keys: DataFrame, labels: DataFrame | None, sets: DataFrame, number: i
     else:
         keys = keys.withColumn("c", F.col("doc_id"))
     leader = keys.groupBy("perm", "key").agg(F.min_by(F.struct(F.col("doc_id"), F.col("c")), F.xxhash64(F.col("doc_id"), F.lit(number))).alias("lead"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("perm", "key", F.col("lead.doc_id").alias("b"), F.col("lead.c").alias("cb"))
-    pairs = keys.join(leader, ["perm", "key"]).filter("c <> cb").select(F.col("doc_id").alias("a"), "b").distinct()
-    return _verified(pairs, sets)
+    pairs = saved(keys.join(leader, ["perm", "key"]).filter("c <> cb").select(F.col("doc_id").alias("a"), "b").distinct(), "pairs")
+    return _verified(_small(pairs), sets)
 
 
 def linked(documents: DataFrame) -> DataFrame:
@@ -210,18 +234,18 @@ def linked(documents: DataFrame) -> DataFrame:
     same = saved(rows.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins")), "same")
     # 2. prefix tokens that stand in more than one distinct set
     frequent = spark.sparkContext.broadcast(_frequent(sketch))
-    posts = docs.filter("doc_id is not null").mapInArrow(_prefixes(frequent), "token long, doc_id long, often boolean")
-    rare = posts.filter("not often").selectExpr("token", "doc_id", "min(doc_id) over (partition by token) as lo", "max(doc_id) over (partition by token) as hi").filter("lo <> hi").select("token", "doc_id")
-    shared = saved(rare.unionByName(posts.filter("often").select("token", "doc_id")), "shared")
+    posts = docs.filter("doc_id is not null").mapInArrow(_prefixes(frequent), "token long, doc_id long, often boolean, early boolean, n int")
+    rare = posts.filter("not often").selectExpr("token", "doc_id", "early", "n", "min(doc_id) over (partition by token) as lo", "max(doc_id) over (partition by token) as hi").filter("lo <> hi").select("token", "doc_id", "early", "n")
+    shared = saved(rare.unionByName(posts.filter("often").select("token", "doc_id", "early", "n")), "shared")
     rep_of = rows.select("doc_id", "sig").join(same.select("sig", "rep"), "sig").select("doc_id", "rep").distinct()
-    posts = saved(shared.join(rep_of, "doc_id").select("token", F.col("rep").alias("doc_id")).distinct(), "posts")
-    some = posts.groupBy("token").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("token")
-    posts = saved(posts.join(some, "token", "left_semi"), "matrix")
+    posts = saved(shared.join(rep_of, "doc_id").select("token", F.col("rep").alias("doc_id"), "early", "n").distinct(), "posts")
+    posts = saved(fitting(posts), "matrix")
     drop_saved(shared)
     release(spark)
     open_docs = saved(posts.select("doc_id").distinct().join(same.select(F.col("rep").alias("doc_id"), "sig", "mins"), "doc_id"), "open")
-    sets = docs.join(open_docs.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, sig binary, n long, tokens binary")
-    sets = saved(sets.join(open_docs.select("doc_id", "sig"), ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "tokens"), "sets")
+    # a doc_id that comes twice with one text gives two like sets, which changes nothing below
+    sets = docs.join(open_docs.select("doc_id", F.col("sig").alias("wanted")), "doc_id").mapInArrow(_sets, "doc_id long, n long, tokens binary")
+    sets = saved(sets, "sets")
     release(spark)
     # 3. groups
     keys = saved(open_docs.select("doc_id", F.posexplode("mins").alias("perm", "key")), "keys")
@@ -243,7 +267,7 @@ def _across(posts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     labels = labels.withColumnRenamed("node", "doc_id")
     frequency = posts.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
     common = posts.join(frequency, "token").groupBy("doc_id").agg(F.max(F.struct("f", "token")).alias("t"))
-    member = sets.select("doc_id", "n").join(labels, "doc_id", "left").join(common, "doc_id").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.when(F.col("component").isNull(), F.col("t.token")).otherwise(F.col("component")).alias("near"))
+    member = sets.select("doc_id", "n").distinct().join(labels, "doc_id", "left").join(common, "doc_id").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.when(F.col("component").isNull(), F.col("t.token")).otherwise(F.col("component")).alias("near"))
     # documents of like size together: long ones are few and fit few others
     member = member.withColumn("near", F.xxhash64("near", F.floor(F.log2("n")))).select("doc_id", "n", "component", "near")
     parts = member.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
@@ -262,9 +286,10 @@ def _across(posts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     # the smaller group travels to the larger
     pairs = saved(sizes.select(F.when(F.expr("tx >= ty"), F.col("x")).otherwise(F.col("y")).alias("ga"), F.when(F.expr("tx >= ty"), F.col("y")).otherwise(F.col("x")).alias("gb")), "pairs")
     used = pairs.select(F.explode(F.array("ga", "gb")).alias("g")).distinct()
-    groups = saved(sets.join(member.join(used, "g", "left_semi").select("doc_id", "component", "g"), "doc_id").groupBy("g").agg(F.collect_list(F.struct("doc_id", "component", "n", "tokens")).alias("docs")), "groups")
+    inside = saved(member.join(used, "g", "left_semi").select("doc_id", "component", "g"), "inside")
+    groups = saved(sets.join(_small(inside), "doc_id").groupBy("g").agg(F.collect_list(F.struct("doc_id", "component", "n", "tokens")).alias("docs")), "groups")
     release(sets.sparkSession)
-    sent = pairs.join(groups.select(F.col("g").alias("gb"), F.col("docs").alias("right")), "gb")
+    sent = _small(pairs).join(groups.select(F.col("g").alias("gb"), F.col("docs").alias("right")), "gb")
     both = sent.join(groups.select(F.col("g").alias("ga"), F.col("docs").alias("left")), "ga")
     return both.select("ga", "left", "right").mapInArrow(_compared, "a long, b long")
 
