@@ -263,7 +263,7 @@ def linked(documents: DataFrame) -> DataFrame:
 
 
 def _across(posts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between documents of different components."""
+    """Links between documents of different components. Deletes the table of sets, which nothing needs after it."""
     labels = labels.withColumnRenamed("node", "doc_id")
     frequency = posts.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
     common = posts.join(frequency, "token").groupBy("doc_id").agg(F.max(F.struct("f", "token")).alias("t"))
@@ -288,7 +288,9 @@ def _across(posts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     used = pairs.select(F.explode(F.array("ga", "gb")).alias("g")).distinct()
     inside = saved(member.join(used, "g", "left_semi").select("doc_id", "component", "g"), "inside")
     groups = saved(sets.join(_small(inside), "doc_id").groupBy("g").agg(F.collect_list(F.struct("doc_id", "component", "n", "tokens")).alias("docs")), "groups")
-    release(sets.sparkSession)
+    for done in (sets, cells, inside):
+        drop_saved(done)
+    release(groups.sparkSession)
     sent = _small(pairs).join(groups.select(F.col("g").alias("gb"), F.col("docs").alias("right")), "gb")
     both = sent.join(groups.select(F.col("g").alias("ga"), F.col("docs").alias("left")), "ga")
     return both.select("ga", "left", "right").mapInArrow(_compared, "a long, b long")
