@@ -43,7 +43,7 @@ PERCENT = 75
 FREQUENT, REPORTED = 1 << 20, 3
 #: Odd multipliers of the min-hash permutations.
 PERMUTATIONS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-BATCH = 16 << 20
+BATCH, PART = 16 << 20, 4 << 20
 MEMBERS = 48
 
 
@@ -102,7 +102,7 @@ SKETCH = "doc_id long, n long, sig binary, mins array<long>, token long, seen lo
 def _prefixes(frequent):
     def run(batches):
         token, rank = frequent.value
-        for batch in pieces(batches, limit=BATCH):
+        for batch in pieces(batches, limit=PART):
             done, out, doc, often, early, size = set(), [], [], [], [], []
             for d, s in zip(column(batch, "doc_id").to_pylist(), sets_of(texts(batch)), strict=True):
                 if d is None or not len(s) or (g := _signature(s)) in done:
@@ -132,22 +132,23 @@ def _prefixes(frequent):
 
 
 def _sets(batches):
-    for batch in pieces(batches, limit=BATCH):
+    for batch in pieces(batches, limit=PART):
         rows = [(d, len(s), s.tobytes()) for d, w, s in zip(column(batch, "doc_id").to_pylist(), column(batch, "wanted").to_pylist(), sets_of(texts(batch)), strict=True) if _signature(s) == bytes(w)]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "n", "tokens"])
 
 
 def _links(batches):
-    """Of pairs with their sets those that link."""
+    """Of pairs with their sets those that link; a few sets are held at a time."""
     for batch in batches:
-        fine = []
-        for a, b in zip(column(batch, "tokens_a").to_pylist(), column(batch, "tokens_b").to_pylist(), strict=True):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = overlap(x, y)
-            fine.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        at = pa.array(np.flatnonzero(fine))
-        yield pa.RecordBatch.from_arrays([column(batch, "a").take(at), column(batch, "b").take(at)], ["a", "b"])
+        for at in range(0, batch.num_rows, 256):
+            part, fine = batch.slice(at, 256), []
+            for a, b in zip(column(part, "tokens_a"), column(part, "tokens_b"), strict=True):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                both = overlap(x, y)
+                fine.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            keep = pa.array(np.flatnonzero(fine), pa.int64())
+            yield pa.RecordBatch.from_arrays([column(part, "a").take(keep), column(part, "b").take(keep)], ["a", "b"])
 
 
 class Group:
