@@ -45,6 +45,8 @@ FREQUENT, REPORTED = 1 << 20, 3
 PERMUTATIONS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BATCH, PART = 16 << 20, 4 << 20
 MEMBERS = 48
+#: Groups are compared in so many rounds, one after another, so that only one round's groups are under way at a time.
+ROUNDS = 4
 
 
 def needed(n: int) -> int:
@@ -240,8 +242,10 @@ def linked(documents: DataFrame) -> DataFrame:
     shared = saved(rare.unionByName(posts.filter("often").select("token", "doc_id", "early", "n")), "shared")
     rep_of = rows.select("doc_id", "sig").join(same.select("sig", "rep"), "sig").select("doc_id", "rep").distinct()
     posts = saved(shared.join(rep_of, "doc_id").select("token", F.col("rep").alias("doc_id"), "early", "n").distinct(), "posts")
-    posts = saved(fitting(posts), "matrix")
-    drop_saved(shared)
+    matrix = saved(fitting(posts), "matrix")
+    for done in (shared, posts):
+        drop_saved(done)
+    posts = matrix
     release(spark)
     open_docs = saved(posts.select("doc_id").distinct().join(same.select(F.col("rep").alias("doc_id"), "sig", "mins"), "doc_id"), "open")
     # a doc_id that comes twice with one text gives two like sets, which changes nothing below
@@ -253,10 +257,12 @@ def linked(documents: DataFrame) -> DataFrame:
     labels = None
     for number in range(2):
         links = saved(_stars(keys, labels, sets, number), "links")
+        release(spark)
         labels = components(links, labels)
+        release(spark)
+    drop_saved(keys)
     # 4. the token-group matrix
-    links = saved(_across(posts, labels, sets), "links")
-    release(spark)
+    links = _across(posts, labels, sets)
     labels = components(links, labels).withColumnRenamed("node", "rep")
     classes = same.select("sig", "rep").join(labels, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -264,7 +270,7 @@ def linked(documents: DataFrame) -> DataFrame:
 
 
 def _across(posts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between documents of different components. Deletes the table of sets, which nothing needs after it."""
+    """Links between documents of different components, saved. Deletes the tables of prefix tokens and sets, which nothing needs after it."""
     labels = labels.withColumnRenamed("node", "doc_id")
     frequency = posts.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
     common = posts.join(frequency, "token").groupBy("doc_id").agg(F.max(F.struct("f", "token")).alias("t"))
@@ -289,12 +295,19 @@ def _across(posts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     used = pairs.select(F.explode(F.array("ga", "gb")).alias("g")).distinct()
     inside = saved(member.join(used, "g", "left_semi").select("doc_id", "component", "g"), "inside")
     groups = saved(sets.join(_small(inside), "doc_id").groupBy("g").agg(F.collect_list(F.struct("doc_id", "component", "n", "tokens")).alias("docs")), "groups")
-    for done in (sets, cells, inside):
+    for done in (posts, sets, cells, inside):
         drop_saved(done)
     release(groups.sparkSession)
-    sent = _small(pairs).join(groups.select(F.col("g").alias("gb"), F.col("docs").alias("right")), "gb")
-    both = sent.join(groups.select(F.col("g").alias("ga"), F.col("docs").alias("left")), "ga")
-    return both.select("ga", "left", "right").mapInArrow(_compared, "a long, b long")
+    links = None
+    for number in range(ROUNDS):
+        now = pairs.filter(F.pmod(F.xxhash64("ga"), F.lit(ROUNDS)) == number)
+        sent = _small(now).join(groups.select(F.col("g").alias("gb"), F.col("docs").alias("right")), "gb")
+        mine = groups.filter(F.pmod(F.xxhash64("g"), F.lit(ROUNDS)) == number).select(F.col("g").alias("ga"), F.col("docs").alias("left"))
+        found = saved(sent.join(mine, "ga").select("ga", "left", "right").mapInArrow(_compared, "a long, b long"), "links")
+        links = found if links is None else links.unionByName(found)
+        release(groups.sparkSession)
+    drop_saved(groups)
+    return links
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
