@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from .common import coded, spans
 
 TOKENIZER = "byte_bpe_50k.json"
+#: How the byte-level alphabet writes a space.
+SPACE = "\u0120"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -35,6 +37,8 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.remembered, self.young, self.old = remembered, {}, {}
+        size = self.library.get_vocab_size()
+        self.starts = np.array([(self.library.id_to_token(i) or "").startswith(SPACE) for i in range(size)])
 
     def whole(self, batch: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -42,6 +46,20 @@ class Encoder:
             out += [np.array(e.ids, dtype="<u2").tobytes() for e in self.library.encode_batch_fast(batch[i : i + 4096], add_special_tokens=False)]
         return out
 
+    def fresh(self, names: list[str]) -> list[bytes]:
+        """Encodes distinct units many to a text; each begins with the only space in it, so its first id is the next whose token starts with one."""
+        joined = ["".join([" " + x for x in names[i : i + 256]]) for i in range(0, len(names), 256)]
+        out: list[bytes] = []
+        for i in range(0, len(joined), 256):
+            found = [np.array(e.ids, "<u2") for e in self.library.encode_batch_fast(joined[i : i + 256], add_special_tokens=False)]
+            ids = np.concatenate(found)
+            cut = (np.append(np.flatnonzero(self.starts[ids]), len(ids)) * 2).tolist()
+            data = ids.tobytes()
+            part = [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            want = names[i * 256 : (i + 256) * 256]
+            out += part if len(part) == len(want) else self.whole([" " + x for x in want])
+        return out
+
     def units(self, names: list[str]) -> list[bytes]:
         """The codes of distinct units, each with one space before it."""
         if len(self.young) > self.remembered:
@@ -52,7 +70,7 @@ class Encoder:
             miss = [i for i, c in enumerate(codes) if c is None]
             found = list(map(old.get, [names[i] for i in miss]))
             new = [i for i, c in zip(miss, found, strict=True) if c is None]
-            fresh = iter(self.whole([" " + names[i] for i in new]))
+            fresh = iter(self.fresh([names[i] for i in new]))
             for i, c in zip(miss, found, strict=True):
                 codes[i] = young[names[i]] = next(fresh) if c is None else c
         return codes
