@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import column, pieces, saved, texts
+from .common import column, drop_saved, pieces, release, saved, texts
 from .encoding import encoder, ended, tokenizer_path
 
 WINDOW, LEAST, MEAN_BITS, MOST = 8, 64, 8, 2048
@@ -79,45 +79,37 @@ def merkle(leaves: list[bytes]) -> bytes:
     return address(b"\x02" + level[0])
 
 
-def _encoded(batches, path: str, end: int):
-    enc = encoder(path)
-    for batch in pieces(batches):
-        ids, offsets = ended(*enc(texts(batch)), end)
-        yield batch, ids.astype("<u2", copy=False), offsets, cuts(ids, offsets)
+def _encoded(path: str, end: int):
+    """Recipes, and in further rows the chunks not met lately in the task: each text is encoded once."""
 
-
-def _recipes(path: str, end: int):
-    def run(batches):
-        for batch, ids, offsets, rows in _encoded(batches, path, end):
-            found = [[address(ids[a:b].tobytes()) for a, b in zip(r[:-1], r[1:], strict=True)] for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    column(batch, "doc_id"),
-                    pa.array(np.diff(offsets), pa.int32()),
-                    pa.array(found, pa.list_(pa.binary())),
-                    pa.array([np.diff(r) for r in rows], pa.list_(pa.int32())),
-                    pa.array([merkle(x) for x in found], pa.binary()),
-                ],
-                ["doc_id", "n_tokens", "addresses", "lengths", "root"],
-            )
-
-    return run
-
-
-def _chunks(path: str, end: int):
     def run(batches):
-        seen: set[bytes] = set()
-        for _, ids, _, rows in _encoded(batches, path, end):
+        enc, seen = encoder(path), set()
+        for batch in pieces(batches):
+            ids, offsets = ended(*enc(texts(batch)), end)
+            ids = ids.astype("<u2", copy=False)
+            rows, found, new = cuts(ids, offsets), [], {}
             if len(seen) > 200_000:
                 seen.clear()
-            out = {}
             for r in rows:
+                found.append([])
                 for a, b in zip(r[:-1], r[1:], strict=True):
                     data = ids[a:b].tobytes()
-                    if (k := address(data)) not in seen:
+                    k = address(data)
+                    found[-1].append(k)
+                    if k not in seen:
                         seen.add(k)
-                        out[k] = data
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array(list(out.values()), pa.binary())], ["address", "ids"])
+                        new[k] = data
+            m = len(new)
+            columns = [
+                pa.array([*column(batch, "doc_id").to_pylist(), *[None] * m], pa.int64()),
+                pa.array([*np.diff(offsets).tolist(), *[None] * m], pa.int32()),
+                pa.array([*found, *[None] * m], pa.list_(pa.binary())),
+                pa.array([*[np.diff(r) for r in rows], *[None] * m], pa.list_(pa.int32())),
+                pa.array([*[merkle(x) for x in found], *[None] * m], pa.binary()),
+                pa.array([*[None] * len(rows), *new], pa.binary()),
+                pa.array([*[None] * len(rows), *new.values()], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "addresses", "lengths", "root", "address", "ids"])
 
     return run
 
@@ -149,12 +141,14 @@ def _manifest(batches):
 def write_store(documents: DataFrame, path: str | None = None, end: int = 2) -> Store:
     """Encodes (doc_id, text) and writes the three tables under the shared folder.
 
-    Chunk bytes cross the network once, already distinct within each task; everything else that is
+    Texts are encoded once, into a table of recipes and of chunks that are already distinct within
+    each task; it is deleted at the end. Chunk bytes cross the network once; everything else that is
     shuffled is a few dozen bytes for each chunk.
     """
     path = path or tokenizer_path()
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    light = saved(docs.mapInArrow(_recipes(path, end), RECIPE), "unordered")
+    encoded = saved(docs.mapInArrow(_encoded(path, end), RECIPE + ", address binary, ids binary"), "encoded")
+    light = encoded.filter("root is not null").select("doc_id", "n_tokens", "addresses", "lengths", "root")
     spark = documents.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = light.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "root")
@@ -162,8 +156,10 @@ def write_store(documents: DataFrame, path: str | None = None, end: int = 2) ->
     by_part = recipes.select("part", "start_in_part", "root", "n_tokens").repartition(n, "part").sortWithinPartitions("part", "start_in_part")
     manifest = saved(by_part.mapInArrow(_manifest, "part int, n_docs long, n_tokens long, root binary"), "manifest")
     # grouping by address and bytes keeps one of each, and would show two chunks under one address
-    chunks = docs.select("text").mapInArrow(_chunks(path, end), "address binary, ids binary").groupBy("address", "ids").agg(F.lit(1).alias("one")).drop("one")
-    return Store(recipes, saved(chunks, "chunks"), manifest)
+    chunks = saved(encoded.filter("address is not null").groupBy("address", "ids").agg(F.lit(1).alias("one")).drop("one"), "chunks")
+    drop_saved(encoded)
+    release(spark)
+    return Store(recipes, chunks, manifest)
 
 
 @lru_cache(64)
