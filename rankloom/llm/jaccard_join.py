@@ -45,6 +45,8 @@ FREQUENT, REPORTED = 1 << 20, 3
 PERMUTATIONS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BATCH, PART = 16 << 20, 4 << 20
 MEMBERS = 48
+#: Tokens of a group, about, and queries of a part.
+TOKENS, QUERIES = 1 << 17, 64
 #: Groups are compared in so many rounds, one after another, so that only one round's groups are under way at a time.
 ROUNDS = 4
 
@@ -178,15 +180,16 @@ class Group:
 
 
 def _compared(batches):
-    """For rows (docs of the one group, docs of the other) the links between components, one for each pair of components."""
-    last, group = None, None
+    """Rows (ga, part, query, docs), each part's stored group before the groups that query it: the links between components, one for each pair of components."""
+    group = None
     for batch in batches:
         a, b = [], []
-        for x, left, right in zip(column(batch, "ga").to_pylist(), column(batch, "left"), column(batch, "right"), strict=True):
-            if x != last:
-                last, group = x, Group(left.as_py())
+        for asks, docs in zip(column(batch, "query").to_pylist(), column(batch, "docs"), strict=True):
+            if not asks:
+                group = Group(docs.as_py())
+                continue
             seen = set()
-            for q in right.as_py():
+            for q in docs.as_py():
                 for i in group.links(q, np.frombuffer(q["tokens"], np.uint64)).tolist():
                     pair = (q["component"], int(group.component[i]))
                     if pair not in seen:
@@ -277,7 +280,7 @@ def _across(posts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     member = sets.select("doc_id", "n").distinct().join(labels, "doc_id", "left").join(common, "doc_id").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"), F.when(F.col("component").isNull(), F.col("t.token")).otherwise(F.col("component")).alias("near"))
     # documents of like size together: long ones are few and fit few others
     member = member.withColumn("near", F.xxhash64("near", F.floor(F.log2("n")))).select("doc_id", "n", "component", "near")
-    parts = member.groupBy("near").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
+    parts = member.groupBy("near").agg(F.ceil(F.greatest(F.count(F.lit(1)) / MEMBERS, F.sum("n") / TOKENS)).alias("parts"))
     member = saved(member.join(parts, "near").select("doc_id", "n", "component", F.xxhash64("near", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("g")), "members")
     cells = posts.join(member, "doc_id").groupBy("token", "g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("m"))
     several = cells.groupBy("token").agg(F.min("lo").alias("all_lo"), F.max("hi").alias("all_hi")).filter("all_lo <> all_hi").select("token")
@@ -298,14 +301,23 @@ def _across(posts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     for done in (posts, sets, cells, inside):
         drop_saved(done)
     release(groups.sparkSession)
-    links = None
+    # a group with many queries is stored once more for each further part of them
+    several = pairs.groupBy("ga").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts"))
+    pairs = saved(pairs.join(several, "ga").select("ga", "gb", F.pmod(F.xxhash64("gb"), F.col("parts")).alias("part")), "parted")
+    links, spark, conf = None, groups.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, width = spark.conf.get(conf), int(spark.conf.get("spark.sql.shuffle.partitions"))
     for number in range(ROUNDS):
         now = pairs.filter(F.pmod(F.xxhash64("ga"), F.lit(ROUNDS)) == number)
-        sent = _small(now).join(groups.select(F.col("g").alias("gb"), F.col("docs").alias("right")), "gb")
-        mine = groups.filter(F.pmod(F.xxhash64("g"), F.lit(ROUNDS)) == number).select(F.col("g").alias("ga"), F.col("docs").alias("left"))
-        found = saved(sent.join(mine, "ga").select("ga", "left", "right").mapInArrow(_compared, "a long, b long"), "links")
+        asking = _small(now).join(groups.withColumnRenamed("g", "gb"), "gb").select("ga", "part", F.lit(1).alias("query"), "docs")
+        stored = _small(now.select("ga", "part").distinct()).join(groups.withColumnRenamed("g", "ga"), "ga").select("ga", "part", F.lit(0).alias("query"), "docs")
+        both = stored.unionByName(asking).repartition(width, "ga", "part").sortWithinPartitions("ga", "part", "query")
+        spark.conf.set(conf, 32)  # rows are groups: few at a time
+        try:
+            found = saved(both.mapInArrow(_compared, "a long, b long"), "links")
+        finally:
+            spark.conf.set(conf, before)
         links = found if links is None else links.unionByName(found)
-        release(groups.sparkSession)
+        release(spark)
     drop_saved(groups)
     return links
 
