@@ -34,21 +34,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import column, drop_saved, pieces, release, saved, texts
+from .common import column, drop_saved, pieces, release, saved, settings, texts
 from .components import components
 from .shingles import overlap, sets_of
 
 PERCENT = 75
 #: Frequent tokens in the ordering's table, at most; a token seen in so many documents of one batch is reported.
-FREQUENT, REPORTED = 1 << 20, 3
+FREQUENT, REPORTED = 1 << 20, 2
 #: Odd multipliers of the min-hash permutations.
 PERMUTATIONS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-BATCH, PART = 16 << 20, 4 << 20
+BATCH, PART = 8 << 20, 4 << 20
 MEMBERS = 48
 #: Tokens of a group, about, and queries of a part.
 TOKENS, QUERIES = 1 << 17, 64
 #: Groups are compared in so many rounds, one after another, so that only one round's groups are under way at a time.
 ROUNDS = 4
+#: Arrow batches by bytes, as rows may be whole sets; and where rows are whole groups, few of them in one batch or column vector.
+BOUNDED = {"spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+FEW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "32", "spark.sql.parquet.columnarReaderBatchSize": "64"}
 
 
 def needed(n: int) -> int:
@@ -233,6 +236,11 @@ def _stars(keys: DataFrame, labels: DataFrame | None, sets: DataFrame, number: i
 
 def linked(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
+    with settings(documents.sparkSession, BOUNDED):
+        return _linked(documents)
+
+
+def _linked(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketch = saved(docs.mapInArrow(_sketched, SKETCH), "sketch")
@@ -304,18 +312,15 @@ def _across(posts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     # a group with many queries is stored once more for each further part of them
     several = pairs.groupBy("ga").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts"))
     pairs = saved(pairs.join(several, "ga").select("ga", "gb", F.pmod(F.xxhash64("gb"), F.col("parts")).alias("part")), "parted")
-    links, spark, conf = None, groups.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before, width = spark.conf.get(conf), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links, spark = None, groups.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for number in range(ROUNDS):
         now = pairs.filter(F.pmod(F.xxhash64("ga"), F.lit(ROUNDS)) == number)
         asking = _small(now).join(groups.withColumnRenamed("g", "gb"), "gb").select("ga", "part", F.lit(1).alias("query"), "docs")
         stored = _small(now.select("ga", "part").distinct()).join(groups.withColumnRenamed("g", "ga"), "ga").select("ga", "part", F.lit(0).alias("query"), "docs")
         both = stored.unionByName(asking).repartition(width, "ga", "part").sortWithinPartitions("ga", "part", "query")
-        spark.conf.set(conf, 32)  # rows are groups: few at a time
-        try:
+        with settings(spark, FEW):
             found = saved(both.mapInArrow(_compared, "a long, b long"), "links")
-        finally:
-            spark.conf.set(conf, before)
         links = found if links is None else links.unionByName(found)
         release(spark)
     drop_saved(groups)
