@@ -22,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -192,25 +193,34 @@ def advanced(crc: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 def _checked(batches):
     for batch in batches:
-        keys, data = column(batch, "address").to_pylist(), column(batch, "ids").to_pylist()
-        if bad := [k for k, d in zip(keys, data, strict=True) if address(d) != k]:
-            raise ValueError(f"{len(bad)} chunks do not match their address")
-        crc = [zlib.crc32(np.frombuffer(d, "<u2").astype("<u4").tobytes()) for d in data]
-        yield pa.RecordBatch.from_arrays([column(batch, "address"), pa.array(crc, pa.int64()), pa.array([len(d) // 2 for d in data], pa.int32())], ["address", "crc", "n"])
+        keys, ids = column(batch, "address").to_pylist(), column(batch, "ids")
+        at = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+        data = memoryview(ids.buffers()[2])[int(at[0]) : int(at[-1])]
+        at = (at - at[0]).tolist()
+        if bad := sum(address(data[a:b]) != k for k, a, b in zip(keys, at[:-1], at[1:], strict=True)):
+            raise ValueError(f"{bad} chunks do not match their address")
+        wide = memoryview(np.frombuffer(data, "<u2").astype("<u4")).cast("B")
+        crc = [zlib.crc32(wide[2 * a : 2 * b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([column(batch, "address"), pa.array(crc, pa.int64()), pa.array(np.diff(at) // 2, pa.int32())], ["address", "crc", "n"])
 
 
 def _advanced(batches):
     for batch in batches:
         crc = advanced(column(batch, "crc").to_numpy(), column(batch, "after").to_numpy())
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_key"), column(batch, "n"), column(batch, "fits"), pa.array(crc.astype(np.int64))], ["doc_key", "n", "fits", "crc"])
+        yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("part", "start_in_part", "n", "fits")), pa.array(crc.astype(np.int64))], ["part", "start_in_part", "n", "fits", "crc"])
 
 
-def _rooted(batches):
+def _wanted(batches):
+    """Holds each recipe against its root, and gives its chunks, each with the number of ids after it in its document."""
     for batch in batches:
-        fine = [merkle(a) == r for a, r in zip(column(batch, "addresses").to_pylist(), column(batch, "root").to_pylist(), strict=True)]
-        if not all(fine):
+        addresses = column(batch, "addresses")
+        if not all(merkle(a) == r for a, r in zip(addresses.to_pylist(), column(batch, "root").to_pylist(), strict=True)):
             raise ValueError("a recipe does not match its Merkle root")
-        yield batch
+        n = pc.list_value_length(addresses).to_numpy()
+        row, length = pa.array(np.repeat(np.arange(len(n)), n)), column(batch, "lengths").flatten()
+        done = np.cumsum(length.to_numpy(), dtype=np.int64)
+        after = np.repeat(done[np.cumsum(n) - 1], n) - done
+        yield pa.RecordBatch.from_arrays([column(batch, "part").take(row), column(batch, "start_in_part").take(row), addresses.flatten(), length, pa.array(after)], ["part", "start_in_part", "address", "length", "after"])
 
 
 def read_store(store: Store) -> DataFrame:
@@ -226,18 +236,16 @@ def read_store(store: Store) -> DataFrame:
         before.append((r["part"], at))
         at += r["n_tokens"]
     parts = spark.createDataFrame(before, "part int, before long")
-    recipes = store.recipes.mapInArrow(_rooted, store.recipes.schema)
-    key = F.struct("part", "start_in_part").alias("doc_key")
-    after = F.expr("transform(sequence(1, size(lengths)), i -> aggregate(slice(lengths, i + 1, size(lengths)), 0L, (s, x) -> s + x))")
-    wanted = recipes.select(key, F.explode(F.arrays_zip("addresses", "lengths", after.alias("after"))).alias("c")).select("doc_key", F.col("c.addresses").alias("address"), F.col("c.lengths").alias("length"), F.col("c.after").alias("after"))
+    key = ["part", "start_in_part"]
+    wanted = store.recipes.select(*key, "addresses", "lengths", "root").mapInArrow(_wanted, "part int, start_in_part long, address binary, length int, after long")
     have = store.chunks.mapInArrow(_checked, "address binary, crc long, n int")
-    joined = wanted.join(have, "address").select("doc_key", "n", "after", "crc", (F.col("n") == F.col("length")).alias("fits"))
-    whole = joined.mapInArrow(_advanced, "doc_key struct<part:int,start_in_part:long>, n int, fits boolean, crc long").groupBy("doc_key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_chunks"), F.bit_xor("crc").alias("ids_crc32"), F.bool_and("fits").alias("fits"))
-    docs = store.recipes.select(key, "doc_id", "n_tokens", "root", F.size("addresses").alias("expected"))
-    out = docs.join(whole, "doc_key", "left").join(F.broadcast(parts), F.col("doc_key.part") == parts["part"], "left")
+    joined = wanted.join(have, "address").select(*key, "n", "after", "crc", (F.col("n") == F.col("length")).alias("fits"))
+    whole = joined.mapInArrow(_advanced, "part int, start_in_part long, n int, fits boolean, crc long").groupBy(*key).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_chunks"), F.bit_xor("crc").alias("ids_crc32"), F.bool_and("fits").alias("fits"))
+    docs = store.recipes.select(*key, "doc_id", "n_tokens", "root", F.size("addresses").alias("expected"))
+    out = docs.join(whole, key, "left").join(F.broadcast(parts), "part", "left")
     ok = (F.col("n") == F.col("n_tokens")) & F.col("fits") & (F.col("n_chunks") == F.col("expected"))
     whole_or_fail = F.when(ok, F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a document cannot be put together from its chunks")).cast("long"))
-    return out.select("doc_id", (F.col("before") + F.col("doc_key.start_in_part")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), whole_or_fail.alias("ids_crc32"), "n_chunks", F.lower(F.hex("root")).alias("root"))
+    return out.select("doc_id", (F.col("before") + F.col("start_in_part")).alias("start"), F.col("n_tokens").cast("long").alias("n_tokens"), whole_or_fail.alias("ids_crc32"), "n_chunks", F.lower(F.hex("root")).alias("root"))
 
 
 def documents_of(store: Store) -> DataFrame:
