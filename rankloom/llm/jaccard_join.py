@@ -49,9 +49,8 @@ MEMBERS = 48
 TOKENS, QUERIES = 1 << 17, 64
 #: Groups are compared in so many rounds, one after another, so that only one round's groups are under way at a time.
 ROUNDS = 4
-#: Arrow batches by bytes, as rows may be whole sets; and where rows are whole groups, few of them in one batch or column vector.
+#: Arrow batches by bytes, as rows may be whole sets.
 BOUNDED = {"spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
-FEW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "32", "spark.sql.parquet.columnarReaderBatchSize": "64"}
 
 
 def needed(n: int) -> int:
@@ -159,19 +158,16 @@ def _links(batches):
 
 
 class Group:
-    """Documents (id, component, n, tokens) as a matrix: the sorted token union, and per token its members."""
+    """Documents (id, component, tokens) as a matrix: the sorted token union, and per token its members."""
 
-    def __init__(self, docs: list[dict]):
-        self.docs = docs
-        self.sets = [np.frombuffer(d["tokens"], np.uint64) for d in docs]
-        every = np.concatenate(self.sets)
-        self.union, place = np.unique(every, return_inverse=True)
+    def __init__(self, docs: list[tuple[int, int, np.ndarray]]):
+        self.ids, self.component = [d[0] for d in docs], np.array([d[1] for d in docs])
+        self.n = np.array([len(d[2]) for d in docs])
+        self.union, place = np.unique(np.concatenate([d[2] for d in docs]), return_inverse=True)
         self.holds = np.zeros((len(self.union), len(docs)), np.uint8)
-        self.holds[place, np.repeat(np.arange(len(docs)), [len(s) for s in self.sets])] = 1
-        self.n = np.array([len(s) for s in self.sets])
-        self.component = np.array([d["component"] for d in docs])
+        self.holds[place, np.repeat(np.arange(len(docs)), self.n)] = 1
 
-    def links(self, q: dict, tokens: np.ndarray) -> np.ndarray:
+    def links(self, component: int, tokens: np.ndarray) -> np.ndarray:
         """Numbers of the members of other components that link with a query."""
         at = np.searchsorted(self.union, tokens)
         at[at == len(self.union)] = 0
@@ -179,26 +175,30 @@ class Group:
         if len(at) < needed(len(tokens)):  # not all of the union would do
             return np.empty(0, np.int64)
         both = self.holds[at].sum(0, dtype=np.int64)
-        return np.flatnonzero((100 * both >= PERCENT * (len(tokens) + self.n - both)) & (self.component != q["component"]))
+        return np.flatnonzero((100 * both >= PERCENT * (len(tokens) + self.n - both)) & (self.component != component))
 
 
 def _compared(batches):
-    """Rows (ga, part, query, docs), each part's stored group before the groups that query it: the links between components, one for each pair of components."""
-    group = None
+    """Documents by place (ga, part), those of the stored group before those that query it: the links between components, one for each pair of components of a place."""
+    place, stored, group, seen = None, [], None, set()
     for batch in batches:
         a, b = [], []
-        for asks, docs in zip(column(batch, "query").to_pylist(), column(batch, "docs"), strict=True):
+        rows = zip(*(column(batch, c).to_pylist() for c in ("ga", "part", "query", "doc_id", "component")), column(batch, "tokens"), strict=True)
+        for ga, part, asks, doc, component, tokens in rows:
+            if (ga, part) != place:
+                place, stored, group, seen = (ga, part), [], None, set()
+            own = np.frombuffer(tokens.as_buffer(), np.uint64)
             if not asks:
-                group = Group(docs.as_py())
+                stored.append((doc, component, own.copy()))
                 continue
-            seen = set()
-            for q in docs.as_py():
-                for i in group.links(q, np.frombuffer(q["tokens"], np.uint64)).tolist():
-                    pair = (q["component"], int(group.component[i]))
-                    if pair not in seen:
-                        seen.add(pair)
-                        a.append(q["doc_id"])
-                        b.append(group.docs[i]["doc_id"])
+            if group is None:
+                group, stored = Group(stored), []
+            for i in group.links(component, own).tolist():
+                pair = (component, int(group.component[i]))
+                if pair not in seen:
+                    seen.add(pair)
+                    a.append(doc)
+                    b.append(group.ids[i])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
@@ -260,7 +260,7 @@ def _linked(documents: DataFrame) -> DataFrame:
     release(spark)
     open_docs = saved(posts.select("doc_id").distinct().join(same.select(F.col("rep").alias("doc_id"), "sig", "mins"), "doc_id"), "open")
     # a doc_id that comes twice with one text gives two like sets, which changes nothing below
-    sets = docs.join(open_docs.select("doc_id", F.col("sig").alias("wanted")), "doc_id").mapInArrow(_sets, "doc_id long, n long, tokens binary")
+    sets = docs.join(_small(open_docs.select("doc_id", F.col("sig").alias("wanted"))), "doc_id").mapInArrow(_sets, "doc_id long, n long, tokens binary")
     sets = saved(sets, "sets")
     release(spark)
     # 3. groups
@@ -303,27 +303,24 @@ def _across(posts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     sizes = pairs.join(size.select(F.col("g").alias("x"), F.col("tokens").alias("tx")), "x").join(size.select(F.col("g").alias("y"), F.col("tokens").alias("ty")), "y")
     # the smaller group travels to the larger
     pairs = saved(sizes.select(F.when(F.expr("tx >= ty"), F.col("x")).otherwise(F.col("y")).alias("ga"), F.when(F.expr("tx >= ty"), F.col("y")).otherwise(F.col("x")).alias("gb")), "pairs")
-    used = pairs.select(F.explode(F.array("ga", "gb")).alias("g")).distinct()
-    inside = saved(member.join(used, "g", "left_semi").select("doc_id", "component", "g"), "inside")
-    groups = saved(sets.join(_small(inside), "doc_id").groupBy("g").agg(F.collect_list(F.struct("doc_id", "component", "n", "tokens")).alias("docs")), "groups")
-    for done in (posts, sets, cells, inside):
+    for done in (posts, cells):
         drop_saved(done)
-    release(groups.sparkSession)
     # a group with many queries is stored once more for each further part of them
     several = pairs.groupBy("ga").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts"))
     pairs = saved(pairs.join(several, "ga").select("ga", "gb", F.pmod(F.xxhash64("gb"), F.col("parts")).alias("part")), "parted")
-    links, spark = None, groups.sparkSession
+    links, spark = None, sets.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for number in range(ROUNDS):
         now = pairs.filter(F.pmod(F.xxhash64("ga"), F.lit(ROUNDS)) == number)
-        asking = _small(now).join(groups.withColumnRenamed("g", "gb"), "gb").select("ga", "part", F.lit(1).alias("query"), "docs")
-        stored = _small(now.select("ga", "part").distinct()).join(groups.withColumnRenamed("g", "ga"), "ga").select("ga", "part", F.lit(0).alias("query"), "docs")
-        both = stored.unionByName(asking).repartition(width, "ga", "part").sortWithinPartitions("ga", "part", "query")
-        with settings(spark, FEW):
-            found = saved(both.mapInArrow(_compared, "a long, b long"), "links")
+        stored = now.select(F.col("ga").alias("g"), "ga", "part", F.lit(0).alias("query")).distinct()
+        asking = now.select(F.col("gb").alias("g"), "ga", "part", F.lit(1).alias("query"))
+        places = saved(member.join(stored.unionByName(asking), "g").select("doc_id", "component", "ga", "part", "query"), "places")
+        both = sets.select("doc_id", "tokens").join(_small(places), "doc_id").repartition(width, "ga", "part").sortWithinPartitions("ga", "part", "query")
+        found = saved(both.mapInArrow(_compared, "a long, b long"), "links")
         links = found if links is None else links.unionByName(found)
+        drop_saved(places)
         release(spark)
-    drop_saved(groups)
+    drop_saved(sets)
     return links
 
 

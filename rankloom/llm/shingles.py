@@ -6,16 +6,34 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-from .common import coded, mixed, words_of
+from .common import mixed, spans, words_of
 
 WORDS = 5
+LONG = 48
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(values: pa.Array) -> np.ndarray:
-    at, names = coded(values)
-    distinct = np.fromiter(map(xxhash.xxh3_64_intdigest, names.to_pylist()), np.uint64, len(names))
-    return distinct[at] if len(at) else np.empty(0, np.uint64)
+    """64-bit hashes of words (large strings, none null), byte by byte for all words at once; of the few long ones by a library."""
+    if not len(values):
+        return np.empty(0, np.uint64)
+    ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    data, size = np.frombuffer(values.buffers()[2], np.uint8), np.diff(ends)
+    # longest words first: those with a k-th byte are the first ones
+    order = np.argsort(-np.minimum(size, LONG + 1).astype(np.int16), kind="stable")
+    start, sizes = ends[:-1][order], size[order]
+    value = sizes.astype(np.uint64)
+    have = np.searchsorted(-sizes.clip(max=LONG + 1), -np.arange(LONG), side="left")
+    for k, m in enumerate(have.tolist()):
+        if not m:
+            break
+        value[:m] *= _STEP
+        value[:m] += data[start[:m] + k]
+    for i in range(int((sizes > LONG).sum())):
+        value[i] = xxhash.xxh3_64_intdigest(data[start[i] : start[i] + sizes[i]])
+    out = np.empty_like(value)
+    out[order] = mixed(value)
+    return out
 
 
 def shingle_hashes(h: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -27,11 +45,13 @@ def shingle_hashes(h: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tu
     for k in range(words):
         value[: len(h) - k] = value[: len(h) - k] * _STEP + h[k:] if len(h) > k else value[:0]
     value = mixed(value)
-    keep = np.zeros(len(h), bool)
-    row = np.repeat(np.arange(len(size)), size)
-    keep[:] = np.arange(len(h)) - offsets[:-1][row] < n[row]
+    # no run begins at a row's last places
+    keep, short = np.ones(len(h), bool), np.flatnonzero((size > 0) & (size < words))
+    for k in range(1, words):
+        keep[offsets[1:][size >= words] - k] = False
+    keep[spans(offsets[:-1][short] + 1, size[short] - 1)] = False
     value = value[keep]
-    for i in np.flatnonzero((size > 0) & (size < words)).tolist():
+    for i in short.tolist():
         v = np.uint64(size[i])
         for x in h[offsets[i] : offsets[i + 1]]:
             v = v * _STEP + x
@@ -44,7 +64,15 @@ def sets_of(text: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         values, offsets = words_of(text)
         h, ends = shingle_hashes(word_hashes(values), offsets, words)
-    return [np.unique(h[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return [distinct(h[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, each value once."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
