@@ -48,7 +48,7 @@ MEMBERS = 48
 #: Tokens of a group, about, and queries of a part.
 TOKENS, QUERIES = 1 << 17, 64
 #: Groups are compared in so many rounds, one after another, so that only one round's groups are under way at a time.
-ROUNDS = 12
+ROUNDS = 4
 #: Arrow batches by bytes, as rows may be whole sets.
 BOUNDED = {"spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
