@@ -40,7 +40,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Hashed language ID, window fingerprints and packing are not expressible in SQL; the tests hold run() against brute force.
+#: Hashed language ID, window fingerprints and packing are not expressible in SQL; the tests hold each operator against brute force, and each stage's rows and columns against its input.
 ORACLE_SQL = None
 
 
