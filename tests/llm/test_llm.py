@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -113,6 +114,27 @@ def test_context_mixing(docs, empty):
     assert context_mixing.scored(empty).count() == 0
 
 
+def test_context_tables_grow():
+    some, more = (context_mixing.slot_bits(n) for n in (1 << 28, 1 << 32))
+    assert all(b - a == 4 for a, b in zip(some[1:], more[1:], strict=True)) and some > context_mixing.SLOT_BITS
+    rows = pa.RecordBatch.from_arrays([pa.array([t for _, t, _ in ROWS], pa.string())], ["text"])
+    data, start, size = context_mixing.padded(pa.array([t or "" for _, t, _ in ROWS], pa.large_string()))
+    at = np.concatenate([np.arange(a, a + n) for a, n in zip(start, size, strict=True)])
+    code = context_mixing.Code(np.bincount(data[at], minlength=256) * 4000.0)  # as if the texts were longer
+    assert len(code.slots) == 5 and int(code.base[-1]) > sum(1 << b for b in context_mixing.SLOT_BITS)
+    hashes = [*enumerate(context_mixing.contexts(context_mixing.places(data, at))), (4, context_mixing.words_so_far(data)[at])]
+    _, slots, bit = context_mixing.decisions(code, data[at], hashes)
+    got = np.zeros(int(code.base[-1]), np.int8)
+    for r in context_mixing._summed(context_mixing._trained(type("Shared", (), {"value": code}))([rows, rows])):
+        for i, x in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True):
+            got[i * context_mixing.CELLS :][: context_mixing.CELLS] = np.frombuffer(x, np.int8)
+    for k, s in enumerate(slots):
+        n, ones = (2 * np.bincount(s, w, 1 << code.slots[k]) for w in (None, bit))
+        want = np.clip(np.rint(np.log((ones + 0.1) / (n - ones + 0.1)) * context_mixing.SCALE), -127, 127)
+        want[(n > 0) & (want == 0)] = 1
+        assert (got[code.base[k] : code.base[k + 1]] == np.where(n > 0, want, 0)).all()
+
+
 def _base(text):
     spans, number = [], Counter()
     for no, (kind, p, g, least, flags) in enumerate((("assign", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12, re.A), ("access", r"AKIA[A-Z0-9]+", 0, 18, 0), ("hex", r"[0-9a-f]+", 0, 16, 0))):
