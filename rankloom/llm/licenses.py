@@ -1,12 +1,14 @@
 """License texts in documents: exact phrases, and an exact set-similarity join with templates.
 
 Words are runs of letters, digits and non-ASCII characters after lower-casing A-Z. The join finds every
-block (a line, or any WINDOW consecutive words of a longer one, taken every WINDOW / 2) whose word set
-contains at least CONTAINMENT of a template's word set. Template words are ordered by their frequency
-in the whole table, rarest first; of t words of which ceil(CONTAINMENT t) must be found, one of the first
-t - ceil(CONTAINMENT t) + 1 must stand in the block (prefix filter); a block needs that many distinct
-words (length filter); and once the first common word is at place i, at most t - i can be common
-(positional filter). The filters lose nothing, so the join is exact.
+block (any WINDOW consecutive words of a document, across its lines) whose word set contains at least
+CONTAINMENT of a template's word set, and the name of the license if the template holds it (NAMES): notices
+of different licenses differ in little else. Template words are ordered by their frequency in the whole
+table, rarest first; of t words of which ceil(CONTAINMENT t) must be found, one of the first
+t - ceil(CONTAINMENT t) + 1 must stand in the block (prefix filter); a block, and so its document, needs
+that many distinct words (length filter); and once the first common word is at place i, at most t - i can
+be common (positional filter). The filters lose nothing, and every start of a block is looked at, so the
+join is exact.
 
 Defined results: a null text counts as empty (no words, no labels, score 0); repeated rows are scanned
 each; a null doc_id is kept; an empty table gives an empty result; further columns are ignored.
@@ -40,6 +42,8 @@ TEMPLATES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 CONTAINMENT, WINDOW = 0.8, 64
+#: The word that tells a license's notices from others; a block must hold it if the template does.
+NAMES = {"gpl": b"gnu", "apache": b"apache", "cc-by-nc": b"nc", "cc-by-sa": b"sa", "mit": b"mit", "mpl": b"mozilla"}
 
 _SPACE = bytes(10 if i == 10 else 32 if i <= 0x2F or 0x3A <= i <= 0x40 or 0x5B <= i <= 0x60 or 0x7B <= i <= 0x7F else i + 32 if 0x41 <= i <= 0x5A else i for i in range(256))
 
@@ -84,7 +88,7 @@ class Join:
                 self.prefixes.setdefault(w, []).append((k, i))
 
     def block(self, block: list[bytes]) -> list[tuple[str, float]]:
-        """(label, containment) of each template that the block meets."""
+        """(label, containment) of each template that the block meets, by words alone."""
         have = self.order.keys() & block
         if not have:
             return []
@@ -100,17 +104,40 @@ class Join:
                     out.append((label, common / len(t)))
         return out
 
-    def text(self, lines: list[list[bytes]]) -> dict[str, float]:
+    def text(self, found: list[bytes]) -> dict[str, float]:
+        """The largest containment of each label's templates in any WINDOW consecutive words that hold the template's name."""
         best: dict[str, float] = {}
-        for line in lines:
-            if self.prefixes.keys().isdisjoint(line):
+        if self.prefixes.keys().isdisjoint(found):
+            return best
+        have = self.order.keys() & found
+        known = [(at, w) for at, w in enumerate(found) if w in have]
+        for k in sorted({k for w in have for k, _ in self.prefixes.get(w, ())}):
+            label, t, need = self.templates[k]
+            own, name = have.intersection(t), NAMES.get(label)
+            if len(own) < need or name in t and name not in own:
                 continue
-            step = WINDOW // 2
-            for a in range(0, max(1, len(line) - step), step):
-                for label, share in self.block(line[a : a + WINDOW]):
-                    best[label] = max(share, best.get(label, 0.0))
+            most = self.slide([x for x in known if x[1] in own], name if name in t else None)
+            if most >= need:
+                best[label] = max(most / len(t), best.get(label, 0.0))
         return best
 
+    @staticmethod
+    def slide(own: list[tuple[int, bytes]], name: bytes | None) -> int:
+        """The most distinct words within WINDOW places, name among them; own: places and words."""
+        count: dict[bytes, int] = {}
+        first = most = 0
+        for at, w in own:
+            count[w] = count.get(w, 0) + 1
+            while at - own[first][0] >= WINDOW:
+                out = own[first][1]
+                count[out] -= 1
+                if not count[out]:
+                    del count[out]
+                first += 1
+            if len(count) > most and (name is None or name in count):
+                most = len(count)
+        return most
+
 
 def places(found: list[bytes], joined: bytes, phrase: bytes) -> list[int]:
     """Word numbers at which the phrase's words stand consecutively; joined: the words with a space around each."""
@@ -133,15 +160,14 @@ def _scan(join: Join):
             rows = []
             for doc, text in zip(column(batch, "doc_id").to_pylist(), texts(batch).to_pylist(), strict=True):
                 flat = text.encode("utf-8", "surrogatepass").translate(_SPACE)
-                lines = [line.split() for line in flat.split(b"\n")]
-                found = [w for line in lines for w in line]
+                found = flat.split()
                 at, base = [], set()
                 joined = b" " + b" ".join(found) + b" "
                 for p in needles:
                     if p in joined and (got := places(found, joined, p)):
                         at += got
                         base.add(PHRASES[p.decode()])
-                best = join.text(lines)
+                best = join.text(found)
                 rows.append((doc, len(found), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | best.keys())), 1.0 if base else max(best.values(), default=0.0)))
             kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in SCAN.split(", ")])

@@ -210,6 +210,29 @@ def test_licenses(docs, empty):
             assert set(join.block(block)) == want
 
 
+def test_licenses_across_lines(spark):
+    texts = ["Licensed under CC BY-NC 4.0.", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY 4.0.", "Released under the BSD License."]
+    for _, t in licenses.TEMPLATES:  # wrapped, at every place of the old windows, and a part of each left out
+        w = t.split()
+        for before in (0, 20, 45):
+            texts.append(prose(before) + "\n" + "\n".join(" ".join(w[i : i + 3]) for i in range(0, len(w), 3)) + "\n" + prose(before))
+            texts.append(prose(before) + " " + " ".join(x for x in w if rng.random() > 0.15) + " " + prose(before))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)).collect()}
+    for i, t in enumerate(texts):
+        found, want = licenses.words(t), {}
+        for label, u in licenses.TEMPLATES:
+            u = set(licenses.words(u))
+            for a in range(max(1, len(found) - licenses.WINDOW + 1)):
+                both = u.intersection(found[a : a + licenses.WINDOW])
+                if len(both) >= 0.8 * len(u) - 1e-9 and (licenses.NAMES.get(label) not in u or licenses.NAMES[label] in both):
+                    want[label] = max(len(both) / len(u), want.get(label, 0))
+        base = set(got[i].base_labels.split(",")) - {""}
+        assert set(got[i].labels.split(",")) - {""} == base | want.keys() and got[i].score == (1.0 if base else max(want.values(), default=0.0))
+    assert [got[i].labels for i in range(4)] == ["cc-by,cc-by-nc", "cc-by,cc-by-sa", "cc-by", ""]
+    wrapped = {label for i in range(4, len(texts), 2) for label in got[i].labels.split(",")}
+    assert wrapped >= {label for label, _ in licenses.TEMPLATES}
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a ### b \\ </turn>"), (1, 1, "assistant", "x\ny"), (2, 1, "assistant", None), (2, 0, None, "n"), (3, 0, "odd: role", "t")]
     c = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, segments string")
