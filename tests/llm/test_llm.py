@@ -188,6 +188,36 @@ def test_decontamination(spark, docs, empty):
     assert kept.count() == len(ROWS) - 1 and kept.columns == docs.columns
 
 
+def test_decontamination_of_long_items(spark):
+    def bag(w):
+        return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+
+    pick = random.Random(11)
+    strange = lambda n: ["".join(pick.choice("uvwxyz") for _ in range(8)) for _ in range(n)]
+    items = [[pick.choice(VOCABULARY) for _ in range(n)] for n in (100, 150, 300, 600)]
+    items.append(items[0][:90] + ["again"] * 15)
+    texts = []
+    for w in items:
+        for share in (0.8, 0.88, 0.9, 0.95):
+            keep = int(share * len(w))
+            texts += [w[:keep] + strange(len(w)), strange(40) + w[-keep:], w[:keep] + ["zzz"] * len(w)]
+            at = len(w) // 2
+            texts.append(strange(9) + w[:at] + strange(1 + len(w) - keep) + w[at:])
+    want = {}
+    for d, t in enumerate(texts):
+        for i, w in enumerate(items):
+            n, b = min(len(w), len(t)), bag(w)
+            for a in range(len(t) - n + 1):
+                x = bag(t[a : a + n])
+                low = sum((x & b).values())
+                s = low / (sum(x.values()) + sum(b.values()) - low)
+                if s >= decontamination.SIMILARITY and s > want.get((d, i), (0, 0))[0]:
+                    want[d, i] = (s, a)
+    frame = lambda rows, names: spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], names)
+    found = decontamination.matches(frame(texts, "doc_id long, text string"), frame(items, "item_id long, text string")).collect()
+    assert len(want) > len(texts) // 2 and {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in found} == want
+
+
 def test_hamming_index_is_complete():
     r = np.random.default_rng(3)
     prints = [int(x) for x in r.integers(0, 1 << 63, 300)]
