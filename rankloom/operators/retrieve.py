@@ -72,12 +72,25 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = TOP_K, where: Column | No
 
 def overlap(queries: DataFrame, docs: DataFrame, k: int = TOP_K) -> DataFrame:
     """Top-k by the share of a question's distinct words that stand in a chunk."""
-    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("terms")).filter("size(terms) > 0").select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    words = docs.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(asked.select("term").distinct(), "term")
+    asked, words = _asked_and_words(queries, docs)
     scored = asked.join(words, "term").groupBy("query_id", "chunk_id").agg((F.count(F.lit(1)) / F.first("n")).alias("score"))
     return ranked(scored, k)
 
 
+def overlap_of(shortlist: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """The shortlist's query_id, chunk_id and rank with the overlap of each pair (other), 0 where no word is shared; no other pair is scored."""
+    asked, words = _asked_and_words(queries, docs)
+    pairs = shortlist.select("query_id", "chunk_id", "rank").join(asked, "query_id").join(words.withColumn("hit", F.lit(1)), ["chunk_id", "term"], "left")
+    return pairs.groupBy("query_id", "chunk_id", "rank").agg(F.round(F.count("hit") / F.first("n"), 6).alias("other"))
+
+
+def _asked_and_words(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """query_id, n, term of the questions' distinct words, and chunk_id, term where these stand."""
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("terms")).filter("size(terms) > 0").select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    words = docs.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(asked.select("term").distinct(), "term")
+    return asked, words
+
+
 def fuse(lists: dict[str, DataFrame], k: int = TOP_K, rrf_k: int = RRF_K, weights: dict[str, float] | None = None) -> DataFrame:
     """Reciprocal rank fusion: a union and one aggregation. Ties keep the order of first appearance (list, then rank). ranks: the rank in each list."""
     rows = None

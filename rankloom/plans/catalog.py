@@ -175,7 +175,7 @@ def variant_clean(s, d):
 
 
 def rerank_overlap(s, d):
-    short = _bm25(s, d, 10).join(_overlap(s, d, 1000000).select("query_id", "chunk_id", F.col("score").alias("other")), ["query_id", "chunk_id"])
+    short = R.overlap_of(_bm25(s, d, 10), _questions(s, d), _docs(s, d))
     return R.rerank(short, F.col("other"), 5).select("query_id", "chunk_id", "score", "rank", "rank_before", "moved")
 
 

@@ -87,6 +87,16 @@ def test_windows_merge_and_gate(spark):
     assert got == {1: False, 2: True, 3: True}
 
 
+def test_rerank_keeps_whole_shortlist(spark, tmp_path):
+    n = 1_000_010  # the last ten, first by BM25, stand behind a million documents of the same overlap
+    text = F.when(F.col("id") >= n - 10, "alpha alpha alpha").otherwise("alpha")
+    spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.rank, r.chunk_id, r.score, r.rank_before, r.moved) for r in catalog.QUERIES["rerank_overlap"](spark, str(tmp_path)).collect())
+    assert got == [(i, n - 11 + i, 1.0, i, 0) for i in range(1, 6)]
+    assert [tuple(r) for r in catalog.QUERIES["rerank_movement"](spark, str(tmp_path)).collect()] == [(0, 5)]
+
+
 def test_graph_walk(spark):
     m = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "b"), (3, "c")], "chunk_id int, entity string")
     e = graph.edges(m)
