@@ -2,7 +2,8 @@
 
 A document's set: distinct shingles of five words (see shingles.py). Documents link when
 100 * intersection >= 75 * union. The result has one row per document with its component, so copies
-are never expanded into pairs:
+are never expanded into pairs. Only components are computed: links inside a component that is known already
+are not verified, and a document's number of links is not given:
 
 1. Documents with the same set become one row, its smallest doc_id.
 2. A global order of tokens puts those last that some batch saw in several documents, by frequency. Of
