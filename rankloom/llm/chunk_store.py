@@ -3,14 +3,14 @@
 Each text is encoded whole, an end id is appended, and a rolling hash over the ids cuts the stream
 of a document into chunks. The store has three tables:
 
-* ``recipes``: one row per document in ascending doc_id order: its chunks' addresses and lengths, its
-  Merkle root, its place in its part and the part;
+* ``recipes``: one row per document in ascending doc_id order: its chunks' addresses and lengths (one after
+  another), its Merkle root, its place in its part and the part;
 * ``chunks``: each distinct chunk once, under the hash of its bytes (ids as little-endian 16-bit);
-* ``manifest``: one Merkle root per part over the roots of its documents.
+* ``manifest``: per part the Merkle root over the roots of its documents, their number and their ids'.
 
 Defined results: a null text counts as empty and gives the end id alone; repeated rows give one recipe
 each and share chunks; a null doc_id sorts first and is kept; an empty table gives an empty store;
-further columns are ignored. Reading fails if an address, a root or a length does not fit.
+further columns are ignored. Reading fails if an address, a root, a length, a start or a count does not fit.
 """
 
 from __future__ import annotations
@@ -22,15 +22,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import column, drop_saved, pieces, release, saved, texts
+from .common import column, pieces, release, saved, texts
 from .encoding import encoder, ended, tokenizer_path
 
 WINDOW, LEAST, MEAN_BITS, MOST = 8, 64, 8, 2048
-RECIPE = "doc_id long, n_tokens int, addresses array<binary>, lengths array<int>, root binary"
+ADDRESS = 16
+#: Rows of the encoder: a document's recipe (row: its number), or a chunk (row null).
+ENCODED = "row long, doc_id long, n_tokens int, root binary, address binary, data binary"
 
 
 class Store(NamedTuple):
@@ -68,55 +69,74 @@ def cuts(ids: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
 
 
 def address(chunk: bytes) -> bytes:
-    return hashlib.blake2b(chunk, digest_size=16).digest()
+    return hashlib.blake2b(chunk, digest_size=ADDRESS).digest()
 
 
-def merkle(leaves: list[bytes]) -> bytes:
-    """Root of the binary hash tree; an odd node at a level moves up as it is."""
-    level = leaves or [b""]
-    while len(level) > 1:
-        up = [address(b"\x01" + a + b) for a, b in zip(level[::2], level[1::2], strict=False)]
-        level = up + level[len(up) * 2 :]
-    return address(b"\x02" + level[0])
+class Merkle:
+    """Root of the binary hash tree over leaves as they come, holding one node a level; an odd node at a level moves up as it is."""
+
+    def __init__(self):
+        self.nodes: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        level = 0
+        while self.nodes and self.nodes[-1][0] == level:
+            leaf, level = address(b"\x01" + self.nodes.pop()[1] + leaf), level + 1
+        self.nodes.append((level, leaf))
+
+    def root(self) -> bytes:
+        out = self.nodes[-1][1] if self.nodes else b""
+        for _, left in reversed(self.nodes[:-1]):
+            out = address(b"\x01" + left + out)
+        return address(b"\x02" + out)
+
+
+def merkle(addresses: bytes) -> bytes:
+    """Root over the addresses that stand one after another."""
+    tree = Merkle()
+    for i in range(0, len(addresses), ADDRESS):
+        tree.add(addresses[i : i + ADDRESS])
+    return tree.root()
 
 
 def _encoded(path: str, end: int):
     """Recipes, and in further rows the chunks not met lately in the task: each text is encoded once."""
 
     def run(batches):
-        enc, seen = encoder(path), set()
-        for batch in pieces(batches):
+        enc, seen, number = encoder(path), set(), TaskContext.get().partitionId() << 40 if TaskContext.get() else 0
+        for batch in pieces(batches, limit=4 << 20):
             ids, offsets = ended(*enc(texts(batch)), end)
-            ids = ids.astype("<u2", copy=False)
-            rows, found, new = cuts(ids, offsets), [], {}
-            if len(seen) > 200_000:
+            data = ids.astype("<u2", copy=False).tobytes()
+            if len(seen) > 100_000:
                 seen.clear()
-            for r in rows:
-                found.append([])
+            found, lengths, new = [], [], {}
+            for r in cuts(ids, offsets):
+                keys = []
                 for a, b in zip(r[:-1], r[1:], strict=True):
-                    data = ids[a:b].tobytes()
-                    k = address(data)
-                    found[-1].append(k)
+                    part = data[2 * a : 2 * b]
+                    keys.append(k := address(part))
                     if k not in seen:
                         seen.add(k)
-                        new[k] = data
-            m = len(new)
+                        new[k] = part
+                found.append(b"".join(keys))
+                lengths.append(np.diff(r).astype("<u2").tobytes())
+            n, m = len(found), len(new)
             columns = [
-                pa.array([*column(batch, "doc_id").to_pylist(), *[None] * m], pa.int64()),
-                pa.array([*np.diff(offsets).tolist(), *[None] * m], pa.int32()),
-                pa.array([*found, *[None] * m], pa.list_(pa.binary())),
-                pa.array([*[np.diff(r) for r in rows], *[None] * m], pa.list_(pa.int32())),
-                pa.array([*[merkle(x) for x in found], *[None] * m], pa.binary()),
-                pa.array([*[None] * len(rows), *new], pa.binary()),
-                pa.array([*[None] * len(rows), *new.values()], pa.binary()),
+                pa.concat_arrays([pa.array(np.arange(number, number + n)), pa.nulls(m, pa.int64())]),
+                pa.concat_arrays([column(batch, "doc_id"), pa.nulls(m, pa.int64())]),
+                pa.concat_arrays([pa.array(np.diff(offsets), pa.int32()), pa.nulls(m, pa.int32())]),
+                pa.array([*map(merkle, found), *[None] * m], pa.binary()),
+                pa.array([*found, *new], pa.binary()),
+                pa.array([*lengths, *new.values()], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "addresses", "lengths", "root", "address", "ids"])
+            number += n
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ENCODED.split(", ")])
 
     return run
 
 
 def _placed(batches):
-    """Adds the part and the ids before each document in it, and hashes the part's roots as they pass."""
+    """Adds the part and the ids before each document in it."""
     part, before = TaskContext.get().partitionId(), 0
     for batch in batches:
         n = column(batch, "n_tokens").to_numpy().astype(np.int64)
@@ -126,40 +146,46 @@ def _placed(batches):
 
 
 def _manifest(batches):
-    """A hash chain over the roots of each part, in its order: one row per part, in constant memory."""
-    part, chain, n, total, out = None, b"", 0, 0, []
+    """The Merkle tree over the roots of each part, in its order: one row per part; in_place: whether each start follows from the lengths before it."""
+    part, tree, n, total, fine, out = None, Merkle(), 0, 0, True, []
     for batch in batches:
-        for at, root, size in zip(*(column(batch, c).to_pylist() for c in ("part", "root", "n_tokens")), strict=True):
+        for at, root, size, start in zip(*(column(batch, c).to_pylist() for c in ("part", "root", "n_tokens", "start_in_part")), strict=True):
             if at != part:
-                out += [(part, n, total, chain)] if n else []
-                part, chain, n, total = at, b"", 0, 0
-            chain, n, total = address(b"\x03" + chain + root), n + 1, total + size
-    if out := out + ([(part, n, total, chain)] if n else []):
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "n_docs", "n_tokens", "root"])
+                out += [(part, n, total, tree.root(), fine)] if n else []
+                part, tree, n, total, fine = at, Merkle(), 0, 0, True
+            tree.add(root)
+            fine &= start == total
+            n, total = n + 1, total + size
+    if out := out + ([(part, n, total, tree.root(), fine)] if n else []):
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["part", "n_docs", "n_tokens", "root", "in_place"])
+
+
+def manifest_of(recipes: DataFrame) -> DataFrame:
+    """One row per part: part, n_docs, n_tokens, root, in_place. A few dozen bytes of each recipe are shuffled."""
+    n = int(recipes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_part = recipes.select("part", "start_in_part", "root", "n_tokens").repartition(n, "part").sortWithinPartitions("part", "start_in_part")
+    return by_part.mapInArrow(_manifest, "part int, n_docs long, n_tokens long, root binary, in_place boolean")
 
 
 def write_store(documents: DataFrame, path: str | None = None, end: int = 2) -> Store:
     """Encodes (doc_id, text) and writes the three tables under the shared folder.
 
-    Texts are encoded once, into a table of recipes and of chunks that are already distinct within
-    each task; it is deleted at the end. Chunk bytes cross the network once; everything else that is
-    shuffled is a few dozen bytes for each chunk.
+    Texts are encoded once. Chunks, already distinct within each task, and recipes cross the network
+    once, into one table, where equal chunks meet; everything else that is shuffled is a recipe or less.
     """
     path = path or tokenizer_path()
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    encoded = saved(docs.mapInArrow(_encoded(path, end), RECIPE + ", address binary, ids binary"), "encoded")
-    light = encoded.filter("root is not null").select("doc_id", "n_tokens", "addresses", "lengths", "root")
+    # rows of equal address and bytes become one; two chunks under one address would both stay and be seen when read
+    both = saved(docs.mapInArrow(_encoded(path, end), ENCODED).distinct(), "encoded")
     spark = documents.sparkSession
+    release(spark)
+    light = both.filter("row is not null").select("doc_id", "n_tokens", "root", F.col("address").alias("addresses"), F.col("data").alias("lengths"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = light.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "root")
-    recipes = saved(ordered.mapInArrow(_placed, RECIPE + ", part int, start_in_part long"), "recipes")
-    by_part = recipes.select("part", "start_in_part", "root", "n_tokens").repartition(n, "part").sortWithinPartitions("part", "start_in_part")
-    manifest = saved(by_part.mapInArrow(_manifest, "part int, n_docs long, n_tokens long, root binary"), "manifest")
-    # grouping by address and bytes keeps one of each, and would show two chunks under one address
-    chunks = saved(encoded.filter("address is not null").groupBy("address", "ids").agg(F.lit(1).alias("one")).drop("one"), "chunks")
-    drop_saved(encoded)
-    release(spark)
+    recipes = saved(ordered.mapInArrow(_placed, "doc_id long, n_tokens int, root binary, addresses binary, lengths binary, part int, start_in_part long"), "recipes")
+    manifest = saved(manifest_of(recipes), "manifest")
+    chunks = both.filter("row is null").select("address", F.col("data").alias("ids"))
     return Store(recipes, chunks, manifest)
 
 
@@ -213,26 +239,33 @@ def _advanced(batches):
 def _wanted(batches):
     """Holds each recipe against its root, and gives its chunks, each with the number of ids after it in its document."""
     for batch in batches:
-        addresses = column(batch, "addresses")
-        if not all(merkle(a) == r for a, r in zip(addresses.to_pylist(), column(batch, "root").to_pylist(), strict=True)):
+        addresses, lengths = column(batch, "addresses").to_pylist(), column(batch, "lengths").to_pylist()
+        if not all(merkle(a) == r for a, r in zip(addresses, column(batch, "root").to_pylist(), strict=True)):
             raise ValueError("a recipe does not match its Merkle root")
-        n = pc.list_value_length(addresses).to_numpy()
-        row, length = pa.array(np.repeat(np.arange(len(n)), n)), column(batch, "lengths").flatten()
-        done = np.cumsum(length.to_numpy(), dtype=np.int64)
+        n = np.fromiter(map(len, addresses), np.int64, len(addresses)) // ADDRESS
+        row, length = pa.array(np.repeat(np.arange(len(n)), n)), np.frombuffer(b"".join(lengths), "<u2").astype(np.int32)
+        if len(length) != len(row):
+            raise ValueError("a recipe has another number of lengths than of chunks")
+        done = np.cumsum(length, dtype=np.int64)
         after = np.repeat(done[np.cumsum(n) - 1], n) - done
-        yield pa.RecordBatch.from_arrays([column(batch, "part").take(row), column(batch, "start_in_part").take(row), addresses.flatten(), length, pa.array(after)], ["part", "start_in_part", "address", "length", "after"])
+        flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(ADDRESS), len(row), [None, pa.py_buffer(b"".join(addresses))]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([column(batch, "part").take(row), column(batch, "start_in_part").take(row), flat, pa.array(length), pa.array(after)], ["part", "start_in_part", "address", "length", "after"])
 
 
 def read_store(store: Store) -> DataFrame:
     """Reads the files back: doc_id, start, n_tokens, ids_crc32, n_chunks, root.
 
-    Each stored chunk is read once, checked against its address and reduced to its crc32; a document's
-    crc32 is put together from those of its chunks, so no bytes are shuffled. A part's start is the sum
-    over the parts before it: one row per part, whose number is the number of shuffle partitions.
+    Each part's manifest is made again from the recipes and must be the stored one. Each stored chunk is
+    read once, checked against its address and reduced to its crc32; a document's crc32 is put together
+    from those of its chunks, so no bytes are shuffled. A part's start is the sum over the parts before it:
+    one row per part, whose number is the number of shuffle partitions.
     """
     spark = store.recipes.sparkSession
     before, at = [], 0
-    for r in store.manifest.orderBy("part").collect():
+    stored = store.manifest.orderBy("part").collect()
+    if stored != manifest_of(store.recipes).orderBy("part").collect() or not all(r["in_place"] for r in stored):
+        raise ValueError("the recipes do not match the manifest")
+    for r in stored:
         before.append((r["part"], at))
         at += r["n_tokens"]
     parts = spark.createDataFrame(before, "part int, before long")
@@ -241,7 +274,7 @@ def read_store(store: Store) -> DataFrame:
     have = store.chunks.mapInArrow(_checked, "address binary, crc long, n int")
     joined = wanted.join(have, "address").select(*key, "n", "after", "crc", (F.col("n") == F.col("length")).alias("fits"))
     whole = joined.mapInArrow(_advanced, "part int, start_in_part long, n int, fits boolean, crc long").groupBy(*key).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_chunks"), F.bit_xor("crc").alias("ids_crc32"), F.bool_and("fits").alias("fits"))
-    docs = store.recipes.select(*key, "doc_id", "n_tokens", "root", F.size("addresses").alias("expected"))
+    docs = store.recipes.select(*key, "doc_id", "n_tokens", "root", (F.octet_length("addresses") / ADDRESS).cast("int").alias("expected"))
     out = docs.join(whole, key, "left").join(F.broadcast(parts), "part", "left")
     ok = (F.col("n") == F.col("n_tokens")) & F.col("fits") & (F.col("n_chunks") == F.col("expected"))
     whole_or_fail = F.when(ok, F.col("ids_crc32")).otherwise(F.raise_error(F.lit("a document cannot be put together from its chunks")).cast("long"))
@@ -250,7 +283,8 @@ def read_store(store: Store) -> DataFrame:
 
 def documents_of(store: Store) -> DataFrame:
     """Whole id streams again: doc_id, ids (array of int), for readers that want the tokens themselves."""
-    at = store.recipes.select("doc_id", F.struct("part", "start_in_part").alias("doc_key"), F.posexplode("addresses").alias("i", "address"))
+    each = F.transform(F.sequence(F.lit(1), F.octet_length("addresses"), F.lit(ADDRESS)), lambda i: F.substring(F.col("addresses"), i, F.lit(ADDRESS)))
+    at = store.recipes.select("doc_id", F.struct("part", "start_in_part").alias("doc_key"), F.posexplode(each).alias("i", "address"))
     rows = at.join(store.chunks, "address").groupBy("doc_key", "doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("c"))
 
     def run(batches):

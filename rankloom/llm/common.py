@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -40,7 +41,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df under the shared folder and returns a reader: lineage ends there, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/rankloom-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if path not in _made:
         _made[path] = atexit.register(_forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
@@ -59,6 +60,27 @@ def drop_saved(df: DataFrame) -> None:
             _forget(df.sparkSession, path)
 
 
+_at_work: list = [None, []]
+
+
+def alone(what: str) -> None:
+    """Called as a task's Python part begins: if this worker's last task did other work, what that kept is dropped and its memory given back."""
+    if _at_work[0] != what:
+        for drop in _at_work[1]:
+            drop()
+        _at_work[:] = [what, []]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim:
+            trim(0)
+
+
+def on_leaving(drop) -> None:
+    """What drops the things that the worker keeps from task to task, for when other work begins."""
+    _at_work[1].append(drop)
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Session settings that hold while the block runs."""
