@@ -7,8 +7,8 @@ shuffled, however many copies there are. Rows find their group again by light ke
 SHA-256), in a join that adaptive execution can split.
 
 Defined results: the row with the largest doc_id stays (a null doc_id loses against any other; repeated
-rows of the same doc_id count in group_size, and one of them at least stays); an empty table gives an
-empty result; further columns are ignored by classes() and kept by deduplicated().
+rows of the same doc_id count in group_size; classes() marks each of them as kept, deduplicated() keeps one);
+an empty table gives an empty result; further columns are ignored by classes() and kept by deduplicated().
 """
 
 from __future__ import annotations
@@ -46,6 +46,13 @@ def classes(documents: DataFrame, hash_of=content_hash) -> DataFrame:
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; of rows with the same doc_id and text all are kept."""
-    kept = classes(documents).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of each group of equal texts, with all its columns: of the rows with the largest doc_id any one (null is less than any).
+
+    Rows find what stays by hash, length, SHA-256 and doc_id, so copies of one text spread over the tasks; of rows
+    that agree in all four one is taken where they have met.
+    """
+    norm, key = normalised(F.col("text")), ["_h", "_n", "_sha", "_id"]
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    rows = documents.withColumns({"_h": content_hash(norm), "_n": F.octet_length(norm), "_sha": F.sha2(norm.cast("binary"), 256), "_id": ident})
+    kept = groups(documents).select(F.col("h").alias("_h"), F.col("n_bytes").alias("_n"), F.col("text_sha256").alias("_sha"), F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("_id"))
+    return rows.join(kept, key, "left_semi").dropDuplicates(key).select(*documents.columns)

@@ -326,6 +326,17 @@ def _across(posts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """One document of each component stays, the one whose doc_id is the component's; columns stay as they are."""
-    kept = linked(documents).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of each component stays, the one with its smallest doc_id (null is larger than any); columns stay as they are.
+
+    Where a doc_id is null or stands in several rows, rows are numbered in a saved copy and joined by these numbers,
+    so that each is judged by its own text.
+    """
+    ids = documents.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids"), F.count_distinct("doc_id").alias("distinct")).first()
+    if ids["n"] == ids["distinct"]:
+        kept = linked(documents).filter("doc_id = component_id").select("doc_id")
+        return documents.join(kept, "doc_id", "left_semi").select(*documents.columns)
+    numbered = saved(documents.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = linked(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    kept = numbered.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(first.alias("_row")).select("_row")
+    return numbered.join(kept, "_row", "left_semi").select(*documents.columns)

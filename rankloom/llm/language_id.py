@@ -2,7 +2,8 @@
 
 Counts of hashed 1- to 3-grams of lower-cased characters (a space at word boundaries) are summed per language over
 all labelled training documents; the log-probability matrix (languages x BUCKETS, its size checked) is
-broadcast, and batches are scored sparsely in numpy: each n-gram gathers its row of the matrix.
+broadcast, and batches are scored sparsely in numpy: each n-gram gathers its row of the matrix, on top of the
+language's prior (its share of the training documents).
 
 Defined results: text null or without a letter gives ``und`` with score 0; no labelled training text
 gives ``und`` for all; ties go to the language that sorts first; repeated rows are scored each; an
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import column, pieces, texts
+from .common import alone, column, pieces, texts
 
 BUCKETS, ORDERS, SMOOTHING, MOST_LANGUAGES = 1 << 16, (1, 2, 3), 0.1, 256
 
@@ -45,9 +46,10 @@ def grams(batch: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 
 
 def _counted(batches):
+    alone("language")
     total: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
-    for batch in pieces(batches, limit=4 << 20):
+    for batch in pieces(batches, limit=1 << 20):
         lang = column(batch, "lang").to_pylist()
         names = sorted(set(lang))
         code = np.array([names.index(x) for x in lang])
@@ -69,8 +71,8 @@ def counts(documents: DataFrame, training: Column) -> DataFrame:
     return rows.select("text", "lang").mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fitted(table: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages, and the matrix of log probabilities (BUCKETS rows, float32). At most MOST_LANGUAGES x BUCKETS counts reach the driver."""
+def fitted(table: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, the matrix of log probabilities (BUCKETS rows, float32) and the log priors. At most MOST_LANGUAGES x BUCKETS counts reach the driver."""
     got = table.toArrow()
     name = got["lang"].to_pylist()
     langs = sorted(set(name))
@@ -81,36 +83,54 @@ def fitted(table: DataFrame) -> tuple[list[str], np.ndarray]:
     code, bucket, c = np.array([place[x] for x in name], int), got["bucket"].to_numpy(), got["n"].to_numpy()
     real = bucket >= 0
     n[code[real], bucket[real]] = c[real]
-    return langs, np.log((n + SMOOTHING) / (n.sum(1, keepdims=True) + SMOOTHING * BUCKETS)).T.astype(np.float32).copy()
+    docs = np.zeros(len(langs))
+    docs[code[~real]] = c[~real]
+    return langs, np.log((n + SMOOTHING) / (n.sum(1, keepdims=True) + SMOOTHING * BUCKETS)).T.astype(np.float32).copy(), np.log((docs + 1) / (docs.sum() + len(langs)))
+
+
+def classified(text: pa.Array, langs: list[str], matrix: np.ndarray, prior: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The language of each text and its posterior."""
+    bucket, row, low = grams(text)
+    n = len(low)
+    letters = [bool(langs) and any(map(str.isalpha, t)) for t in low]
+    if not langs:
+        return ["und"] * n, np.zeros(n)
+    score = np.stack([np.bincount(row, matrix[:, k][bucket], n) + prior[k] for k in range(len(langs))], 1)
+    share = 1 / np.exp(np.clip(score - score.max(1, keepdims=True), -700, 0)).sum(1)
+    pred = [langs[i] if f else "und" for i, f in zip(score.argmax(1).tolist(), letters, strict=True)]
+    return pred, np.where(letters, share, 0.0)
 
 
 def _predict(model):
     def run(batches):
-        langs, matrix = model.value
-        for batch in pieces(batches, limit=4 << 20):
-            bucket, row, low = grams(texts(batch))
-            n = batch.num_rows
-            letters = [any(map(str.isalpha, t)) for t in low]
-            if langs:
-                score = np.stack([np.bincount(row, matrix[:, k][bucket], n) for k in range(len(langs))], 1)
-                best = score.argmax(1)
-                share = 1 / np.exp(np.clip(score - score.max(1, keepdims=True), -700, 0)).sum(1)
-            else:
-                letters, best, share = [False] * n, np.zeros(n, int), np.zeros(n)
-            fine = np.array(letters, bool)
-            pred = [langs[i] if f else "und" for i, f in zip(best.tolist(), letters, strict=True)]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(pred, pa.string()), pa.array(np.where(fine, share, 0.0))], ["doc_id", "lang_pred", "score"])
+        alone("language")
+        for batch in pieces(batches, limit=1 << 20):
+            pred, share = classified(texts(batch), *model.value)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(pred, pa.string()), pa.array(share)], ["doc_id", "lang_pred", "score"])
 
     return run
 
 
+def _known(model, least: float):
+    def run(batches):
+        alone("language")
+        for batch in pieces(batches, limit=1 << 20):
+            pred, share = classified(texts(batch), *model.value)
+            good = np.array([x != "und" for x in pred]) & (share >= least)
+            yield batch.filter(pa.array(good))
+
+    return run
+
+
+def _model(documents: DataFrame, training: Column | None = None):
+    learn = training if training is not None else ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    return documents.sparkSession.sparkContext.broadcast(fitted(counts(documents, learn)))
+
+
 def predicted(documents: DataFrame, training: Column | None = None) -> DataFrame:
     """doc_id, lang_pred, score (posterior of the prediction) for each row; learns from the rows of training, by default those not held out."""
-    learn = training if training is not None else ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))
-    langs, matrix = fitted(counts(documents, learn))
-    model = documents.sparkSession.sparkContext.broadcast((langs, matrix))
     rows = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(_predict(_model(documents, training)), "doc_id long, lang_pred string, score double")
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -119,6 +139,5 @@ def report(documents: DataFrame) -> DataFrame:
 
 
 def identified(documents: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose language is known: those with ``und`` or a score below least go; columns stay as they are."""
-    good = predicted(documents).filter((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(F.col("doc_id").alias("_known_id"))
-    return documents.join(good, F.col("doc_id").eqNullSafe(F.col("_known_id")), "left_semi")
+    """The documents whose language is known: those with ``und`` or a score below least go. Each row is judged by its own text, in one pass; columns stay as they are."""
+    return documents.mapInArrow(_known(_model(documents), least), documents.schema)

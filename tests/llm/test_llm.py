@@ -242,12 +242,40 @@ def test_decontamination_of_long_items(spark):
 
 def test_hamming_index_is_complete():
     r = np.random.default_rng(3)
-    prints = [int(x) for x in r.integers(0, 1 << 63, 300)]
-    index = decontamination.HammingIndex(prints)
-    for q in prints[:40]:
-        for b in r.integers(0, 64, 20):
-            q ^= 1 << int(b)
-        assert index.near(q, set(range(300))) == {i for i, p in enumerate(prints) if (p ^ q).bit_count() <= decontamination.RADIUS}
+    prints = r.integers(0, 1 << 63, (300, 2)).astype("<u8")
+    index, asked = decontamination.HammingIndex(prints), prints[:40].copy()
+    for q in asked:
+        for b in r.choice(128, 36, replace=False):
+            q[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    want = {(q, i) for q in range(40) for i in range(300) if decontamination.distances(asked[q], prints[i]) <= decontamination.RADIUS}
+    assert set(zip(*(x.tolist() for x in index.near(asked)), strict=True)) == want and len(want) >= 40
+    share = len(index.candidates(r.integers(0, 1 << 63, (200, 2)).astype("<u8"))[0]) / (200 * 300)
+    assert share < 0.35  # the blocks alone leave out two thirds of unrelated pairs
+
+
+def test_decontamination_of_short_and_repeated_items(spark):
+    items = [(1, "one two three"), (2, "alpha " * 9), (3, prose(12)), (4, prose(12)), (5, ITEM), (6, ITEM)]
+    docs = [(1, "zero ONE two three four"), (2, "alpha " * 8), (3, "alpha " * 30), (4, items[2][1] + " more"), (5, " ".join(items[3][1].split()[:11])), (6, ITEM), (6, ITEM), (7, "one two"), (8, "one two\nthree"), (None, "x " + items[2][1]), (None, "clean words")]
+    bag = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+    want = Counter()
+    for d, t in docs:
+        t = t.lower().split()
+        for i, x in items:
+            x = x.lower().split()
+            best = (0, 0)
+            for a in range(max(1, len(t) - len(x) + 1)):
+                p, q = bag(t[a : a + len(x)]), bag(x)
+                low = sum((p & q).values())
+                s = low / (sum(p.values()) + sum(q.values()) - low) if len(t) >= min(5, len(x)) else 0
+                if s > best[0]:
+                    best = (s, a)
+            if best[0] >= 0.75:
+                want[d, i, best[1], round(best[0], 6)] += 1
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert Counter((r.doc_id, r.item_id, r.first_word, round(r.similarity, 6)) for r in decontamination.matches(frame, bench).collect()) == want
+    bad = {d for d, *_ in want}
+    assert sorted((r.doc_id or 0, r.text) for r in decontamination.decontaminated(frame, bench).collect()) == sorted((d or 0, t) for d, t in docs if d not in bad - {None} and not t.startswith("x "))
 
 
 def test_licenses(docs, empty):
