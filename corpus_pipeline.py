@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, exact dedup, n-gram Jaccard join, benchmark decontamination, packing.
 
 Each stage works on all that its predecessor kept and returns the columns of documents, but for the last,
-which returns the packed pieces. A row whose doc_id is null is kept or dropped by its text alone.
+which returns the packed pieces. Each row is kept or dropped by its own text, also where doc_ids are null or repeated;
+of equal or near texts one row stays.
 """
 
 from __future__ import annotations
