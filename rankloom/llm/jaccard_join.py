@@ -6,19 +6,25 @@ are never expanded into pairs. Only components are computed: links inside a comp
 are not verified, and a document's number of links is not given:
 
 1. Documents with the same set become one row, its smallest doc_id.
-2. A global order of tokens puts those last that some batch saw in several documents, by frequency. Of
+2. A global order of tokens puts those last that some batch or task saw in several documents, by frequency. Of
    its n tokens a set must share one of the first n - ceil(0.75 n) + 1 with any partner, and with one
    of its size or more one of the first n - ceil(6/7 n) + 1. So a prefix token counts only if it stands in another
    document of fitting size, early enough in the smaller of the two; documents without such a token
    have no link and are done.
-3. The others form groups: those that share a min-hash are compared with one leader each, a linear
-   number of exact comparisons; verified links join groups (components) over several rounds.
-4. All remaining documents are partitioned into groups of about MEMBERS similar ones: parts of a
+3. Each of the others gets a parity bitmap of n to 2 n bits: a token flips one bit. Bits that differ between two
+   bitmaps (folded to the same size) are no more than the tokens in one set only, so they bound the
+   intersection from above; only pairs that pass travel with their whole sets to be compared exactly.
+4. Documents that share a min-hash are compared with one leader each, a linear number of comparisons;
+   verified links join groups (components) over several rounds.
+5. All remaining documents are partitioned into groups of about MEMBERS similar ones: parts of a
    component, or documents under the same most frequent prefix token. The matrix says which prefix tokens
    stand in which group; two groups are compared if they have one in common, their sizes fit, and not
-   all their members are in one component already. A group is stored with its token union and, per
-   token, which members hold it. A query of the other group is bounded by its overlap with the union; only
-   if that reaches ceil(0.75 n) is the group opened, and the members' exact overlaps are summed up.
+   all their members are in one component already. A group is stored with the union of its prefix tokens
+   and, per token, which members hold it. Of a query's n tokens n - ceil(0.75 n) + 1 are in its prefix, so its overlap
+   with any member is at most ceil(0.75 n) - 1 plus the prefix tokens that stand in the union; only if that reaches
+   ceil(0.75 n) is the group opened, and the members that hold such a token are held against the query's bitmap. Of
+   the pairs that pass the best one for each two components is compared exactly first; then those
+   that still lie between components.
 
 Nothing is capped: the bound on the frequent tokens' table only decides the order, and any order is exact.
 
@@ -35,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import column, drop_saved, pieces, release, saved, settings, texts
+from .common import alone, column, drop_saved, pieces, release, saved, settings, texts
 from .components import components
 from .shingles import overlap, sets_of
 
@@ -46,10 +52,12 @@ FREQUENT, REPORTED = 1 << 20, 2
 PERMUTATIONS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BATCH, PART = 8 << 20, 4 << 20
 MEMBERS = 48
-#: Tokens of a group, about, and queries of a part.
+#: Tokens of a group, about, and groups that query a part.
 TOKENS, QUERIES = 1 << 17, 64
-#: Groups are compared in so many rounds, one after another, so that only one round's groups are under way at a time.
-ROUNDS = 4
+#: Counters (a power of two) by which a task sees tokens of SEEN documents that no single batch shows twice.
+COUNTERS, SEEN = 1 << 23, 4
+#: Into how many parts a hot min-hash is dealt.
+SALT = 16
 #: Arrow batches by bytes, as rows may be whole sets.
 BOUNDED = {"spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
@@ -82,13 +90,18 @@ def _signature(s: np.ndarray) -> bytes:
 
 
 def _sketched(batches):
+    alone("jaccard")
+    met = np.zeros(COUNTERS, np.uint8)
     for batch in pieces(batches, limit=BATCH):
         docs, sets = column(batch, "doc_id").to_pylist(), sets_of(texts(batch))
         sig = [_signature(s) for s in sets]
         mins = [[int((s * np.uint64(p)).min().astype(np.int64)) for p in PERMUTATIONS] if len(s) else None for s in sets]
         distinct = list({g: s for g, s in zip(sig, sets, strict=True)}.values())
         token, n = np.unique(np.concatenate(distinct), return_counts=True) if distinct else (np.empty(0, np.uint64), np.empty(0, int))
-        token, n = token[n >= REPORTED], n[n >= REPORTED]
+        place = (token >> np.uint64(20)) % np.uint64(COUNTERS)
+        met[place] = np.minimum(met[place] + n, 255)
+        often = (n >= REPORTED) | (met[place] >= SEEN)
+        token, n = token[often], n[often]
         k = len(docs)
         yield pa.RecordBatch.from_arrays(
             [
@@ -108,6 +121,7 @@ SKETCH = "doc_id long, n long, sig binary, mins array<long>, token long, seen lo
 
 def _prefixes(frequent):
     def run(batches):
+        alone("jaccard")
         token, rank = frequent.value
         for batch in pieces(batches, limit=PART):
             done, out, doc, often, early, size = set(), [], [], [], [], []
@@ -138,11 +152,48 @@ def _prefixes(frequent):
     return run
 
 
+def parities(tokens: np.ndarray) -> bytes:
+    """A bit for each value of the tokens' low bits, set if an odd number of tokens has it; as many bits as tokens or up to twice as many."""
+    size = max(64, 1 << max(0, len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The bitmap of fewer low bits: words of 64 bits, halves one over the other."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def apart(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of the tokens that stand in one set only."""
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum())
+
+
+def possible(apart_, n_a, n_b):
+    """Whether sets of these sizes can link: both <= (n_a + n_b - apart) / 2 and 100 both >= 75 (n_a + n_b - both)."""
+    return (100 + PERCENT) * (n_a + n_b - apart_) >= 2 * PERCENT * (n_a + n_b)
+
+
 def _sets(batches):
+    alone("jaccard")
     for batch in pieces(batches, limit=PART):
-        rows = [(d, len(s), s.tobytes()) for d, w, s in zip(column(batch, "doc_id").to_pylist(), column(batch, "wanted").to_pylist(), sets_of(texts(batch)), strict=True) if _signature(s) == bytes(w)]
+        rows = [(d, len(s), parities(s), s.tobytes()) for d, w, s in zip(column(batch, "doc_id").to_pylist(), column(batch, "wanted").to_pylist(), sets_of(texts(batch)), strict=True) if _signature(s) == bytes(w)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "n", "bits", "tokens"])
+
+
+def _bounded(batches):
+    """Of pairs with their bitmaps those that may link."""
+    for batch in batches:
+        fine = []
+        for x, y, n, m in zip(column(batch, "bits_a"), column(batch, "bits_b"), column(batch, "n_a").to_pylist(), column(batch, "n_b").to_pylist(), strict=True):
+            fine.append(possible(apart(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")), n, m))
+        keep = pa.array(np.flatnonzero(fine), pa.int64())
+        yield pa.RecordBatch.from_arrays([column(batch, "a").take(keep), column(batch, "b").take(keep)], ["a", "b"])
 
 
 def _links(batches):
@@ -159,59 +210,80 @@ def _links(batches):
 
 
 class Group:
-    """Documents (id, component, tokens) as a matrix: the sorted token union, and per token its members."""
-
-    def __init__(self, docs: list[tuple[int, int, np.ndarray]]):
-        self.ids, self.component = [d[0] for d in docs], np.array([d[1] for d in docs])
-        self.n = np.array([len(d[2]) for d in docs])
-        self.union, place = np.unique(np.concatenate([d[2] for d in docs]), return_inverse=True)
-        self.holds = np.zeros((len(self.union), len(docs)), np.uint8)
-        self.holds[place, np.repeat(np.arange(len(docs)), self.n)] = 1
-
-    def links(self, component: int, tokens: np.ndarray) -> np.ndarray:
-        """Numbers of the members of other components that link with a query."""
-        at = np.searchsorted(self.union, tokens)
+    """Documents (id, component, n, bitmap, prefix tokens) as a matrix: the sorted union of their prefix tokens, and per token its members."""
+
+    def __init__(self, docs: list[tuple[int, int, int, np.ndarray, np.ndarray]]):
+        self.ids, self.component, self.n = (np.array([d[k] for d in docs], np.int64) for k in range(3))
+        self.union, place = np.unique(np.concatenate([d[4] for d in docs]), return_inverse=True)
+        self.holds = np.zeros((len(self.union), len(docs)), bool)
+        self.holds[place, np.repeat(np.arange(len(docs)), [len(d[4]) for d in docs])] = True
+        self.bits = [d[3] for d in docs]
+        self.as_folded: dict[int, np.ndarray] = {}
+
+    def folds(self, size: int) -> np.ndarray:
+        """All members' bitmaps of so many words; those of fewer stay zero."""
+        if size not in self.as_folded:
+            self.as_folded[size] = np.array([folded(b, size) if len(b) >= size else np.zeros(size, np.uint64) for b in self.bits])
+        return self.as_folded[size]
+
+    def candidates(self, component: int, n: int, bits: np.ndarray, prefix: np.ndarray) -> list[tuple[int, int]]:
+        """(member number, bound of the tokens in one set only) of the members of other components that may link with a query."""
+        at = np.searchsorted(self.union, prefix)
         at[at == len(self.union)] = 0
-        at = at[self.union[at] == tokens]
-        if len(at) < needed(len(tokens)):  # not all of the union would do
-            return np.empty(0, np.int64)
-        both = self.holds[at].sum(0, dtype=np.int64)
-        return np.flatnonzero((100 * both >= PERCENT * (len(tokens) + self.n - both)) & (self.component != component))
+        at = at[self.union[at] == prefix]
+        if not len(at):  # not all of the union would do
+            return []
+        open_ = np.flatnonzero(self.holds[at].any(0) & (self.component != component) & (100 * np.minimum(self.n, n) >= PERCENT * np.maximum(self.n, n)))
+        if not len(open_):
+            return []
+        out = []
+        words = np.array([min(len(self.bits[i]), len(bits)) for i in open_.tolist()])
+        for size in np.unique(words).tolist():
+            some = open_[words == size]
+            least = np.bitwise_count(self.folds(size)[some] ^ folded(bits, size)).sum(1, dtype=np.int64)
+            fine = possible(least, self.n[some], n)
+            out += zip(some[fine].tolist(), least[fine].tolist(), strict=True)
+        return out
+
+
+CANDIDATE = "a long, b long, ca long, cb long, far double"
 
 
 def _compared(batches):
-    """Documents by place (ga, part), those of the stored group before those that query it: the links between components, one for each pair of components of a place."""
-    place, stored, group, seen = None, [], None, set()
+    """Documents by place (ga, part), those of the stored group before those that query it: the pairs of different components that may link; far: their bound against the sizes."""
+    place, stored, group = None, [], None
     for batch in batches:
-        a, b = [], []
-        rows = zip(*(column(batch, c).to_pylist() for c in ("ga", "part", "query", "doc_id", "component")), column(batch, "tokens"), strict=True)
-        for ga, part, asks, doc, component, tokens in rows:
+        out = []
+        rows = zip(*(column(batch, c).to_pylist() for c in ("ga", "part", "query", "doc_id", "component", "n")), column(batch, "bits"), column(batch, "prefix").to_pylist(), strict=True)
+        for ga, part, asks, doc, component, n, bits, prefix in rows:
             if (ga, part) != place:
-                place, stored, group, seen = (ga, part), [], None, set()
-            own = np.frombuffer(tokens.as_buffer(), np.uint64)
+                place, stored, group = (ga, part), [], None
+            bits, prefix = np.frombuffer(bits.as_buffer(), "<u8"), np.array(prefix, np.int64)
             if not asks:
-                stored.append((doc, component, own.copy()))
+                stored.append((doc, component, n, bits.copy(), prefix))
                 continue
             if group is None:
                 group, stored = Group(stored), []
-            for i in group.links(component, own).tolist():
-                pair = (component, int(group.component[i]))
-                if pair not in seen:
-                    seen.add(pair)
-                    a.append(doc)
-                    b.append(group.ids[i])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            out += [(doc, int(group.ids[i]), component, int(group.component[i]), far / (n + int(group.n[i]))) for i, far in group.candidates(component, n, bits, prefix)]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.float64()], strict=True)], [x.split()[0] for x in CANDIDATE.split(", ")])
 
 
 def _fits(a: str, b: str) -> str:
     return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    a = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b"))
+def _verified(pairs: DataFrame, sets: DataFrame, bounded: bool = False) -> DataFrame:
+    """The pairs (a, b) that link. Bitmaps travel first (unless bounded already), whole sets only for the pairs that these leave."""
+
+    def of(side: str, *names: str) -> DataFrame:
+        return sets.select(F.col("doc_id").alias(side), *(F.col(x).alias(f"{x}_{side}") for x in names))
+
+    if not bounded:
+        near = _small(pairs).join(of("a", "n", "bits"), "a").join(of("b", "n", "bits"), "b").filter(_fits("n_a", "n_b"))
+        pairs = saved(near.mapInArrow(_bounded, "a long, b long"), "near")
     ids = pairs.select("b").distinct()
-    return pairs.join(a, "a").join(b.join(_small(ids), "b", "left_semi"), "b").filter(_fits("n_a", "n_b")).select("a", "b", "tokens_a", "tokens_b").mapInArrow(_links, "a long, b long")
+    return _small(pairs).join(of("a", "tokens"), "a").join(of("b", "tokens").join(_small(ids), "b", "left_semi"), "b").mapInArrow(_links, "a long, b long")
 
 
 def _frequent(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -231,8 +303,11 @@ def _stars(keys: DataFrame, labels: DataFrame | None, sets: DataFrame, number: i
     else:
         keys = keys.withColumn("c", F.col("doc_id"))
     leader = keys.groupBy("perm", "key").agg(F.min_by(F.struct(F.col("doc_id"), F.col("c")), F.xxhash64(F.col("doc_id"), F.lit(number))).alias("lead"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("perm", "key", F.col("lead.doc_id").alias("b"), F.col("lead.c").alias("cb"))
-    pairs = saved(keys.join(leader, ["perm", "key"]).filter("c <> cb").select(F.col("doc_id").alias("a"), "b").distinct(), "pairs")
-    return _verified(_small(pairs), sets)
+    # a min-hash that very many documents share is dealt into parts, each with its leader's row
+    leader = leader.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    keys = keys.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
+    pairs = saved(keys.join(leader, ["perm", "key", "salt"]).filter("c <> cb").select(F.col("doc_id").alias("a"), "b").distinct(), "pairs")
+    return _verified(pairs, sets)
 
 
 def linked(documents: DataFrame) -> DataFrame:
@@ -261,10 +336,10 @@ def _linked(documents: DataFrame) -> DataFrame:
     release(spark)
     open_docs = saved(posts.select("doc_id").distinct().join(same.select(F.col("rep").alias("doc_id"), "sig", "mins"), "doc_id"), "open")
     # a doc_id that comes twice with one text gives two like sets, which changes nothing below
-    sets = docs.join(_small(open_docs.select("doc_id", F.col("sig").alias("wanted"))), "doc_id").mapInArrow(_sets, "doc_id long, n long, tokens binary")
+    sets = docs.join(_small(open_docs.select("doc_id", F.col("sig").alias("wanted"))), "doc_id").mapInArrow(_sets, "doc_id long, n long, bits binary, tokens binary")
     sets = saved(sets, "sets")
     release(spark)
-    # 3. groups
+    # 4. stars
     keys = saved(open_docs.select("doc_id", F.posexplode("mins").alias("perm", "key")), "keys")
     labels = None
     for number in range(2):
@@ -273,8 +348,19 @@ def _linked(documents: DataFrame) -> DataFrame:
         labels = components(links, labels)
         release(spark)
     drop_saved(keys)
-    # 4. the token-group matrix
-    links = _across(posts, labels, sets)
+    # 5. the token-group matrix
+    found = _across(posts, labels, sets)
+    release(spark)
+    # the best pair of each two components first: where it links, the others of these two are settled
+    best = found.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.min_by(F.struct("a", "b"), F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
+    best = saved(best.distinct(), "best")
+    labels = components(saved(_verified(best, sets, True), "links"), labels)
+    release(spark)
+    own = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"now_{side}"))
+    rest = found.select("a", "b").distinct().join(best, ["a", "b"], "left_anti").join(own("a"), "a", "left").join(own("b"), "b", "left")
+    rest = saved(rest.filter(F.coalesce("now_a", "a") != F.coalesce("now_b", "b")).select("a", "b"), "rest")
+    links = saved(_verified(rest, sets, True), "links")
+    drop_saved(sets)
     labels = components(links, labels).withColumnRenamed("node", "rep")
     classes = same.select("sig", "rep").join(labels, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
@@ -282,7 +368,7 @@ def _linked(documents: DataFrame) -> DataFrame:
 
 
 def _across(posts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between documents of different components, saved. Deletes the tables of prefix tokens and sets, which nothing needs after it."""
+    """Pairs of documents of different components that may link, saved. Deletes the table of prefix tokens, which nothing needs after it."""
     labels = labels.withColumnRenamed("node", "doc_id")
     frequency = posts.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
     common = posts.join(frequency, "token").groupBy("doc_id").agg(F.max(F.struct("f", "token")).alias("t"))
@@ -304,25 +390,19 @@ def _across(posts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     sizes = pairs.join(size.select(F.col("g").alias("x"), F.col("tokens").alias("tx")), "x").join(size.select(F.col("g").alias("y"), F.col("tokens").alias("ty")), "y")
     # the smaller group travels to the larger
     pairs = saved(sizes.select(F.when(F.expr("tx >= ty"), F.col("x")).otherwise(F.col("y")).alias("ga"), F.when(F.expr("tx >= ty"), F.col("y")).otherwise(F.col("x")).alias("gb")), "pairs")
-    for done in (posts, cells):
-        drop_saved(done)
     # a group with many queries is stored once more for each further part of them
     several = pairs.groupBy("ga").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("parts"))
     pairs = saved(pairs.join(several, "ga").select("ga", "gb", F.pmod(F.xxhash64("gb"), F.col("parts")).alias("part")), "parted")
-    links, spark = None, sets.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for number in range(ROUNDS):
-        now = pairs.filter(F.pmod(F.xxhash64("ga"), F.lit(ROUNDS)) == number)
-        stored = now.select(F.col("ga").alias("g"), "ga", "part", F.lit(0).alias("query")).distinct()
-        asking = now.select(F.col("gb").alias("g"), "ga", "part", F.lit(1).alias("query"))
-        places = saved(member.join(stored.unionByName(asking), "g").select("doc_id", "component", "ga", "part", "query"), "places")
-        both = sets.select("doc_id", "tokens").join(_small(places), "doc_id").repartition(width, "ga", "part").sortWithinPartitions("ga", "part", "query")
-        found = saved(both.mapInArrow(_compared, "a long, b long"), "links")
-        links = found if links is None else links.unionByName(found)
-        drop_saved(places)
-        release(spark)
-    drop_saved(sets)
-    return links
+    stored = pairs.select(F.col("ga").alias("g"), "ga", "part", F.lit(0).alias("query")).distinct()
+    asking = pairs.select(F.col("gb").alias("g"), "ga", "part", F.lit(1).alias("query"))
+    places = saved(member.join(stored.unionByName(asking), "g").select("doc_id", "component", "n", "ga", "part", "query"), "places")
+    prefix = posts.join(_small(places.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("token").alias("prefix"))
+    width = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = sets.select("doc_id", "bits").join(prefix, "doc_id").join(places, "doc_id").repartition(width, "ga", "part").sortWithinPartitions("ga", "part", "query")
+    found = saved(both.mapInArrow(_compared, CANDIDATE), "candidates")
+    for done in (posts, cells, places):
+        drop_saved(done)
+    return found
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:

@@ -355,6 +355,20 @@ def test_jaccard_join(spark, docs, empty):
     assert jaccard_join.linked(empty).count() == 0
 
 
+def test_parity_bitmaps_bound_what_is_apart():
+    r = np.random.default_rng(2)
+    for n, m, both in ((5, 7, 4), (64, 65, 60), (500, 400, 390), (3000, 900, 900), (1, 1, 0), (1, 1, 1)):
+        pool = np.unique(r.integers(0, 1 << 63, 2 * (n + m)).astype(np.uint64))
+        r.shuffle(pool)
+        a, b = pool[:n], np.concatenate([pool[:both], pool[n : n + m - both]])
+        x, y = (np.frombuffer(jaccard_join.parities(s), "<u8") for s in (a, b))
+        far = jaccard_join.apart(x, y)
+        assert far <= n + m - 2 * both and (n + m - far) % 2 == 0
+        if 100 * both >= 75 * (n + m - both):
+            assert jaccard_join.possible(far, n, m)
+    assert not jaccard_join.possible(jaccard_join.apart(*(np.frombuffer(jaccard_join.parities(r.integers(0, 1 << 63, 400).astype(np.uint64)), "<u8") for _ in range(2))), 400, 400)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
