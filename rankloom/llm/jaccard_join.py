@@ -22,9 +22,10 @@ are not verified, and a document's number of links is not given:
    all their members are in one component already. A group is stored with the union of its prefix tokens
    and, per token, which members hold it. Of a query's n tokens n - ceil(0.75 n) + 1 are in its prefix, so its overlap
    with any member is at most ceil(0.75 n) - 1 plus the prefix tokens that stand in the union; only if that reaches
-   ceil(0.75 n) is the group opened, and the members that hold such a token are held against the query's bitmap. Of
-   the pairs that pass the best one for each two components is compared exactly first; then those
-   that still lie between components.
+   ceil(0.75 n) is the group opened, and the members that hold such a token are held against the query's bitmap. The
+   pairs that pass are not listed: of each meeting of a group and its queries first a spanning forest of the best
+   pairs over the components is compared exactly; then documents that still have a pair between components
+   meet again with their whole sets, and each meeting gives a spanning forest of its links.
 
 Nothing is capped: the bound on the frequent tokens' table only decides the order, and any order is exact.
 
@@ -36,6 +37,7 @@ result; further columns are ignored by linked() and kept by deduplicated().
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +55,7 @@ PERMUTATIONS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BATCH, PART = 8 << 20, 4 << 20
 MEMBERS = 48
 #: Tokens of a group, about, and groups that query a part.
-TOKENS, QUERIES = 1 << 17, 64
+TOKENS, QUERIES = 1 << 17, 8
 #: Counters (a power of two) by which a task sees tokens of SEEN documents that no single batch shows twice.
 COUNTERS, SEEN = 1 << 23, 4
 #: Into how many parts a hot min-hash is dealt.
@@ -209,64 +211,157 @@ def _links(batches):
             yield pa.RecordBatch.from_arrays([column(part, "a").take(keep), column(part, "b").take(keep)], ["a", "b"])
 
 
+class Member(NamedTuple):
+    doc: int
+    component: int
+    n: int
+    bits: np.ndarray
+    prefix: np.ndarray
+    tokens: np.ndarray | None
+
+
 class Group:
-    """Documents (id, component, n, bitmap, prefix tokens) as a matrix: the sorted union of their prefix tokens, and per token its members."""
+    """Documents as a matrix: the sorted union of their prefix tokens, and per token its members."""
 
-    def __init__(self, docs: list[tuple[int, int, int, np.ndarray, np.ndarray]]):
-        self.ids, self.component, self.n = (np.array([d[k] for d in docs], np.int64) for k in range(3))
-        self.union, place = np.unique(np.concatenate([d[4] for d in docs]), return_inverse=True)
+    def __init__(self, docs: list[Member]):
+        self.docs = docs
+        self.component, self.n = (np.array([getattr(d, k) for d in docs], np.int64) for k in ("component", "n"))
+        self.union, place = np.unique(np.concatenate([d.prefix for d in docs]), return_inverse=True)
         self.holds = np.zeros((len(self.union), len(docs)), bool)
-        self.holds[place, np.repeat(np.arange(len(docs)), [len(d[4]) for d in docs])] = True
-        self.bits = [d[3] for d in docs]
+        self.holds[place, np.repeat(np.arange(len(docs)), [len(d.prefix) for d in docs])] = True
         self.as_folded: dict[int, np.ndarray] = {}
 
     def folds(self, size: int) -> np.ndarray:
         """All members' bitmaps of so many words; those of fewer stay zero."""
         if size not in self.as_folded:
-            self.as_folded[size] = np.array([folded(b, size) if len(b) >= size else np.zeros(size, np.uint64) for b in self.bits])
+            self.as_folded[size] = np.array([folded(d.bits, size) if len(d.bits) >= size else np.zeros(size, np.uint64) for d in self.docs])
         return self.as_folded[size]
 
-    def candidates(self, component: int, n: int, bits: np.ndarray, prefix: np.ndarray) -> list[tuple[int, int]]:
-        """(member number, bound of the tokens in one set only) of the members of other components that may link with a query."""
-        at = np.searchsorted(self.union, prefix)
+    def candidates(self, query: Member) -> list[tuple[float, int]]:
+        """(bound of the tokens in one set only by the sizes, member number) of the members of other components that may link with a query."""
+        at = np.searchsorted(self.union, query.prefix)
         at[at == len(self.union)] = 0
-        at = at[self.union[at] == prefix]
+        at = at[self.union[at] == query.prefix]
         if not len(at):  # not all of the union would do
             return []
-        open_ = np.flatnonzero(self.holds[at].any(0) & (self.component != component) & (100 * np.minimum(self.n, n) >= PERCENT * np.maximum(self.n, n)))
-        if not len(open_):
-            return []
+        n = query.n
+        open_ = np.flatnonzero(self.holds[at].any(0) & (self.component != query.component) & (100 * np.minimum(self.n, n) >= PERCENT * np.maximum(self.n, n)))
         out = []
-        words = np.array([min(len(self.bits[i]), len(bits)) for i in open_.tolist()])
+        words = np.array([min(len(self.docs[i].bits), len(query.bits)) for i in open_.tolist()])
         for size in np.unique(words).tolist():
             some = open_[words == size]
-            least = np.bitwise_count(self.folds(size)[some] ^ folded(bits, size)).sum(1, dtype=np.int64)
+            least = np.bitwise_count(self.folds(size)[some] ^ folded(query.bits, size)).sum(1, dtype=np.int64)
             fine = possible(least, self.n[some], n)
-            out += zip(some[fine].tolist(), least[fine].tolist(), strict=True)
+            out += zip((least[fine] / (self.n[some][fine] + n)).tolist(), some[fine].tolist(), strict=True)
         return out
 
 
-CANDIDATE = "a long, b long, ca long, cb long, far double"
+class Meeting:
+    """A stored group and the documents that query it; what it gives is not more than the documents in it."""
 
+    names, kinds = ("a", "b"), (pa.int64(), pa.int64())
 
-def _compared(batches):
-    """Documents by place (ga, part), those of the stored group before those that query it: the pairs of different components that may link; far: their bound against the sizes."""
-    place, stored, group = None, [], None
-    for batch in batches:
-        out = []
-        rows = zip(*(column(batch, c).to_pylist() for c in ("ga", "part", "query", "doc_id", "component", "n")), column(batch, "bits"), column(batch, "prefix").to_pylist(), strict=True)
-        for ga, part, asks, doc, component, n, bits, prefix in rows:
-            if (ga, part) != place:
-                place, stored, group = (ga, part), [], None
-            bits, prefix = np.frombuffer(bits.as_buffer(), "<u8"), np.array(prefix, np.int64)
-            if not asks:
-                stored.append((doc, component, n, bits.copy(), prefix))
-                continue
-            if group is None:
-                group, stored = Group(stored), []
-            out += [(doc, int(group.ids[i]), component, int(group.component[i]), far / (n + int(group.n[i]))) for i, far in group.candidates(component, n, bits, prefix)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.float64()], strict=True)], [x.split()[0] for x in CANDIDATE.split(", ")])
+    def __init__(self, place: tuple[int, int]):
+        self.place, self.stored, self.group, self.up, self.out = place, [], None, {}, []
+
+    def add(self, asks: int, member: Member) -> None:
+        if not asks:
+            self.stored.append(member)
+            return
+        if self.group is None:
+            self.group = Group(self.stored)
+        self.ask(member, self.group.candidates(member))
+
+    def find(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def joined(self, a: int, b: int) -> bool:
+        """Joins two components; False if they were one."""
+        a, b = self.find(a), self.find(b)
+        self.up[a] = b
+        return a != b
+
+
+class Best(Meeting):
+    """A spanning forest of the pairs that may link, the best first."""
+
+    def __init__(self, place):
+        super().__init__(place)
+        self.pairs: list[tuple[float, int, int, int, int]] = []
+
+    def ask(self, query, found):
+        for far, i in found:
+            d = self.group.docs[i]
+            self.pairs.append((far, query.doc, d.doc, query.component, d.component))
+
+    def rows(self):
+        return [(a, b) for _, a, b, ca, cb in sorted(self.pairs) if self.joined(ca, cb)]
+
+
+class Remaining(Meeting):
+    """The documents that have a pair that may link."""
+
+    names, kinds = ("ga", "part", "query", "doc_id"), (pa.int64(), pa.int64(), pa.int32(), pa.int64())
+
+    def ask(self, query, found):
+        if found:
+            self.out.append((*self.place, 1, query.doc))
+            self.up.update((i, i) for _, i in found)
+
+    def rows(self):
+        return self.out + [(*self.place, 0, self.group.docs[i].doc) for i in self.up]
+
+
+class Exact(Meeting):
+    """A spanning forest of the links."""
+
+    def ask(self, query, found):
+        for _, i in sorted(found):
+            d = self.group.docs[i]
+            if self.find(query.component) != self.find(d.component):
+                both = overlap(query.tokens, d.tokens)
+                if 100 * both >= PERCENT * (query.n + d.n - both):
+                    self.joined(query.component, d.component)
+                    self.out.append((query.doc, d.doc))
+
+    def rows(self):
+        return self.out
+
+
+def _met(kind):
+    """Documents by place (ga, part), those of the stored group before those that query it."""
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kind.kinds), kind.kinds, strict=True)], list(kind.names))
+
+    def run(batches):
+        alone("jaccard")
+        now = None
+        for batch in batches:
+            out = []
+            sets = column(batch, "tokens") if "tokens" in batch.schema.names else [None] * batch.num_rows
+            rows = zip(*(column(batch, c).to_pylist() for c in ("ga", "part", "query", "doc_id", "component", "n")), column(batch, "bits"), column(batch, "prefix").to_pylist(), sets, strict=True)
+            for ga, part, asks, doc, component, n, bits, prefix, tokens in rows:
+                if now is None or (ga, part) != now.place:
+                    out += now.rows() if now else []
+                    now = kind((ga, part))
+                # copies: a batch's memory is given back before the group is done
+                now.add(asks, Member(doc, component, n, np.frombuffer(bits.as_py(), "<u8"), np.array(prefix, np.int64), None if tokens is None else np.frombuffer(tokens.as_py(), np.uint64)))
+            if out:
+                yield table(out)
+        if now:
+            yield table(now.rows())
+
+    return run
+
+
+def _meetings(places: DataFrame, documents: DataFrame, kind, schema: str) -> DataFrame:
+    """Brings documents together at their places (doc_id, component, ga, part, query)."""
+    width = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = documents.join(_small(places), "doc_id").repartition(width, "ga", "part").sortWithinPartitions("ga", "part", "query")
+    return both.mapInArrow(_met(kind), schema)
 
 
 def _fits(a: str, b: str) -> str:
@@ -349,26 +444,27 @@ def _linked(documents: DataFrame) -> DataFrame:
         release(spark)
     drop_saved(keys)
     # 5. the token-group matrix
-    found = _across(posts, labels, sets)
+    places, prefixes = _across(posts, labels, sets)
     release(spark)
-    # the best pair of each two components first: where it links, the others of these two are settled
-    best = found.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.min_by(F.struct("a", "b"), F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
-    best = saved(best.distinct(), "best")
+    light = sets.select("doc_id", "n", "bits").join(prefixes, "doc_id")
+    best = saved(_meetings(places, light, Best, "a long, b long").distinct(), "best")
     labels = components(saved(_verified(best, sets, True), "links"), labels)
     release(spark)
-    own = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"now_{side}"))
-    rest = found.select("a", "b").distinct().join(best, ["a", "b"], "left_anti").join(own("a"), "a", "left").join(own("b"), "b", "left")
-    rest = saved(rest.filter(F.coalesce("now_a", "a") != F.coalesce("now_b", "b")).select("a", "b"), "rest")
-    links = saved(_verified(rest, sets, True), "links")
-    drop_saved(sets)
+    now = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("now"))
+    places = saved(places.join(now, "doc_id", "left").withColumn("component", F.coalesce("now", "doc_id")).drop("now"), "places")
+    rest = saved(_meetings(places, light, Remaining, "ga long, part long, query int, doc_id long"), "rest")
+    rest = rest.join(now, "doc_id", "left").withColumn("component", F.coalesce("now", "doc_id")).drop("now")
+    links = saved(_meetings(rest, sets.select("doc_id", "n", "bits", "tokens").join(prefixes, "doc_id"), Exact, "a long, b long"), "links")
+    for done in (sets, prefixes, places):
+        drop_saved(done)
     labels = components(links, labels).withColumnRenamed("node", "rep")
     classes = same.select("sig", "rep").join(labels, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.join(classes, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"))
 
 
-def _across(posts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of documents of different components that may link, saved. Deletes the table of prefix tokens, which nothing needs after it."""
+def _across(posts: DataFrame, labels: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which documents meet where (doc_id, component, ga, part, query), and the prefix tokens of each, saved. Deletes the table of prefix tokens, which nothing needs after it."""
     labels = labels.withColumnRenamed("node", "doc_id")
     frequency = posts.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
     common = posts.join(frequency, "token").groupBy("doc_id").agg(F.max(F.struct("f", "token")).alias("t"))
@@ -395,14 +491,11 @@ def _across(posts: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = saved(pairs.join(several, "ga").select("ga", "gb", F.pmod(F.xxhash64("gb"), F.col("parts")).alias("part")), "parted")
     stored = pairs.select(F.col("ga").alias("g"), "ga", "part", F.lit(0).alias("query")).distinct()
     asking = pairs.select(F.col("gb").alias("g"), "ga", "part", F.lit(1).alias("query"))
-    places = saved(member.join(stored.unionByName(asking), "g").select("doc_id", "component", "n", "ga", "part", "query"), "places")
-    prefix = posts.join(_small(places.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("token").alias("prefix"))
-    width = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = sets.select("doc_id", "bits").join(prefix, "doc_id").join(places, "doc_id").repartition(width, "ga", "part").sortWithinPartitions("ga", "part", "query")
-    found = saved(both.mapInArrow(_compared, CANDIDATE), "candidates")
-    for done in (posts, cells, places):
+    places = saved(member.join(stored.unionByName(asking), "g").select("doc_id", "component", "ga", "part", "query"), "places")
+    prefixes = saved(posts.join(_small(places.select("doc_id").distinct()), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("token").alias("prefix")), "prefixes")
+    for done in (posts, cells):
         drop_saved(done)
-    return found
+    return places, prefixes
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
