@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import column, pieces, release, saved, texts
+from .common import bounded, column, pieces, release, saved, texts
 from .encoding import encoder, ended, tokenizer_path
 
 WINDOW, LEAST, MEAN_BITS, MOST = 8, 64, 8, 2048
@@ -175,7 +175,7 @@ def write_store(documents: DataFrame, path: str | None = None, end: int = 2) ->
     once, into one table, where equal chunks meet; everything else that is shuffled is a recipe or less.
     """
     path = path or tokenizer_path()
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = bounded(documents).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     # rows of equal address and bytes become one; two chunks under one address would both stay and be seen when read
     both = saved(docs.mapInArrow(_encoded(path, end), ENCODED).distinct(), "encoded")
     spark = documents.sparkSession

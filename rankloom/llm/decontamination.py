@@ -4,7 +4,8 @@ For each item the windows of as many words as it has are compared with it. Every
 gets a SimHash of BITS bits, and a multi-index over the items' fingerprints yields the items to compare it with:
 the fingerprints are cut into BLOCKS blocks, and if two differ in at most RADIUS bits, some block differs in
 at most RADIUS // BLOCKS bits; each block is listed under half of these flips and looked up with the other
-half, so every fingerprint within the radius is found. Then the exact weighted shingle similarity (sum of minima
+half, so every fingerprint within the radius is found. Items of one size have an index of their own; with few of
+them the blocks are compared directly, as tables of flips would be longer than the items. Then the exact weighted shingle similarity (sum of minima
 over sum of maxima of the shingles' counts, five words) decides: SIMILARITY or more is contamination.
 
 A window of n shingles can only reach the similarity with an item of m if 3/7 (n + m) of its places hold shingles
@@ -36,11 +37,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import alone, column, mixed, pieces, spans, texts, words_of
+from .common import alone, bounded, column, mixed, pieces, spans, texts, words_of
 
 WORDS, SIMILARITY, BITS, RADIUS, BLOCKS, ITEMS, BYTES = 5, 0.75, 128, 39, 8, 2_000, 4 << 20
 #: Windows and shingles under way at a time.
 WINDOWS, STRETCH = 256, 4096
+#: Fingerprints up to which blocks are compared directly.
+FEW = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,11 +90,13 @@ class HammingIndex:
     def __init__(self, prints: np.ndarray):
         self.prints = prints
         near = RADIUS // BLOCKS
+        self.blocks = np.ascontiguousarray(prints).view("<u2").reshape(len(prints), BLOCKS)
+        if len(prints) <= FEW:
+            return
         self.stored, self.asked = self.flips(near // 2), self.flips(near - near // 2)
-        blocks = np.ascontiguousarray(prints).view("<u2").reshape(len(prints), BLOCKS)
         self.tables = []
         for k in range(BLOCKS):
-            value = (blocks[:, k, None] ^ self.stored[None]).ravel()
+            value = (self.blocks[:, k, None] ^ self.stored[None]).ravel()
             order = np.argsort(value, kind="stable")
             first = np.searchsorted(value[order], np.arange((1 << 16) + 1)).astype(np.int32)
             self.tables.append((first, (order // len(self.stored)).astype(np.int32)))
@@ -103,6 +108,8 @@ class HammingIndex:
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, fingerprint) of which some block is near enough, each once."""
         blocks, pairs = np.ascontiguousarray(prints).view("<u2").reshape(len(prints), BLOCKS), []
+        if len(self.prints) <= FEW:
+            return np.nonzero((np.bitwise_count(blocks[:, None] ^ self.blocks[None]) <= RADIUS // BLOCKS).any(-1))
         for k, (first, listed) in enumerate(self.tables):
             asked = (blocks[:, k, None] ^ self.asked[None]).astype(np.int64)
             begin, n = first[asked].astype(np.int64), first[asked + 1] - first[asked]
@@ -111,12 +118,9 @@ class HammingIndex:
         found = np.unique(np.concatenate(pairs))
         return found // max(1, len(self.prints)), found % max(1, len(self.prints))
 
-    def near(self, prints: np.ndarray, fits=None) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, fingerprint) within the radius; fits: which pairs are wanted."""
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, fingerprint) within the radius."""
         q, i = self.candidates(prints)
-        if fits is not None:
-            keep = fits(q, i)
-            q, i = q[keep], i[keep]
         keep = distances(prints[q], self.prints[i]) <= RADIUS
         return q[keep], i[keep]
 
@@ -154,7 +158,9 @@ class Benchmark:
             prints.append(simhash(s))
             self.vocabulary.update(dict.fromkeys(values.to_pylist()))
         self.sizes, self.often = np.array(sizes, np.int64), np.array(often, bool)
-        self.index = HammingIndex(np.array(prints, "<u8").reshape(len(prints), BITS // 64))
+        self.prints = np.array(prints, "<u8").reshape(len(prints), BITS // 64)
+        self.by_size = {m: np.flatnonzero(self.sizes == m) for m in np.unique(self.sizes).tolist()}
+        self.index = {m: HammingIndex(self.prints[i]) for m, i in self.by_size.items()}
         self.known = {w: np.array(sorted(k), np.uint64) for w, k in known.items()}
 
     @staticmethod
@@ -187,7 +193,6 @@ class Benchmark:
             at = at[known[np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)] == keys[at]]
             if not len(at):
                 continue
-            own = np.minimum(self.sizes, WORDS) == w
             often = None
             for m, starts in self.windows(w, len(h), at):
                 if often is None:
@@ -195,9 +200,9 @@ class Benchmark:
                         whole_hashes = self.hashes(words.to_pylist())
                     keys = runs(whole_hashes, w)
                     often = thrice(keys)
-                mine = own & ((self.sizes == m) if m < len(h) else (self.sizes >= m))
+                sizes = [x for x in self.by_size if (x == m or x > m == len(h)) and min(x, WORDS) == w and wanted(m - w + 1, x - w + 1) <= m - w + 1]
                 for some in self.stretches(starts):
-                    self.compared(best, keys, often, m - w + 1, some, mine)
+                    self.compared(best, keys, often, m - w + 1, some, sizes)
         return sorted((self.ids[i], start, s, d) for i, (s, start, d) in best.items())
 
     @staticmethod
@@ -208,7 +213,7 @@ class Benchmark:
             for i in range(0, len(part), WINDOWS):
                 yield part[i : i + WINDOWS]
 
-    def prints(self, keys: np.ndarray, n: int, starts: np.ndarray) -> np.ndarray:
+    def fingerprints(self, keys: np.ndarray, n: int, starts: np.ndarray) -> np.ndarray:
         """Fingerprints of windows of n shingles, from running sums over the stretch that they cover."""
         a, end = int(starts[0]), int(starts[-1]) + n
         if n > STRETCH:  # long windows: the sum of the first, then what each step takes away and adds
@@ -223,23 +228,27 @@ class Benchmark:
         np.cumsum(bit_planes(keys[a:end]), axis=0, out=sums[1:])
         return packed_bits(sums[starts - a + n] - sums[starts - a])
 
-    def compared(self, best: dict, keys: np.ndarray, often: np.ndarray, n: int, starts: np.ndarray, mine: np.ndarray) -> None:
-        """Holds windows against the items that the index gives for them, and keeps the best window of each."""
-        prints = self.prints(keys, n, starts)
-        q, i = self.index.near(prints, lambda q, i: mine[i])
+    def compared(self, best: dict, keys: np.ndarray, often: np.ndarray, n: int, starts: np.ndarray, sizes: list[int]) -> None:
+        """Holds windows against the items of some sizes that the index gives for them, and keeps the best window of each."""
+        prints = self.fingerprints(keys, n, starts)
         swamped = often[starts + n - 1] >= starts
-        if (exact := mine & self.often).any() or swamped.any():
-            more = np.nonzero((exact[None] | swamped[:, None]) & mine[None])
-            q, i = np.concatenate([q, more[0]]), np.concatenate([i, more[1]])
+        pairs = []
+        for m in sizes:
+            items = self.by_size[m]
+            q, i = self.index[m].near(prints)
+            pairs += zip(q.tolist(), items[i].tolist(), strict=True)
+            if self.often[items].any() or swamped.any():
+                q, i = np.nonzero(self.often[items][None] | swamped[:, None])
+                pairs += zip(q.tolist(), items[i].tolist(), strict=True)
         bags: dict[int, Counter] = {}
-        for q_, i_ in sorted(set(zip(q.tolist(), i.tolist(), strict=True))):
+        for q_, i_ in sorted(set(pairs)):
             start = int(starts[q_])
             if start not in bags:
                 bags[start] = Counter(keys[start : start + n].tolist())
             s = similarity(bags[start], self.bags[i_])
             old = best.get(i_)
             if s >= SIMILARITY and (old is None or s > old[0]):
-                best[i_] = (s, start, int(distances(prints[q_], self.index.prints[i_])))
+                best[i_] = (s, start, int(distances(prints[q_], self.prints[i_])))
 
 
 MATCH = "doc_id long, item_id long, first_word long, similarity double, distance int"
@@ -303,7 +312,7 @@ def _blocks(benchmark: DataFrame):
 
 def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contaminated documents: doc_id, item_id, first_word of the best window, similarity, distance."""
-    sc = documents.sparkSession.sparkContext
+    sc = bounded(documents).sparkSession.sparkContext
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
     for block in _blocks(benchmark):
@@ -314,7 +323,7 @@ def matches(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no benchmark item stands; columns stay as they are."""
-    sc, out = documents.sparkSession.sparkContext, documents
+    sc, out = bounded(documents).sparkSession.sparkContext, documents
     for block in _blocks(benchmark):
         out = out.mapInArrow(_each(sc.broadcast(Benchmark(block)), _clean), documents.schema)
     return out

@@ -43,7 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import alone, column, drop_saved, pieces, release, saved, settings, texts
+from .common import alone, bounded, column, drop_saved, pieces, release, saved, texts
 from .components import components
 from .shingles import overlap, sets_of
 
@@ -60,8 +60,6 @@ TOKENS, QUERIES = 1 << 17, 8
 COUNTERS, SEEN = 1 << 23, 4
 #: Into how many parts a hot min-hash is dealt.
 SALT = 16
-#: Arrow batches by bytes, as rows may be whole sets.
-BOUNDED = {"spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def needed(n: int) -> int:
@@ -407,8 +405,7 @@ def _stars(keys: DataFrame, labels: DataFrame | None, sets: DataFrame, number: i
 
 def linked(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    with settings(documents.sparkSession, BOUNDED):
-        return _linked(documents)
+    return _linked(bounded(documents))
 
 
 def _linked(documents: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import alone, column, pieces, texts
+from .common import alone, bounded, column, pieces, texts
 
 BUCKETS, ORDERS, SMOOTHING, MOST_LANGUAGES = 1 << 16, (1, 2, 3), 0.1, 256
 
@@ -123,6 +123,7 @@ def _known(model, least: float):
 
 
 def _model(documents: DataFrame, training: Column | None = None):
+    bounded(documents)
     learn = training if training is not None else ~F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     return documents.sparkSession.sparkContext.broadcast(fitted(counts(documents, learn)))
 

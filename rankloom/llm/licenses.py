@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import coded, column, pieces, texts
+from .common import bounded, coded, column, pieces, texts
 
 #: Fixed values of the contract: phrases and labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -177,5 +177,5 @@ def _scan(join: Join):
 
 def scan(documents: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (1 with a phrase, else the largest containment)."""
-    join = Join(frequencies(documents, templates), templates, containment)
+    join = Join(frequencies(bounded(documents), templates), templates, containment)
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan(join), SCAN)

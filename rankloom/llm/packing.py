@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import column, mixed, pieces, texts
+from .common import alone, bounded, column, mixed, pieces, texts
 from .encoding import encoder, ended, tokenizer_path
 
 LENGTH, BUCKETS, DIMENSIONS, BITS = 1024, 1024, 3, 10
@@ -82,8 +82,9 @@ def keys(text: pa.Array, matrix: np.ndarray) -> np.ndarray:
 
 
 def _keyed(batches):
+    alone("packing")
     matrix = projection()
-    for batch in pieces(batches):
+    for batch in pieces(batches, limit=2 << 20):
         yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text"), pa.array(keys(texts(batch), matrix))], ["doc_id", "text", "curve"])
 
 
@@ -144,7 +145,7 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
 def _packed(path: str, end: int, length: int):
     def run(batches):
         enc, packer = encoder(path), Packer(TaskContext.get().partitionId(), length)
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=4 << 20):
             ids, offsets = ended(*enc(texts(batch)), end)
             ids = ids.astype("<u2", copy=False)
             rows = []
@@ -162,5 +163,5 @@ def _packed(path: str, end: int, length: int):
 def packed(documents: DataFrame, path: str | None = None, end: int = 0, length: int = LENGTH) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and the ids (little-endian 16-bit)."""
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = curve_keys(documents).repartitionByRange(n, "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "text")
+    ordered = curve_keys(bounded(documents)).repartitionByRange(n, "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "text")
     return ordered.select("doc_id", "text").mapInArrow(_packed(path or tokenizer_path(), end, length), PIECE)

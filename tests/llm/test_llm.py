@@ -249,6 +249,8 @@ def test_hamming_index_is_complete():
             q[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
     want = {(q, i) for q in range(40) for i in range(300) if decontamination.distances(asked[q], prints[i]) <= decontamination.RADIUS}
     assert set(zip(*(x.tolist() for x in index.near(asked)), strict=True)) == want and len(want) >= 40
+    few = decontamination.HammingIndex(prints[:50])
+    assert set(zip(*(x.tolist() for x in few.near(asked)), strict=True)) == {(q, i) for q, i in want if i < 50}
     share = len(index.candidates(r.integers(0, 1 << 63, (200, 2)).astype("<u8"))[0]) / (200 * 300)
     assert share < 0.35  # the blocks alone leave out two thirds of unrelated pairs
 
