@@ -136,25 +136,60 @@ def test_context_mixing(docs, empty):
     assert context_mixing.scored(empty).count() == 0
 
 
-def test_context_tables_grow():
-    some, more = (context_mixing.slot_bits(n) for n in (1 << 28, 1 << 32))
-    assert all(b - a == 4 for a, b in zip(some[1:], more[1:], strict=True)) and some > context_mixing.SLOT_BITS
-    rows = pa.RecordBatch.from_arrays([pa.array([t for _, t, _ in ROWS], pa.string())], ["text"])
-    data, start, size = context_mixing.padded(pa.array([t or "" for _, t, _ in ROWS], pa.large_string()))
-    at = np.concatenate([np.arange(a, a + n) for a, n in zip(start, size, strict=True)])
-    code = context_mixing.Code(np.bincount(data[at], minlength=256) * 4000.0)  # as if the texts were longer
-    assert len(code.slots) == 5 and int(code.base[-1]) > sum(1 << b for b in context_mixing.SLOT_BITS)
-    hashes = [*enumerate(context_mixing.contexts(context_mixing.places(data, at))), (4, context_mixing.words_so_far(data)[at])]
-    _, slots, bit = context_mixing.decisions(code, data[at], hashes)
-    got = np.zeros(int(code.base[-1]), np.int8)
+def test_context_tables_and_words(docs):
+    text = pa.array([t or "" for _, t, _ in ROWS], pa.large_string())
+    names, (at, offsets), stop = context_mixing.split(text)
+    names = names.to_pylist()
+    for i, t in enumerate(text.to_pylist()):  # words, empty ones too, and what ends them give the text back
+        here = slice(offsets[i], offsets[i + 1])
+        back = "".join(names[w] + (chr(e) if e else "") for w, e in zip(at[here], stop[here], strict=True))
+        assert back == "".join(c.lower() if c.isascii() else c for c in t)
+    words = sorted({x for x in names if x})
+    code = context_mixing.Code(np.bincount(np.frombuffer(" ".join(words).encode(), np.uint8), minlength=256) * 10.0)
+    times = np.arange(1, len(words) + 1)
+    rows = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(times, pa.int64())], ["token", "n"])
+    got = np.zeros(int(code.base[-1]), "<u2")
     for r in context_mixing._summed(context_mixing._trained(type("Shared", (), {"value": code}))([rows, rows])):
         for i, x in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True):
-            got[i * context_mixing.CELLS :][: context_mixing.CELLS] = np.frombuffer(x, np.int8)
-    for k, s in enumerate(slots):
-        n, ones = (2 * np.bincount(s, w, 1 << code.slots[k]) for w in (None, bit))
-        want = np.clip(np.rint(np.log((ones + 0.1) / (n - ones + 0.1)) * context_mixing.SCALE), -127, 127)
-        want[(n > 0) & (want == 0)] = 1
-        assert (got[code.base[k] : code.base[k + 1]] == np.where(n > 0, want, 0)).all()
+            got[i * context_mixing.CELLS :][: context_mixing.CELLS] = np.frombuffer(x, "<u2")
+    n, slots, bit = context_mixing.decisions(code, pa.array(words, pa.large_string()))
+    assert n.tolist() == [sum(code.length[list(w.encode() + b" ")]) for w in words]
+    seen, ones = Counter(), Counter()
+    many = np.repeat(2 * times, n).tolist()
+    for k, x in enumerate(slots):
+        for y, m, b in zip(x.tolist(), many, bit.tolist(), strict=True):
+            seen[k, y] += m
+            ones[k, y] += m * b
+    for (k, y), m in seen.items():
+        assert got[code.base[k] + y] == context_mixing.logits(np.array([float(m)]), np.array([float(ones[k, y])]))[0]
+    assert np.count_nonzero(got) == len(seen)
+
+
+def test_words_before_in_a_row():
+    at, offsets = np.array([3, 1, 3, 3, 1, 3, 2]), np.array([0, 4, 7])
+    assert context_mixing.repeated(at, offsets).tolist() == [0, 0, 1, 2, 0, 0, 0]
+
+
+def test_mixing_refines_and_beats_the_unigram(spark):
+    """Held-out bits per byte of spelt text lie under those of a unigram that pays for unknown words by bytes; a learned model beats an unlearned one."""
+    pick = random.Random(4)
+    parts = ["".join(pick.choice("aeioulnrst") for _ in range(pick.randint(2, 3))) for _ in range(30)]
+    word = lambda: "".join(pick.choice(parts) for _ in range(pick.randint(1, 4)))
+    texts = [" ".join(word() for _ in range(pick.randint(50, 300))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in context_mixing.scored(df).collect()}
+    held = [i for i in got if got[i].held_out]
+    counts = Counter(w for i, t in enumerate(texts) if not got[i].held_out for w in t.split())
+    letters = Counter("".join(t for i, t in enumerate(texts) if not got[i].held_out))
+    spell = lambda w: sum(np.log2(letters[c] / sum(letters.values())) for c in w + " ")
+    n, v = sum(counts.values()), len(counts)
+    unigram = sum(np.log2((counts[w] or 1) / (n + v)) + (0 if counts[w] else spell(w)) for i in held for w in texts[i].split())
+    mixed = sum(got[i].score for i in held) * np.log2(10)
+    assert len(held) > 20 and mixed > 0.9 * unigram and all(abs(got[i].bits_per_byte * (len(texts[i]) + 1) + got[i].score * np.log2(10)) < 1e-3 for i in got)
+    twice = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000 + i, "zyxw " * 20 + "vutsrq") for i in range(40)], "doc_id long, text string")
+    again = {r.doc_id: r for r in context_mixing.scored(twice).collect()}
+    alone = context_mixing.scored(spark.createDataFrame([*enumerate(texts), (1000, "zyxw " * 20 + "vutsrq")], "doc_id long, text string"), F.col("doc_id") == 1000)
+    assert again[1000].score > alone.filter("doc_id = 1000").first().score + 1  # what the corpus holds often costs less
 
 
 def _base(text):
