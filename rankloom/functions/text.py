@@ -12,7 +12,7 @@ REFUSAL_MARKERS = (
     "doesn't provide", "doesn't contain", "doesn't mention", "no information", "not mentioned", "not specified", "not provided", "not contain enough", "not enough information", "no relevant", "nothing in the",
     "is not present", "not found in", "cannot answer", "can't answer", "cannot determine", "unable to answer", "insufficient",
 )
-#: Patterns of identifiers that make a question lexical.
+#: Patterns of identifiers that make a question lexical; [0-9] as \d stands for more digits in some engines.
 IDENTIFIERS = {
     "config_key": r"\b[A-Z][A-Z0-9]*_[A-Z0-9_]+\b",
     "ticket": r"\b[A-Z]{2,}-[0-9]+\b",
@@ -91,17 +91,23 @@ def entities(text: Column, limit: int = 12) -> Column:
     """Typographically marked entities in pattern order, distinct without regard to case, the first `limit`."""
     every = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in ENTITIES))
     clean = F.transform(every, lambda e: collapse(F.regexp_replace(strip(e), r"^[`.,;:()\[\]]+|[`.,;:()\[\]]+$", "")))
-
-    def plausible(e: Column) -> Column:
-        w = F.split(F.lower(e), " ")
-        first, last = F.element_at(w, 1), F.element_at(w, -1)
-        return F.length(e).between(3, 60) & ~first.isin(*STOP_ENTITIES) & ~last.isin(*STOP_ENTITIES) & ~((F.size(w) == 2) & (first == last))
-
-    fine = F.filter(clean, plausible)
+    fine = first_plausible(clean, None)
     first = F.filter(fine, lambda e, i: F.array_position(F.transform(fine, F.lower), F.lower(e)) == i + 1)
     return F.slice(first, 1, limit)
 
 
+def plausible(e: Column) -> Column:
+    """Whether a phrase can be an entity: 3 to 60 characters, no stop word at either end, not one word twice."""
+    w = F.split(F.lower(e), " ")
+    first, last = F.element_at(w, 1), F.element_at(w, -1)
+    return F.length(e).between(3, 60) & ~first.isin(*STOP_ENTITIES) & ~last.isin(*STOP_ENTITIES) & ~((F.size(w) == 2) & (first == last))
+
+
+def first_plausible(phrases: Column, limit: int | None) -> Column:
+    fine = F.filter(phrases, plausible)
+    return fine if limit is None else F.slice(fine, 1, limit)
+
+
 def clean_lines(raw: Column, limit: int = 4) -> Column:
     """Query variants from a model's reply: without bullets, numbers and quotes, not short, no headers."""
     lines = F.transform(F.split(raw, r"\r\n|\n|\r"), lambda x: strip(F.regexp_replace(strip(F.regexp_replace(strip(x), r"^\s*(?:[-*•]|[0-9]+[.)])\s*", "")), r'^"+|"+$', "")))
@@ -114,10 +120,44 @@ def citations(answer: Column) -> Column:
     return F.array_distinct(F.transform(F.flatten(F.transform(marks, lambda m: F.split(m, r"\s*,\s*"))), lambda x: x.cast("int")))
 
 
+def tolerant_object(raw: Column) -> Column:
+    """The first JSON object in a reply: the whole string without code fences, else each {...} in turn; null if none parses."""
+    plain = strip(F.regexp_replace(strip(raw), r"^`+(?:json)?|`+$", ""))
+    tries = F.concat(F.array(plain), F.regexp_extract_all(raw, F.lit(r"(?s)\{.*?\}"), F.lit(0)))
+    return F.get(F.filter(tries, lambda x: F.startswith(x, F.lit("{")) & F.try_parse_json(x).isNotNull()), F.lit(0))
+
+
 def tolerant_json(raw: Column, field: str) -> Column:
-    """A field of the whole string as JSON, else of its first {...}."""
-    path = f"$.{field}"
-    return F.coalesce(F.get_json_object(raw, path), F.get_json_object(F.regexp_extract(raw, r"(?s)\{.*?\}", 0), path))
+    """A field of the reply's first JSON object, as a string."""
+    return F.get_json_object(tolerant_object(raw), f"$.{field}")
+
+
+def tolerant_list(raw: Column) -> Column:
+    """The first [...] of a reply as an array of strings; null if it is none."""
+    return F.from_json(F.nullif(F.regexp_extract(raw, r"(?s)\[.*?\]", 0), F.lit("")), "array<string>")
+
+
+#: The English stop words of the lexical index.
+STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
+
+
+def stem(word: Column) -> Column:
+    """A light English suffix stripper: plurals, -ing, -ed, -ly, where three letters stay before them."""
+    out = F.regexp_replace(word, r"^(\w{2,})ies$", "$1y")
+    out = F.regexp_replace(out, r"^(\w{2,}(?:ss|sh|ch|x|z))es$", "$1")
+    out = F.regexp_replace(out, r"^(\w{2,}[^s\W])s$", "$1")
+    return F.regexp_replace(out, r"^(\w{3,}?)(?:ingly|edly|ing|ed|ly)$", "$1")
+
+
+def stemmed(c: Column) -> Column:
+    """tokens() without stop words, stemmed."""
+    return F.transform(F.filter(tokens(c), lambda w: ~w.isin(*STOP_WORDS)), stem)
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """The longest prefix that two strings share."""
+    n = F.aggregate(F.sequence(F.lit(0), F.least(F.length(a), F.length(b))), F.lit(0), lambda m, i: F.when((m >= i - 1) & (F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)), i).otherwise(m))
+    return F.substring(a, F.lit(1), n)
 
 
 def clamp(value: Column) -> Column:

@@ -23,43 +23,52 @@ def fixed(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> Da
     return out.filter("text <> ''").withColumn("end_char", F.col("start_char") + F.length("text"))
 
 
+def is_heading(part: str) -> bool:
+    """A single line that begins with #."""
+    line = part.strip()
+    return line.startswith("#") and "\n" not in line
+
+
+def _glued(parts: list[str], sep: str) -> list[str]:
+    """Headings joined to the part after them; those at the end stay as a part."""
+    if sep not in ("\n\n", "\n"):
+        return parts
+    out, waiting = [], []
+    for p in parts:
+        waiting.append(p)
+        if not is_heading(p):
+            out.append(sep.join(waiting))
+            waiting = []
+    return [*out, sep.join(waiting)] if waiting else out
+
+
 def _pieces(text: str, size: int, separators: tuple[str, ...]) -> list[str]:
-    """Greedy parts of at most size characters along the coarsest separator that helps; headings go with what follows them."""
-    if len(text) <= size or not separators:
-        return [text]
-    sep, finer = separators[0], separators[1:]
+    """Parts of at most size characters along the coarsest separator, filled greedily; a part that is too long is cut by the finer ones, and filling begins anew after it."""
+    if len(text) <= size:
+        return [text] if text.strip() else []
+    sep, finer = (separators[0], separators[1:]) if separators else ("", ())
     if not sep:
-        return [text[i : i + size] for i in range(0, len(text), size)]
-    parts = [p + sep for p in text.split(sep)]
-    parts[-1] = parts[-1][: -len(sep)]
-    if sep in ("\n\n", "\n"):
-        glued: list[str] = []
-        for p in parts:
-            if glued and re.fullmatch(r"(?:\s*#[^\n]*\s*)+", glued[-1]):
-                glued[-1] += p
-            else:
-                glued.append(p)
-        parts = glued
-    out, held = [], ""
-    for p in filter(None, parts):
-        if len(held) + len(p) <= size:
-            held += p
-            continue
-        if held:
-            out.append(held)
-        held = p
-        if len(p) > size:
-            *whole, held = _pieces(p, size, finer)
-            out += whole
-    return [*out, held] if held else out
-
-
-def _tail(text: str, most: int) -> str:
-    """The end of a text, at most so long, from a word's start."""
-    if len(text) <= most:
-        return text
-    cut = text[-most:] if most else ""
-    return cut if cut[:1].isspace() or text[-most - 1].isspace() else re.sub(r"^\S*\s?", "", cut)
+        return [p for i in range(0, len(text), size) if (p := text[i : i + size]).strip()]
+    out, held = [], None
+    for p in _glued(text.split(sep), sep):
+        if held and len(held) + len(sep) + len(p) <= size:
+            held += sep + p
+        elif not held and len(p) <= size:
+            held = p
+        else:
+            out += [held] if held else []
+            held = p if len(p) <= size else None
+            if held is None:
+                out += _pieces(p, size, finer)
+    return [p for p in [*out, held or ""] if p.strip()]
+
+
+def tail_words(text: str, most: int) -> str:
+    """The end of a text, at most so long; where it is cut, from after the first blank in it, if there is one."""
+    if most <= 0:
+        return ""
+    tail = text[-most:]
+    return (tail[tail.find(" ") + 1 :] if len(text) > most else tail).strip()
 
 
 def recursive(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
@@ -70,17 +79,16 @@ def recursive(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, s
     @F.pandas_udf("array<struct<text:string,start_char:int,end_char:int>>")
     def split(texts: pd.Series) -> pd.Series:
         def one(text):
-            rows, at, before = [], 0, ""
+            rows, at, before = [], 0, None
             for piece in _pieces(text or "", size, separators):
-                body = piece.strip()
-                if body:
-                    start = (text or "").find(body, at)
-                    start = at if start < 0 else start
-                    tail = _tail(before, overlap) if before and overlap else ""
-                    whole = f"{tail} {body}".strip() if tail else body
-                    begin = max(0, start - (len(whole) - len(body)))
-                    rows.append((whole, begin, begin + len(whole)))
-                    at, before = start + len(body), body
+                whole = body = piece.strip()
+                found = (text or "").find(body, at)
+                start = at if found < 0 else found
+                tail = tail_words(before, overlap) if before is not None else ""
+                if tail:
+                    whole, start = f"{tail} {body}", max(0, start - len(tail) - 1)
+                rows.append((whole, start, start + len(whole)))
+                at, before = (at if found < 0 else max(at, found + len(body))), body
             return [dict(zip(("text", "start_char", "end_char"), r, strict=True)) for r in rows]
 
         return texts.map(one)
@@ -104,9 +112,59 @@ def adjacent(chunks: DataFrame) -> DataFrame:
     return nxt.filter("next_id is not null").select("doc_id", "chunk_id", "next_id", F.greatest(F.lit(0), F.col("end_char") - F.col("next_start")).alias("shared_chars"))
 
 
-def contextualised(chunks: DataFrame, docs: DataFrame, cache: DataFrame, prefix: Column, key: Column) -> tuple[DataFrame, DataFrame]:
-    """Chunks with a context from the cache or newly made, and the new cache rows. Chunks without a document are left out."""
-    keyed = chunks.join(docs.select("doc_id", F.substring("text", 1, 12000).alias("document")), "doc_id").withColumn("key", key)
-    new = keyed.join(cache, "key", "left_anti").select("key", prefix.alias("context")).dropDuplicates(["key"])
-    every = cache.select("key", "context").unionByName(new)
-    return keyed.join(every, "key", "left").drop("document", "key"), new
+#: Characters of a document that its chunks' contexts are made from.
+CONTEXT_CHARS = 12_000
+CONTEXT_SYSTEM = "Say in one or two sentences where the passage stands in the document and what it is about. Reply with these sentences only."
+
+
+def contextualised(chunks: DataFrame, docs: DataFrame, cache: DataFrame, generator, model: str = "") -> tuple[DataFrame, DataFrame]:
+    """Chunks (chunk_id, doc_id, text) with a context from the cache (key, context) or a generator, and the new cache rows. Chunks without a document (doc_id, text) are left out; a failed call gives no context and no row."""
+    from ..functions.text import cache_key, collapse, content_sha
+    from ..providers import generated
+
+    whole = docs.select("doc_id", content_sha(F.col("text")).alias("sha"), F.substring("text", 1, CONTEXT_CHARS).alias("document"))
+    keyed = chunks.join(whole, "doc_id").withColumn("key", cache_key(F.lit(model), F.col("sha"), F.col("chunk_id"), F.col("text")))
+    misses = keyed.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"])
+    prompt = F.concat(F.lit("Document:\n"), F.col("document"), F.lit("\n\nPassage:\n"), F.col("text"))
+    new = generated(misses, CONTEXT_SYSTEM, prompt, generator, 120).filter("reply.error is null").select("key", collapse(F.col("reply.text")).alias("context")).filter("context <> ''")
+    return keyed.join(cache.select("key", "context").unionByName(new), "key", "left").drop("document", "key", "sha"), new
+
+
+def paragraphs(docs: DataFrame, least: int = 80) -> DataFrame:
+    """doc_id, paragraph (from 0, among all of its document) and text of paragraphs of more than so many characters."""
+    cut = docs.select("doc_id", F.posexplode(F.split("text", r"\n\s*\n")).alias("paragraph", "p"))
+    return cut.select("doc_id", "paragraph", strip(F.col("p")).alias("text")).filter(F.length("text") > least)
+
+
+def merged_paragraphs(docs: DataFrame, most: int = 600) -> DataFrame:
+    """doc_id, chunk_index, text: paragraphs joined by a blank line as long as they fit; a longer one stays whole."""
+    start = F.struct(F.lit("").alias("held"), F.expr("cast(array() as array<string>)").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        fits = F.length(acc["held"]) + F.length(p) + 2 <= most
+        empty = acc["held"] == ""
+        return F.struct(F.when(empty | ~fits, p).otherwise(F.concat(acc["held"], F.lit("\n\n"), p)).alias("held"), F.when(empty | fits, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"]))).alias("out"))
+
+    parts = F.filter(F.transform(F.split("text", r"\n\n"), strip), lambda p: p != "")
+    done = F.aggregate(parts, start, step, lambda acc: F.when(acc["held"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"]))))
+    return docs.select("doc_id", F.posexplode(done).alias("chunk_index", "text"))
+
+
+def teaching_fixed(docs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """doc_id, chunk_index, text without offsets: a chunk starts every size - overlap characters up to the text's end, also where the one before reaches it."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be smaller than size")
+    at = F.sequence(F.lit(0), F.length("text") - 1, F.lit(size - overlap))
+    return docs.filter("length(text) > 0").select("doc_id", "text", F.posexplode(at).alias("chunk_index", "a")).select("doc_id", "chunk_index", F.expr(f"substring(text, a + 1, {size})").alias("text"))
+
+
+def plan_name(kind: str, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> str:
+    """The name of a chunking, as reports show it."""
+    if not 0 <= overlap < size:
+        raise ValueError("overlap must be smaller than size")
+    return f"{kind}({size}/{overlap})"
+
+
+def outside(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Documents of chunks that are not in the table: empty if it is a subset."""
+    return chunks.select("doc_id").distinct().join(docs.select("doc_id"), "doc_id", "left_anti")

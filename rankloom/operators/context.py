@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import any_of, judge_tokens, looks_like_refusal, snap
+from ..functions.text import judge_tokens, looks_like_refusal, snap, strip
 from ..session import WINDOW
 
 
@@ -18,7 +18,7 @@ def windows(hits: DataFrame, docs: DataFrame, window: int = WINDOW) -> DataFrame
 def merged_windows(wide: DataFrame, k: int = 5) -> DataFrame:
     """Folds each question's windows in rank order: a window goes into the first kept one of its document that it overlaps, which is widened. At most a shortlist per question is held."""
     rows = F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score", "from_char", "to_char")))
-    empty = F.expr("cast(array() as array<struct<rank:int,doc_id:bigint,score:double,a:int,b:int,merged:int>>)")
+    empty = F.array().cast(f"array<struct<rank:int,doc_id:{wide.schema['doc_id'].dataType.simpleString()},score:double,a:int,b:int,merged:int>>")
 
     def step(acc: Column, x: Column) -> Column:
         def hit(e: Column) -> Column:
@@ -34,8 +34,13 @@ def merged_windows(wide: DataFrame, k: int = 5) -> DataFrame:
 
 
 def gate(lists: DataFrame, questions: DataFrame, floor: float = 0.60) -> DataFrame:
-    """Whether to abstain: nothing retrieved, or the best score below the floor; a score at the floor passes."""
-    best = lists.groupBy("query_id").agg(F.max("score").alias("best_score"))
+    """Whether to abstain: nothing retrieved, or the best score below the floor; a score at the floor passes.
+
+    Where lists has a dense column, a question's best dense score counts if any row has one, as scores of other
+    kinds have no fixed scale; else the best score.
+    """
+    score = F.max("score") if "dense" not in lists.columns else F.coalesce(F.max("dense"), F.max("score"))
+    best = lists.groupBy("query_id").agg(score.alias("best_score"))
     return questions.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("best_score", F.lit(0.0)).alias("best_score"), (F.col("best_score").isNull() | (F.col("best_score") < floor)).alias("abstain"))
 
 
@@ -51,8 +56,9 @@ def verdicts(best: DataFrame, low: float, high: float) -> DataFrame:
 
 
 def blocks(passages: DataFrame) -> DataFrame:
-    """(query_id, rank, title, doc_id, text) to numbered blocks."""
-    name = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("doc_id").cast("string")), F.lit(" ("), F.col("doc_id").cast("string"), F.lit(")\n"), F.col("text"))
+    """(query_id, rank, title, doc_id, text, and maybe context) to numbered blocks; a chunk's context stands before its text."""
+    body = F.col("text") if "context" not in passages.columns else F.when(F.coalesce("context", F.lit("")) != "", strip(F.concat("context", F.lit("\n"), "text"))).otherwise(F.col("text"))
+    name = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("doc_id").cast("string")), F.lit(" ("), F.col("doc_id").cast("string"), F.lit(")\n"), body)
     return passages.select("query_id", "rank", "doc_id", name.alias("block"))
 
 
@@ -65,7 +71,8 @@ def within_budget(numbered: DataFrame, most: int) -> DataFrame:
 def prompts(questions: DataFrame, numbered: DataFrame) -> DataFrame:
     """One prompt per question, with its passages before it; a fixed text where there are none."""
     ctx = numbered.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n").alias("context"), F.count(F.lit(1)).alias("n_blocks"))
-    full = F.concat(F.lit("Context passages:\n\n"), F.col("context"), F.lit("\n\nQuestion: "), F.col("query"))
+    # fixed values: the prompt's wording
+    full = F.concat(F.lit("Context passages:\n\n"), F.col("context"), F.lit("\n\nQuestion: "), F.col("query"), F.lit("\n\nAnswer:"))
     none = F.concat(F.lit("No context passages were retrieved.\n\nQuestion: "), F.col("query"), F.lit("\n\nSay that the corpus contains nothing relevant to this question."))
     return questions.join(ctx, "query_id", "left").select("query_id", F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), F.when(F.col("context").isNull(), none).otherwise(full).alias("prompt"))
 
@@ -84,7 +91,3 @@ def cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """USD of (model, fresh, cache_write, cache_read, output) tokens; writes cost 1.25 and reads 0.1 of the input price."""
     c = (F.col("fresh") * F.col("price_in") + F.col("cache_write") * F.col("price_in") * 1.25 + F.col("cache_read") * F.col("price_in") * 0.1 + F.col("output") * F.col("price_out")) / 1e6
     return usage.join(prices, "model").withColumn("cost_usd", c)
-
-
-def with_markers(text: Column, markers) -> Column:
-    return any_of(F.contains(F.lower(text), F.lit(m)) for m in markers)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .retrieve import ranked
+from .retrieve import blocks_of, ranked
 
 
 def edges(mentions: DataFrame, min_frequency: int = 2) -> DataFrame:
@@ -36,3 +36,24 @@ def walk(seeds: DataFrame, graph: DataFrame, mentions: DataFrame, hops: int = 1,
         reached = reached.unionByName(front)
     scored = reached.join(mentions.distinct(), "entity").groupBy("query_id", "chunk_id").agg(F.sum(1 / (1 + F.col("distance"))).alias("score"))
     return ranked(scored, k)
+
+
+def seeds(questions: DataFrame, entities: DataFrame) -> DataFrame:
+    """query_id, entity: entities (lower-cased) that stand in a question as a substring. Questions are a stated set, held against all entities in blocks."""
+    out, names = None, entities.select(F.lower("entity").alias("entity")).distinct()
+    for q in blocks_of(questions.select("query_id", F.lower("query").alias("low"))):
+        one = names.join(F.broadcast(q), F.contains(F.col("low"), F.col("entity"))).select("query_id", "entity")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def retrieve(questions: DataFrame, graph: DataFrame, mentions: DataFrame, hops: int = 1, k: int = 5) -> DataFrame:
+    """Lists by a walk from the entities that a question names; a question without any has no list. mentions: chunk_id, entity."""
+    low = mentions.select("chunk_id", F.lower("entity").alias("entity"))
+    return walk(seeds(questions, low), graph, low, hops, k=k)
+
+
+def frequencies(mentions: DataFrame, top: int | None = None) -> DataFrame:
+    """entity (lower-cased), n: in how many chunks; the top ones, if asked."""
+    out = mentions.groupBy(F.lower("entity").alias("entity")).agg(F.count(F.lit(1)).alias("n"))
+    return out.orderBy(F.desc("n"), "entity").limit(top) if top else out

@@ -8,17 +8,26 @@ from ..functions.text import looks_lexical, tokens
 from ..session import EVAL_DEPTH, RRF_K, TOP_K
 
 K1, B = 1.5, 0.75
-#: Rows of a question set up to which it is broadcast; a larger one goes through a shuffled join.
-BROADCAST_ROWS = 10_000
+#: Bytes of a question set, by the plan's statistics, up to which it is broadcast whole; a larger one is dealt into blocks of about so many.
+BROADCAST_BYTES = 64 << 20
+#: Places to which scores are held against each other: sums of the same terms in another order differ after these.
+PLACES = 10
 
 
 def ranked(scored: DataFrame, k: int | None, *ties: str, by: str = "query_id") -> DataFrame:
-    """Ranks from 1 by score (rounded to 6 places, descending), then the tie columns; the first k."""
-    w = Window.partitionBy(by).orderBy(F.desc("score"), *(ties or ("chunk_id",)))
-    out = scored.withColumn("score", F.round("score", 6)).withColumn("rank", F.row_number().over(w))
+    """Ranks from 1 by score (descending, to PLACES), then the tie columns; the first k. Scores stay as they are."""
+    w = Window.partitionBy(by).orderBy(F.desc(F.round("score", PLACES)), *(ties or ("chunk_id",)))
+    out = scored.withColumn("rank", F.row_number().over(w))
     return out.filter(F.col("rank") <= k) if k else out
 
 
+def blocks_of(queries: DataFrame, most: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """A stated question set as one block, or as several of about so many bytes. No job is run: the size is the plan's estimate."""
+    size = int(str(queries._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = min(-(-size // most), 1000) or 1
+    return [queries] if n == 1 else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -26,15 +35,13 @@ def dot(a: Column, b: Column) -> Column:
 def dense(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, where: Column | None = None) -> DataFrame:
     """Exact cosine top-k of unit vectors. A filter is applied below the ranking, so it reaches the scan and never under-returns.
 
-    The question set is stated and is broadcast within BROADCAST_ROWS, in blocks beyond: each block scans the
+    The question set is stated and is broadcast in blocks of a bounded size (blocks_of): each block scans the
     vectors once and keeps k rows per question and task before the shuffle.
     """
     rows = vectors.filter(where) if where is not None else vectors
-    n = queries.count()
-    blocks = [queries] if n <= BROADCAST_ROWS else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BROADCAST_ROWS))) == i) for i in range(-(-n // BROADCAST_ROWS))]
     out = None
-    for q in blocks:
-        scored = rows.join(F.broadcast(q), F.lit(True)).filter(F.col("chunk_id") != F.coalesce(F.col("query_id"), F.lit(-1))).select("query_id", "chunk_id", dot(F.col("embedding"), F.col("query")).alias("score"))
+    for q in blocks_of(queries):
+        scored = rows.join(F.broadcast(q), F.lit(True)).select("query_id", "chunk_id", dot(F.col("embedding"), F.col("query")).alias("score"))
         top = ranked(scored, k)
         out = top if out is None else out.unionByName(top)
     return out
@@ -47,48 +54,60 @@ def term_statistics(docs: DataFrame) -> DataFrame:
     return df.join(F.broadcast(n)).select("term", "df", F.round(F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = TOP_K, where: Column | None = None, pad: bool = False) -> DataFrame:
+def postings(docs: DataFrame, words=None) -> DataFrame:
+    """(chunk_id, text) to chunk_id, term, tf, size: one row for each distinct word of a chunk. words: how a text is cut; tokens by default."""
+    cut = (words or tokens)(F.col("text"))
+    rows = docs.select("chunk_id", cut.alias("words")).withColumn("size", F.size("words"))
+    return rows.select("chunk_id", "size", F.explode("words").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size"))
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int = TOP_K, where: Column | None = None, pad: bool = False, words=None) -> DataFrame:
     """BM25 top-k of (query_id, query) over (chunk_id, text); distinct query terms; blank questions give nothing.
 
     Only words of the questions are kept from the texts before anything is shuffled. pad: fill lists up
-    to k with chunks of score 0, by chunk_id.
+    to k with chunks of score 0, by chunk_id. words: how texts are cut (tokens, or stemmed).
     """
-    rows = (docs.filter(where) if where is not None else docs).select("chunk_id", tokens(F.col("text")).alias("words"))
+    cut = words or tokens
+    rows = (docs.filter(where) if where is not None else docs).select("chunk_id", cut(F.col("text")).alias("words"))
     whole = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(cut(F.col("query")))).alias("term"))
     wanted = asked.select("term").distinct()
     tf = rows.select("chunk_id", F.size("words").alias("size"), F.explode("words").alias("term")).join(wanted, "term").groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    scored = asked.join(tf.join(df, "term").join(F.broadcast(whole)), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
-    out = ranked(scored, k)
+    out = bm25_scored(asked, tf, tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), whole, k)
     if pad:
         first = rows.select("chunk_id").orderBy("chunk_id").limit(2 * k)
-        blank = queries.filter(F.size(tokens(F.col("query"))) > 0).select("query_id").join(F.broadcast(first)).join(out, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", F.lit(0.0).alias("score"))
+        blank = queries.filter(F.size(cut(F.col("query"))) > 0).select("query_id").join(F.broadcast(first)).join(out, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", F.lit(0.0).alias("score"))
         out = ranked(out.select("query_id", "chunk_id", "score").unionByName(blank), k)
     return out
 
 
-def overlap(queries: DataFrame, docs: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Top-k by the share of a question's distinct words that stand in a chunk."""
-    asked, words = _asked_and_words(queries, docs)
+def bm25_scored(asked: DataFrame, tf: DataFrame, df: DataFrame, whole: DataFrame, k: int) -> DataFrame:
+    """Top-k from postings (term, chunk_id, tf, size), document counts (term, df) and the collection's one row (n, mean)."""
+    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    scored = asked.join(tf.join(df, "term").join(F.broadcast(whole)), "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+    return ranked(scored, k)
+
+
+def overlap(queries: DataFrame, docs: DataFrame | None, k: int = TOP_K, posts: DataFrame | None = None) -> DataFrame:
+    """Top-k by the share of a question's distinct words that stand in a chunk; posts: written postings (chunk_id, term) in place of texts."""
+    asked, words = _asked_and_words(queries, docs, posts)
     scored = asked.join(words, "term").groupBy("query_id", "chunk_id").agg((F.count(F.lit(1)) / F.first("n")).alias("score"))
     return ranked(scored, k)
 
 
-def overlap_of(shortlist: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+def overlap_of(shortlist: DataFrame, queries: DataFrame, docs: DataFrame | None, posts: DataFrame | None = None) -> DataFrame:
     """The shortlist's query_id, chunk_id and rank with the overlap of each pair (other), 0 where no word is shared; no other pair is scored."""
-    asked, words = _asked_and_words(queries, docs)
+    asked, words = _asked_and_words(queries, docs, posts)
     pairs = shortlist.select("query_id", "chunk_id", "rank").join(asked, "query_id").join(words.withColumn("hit", F.lit(1)), ["chunk_id", "term"], "left")
-    return pairs.groupBy("query_id", "chunk_id", "rank").agg(F.round(F.count("hit") / F.first("n"), 6).alias("other"))
+    return pairs.groupBy("query_id", "chunk_id", "rank").agg((F.count("hit") / F.first("n")).alias("other"))
 
 
-def _asked_and_words(queries: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _asked_and_words(queries: DataFrame, docs: DataFrame | None, posts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """query_id, n, term of the questions' distinct words, and chunk_id, term where these stand."""
     asked = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("terms")).filter("size(terms) > 0").select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
-    words = docs.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).join(asked.select("term").distinct(), "term")
-    return asked, words
+    words = posts.select("chunk_id", "term") if posts is not None else docs.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    return asked, words.join(asked.select("term").distinct(), "term", "left_semi")
 
 
 def fuse(lists: dict[str, DataFrame], k: int = TOP_K, rrf_k: int = RRF_K, weights: dict[str, float] | None = None) -> DataFrame:
@@ -132,3 +151,40 @@ def to_documents(lists: DataFrame, doc: Column, depth: int = EVAL_DEPTH) -> Data
 def accumulated(hops: DataFrame, k: int = TOP_K) -> DataFrame:
     """The union of several hops' lists (query_id, hop, chunk_id, score): the best score of each chunk."""
     return ranked(hops.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.count_distinct("hop").alias("n_hops")), k)
+
+
+def llm_routed(queries: DataFrame, lexical, semantic, generator) -> DataFrame:
+    """As routed(), by a generator's word: LEXICAL in its reply; an error or any other reply is semantic."""
+    from ..providers import generated
+
+    asked = generated(queries, ROUTE_SYSTEM, F.concat(F.lit("Question: "), F.col("query"), F.lit("\n\nRoute:")), generator, 8)
+    flag = asked.withColumn("lexical", F.contains(F.upper(F.coalesce("reply.text", F.lit(""))), F.lit("LEXICAL"))).drop("reply")
+    return lexical(flag.filter("lexical").drop("lexical")).withColumn("route", F.lit(1.0)).unionByName(semantic(flag.filter("not lexical").drop("lexical")).withColumn("route", F.lit(0.0)))
+
+
+ROUTE_SYSTEM = "Decide how to search for the question. Reply LEXICAL if it names an exact identifier, number or string, and SEMANTIC otherwise."
+
+
+def overlap_count(a: DataFrame, b: DataFrame) -> DataFrame:
+    """How many chunks of each question two lists share."""
+    return a.select("query_id", "chunk_id").join(b.select("query_id", "chunk_id"), ["query_id", "chunk_id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two lists by question and rank: query_id, rank, left_id, right_id; null where one is shorter."""
+    return a.select("query_id", "rank", F.col("chunk_id").alias("left_id")).join(b.select("query_id", "rank", F.col("chunk_id").alias("right_id")), ["query_id", "rank"], "full_outer")
+
+
+def first_rank_of(lists: DataFrame, docs: DataFrame, fragment: Column) -> DataFrame:
+    """The first rank at which a chunk's text holds a fragment (a column of lists or docs); questions without one are left out."""
+    return lists.join(docs, "chunk_id").filter(F.contains(F.col("text"), fragment)).groupBy("query_id").agg(F.min("rank").alias("first_rank"))
+
+
+def cosines(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """Cosines of a stated set (query_id, query) with all vectors: query_id, chunk_id, cosine; vectors need not have length 1."""
+    out = None
+    for q in blocks_of(queries):
+        norm = F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(dot(F.col("query"), F.col("query")))
+        one = vectors.join(F.broadcast(q), F.lit(True)).select("query_id", "chunk_id", F.when(norm > 0, dot(F.col("embedding"), F.col("query")) / norm).alias("cosine"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -1,22 +1,38 @@
 """The registered queries of the retrieval engine, with their SQL.
 
 benchmark items are the questions, documents that contain an item's text are relevant to it, and
-embeddings stand for vectors of chunks. Every query runs over its whole tables.
+embeddings stand for vectors of chunks. Every query runs over its whole tables. Searches by vector take as
+questions every row whose id is divisible by 100. Chunks and lexical indexes are written once for each input
+path and application, and read by the queries that need them.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .. import providers as P
 from ..functions import text as X
-from ..operators import chunk, context, graph, metrics, retrieve as R
+from ..operators import answer, chunk, context, graph, metrics, retrieve as R, transform
 from ..session import table
 from ..sources import store
 from ..streaming.ingest import event_windows
 from . import oracles
 
-#: Query vectors, and entities of the graph queries: small stated question sets.
-N_QUERIES = 50
+#: Rows whose id is divisible by this are the questions of a search.
+EVERY = 100
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def _once(s, d, name, write):
+    """The path under which something made from the tables of d lies; it is written when first asked for."""
+    key = (s.sparkContext.applicationId, d, name)
+    if key not in _written:
+        path = f"{store.workspace(s)}/{name}-{uuid.uuid4().hex}"
+        write(path)
+        _written[key] = path
+    return _written[key]
 
 
 def _docs(s, d):
@@ -31,20 +47,40 @@ def _vectors(s, d):
     return table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
 
 
+def _asked(s, d):
+    """number: 0, 1, 2, ... of the questions."""
+    return table(s, d, "embeddings").filter(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.floor(F.col("vec_id") / EVERY).alias("number"))
+
+
 def _queries(s, d):
-    return table(s, d, "embeddings").filter(F.col("vec_id") < N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return _asked(s, d).drop("number")
 
 
 def _dense(s, d, k=5, where=None):
     return R.dense(_queries(s, d), _vectors(s, d), k, where)
 
 
-def _bm25(s, d, k=5):
-    return R.bm25(_questions(s, d), _docs(s, d), k)
+def _index(s, d, name, rows):
+    def write(path):
+        store.Bm25Table(s, path, X.tokens).build(rows())
+
+    return store.Bm25Table(s, _once(s, d, name, write), X.tokens)
+
+
+def _doc_index(s, d):
+    return _index(s, d, "doc_index", lambda: _docs(s, d))
+
+
+def _posts(s, d):
+    return s.read.parquet(f"{_doc_index(s, d).path}/postings")
+
+
+def _bm25(s, d, k=5, questions=None):
+    return _doc_index(s, d).search(_questions(s, d) if questions is None else questions, k)
 
 
 def _overlap(s, d, k=5):
-    return R.overlap(_questions(s, d), _docs(s, d), k)
+    return R.overlap(_questions(s, d), None, k, _posts(s, d))
 
 
 def _lists(s, d, k=20):
@@ -52,11 +88,13 @@ def _lists(s, d, k=20):
 
 
 def _golden(s, d):
-    """query_id, kind, relevant: documents that contain the item. A stated question set against all rows, in one pass."""
-    items = _questions(s, d)
-    found = _docs(s, d).join(F.broadcast(items), F.contains(F.col("text"), F.col("query"))).groupBy("query_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("relevant"))
+    """query_id, kind, relevant: documents that contain the item. A stated question set, in blocks, against all rows."""
+    items, out = _questions(s, d), None
+    for q in R.blocks_of(items):
+        one = _docs(s, d).join(F.broadcast(q), F.contains(F.col("text"), F.col("query"))).groupBy("query_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("relevant"))
+        out = one if out is None else out.unionByName(one)
     rel = F.coalesce("relevant", F.expr("cast(array() as array<bigint>)"))
-    return items.join(found, "query_id", "left").select("query_id", rel.alias("relevant"), F.when(F.size(rel) == 0, "unanswerable").when(F.size(rel) > 1, "multi").otherwise("single").alias("kind"))
+    return items.join(out, "query_id", "left").select("query_id", rel.alias("relevant"), F.when(F.size(rel) == 0, "unanswerable").when(F.size(rel) > 1, "multi").otherwise("single").alias("kind"))
 
 
 def _results(s, d):
@@ -66,13 +104,19 @@ def _results(s, d):
     return metrics.per_question(_golden(s, d).join(arrays, "query_id", "left").withColumn("retrieved", F.coalesce("retrieved", none)))
 
 
+def _other_results(s, d):
+    lists = metrics.ranked_arrays(R.to_documents(_overlap(s, d, 20), F.col("chunk_id")))
+    return metrics.per_question(_golden(s, d).join(lists, "query_id"))
+
+
 def _chunks(s, d):
-    return chunk.fixed(table(s, d, "documents"))
+    return s.read.parquet(_once(s, d, "chunks", lambda path: chunk.fixed(table(s, d, "documents")).write.parquet(path)))
 
 
 def _hits(s, d):
-    c = _chunks(s, d).select("doc_id", "chunk_id", "text", "start_char", "end_char")
-    return R.bm25(_questions(s, d), c.select("chunk_id", "text"), 15).join(c.drop("text"), "chunk_id")
+    c = _chunks(s, d).select("doc_id", "chunk_id", "start_char", "end_char")
+    index = _index(s, d, "chunk_index", lambda: _chunks(s, d).select("chunk_id", "text"))
+    return index.search(_questions(s, d), 15).join(c, "chunk_id")
 
 
 def _mentions(s, d):
@@ -99,7 +143,7 @@ def content_sha(s, d):
 
 
 def chunk_fixed(s, d):
-    return _chunks(s, d).select("doc_id", "chunk_id", "chunk_index", "start_char", "end_char", F.md5("text").alias("text_md5"))
+    return chunk.fixed(table(s, d, "documents")).select("doc_id", "chunk_id", "chunk_index", "start_char", "end_char", F.md5("text").alias("text_md5"))
 
 
 def chunk_stats(s, d):
@@ -164,7 +208,7 @@ def _turns(s, d):
 
 
 def variants_fusion(s, d):
-    asked = table(s, d, "embeddings").filter(F.col("vec_id") < 3 * N_QUERIES).select(F.floor(F.col("vec_id") / 3).alias("q"), (F.col("vec_id") % 3).cast("int").alias("variant"), F.col("embedding").alias("query"), F.col("vec_id").alias("query_id"))
+    asked = _asked(s, d).select("query_id", "query", F.floor(F.col("number") / 3).alias("q"), (F.col("number") % 3).cast("int").alias("variant"))
     lists = R.dense(asked.select("query_id", "query"), _vectors(s, d), 10).join(asked.select("query_id", "q", "variant"), "query_id")
     return R.fuse_variants(lists.select(F.col("q").alias("query_id"), "variant", "chunk_id", "score", "rank"))
 
@@ -175,7 +219,7 @@ def variant_clean(s, d):
 
 
 def rerank_overlap(s, d):
-    short = R.overlap_of(_bm25(s, d, 10), _questions(s, d), _docs(s, d))
+    short = R.overlap_of(_bm25(s, d, 10), _questions(s, d), None, _posts(s, d))
     return R.rerank(short, F.col("other"), 5).select("query_id", "chunk_id", "score", "rank", "rank_before", "moved")
 
 
@@ -233,13 +277,16 @@ def ceiling_flag(s, d):
 
 
 def near_misses(s, d):
-    return _results(s, d).filter("n_relevant > 0 and (first_rank is null or first_rank > 3)").select("query_id", "first_rank", F.when(F.col("first_rank").isNull(), "absent").otherwise("near miss").alias("what"))
+    """Of the documents by BM25 for a question's first three words: which miss."""
+    few = _questions(s, d).select("query_id", F.array_join(F.slice(X.tokens(F.col("query")), 1, 3), " ").alias("query"))
+    arrays = metrics.ranked_arrays(R.to_documents(_bm25(s, d, 20, few), F.col("chunk_id")))
+    none = F.expr("cast(array() as array<bigint>)")
+    return metrics.misses(metrics.per_question(_golden(s, d).join(arrays, "query_id", "left").withColumn("retrieved", F.coalesce("retrieved", none))))
 
 
 def run_compare(s, d):
     a = _results(s, d).select(F.lit("bm25").alias("run"), "query_id", F.col("recall_at_5").alias("recall"))
-    lists = metrics.ranked_arrays(R.to_documents(_overlap(s, d, 20), F.col("chunk_id")))
-    b = metrics.per_question(_golden(s, d).join(lists, "query_id")).filter("n_relevant > 0").select(F.lit("overlap").alias("run"), "query_id", F.col("recall_at_5").alias("recall"))
+    b = _other_results(s, d).filter("n_relevant > 0").select(F.lit("overlap").alias("run"), "query_id", F.col("recall_at_5").alias("recall"))
     return metrics.compared(a.unionByName(b))
 
 
@@ -257,8 +304,7 @@ def crag_split(s, d):
 
 
 def _blocks(s, d):
-    p = _hits(s, d).filter("rank <= 5").join(_chunks(s, d).select("chunk_id", "text"), "chunk_id").join(table(s, d, "documents").select("doc_id", "source"), "doc_id")
-    return context.blocks(p.select("query_id", "rank", "doc_id", "text", F.col("source").alias("title")))
+    return context.blocks(_passages(s, d))
 
 
 def context_budget(s, d):
@@ -271,7 +317,7 @@ def prompt_build(s, d):
 
 
 def citations_extract(s, d):
-    t = table(s, d, "documents").select("doc_id", F.concat(F.lit("As [1] and ["), (F.col("doc_id") % 7).cast("string"), F.lit(", 3] say: "), F.substring("text", 1, 40), F.lit(" [2][1] [x] ["), (F.col("n_chars") % 11).cast("string"), F.lit("]")).alias("answer"))
+    t = table(s, d, "documents").select("doc_id", F.concat(F.lit("As [1] and ["), (F.col("doc_id") % 7).cast("string"), F.lit(", 3] say: "), F.col("text"), F.lit(" [2][1] [x] ["), (F.col("n_chars") % 11).cast("string"), F.lit("]")).alias("answer"))
     return t.select("doc_id", F.array_join(F.transform(F.filter(X.citations(F.col("answer")), lambda x: x.between(1, 5)), lambda x: x.cast("string")), ",").alias("cited"))
 
 
@@ -304,13 +350,13 @@ def graph_stats(s, d):
 
 
 def graph_retrieve_1hop(s, d):
-    seeds = s.range(1, N_QUERIES + 1).select(F.col("id").alias("query_id"), F.col("id").alias("entity"))
+    seeds = table(s, d, "lineitem").filter(F.col("l_partkey") % EVERY == 0).select(F.col("l_partkey").alias("query_id"), F.col("l_partkey").alias("entity")).distinct()
     return graph.walk(seeds, _edges(s, d), _mentions(s, d), hops=1)
 
 
 def multihop_accumulate(s, d):
-    turns = table(s, d, "embeddings").filter(F.col("vec_id") < 2 * N_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    lists = R.dense(turns, _vectors(s, d), 8).select(F.floor(F.col("query_id") / 2).alias("query_id"), (F.col("query_id") % 2).alias("hop"), "chunk_id", "score")
+    number = F.col("query_id") / EVERY
+    lists = _dense(s, d, 8).select(F.floor(number / 2).alias("query_id"), (number.cast("long") % 2).alias("hop"), "chunk_id", "score")
     return R.accumulated(lists)
 
 
@@ -350,6 +396,207 @@ def windows_of_events(s, d):
     return event_windows(table(s, d, "events")).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
 
 
+def entity_frequency(s, d):
+    return graph.frequencies(table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("entity")))
+
+
+def most_common_entities(s, d):
+    return graph.frequencies(table(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.concat_ws("-", "source", "lang").alias("entity")), 12)
+
+
+def graph_seeds(s, d):
+    """Words of the questions whose id is divisible by 10, as entities, sought in all questions."""
+    names = _questions(s, d).filter("query_id % 10 = 0").select(F.explode(X.tokens(F.col("query"))).alias("entity")).filter("length(entity) > 4")
+    return graph.seeds(_questions(s, d), names)
+
+
+def teaching_chunks(s, d):
+    return chunk.teaching_fixed(table(s, d, "documents"), 512, 64).select("doc_id", "chunk_index", F.md5("text").alias("text_md5"))
+
+
+def chunk_subset(s, d):
+    """Documents of chunks among the labelled ones that are not labelled."""
+    return chunk.outside(_chunks(s, d), table(s, d, "labels"))
+
+
+def list_overlap_count(s, d):
+    return R.overlap_count(_bm25(s, d, 10), _overlap(s, d, 10))
+
+
+def lists_side_by_side(s, d):
+    return R.side_by_side(_bm25(s, d, 5), _overlap(s, d, 5))
+
+
+def first_rank_of_fragment(s, d):
+    asked = _questions(s, d).select("query_id", F.substring("query", 1, 20).alias("fragment"))
+    return R.first_rank_of(_bm25(s, d, 20).join(asked, "query_id"), _docs(s, d), F.col("fragment"))
+
+
+def cosine_matrix(s, d):
+    out = R.cosines(_vectors(s, d), _queries(s, d))
+    return out.withColumn("cosine", F.round("cosine", 6))
+
+
+def saturated_kinds(s, d):
+    return metrics.saturated(_results(s, d), 0.5)
+
+
+def generation_means(s, d):
+    return metrics.generation_means(judge_groundedness(s, d))
+
+
+def run_totals(s, d):
+    return metrics.run_totals(table(s, d, "events").select((F.col("event_id") % 997).alias("ms"), F.col("value").cast("double").alias("cost_usd")))
+
+
+def router_agreement(s, d):
+    t = table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+    a = t.select("query_id", F.when(X.looks_lexical(F.col("text")), "lexical").otherwise("semantic").alias("route"))
+    b = t.select("query_id", F.when(F.length("text") < 200, "lexical").otherwise("semantic").alias("route"))
+    return metrics.agreement(a, b)
+
+
+def shortlist_crosstab(s, d):
+    short = _bm25(s, d, 10)
+    after = R.rerank(R.overlap_of(short, _questions(s, d), None, _posts(s, d)), F.col("other"), 10)
+    return metrics.shortlist_crosstab(short.select("query_id", F.col("chunk_id").alias("doc")), after.select("query_id", F.col("chunk_id").alias("doc"), "rank"), _golden(s, d))
+
+
+def described_lengths(s, d):
+    return metrics.described(table(s, d, "documents"), "lang", "n_chars")
+
+
+def heads_per_group(s, d):
+    return metrics.heads(table(s, d, "documents").select("lang", "doc_id", "n_chars"), "lang", [F.desc("n_chars"), "doc_id"])
+
+
+def run_matrix(s, d):
+    runs = metrics.summary(_results(s, d)).select(F.lit("bm25").alias("run"), "kind", "recall_at_5").unionByName(metrics.summary(_other_results(s, d)).select(F.lit("overlap").alias("run"), "kind", "recall_at_5"))
+    return metrics.matrix(runs, ["bm25", "overlap"])
+
+
+def moved_questions(s, d):
+    return metrics.moved(_results(s, d), _other_results(s, d))
+
+
+def passages_spread(s, d):
+    return metrics.spread(_hits(s, d).join(_chunks(s, d).select("chunk_id", "text"), "chunk_id"))
+
+
+def refusals_by_config(s, d):
+    best = context.gate(_overlap(s, d), _questions(s, d)).join(_golden(s, d), "query_id").withColumn("config", F.explode(F.array(F.lit(0.5), F.lit(0.8))))
+    return metrics.refusals_by_config(best.select("config", (F.size("relevant") > 0).alias("answerable"), (F.col("best_score") < F.col("config")).alias("refused")))
+
+
+def hash_embedding(s, d):
+    v = P.hash_vector(F.col("text"))
+    return table(s, d, "documents").select("doc_id", F.round(v[0], 6).alias("v0"), F.round(v[7], 6).alias("v7"), F.round(v[15], 6).alias("v15"))
+
+
+def embedded_search(s, d):
+    """Texts of questions and documents through an embedder, then a search."""
+    e = P.HashEmbedder()
+    docs = P.embedded(_docs(s, d), F.col("text"), e).select("chunk_id", "embedding")
+    return R.dense(P.embedded(_questions(s, d), F.col("query"), e, "v", query=True).select("query_id", F.col("v").alias("query")), docs)
+
+
+def vector_table_search(s, d):
+    """A table that is filled, upserted and opened again."""
+
+    def write(path):
+        t = store.get_store(s, "plain", path, 64 if len(_vectors(s, d).first()["embedding"]) == 64 else None)
+        t.add(_vectors(s, d).withColumn("label", F.lit(-1)))
+        t.add(_vectors(s, d))
+
+    return store.VectorTable(s, _once(s, d, "vector_table", write)).search(_queries(s, d), 5, F.col("label") == 3)
+
+
+def payload_round_trip(s, d):
+    flat = table(s, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    return store.from_payload(store.payload(flat, "doc_id"), {"lang": "string", "source": "string", "n_chars": "bigint"})
+
+
+def transform_rewrite(s, d):
+    made = P.RuleGenerator(default='  "Short query"\nand more')
+    return transform.rewrite(_questions(s, d), made).select("query_id", F.array_join("variants", "|").alias("variants"))
+
+
+def transformed_retrieval(s, d):
+    """Questions with a broader one beside them, fused."""
+    made = P.RuleGenerator(default="the of and in")
+    return transform.transformed(_questions(s, d), lambda q, k: _bm25(s, d, k, q), transform.step_back, made).select("query_id", "chunk_id", "score", "rank", "n_variants")
+
+
+def identity_retrieval(s, d):
+    return transform.transformed(_questions(s, d), lambda q, k: _bm25(s, d, k, q), transform.identity).select("query_id", "chunk_id", "score", "rank", "n_variants")
+
+
+def multihop_loop(s, d):
+    """One further search, the same for all; asked for again, it ends the loop."""
+    lists, _ = answer.multi_hop(_questions(s, d), lambda q, k: _bm25(s, d, k, q), _docs(s, d), P.RuleGenerator(default='SEARCH: "the of and in"\nplease'))
+    return lists
+
+
+def multihop_trace(s, d):
+    _, trace = answer.multi_hop(_questions(s, d), lambda q, k: _bm25(s, d, k, q), _docs(s, d), P.RuleGenerator(default='SEARCH: "the of and in"\nplease'))
+    return trace.select("query_id", "hops", F.array_join("queries", "|").alias("queries"), "stopped_because")
+
+
+def _passages(s, d):
+    p = _hits(s, d).filter("rank <= 5").join(_chunks(s, d).select("chunk_id", "text"), "chunk_id").join(table(s, d, "documents").select("doc_id", "source"), "doc_id")
+    return p.select("query_id", "rank", "score", "chunk_id", "doc_id", "text", F.col("source").alias("title"))
+
+
+def answers_generated(s, d):
+    return answer.answered(_questions(s, d), _passages(s, d), P.EchoGenerator(), 2500).select("query_id", "answer", "prompt_chars", "n_contexts")
+
+
+def answers_cited(s, d):
+    said = _questions(s, d).select("query_id", F.concat(F.lit("It is so [2][1], as [9] and ["), (F.col("query_id") % 5 + 1).cast("string"), F.lit("] say.")).alias("answer"))
+    return answer.cited(said, _passages(s, d)).select("query_id", "place", "rank", "chunk_id")
+
+
+def answers_gated(s, d):
+    lists = _overlap(s, d)
+    docs = lists.join(_docs(s, d), "chunk_id").select("query_id", "rank", "chunk_id", F.col("chunk_id").alias("doc_id"), "text", F.lit("").alias("title"))
+    return answer.gated_answers(_questions(s, d), docs, lists, P.EchoGenerator(), 0.9).select("query_id", "abstained", (F.col("input_tokens") > 0).alias("generated"), "n_contexts")
+
+
+def crag_answers(s, d):
+    """Verdicts by a grader that finds one phrase ambiguous and one question's passages wrong."""
+    grader = P.RuleGenerator(("Question: Th", 'Well {"verdict": "ambiguous", "confidence": 2}'), ("Question: A", '{"verdict": "Incorrect", "confidence": "0.7", "reason": "off"}'), default="no json")
+    docs = _docs(s, d).select("chunk_id", F.col("chunk_id").alias("doc_id"), "text", F.lit("").alias("title"))
+    out = answer.corrected(_questions(s, d), lambda q, k: _bm25(s, d, k, q), lambda x: x.join(docs, "chunk_id"), P.EchoGenerator(), grader, 3)
+    return out.select("query_id", "verdict", "confidence", "widened", "n_contexts", (F.col("answer") == answer.REFUSAL).alias("refused"))
+
+
+def batch_by_id(s, d):
+    asked = table(s, d, "conversations").select(F.col("conv_id").cast("string").alias("custom_id"), F.when(F.col("conv_id") % 3 == 0, "fail").otherwise("tell").alias("prompt"))
+    made = P.RuleGenerator(("fail", ValueError("no")), default="told")
+    return P.batch_replies(asked, "", made)
+
+
+def stemmed_terms(s, d):
+    return table(s, d, "documents").select("doc_id", F.size(X.stemmed(F.col("text"))).alias("n_terms"), F.md5(F.array_join(X.stemmed(F.col("text")), " ")).alias("terms_md5"))
+
+
+def serialised_results(s, d):
+    return store.serialised(_passages(s, d)).select("query_id", F.size(F.from_json("results", "array<struct<rank:int,chunk_id:string,score:double>>")).alias("n"))
+
+
 _HELPERS = {"table", "event_windows"}
-QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and not k.startswith("_") and k not in _HELPERS and getattr(f, "__module__", "") == __name__}
+#: Columns that are rounded to 6 places in what a query returns.
+_ROUNDED = {"score", "best_score"}
+
+
+def _shown(f):
+    def run(s, d):
+        df = f(s, d)
+        return df.select(*(F.round(c, 6).alias(c) if c in _ROUNDED and kind == "double" else c for c, kind in df.dtypes))
+
+    run.__name__, run.__doc__ = f.__name__, f.__doc__
+    return run
+
+
+QUERIES = {k: _shown(f) for k, f in list(globals().items()) if callable(f) and not k.startswith("_") and k not in _HELPERS and getattr(f, "__module__", "") == __name__}
 ORACLES = oracles.ORACLES

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import REFUSAL_MARKERS
+from ..functions.text import IDENTIFIERS, REFUSAL_MARKERS, STOP_WORDS
 
 _WORD = r"[\p{L}\p{N}_]{2,}"
 
@@ -17,17 +17,17 @@ chunks AS (SELECT doc_id, CAST(start_char / 448 AS INT) AS chunk_index, printf('
 
 def _rank(k: int | None, ties: str = "chunk_id", source: str = "scored") -> str:
     cut = f" WHERE rank <= {k}" if k else ""
-    return f"(SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {ties}) AS rank FROM (SELECT * REPLACE (round(score, 6) AS score) FROM {source})){cut})"
+    return f"(SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, {ties}) AS rank FROM {source}){cut})"
 
 
-def _bm25(k: int, table: str = "(SELECT doc_id AS chunk_id, text FROM documents)", p: str = "b") -> str:
+def _bm25(k: int, table: str = "(SELECT doc_id AS chunk_id, text FROM documents)", p: str = "b", name: str = "bm25", asked: str = "(SELECT item_id AS query_id, text FROM benchmark)") -> str:
     return f"""{p}t AS (SELECT chunk_id, {_tok('text')} AS w FROM {table}),
 {p}m AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM {p}t),
-{p}q AS (SELECT DISTINCT item_id AS query_id, unnest({_tok('text')}) AS term FROM benchmark),
+{p}q AS (SELECT DISTINCT query_id, unnest({_tok('text')}) AS term FROM {asked}),
 {p}f AS (SELECT term, chunk_id, count(*) AS tf, any_value(size) AS size FROM (SELECT chunk_id, len(w) AS size, unnest(w) AS term FROM {p}t) WHERE term IN (SELECT term FROM {p}q) GROUP BY ALL),
 {p}d AS (SELECT term, count(*) AS df FROM {p}f GROUP BY term),
 {p}s AS (SELECT query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean))) AS score FROM {p}q JOIN {p}f USING (term) JOIN {p}d USING (term), {p}m GROUP BY ALL),
-bm25 AS {_rank(k, source=p + 's')}"""
+{name} AS {_rank(k, source=p + 's')}"""
 
 
 def _overlap(k: int | None) -> str:
@@ -38,11 +38,8 @@ os AS (SELECT query_id, chunk_id, count(*) / any_value(n) AS score FROM oe JOIN
 overlap AS {_rank(k, source='os')}"""
 
 
-_DENSE_ALL = "ds AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings v WHERE q.vec_id < {n} AND v.vec_id <> q.vec_id{more})"
-
-
-def _dense(k: int, n: int = 50, more: str = "") -> str:
-    return _DENSE_ALL.format(n=n, more=more) + f", dense AS {_rank(k, source='ds')}"
+def _dense(k: int, more: str = "") -> str:
+    return f"ds AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0{more}), dense AS {_rank(k, source='ds')}"
 
 
 _GOLDEN = """gf AS (SELECT item_id AS query_id, list_sort(list_distinct(list(doc_id))) AS relevant FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id),
@@ -75,13 +72,7 @@ def _rrf(k: int = 60, wa: float = 1.0, wb: float = 1.0, name: str = "fused") ->
 {name} AS {_rank(5, "first, chunk_id", name + "_s")}"""
 
 
-_IDS = {
-    "config_key": r"\b[A-Z][A-Z0-9]*_[A-Z0-9_]+\b",
-    "ticket": r"\b[A-Z]{2,}-[0-9]+\b",
-    "version": r"\bv?[0-9]+\.[0-9]+(?:\.[0-9]+)?\b",
-    "status": r"(?i)\b(?:status|code|port|error)\s+[0-9]+\b",
-    "call": r"\b[a-z_]+\([a-z_,\s]*\)",
-}
+_IDS = IDENTIFIERS
 _LEXICAL = " OR ".join(f"regexp_matches(text, '{p}')" for p in _IDS.values())
 _WHICH = "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in _IDS.items()) + " END"
 _EDGES = """often AS (SELECT l_partkey AS e FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_orderkey) >= 2),
@@ -94,6 +85,29 @@ _KINDS = "SELECT {kind} AS kind, count(*) AS n, round(avg(recall_at_1), 4) AS re
 _REFUSED = " OR ".join("contains(lower(t), '" + m.replace("'", "''") + "')" for m in REFUSAL_MARKERS)
 _JT = "list_distinct(regexp_extract_all(lower({c}), '[a-z0-9][a-z0-9\\-_.]*'))"
 
+_FEW = f"(SELECT item_id AS query_id, array_to_string({_tok('text')}[1:3], ' ') AS text FROM benchmark)"
+_FIXED = "(SELECT item_id AS query_id, 'the of and in' AS text FROM benchmark)"
+_STRIP = "regexp_replace({x}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+_OVER = "rs AS (SELECT b.query_id, b.chunk_id, o.score, b.rank AS rank_before FROM bm25 b JOIN overlap o ON o.query_id = b.query_id AND o.chunk_id = b.chunk_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, rank_before) AS rank FROM rs)"
+_HASHED = "[CAST('0x' || substr(sha256(lower({t})), CAST((i % 32) * 2 + 1 AS INT), 2) AS INT) / 255.0 FOR i IN range(16)]"
+
+
+def _unit(t: str) -> str:
+    v = _HASHED.format(t=t)
+    return f"[x / sqrt(list_sum([y * y FOR y IN {v}])) FOR x IN {v}]"
+
+
+def _stem(w: str) -> str:
+    for find, put in ((r"^(\w{2,})ies$", r"\1y"), (r"^(\w{2,}(?:ss|sh|ch|x|z))es$", r"\1"), (r"^(\w{2,}[^s\W])s$", r"\1"), (r"^(\w{3,}?)(?:ingly|edly|ing|ed|ly)$", r"\1")):
+        w = f"regexp_replace({w}, '{find}', '{put}')"
+    return w
+
+
+def _line(x: str) -> str:
+    plain = _STRIP.format(x="regexp_replace(" + _STRIP.format(x=x) + ", '^\\s*(?:[-*•]|[0-9]+[.)])\\s*', '')")
+    return _STRIP.format(x=f"regexp_replace({plain}, '^\"+|\"+$', '', 'g')")
+
+
 ORACLES = {
     "doc_scan_filter": "SELECT doc_id, lang, source, n_chars FROM documents WHERE lang = 'en' AND n_chars > 1000",
     "doc_title": "WITH h AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '[\\s\\p{Z}]+', ' ', 'g')) AS t FROM pages) SELECT page_id, CASE WHEN t <> '' THEN t ELSE translate(regexp_extract(url, '([^/]*)/?$', 1), '-_', '  ') END AS title FROM h",
@@ -111,9 +125,9 @@ ORACLES = {
     "rrf_fusion": f"WITH {_bm25(20)}, {_overlap(20)}, {_rrf()} SELECT * FROM fused",
     "rrf_weighted": f"WITH {_bm25(20)}, {_overlap(20)}, {_rrf(60, 2.0, 0.5)} SELECT * FROM fused",
     "rrf_k_sweep": f"WITH {_bm25(20)}, {_overlap(20)}, " + ", ".join(_rrf(k, name=f"f{k}") for k in (1, 10, 60, 200)) + " " + " UNION ALL ".join(f"SELECT {k} AS rrf_k, query_id, chunk_id, score, rank FROM f{k}" for k in (1, 10, 60, 200)),
-    "variants_fusion": f"WITH {_dense(10, 150)}, vs AS (SELECT query_id // 3 AS query_id, chunk_id, sum(1 / (60 + rank)) AS score, min((query_id % 3) * 1000 + rank) AS first FROM dense GROUP BY ALL), r AS {_rank(5, 'first, chunk_id', 'vs')} SELECT query_id, chunk_id, score, rank, 3 AS n_variants FROM r",
-    "rerank_overlap": f"WITH {_bm25(10)}, {_overlap(None)}, rs AS (SELECT b.query_id, b.chunk_id, o.score, b.rank AS rank_before FROM bm25 b JOIN overlap o ON o.query_id = b.query_id AND o.chunk_id = b.chunk_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank_before) AS rank FROM rs) SELECT query_id, chunk_id, score, rank, rank_before, rank_before - rank AS moved FROM r WHERE rank <= 5",
-    "rerank_movement": f"WITH {_bm25(10)}, {_overlap(None)}, rs AS (SELECT b.query_id, b.chunk_id, o.score, b.rank AS rank_before FROM bm25 b JOIN overlap o ON o.query_id = b.query_id AND o.chunk_id = b.chunk_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank_before) AS rank FROM rs) SELECT rank_before - rank AS moved, count(*) AS n FROM r WHERE rank <= 5 GROUP BY 1",
+    "variants_fusion": f"WITH {_dense(10)}, n AS (SELECT query_id // 300 AS q, count(DISTINCT query_id) AS n FROM dense GROUP BY 1), vs AS (SELECT query_id // 300 AS query_id, chunk_id, CASE WHEN any_value(n) = 1 THEN max(score) ELSE sum(1 / (60 + rank)) END AS score, min((query_id // 100 % 3) * 1000 + rank) AS first, any_value(n) AS n_variants FROM dense JOIN n ON q = query_id // 300 GROUP BY ALL), r AS {_rank(5, 'first, chunk_id', 'vs')} SELECT query_id, chunk_id, r.score, rank, n_variants FROM r JOIN vs USING (query_id, chunk_id)",
+    "rerank_overlap": f"WITH {_bm25(10)}, {_overlap(None)}, rs AS (SELECT b.query_id, b.chunk_id, o.score, b.rank AS rank_before FROM bm25 b JOIN overlap o ON o.query_id = b.query_id AND o.chunk_id = b.chunk_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, rank_before) AS rank FROM rs) SELECT query_id, chunk_id, score, rank, rank_before, rank_before - rank AS moved FROM r WHERE rank <= 5",
+    "rerank_movement": f"WITH {_bm25(10)}, {_overlap(None)}, rs AS (SELECT b.query_id, b.chunk_id, o.score, b.rank AS rank_before FROM bm25 b JOIN overlap o ON o.query_id = b.query_id AND o.chunk_id = b.chunk_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, rank_before) AS rank FROM rs) SELECT rank_before - rank AS moved, count(*) AS n FROM r WHERE rank <= 5 GROUP BY 1",
     "depth_sweep": f"WITH {_bm25(50)}, {_GOLDEN}, h AS (SELECT g.query_id, min(b.rank) AS best FROM golden g LEFT JOIN bm25 b ON b.query_id = g.query_id AND list_contains(g.relevant, b.chunk_id) WHERE len(g.relevant) > 0 GROUP BY 1) SELECT depth, round(avg(CASE WHEN best <= depth THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM h, (SELECT unnest([3, 5, 10, 25, 50]) AS depth) GROUP BY 1",
     "route_lexical": f"SELECT conv_id, turn, {_LEXICAL} AS lexical, {_WHICH} AS pattern FROM conversations",
     "route_crosstab": f"SELECT role, count(*) FILTER ({_LEXICAL}) AS lexical, count(*) FILTER (NOT ({_LEXICAL})) AS semantic FROM conversations GROUP BY 1",
@@ -123,25 +137,65 @@ ORACLES = {
     "metrics_per_question": f"WITH {_bm25(20)}, {_GOLDEN}, {_results()} SELECT * FROM results",
     "metrics_by_kind": f"WITH {_bm25(20)}, {_GOLDEN}, {_results()} {_KINDS.format(kind='kind')} UNION ALL {_KINDS.format(kind=chr(39) + 'ALL' + chr(39))}",
     "ceiling_flag": f"WITH {_bm25(20)}, {_GOLDEN}, {_results()} SELECT count(*) AS n, coalesce(round(avg(recall_at_1), 4) >= 0.95 AND round(avg(recall_at_3), 4) >= 0.95 AND round(avg(recall_at_5), 4) >= 0.95, false) AS ceiling_reached FROM results WHERE n_relevant > 0",
-    "near_misses": f"WITH {_bm25(20)}, {_GOLDEN}, {_results()} SELECT query_id, first_rank, CASE WHEN first_rank IS NULL THEN 'absent' ELSE 'near miss' END AS what FROM results WHERE n_relevant > 0 AND (first_rank IS NULL OR first_rank > 3)",
+    "near_misses": f"WITH {_bm25(20, asked=_FEW)}, {_GOLDEN}, {_results()} SELECT query_id, first_rank, CASE WHEN first_rank IS NULL THEN 'absent' ELSE 'near miss' END AS what FROM results WHERE n_relevant > 0 AND (first_rank IS NULL OR first_rank > 3)",
     "run_compare": f"WITH {_bm25(20)}, {_overlap(20)}, {_GOLDEN}, {_results()}, {_results('other', 'overlap', 'JOIN')}, u AS (SELECT 'bm25' AS run, query_id, recall_at_5 AS recall FROM results UNION ALL SELECT 'overlap', query_id, recall_at_5 FROM other WHERE n_relevant > 0) SELECT run, count(*) AS n, round(avg(recall), 4) AS recall FROM u WHERE query_id IN (SELECT query_id FROM u GROUP BY 1 HAVING count(DISTINCT run) = 2) GROUP BY 1",
     "abstain_gate": f"WITH {_GATE} SELECT * FROM gate",
     "threshold_sweep": f"WITH {_GATE}, {_GOLDEN} SELECT CAST(threshold AS DOUBLE) AS threshold, count(*) FILTER (best_score < threshold AND len(relevant) = 0) AS caught, count(*) FILTER (best_score < threshold AND len(relevant) > 0) AS wrongly_refused FROM gate JOIN golden USING (query_id), (SELECT unnest([0.5, 0.6, 0.7, 0.9]) AS threshold) GROUP BY 1",
     "crag_split": f"WITH {_GATE} SELECT CASE WHEN best_score >= 0.9 THEN 'correct' WHEN best_score >= 0.5 THEN 'ambiguous' ELSE 'incorrect' END AS verdict, count(*) AS n FROM gate GROUP BY 1",
     "context_budget": f"WITH {_BLOCKS} SELECT query_id, count(*) AS n_blocks, CAST(max(used) AS BIGINT) AS used FROM used WHERE used <= 1500 GROUP BY 1",
-    "prompt_build": f"WITH {_BLOCKS}, c AS (SELECT query_id, count(*) AS n_blocks, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM used WHERE used <= 2500 GROUP BY 1), p AS (SELECT item_id AS query_id, coalesce(n_blocks, 0) AS n_blocks, CASE WHEN context IS NULL THEN 'No context passages were retrieved.' || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Say that the corpus contains nothing relevant to this question.' ELSE 'Context passages:' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Question: ' || text END AS prompt FROM benchmark LEFT JOIN c ON c.query_id = item_id) SELECT query_id, n_blocks, length(prompt) AS chars, md5(prompt) AS prompt_md5 FROM p",
+    "prompt_build": f"WITH {_BLOCKS}, c AS (SELECT query_id, count(*) AS n_blocks, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM used WHERE used <= 2500 GROUP BY 1), p AS (SELECT item_id AS query_id, coalesce(n_blocks, 0) AS n_blocks, CASE WHEN context IS NULL THEN 'No context passages were retrieved.' || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Say that the corpus contains nothing relevant to this question.' ELSE 'Context passages:' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || 'Answer:' END AS prompt FROM benchmark LEFT JOIN c ON c.query_id = item_id) SELECT query_id, n_blocks, length(prompt) AS chars, md5(prompt) AS prompt_md5 FROM p",
     "judge_groundedness": f"WITH {_bm25(1)}, {_GOLDEN}, a AS (SELECT b.query_id, i.text AS t, {_JT.format(c='i.text')} AS a, {_JT.format(c='d.text')} AS c, [substring(i.text, 1, 12), 'no such words'] AS expected, len(relevant) > 0 AS answerable FROM bm25 b JOIN documents d ON d.doc_id = b.chunk_id JOIN benchmark i ON i.item_id = b.query_id JOIN golden g ON g.query_id = b.query_id) SELECT query_id, CASE WHEN answerable THEN round(CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, c)) / len(a) END, 3) ELSE CAST(({_REFUSED}) AS DOUBLE) END AS groundedness, CASE WHEN answerable THEN round(len([x FOR x IN expected IF contains(lower(t), lower(x))]) / len(expected), 3) ELSE CAST(({_REFUSED}) AS DOUBLE) END AS relevance, CASE WHEN NOT answerable THEN CAST(({_REFUSED}) AS DOUBLE) END AS correct_refusal FROM a",
     "refusal_detect": f"WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text || ' The passage Does Not Mention it.' ELSE text END AS t FROM conversations) SELECT conv_id, turn, {_REFUSED} AS refused FROM c",
-    "citations_extract": "WITH a AS (SELECT doc_id, 'As [1] and [' || (doc_id % 7) || ', 3] say: ' || substring(text, 1, 40) || ' [2][1] [x] [' || (n_chars % 11) || ']' AS answer FROM documents), n AS (SELECT doc_id, flatten([string_split(replace(m, ' ', ''), ',') FOR m IN regexp_extract_all(answer, '\\[([0-9]+(?:\\s*,\\s*[0-9]+)*)\\]', 1)]) AS l FROM a), o AS (SELECT doc_id, [CAST(x AS INT) FOR x, i IN l IF list_position(l, x) = i] AS l FROM n) SELECT doc_id, array_to_string([x FOR x IN l IF x BETWEEN 1 AND 5], ',') AS cited FROM o",
+    "citations_extract": "WITH a AS (SELECT doc_id, 'As [1] and [' || (doc_id % 7) || ', 3] say: ' || text || ' [2][1] [x] [' || (n_chars % 11) || ']' AS answer FROM documents), n AS (SELECT doc_id, flatten([string_split(replace(m, ' ', ''), ',') FOR m IN regexp_extract_all(answer, '\\[([0-9]+(?:\\s*,\\s*[0-9]+)*)\\]', 1)]) AS l FROM a), o AS (SELECT doc_id, [CAST(x AS INT) FOR x, i IN l IF list_position(l, x) = i] AS l FROM n) SELECT doc_id, array_to_string([x FOR x IN l IF x BETWEEN 1 AND 5], ',') AS cited FROM o",
     "cooccurrence_edges": f"WITH {_EDGES} SELECT * FROM edges",
     "hub_prune": f"WITH {_EDGES} SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS n FROM edges) WHERE n <= 3",
     "graph_stats": f"WITH {_EDGES}, d AS (SELECT src, count(*) AS degree FROM edges GROUP BY 1) SELECT count(*) AS entities, CAST(floor(sum(degree) / 2) AS BIGINT) AS edges, round(avg(degree), 4) AS mean_degree, max(degree) AS max_degree FROM d",
-    "graph_retrieve_1hop": f"WITH {_EDGES}, near AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS n FROM edges) WHERE n <= 10), r AS (SELECT i AS query_id, i AS entity, 0 AS distance FROM range(1, 51) t(i) UNION ALL SELECT DISTINCT i, dst, 1 FROM range(1, 51) t(i) JOIN near ON src = i WHERE dst <> i), g AS (SELECT query_id, l_orderkey AS chunk_id, sum(1 / (1 + distance)) AS score FROM r JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) ON l_partkey = entity GROUP BY ALL), x AS {_rank(5, source='g')} SELECT * FROM x",
-    "multihop_accumulate": f"WITH {_dense(8, 100)}, g AS (SELECT query_id // 2 AS query_id, chunk_id, max(score) AS score, count(DISTINCT query_id % 2) AS n_hops FROM dense GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM g) SELECT query_id, chunk_id, score, n_hops, rank FROM x WHERE rank <= 5",
+    "graph_retrieve_1hop": f"WITH {_EDGES}, near AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS n FROM edges) WHERE n <= 10), t AS (SELECT DISTINCT l_partkey AS i FROM lineitem WHERE l_partkey % 100 = 0), r AS (SELECT i AS query_id, i AS entity, 0 AS distance FROM t UNION ALL SELECT DISTINCT i, dst, 1 FROM t JOIN near ON src = i WHERE dst <> i), g AS (SELECT query_id, l_orderkey AS chunk_id, sum(1 / (1 + distance)) AS score FROM r JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) ON l_partkey = entity GROUP BY ALL), x AS {_rank(5, source='g')} SELECT * FROM x",
+    "multihop_accumulate": f"WITH {_dense(8)}, g AS (SELECT query_id // 200 AS query_id, chunk_id, max(score) AS score, count(DISTINCT query_id) AS n_hops FROM dense GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, chunk_id) AS rank FROM g) SELECT query_id, chunk_id, score, n_hops, rank FROM x WHERE rank <= 5",
     "cost_accounting": "WITH u AS (SELECT (['large', 'small', 'mid'])[conv_id % 3 + 1] AS model, length(text) AS n, turn FROM conversations), p AS (SELECT * FROM (VALUES ('large', 5.0, 25.0), ('small', 1.0, 5.0), ('mid', 2.0, 10.0)) t(model, i, o)) SELECT model, count(*) AS n, round(sum((n * i + CASE WHEN turn = 0 THEN n ELSE 0 END * i * 1.25 + CASE WHEN turn > 0 THEN n ELSE 0 END * i * 0.1 + (n // 4) * o) / 1e6), 6) AS cost_usd FROM u JOIN p USING (model) GROUP BY 1",
     "ingest_cost_model": f"WITH {_CHUNKS} SELECT CAST(sum(CASE WHEN chunk_index = 0 THEN n_chars ELSE 0 END) AS BIGINT) AS written, CAST(sum(CASE WHEN chunk_index = 0 THEN 0 ELSE n_chars END) AS BIGINT) AS read_again FROM chunks JOIN documents USING (doc_id)",
     "upsert_chunks": "SELECT doc_id AS chunk_id, md5(text) AS sha FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'new' || quality FROM labels",
     "cache_misses_anti_join": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "quality_slices": "SELECT lang, quality, count(*) AS n, CAST(sum(toxic) AS BIGINT) AS toxic, max(n_chars) AS longest FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2",
     "windows_of_events": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "variant_clean": f"WITH l AS (SELECT conv_id, turn, [x FOR x IN [{_line('y')} FOR y IN string_split_regex(text, '\\r\\n|\\n|\\r')] IF length(x) >= 8 AND NOT ends_with(x, ':')][1:4] AS lines FROM conversations WHERE role = 'user') SELECT conv_id, turn, len(lines) AS n_lines, coalesce(lines[1], '') AS first_line FROM l",
+    "json_tolerant_parse": "WITH r AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'Sure: ' || props || ' done' ELSE props END AS raw FROM events) SELECT event_id, (CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.k') ELSE json_extract_string(nullif(regexp_extract(raw, '(?s)\\{.*?\\}'), ''), '$.k') END) IS NOT NULL AS has_k, length(raw) AS chars FROM r",
+    "entity_frequency": "SELECT lower(source) AS entity, count(*) AS n FROM documents GROUP BY 1",
+    "most_common_entities": "SELECT lower(concat_ws('-', source, lang)) AS entity, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, entity LIMIT 12",
+    "graph_seeds": f"WITH e AS (SELECT DISTINCT unnest({_tok('text')}) AS entity FROM benchmark WHERE item_id % 10 = 0) SELECT item_id AS query_id, entity FROM benchmark, e WHERE length(entity) > 4 AND contains(lower(text), entity)",
+    "teaching_chunks": "WITH c AS (SELECT doc_id, text, unnest(range(0, length(text), 448)) AS a FROM documents WHERE length(text) > 0) SELECT doc_id, CAST(a / 448 AS INT) AS chunk_index, md5(substring(text, CAST(a AS INT) + 1, 512)) AS text_md5 FROM c",
+    "chunk_subset": f"WITH {_CHUNKS} SELECT DISTINCT doc_id FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "list_overlap_count": f"WITH {_bm25(10)}, {_overlap(10)} SELECT b.query_id, count(*) AS shared FROM bm25 b JOIN overlap o ON o.query_id = b.query_id AND o.chunk_id = b.chunk_id GROUP BY 1",
+    "lists_side_by_side": f"WITH {_bm25(5)}, {_overlap(5)} SELECT query_id, rank, b.chunk_id AS left_id, o.chunk_id AS right_id FROM bm25 b FULL JOIN overlap o USING (query_id, rank)",
+    "first_rank_of_fragment": f"WITH {_bm25(20)} SELECT b.query_id, min(b.rank) AS first_rank FROM bm25 b JOIN documents d ON d.doc_id = b.chunk_id JOIN benchmark i ON i.item_id = b.query_id WHERE contains(d.text, substring(i.text, 1, 20)) GROUP BY 1",
+    "cosine_matrix": "SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) AS cosine FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id % 100 = 0) q, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS b FROM embeddings) v",
+    "saturated_kinds": f"WITH {_bm25(20)}, {_GOLDEN}, {_results()} SELECT kind, round(avg(recall_at_3), 4) AS recall_at_3 FROM results WHERE kind <> 'unanswerable' GROUP BY 1 HAVING round(avg(recall_at_3), 4) >= 0.5",
+    "run_totals": "SELECT round(avg(event_id % 997), 1) AS ms, round(sum(value), 6) AS cost_usd FROM events",
+    "router_agreement": f"SELECT CASE WHEN {_LEXICAL} THEN 'lexical' ELSE 'semantic' END AS a_route, CASE WHEN length(text) < 200 THEN 'lexical' ELSE 'semantic' END AS b_route, count(*) AS n FROM conversations GROUP BY 1, 2",
+    "shortlist_crosstab": f"WITH {_bm25(10)}, {_overlap(None)}, {_GOLDEN}, {_OVER}, g AS (SELECT query_id, unnest(relevant) AS doc FROM golden) SELECT in_shortlist, in_top, count(*) AS n FROM (SELECT g.query_id, bool_or(r.rank IS NOT NULL) AS in_shortlist, bool_or(coalesce(r.rank <= 3, false)) AS in_top FROM g LEFT JOIN r ON r.query_id = g.query_id AND r.chunk_id = g.doc GROUP BY 1) GROUP BY 1, 2",
+    "described_lengths": "SELECT lang, count(n_chars) AS n, round(avg(n_chars), 4) AS mean, min(n_chars) AS least, median(n_chars) AS median, max(n_chars) AS most, grouping(lang) = 1 AS total FROM documents GROUP BY ROLLUP (lang)",
+    "heads_per_group": "SELECT lang, doc_id, n_chars FROM (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 2",
+    "moved_questions": f"WITH {_bm25(20)}, {_overlap(20)}, {_GOLDEN}, {_results()}, {_results('other', 'overlap', 'JOIN')} SELECT query_id, a.first_rank AS before, b.first_rank AS after FROM results a FULL JOIN other b USING (query_id) WHERE a.first_rank IS DISTINCT FROM b.first_rank",
+    "passages_spread": f"WITH {_HITS} SELECT h.query_id, count(DISTINCT h.doc_id) AS n_docs, CAST(sum(length(c.text)) AS BIGINT) AS chars FROM hits h JOIN chunks c ON c.chunk_id = h.chunk_id WHERE h.rank <= 5 GROUP BY 1",
+    "refusals_by_config": f"WITH {_GATE}, {_GOLDEN}, a AS (SELECT config, len(relevant) > 0 AS answerable, CAST(best_score < config AS INT) AS refused FROM gate JOIN golden USING (query_id), (SELECT CAST(unnest([0.5, 0.8]) AS DOUBLE) AS config)) SELECT config, count(*) AS n, round(avg(CASE WHEN NOT answerable THEN refused END), 4) AS correct_refusal, round(avg(CASE WHEN answerable THEN refused END), 4) AS false_refusal FROM a GROUP BY 1",
+    "hash_embedding": f"SELECT doc_id, round(v[1], 6) AS v0, round(v[8], 6) AS v7, round(v[16], 6) AS v15 FROM (SELECT doc_id, {_unit('text')} AS v FROM documents)",
+    "embedded_search": f"WITH v AS (SELECT doc_id, {_unit('text')} AS v FROM documents), q AS (SELECT item_id, {_unit('text')} AS q FROM benchmark), es AS (SELECT item_id AS query_id, doc_id AS chunk_id, list_dot_product(CAST(v AS DOUBLE[]), CAST(q AS DOUBLE[])) AS score FROM q, v), x AS {_rank(5, source='es')} SELECT * FROM x",
+    "vector_table_search": f"WITH {_dense(5, ' AND v.label = 3')} SELECT * FROM dense",
+    "payload_round_trip": "SELECT doc_id, lang, source, n_chars FROM documents",
+    "transform_rewrite": "SELECT item_id AS query_id, text || '|Short query\"' AS variants FROM benchmark",
+    "transformed_retrieval": f"WITH {_bm25(10)}, {_bm25(10, p='f', name='fixed', asked=_FIXED)}, u AS (SELECT query_id, chunk_id, rank, 0 AS v FROM bm25 UNION ALL SELECT query_id, chunk_id, rank, 1 FROM fixed), g AS (SELECT query_id, chunk_id, sum(1 / (60 + rank)) AS score, min(v * 1000 + rank) AS first FROM u GROUP BY ALL), x AS {_rank(5, 'first, chunk_id', 'g')} SELECT *, 2 AS n_variants FROM x",
+    "identity_retrieval": f"WITH {_bm25(5)} SELECT *, 1 AS n_variants FROM bm25",
+    "multihop_loop": f"WITH {_bm25(5)}, {_bm25(5, p='f', name='fixed', asked=_FIXED)}, g AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT * FROM bm25 UNION ALL SELECT * FROM fixed) GROUP BY ALL), x AS {_rank(5, source='g')} SELECT * FROM x",
+    "multihop_trace": "SELECT item_id AS query_id, 2 AS hops, text || '|the of and in' AS queries, 'follow-up repeated an earlier query' AS stopped_because FROM benchmark",
+    "answers_generated": f"WITH {_BLOCKS}, c AS (SELECT query_id, sum(length(block) + 2) - 2 AS chars FROM used WHERE used <= 2500 GROUP BY 1), n AS (SELECT query_id, count(*) AS n FROM blocks GROUP BY 1), p AS (SELECT item_id AS query_id, CAST(CASE WHEN chars IS NULL THEN length('No context passages were retrieved.') + 2 + length('Question: ' || text) + 2 + length('Say that the corpus contains nothing relevant to this question.') ELSE length('Context passages:') + 2 + chars + 2 + length('Question: ' || text) + 2 + length('Answer:') END AS BIGINT) AS chars FROM benchmark LEFT JOIN c ON c.query_id = item_id) SELECT p.query_id, '[answer over ' || chars || ' prompt characters]' AS answer, chars AS prompt_chars, coalesce(n, 0) AS n_contexts FROM p LEFT JOIN n ON n.query_id = p.query_id",
+    "answers_cited": f"WITH {_HITS}, m AS (SELECT item_id AS query_id, unnest(list_distinct_in_order) AS rank, generate_subscripts(list_distinct_in_order, 1) - 1 AS place FROM (SELECT item_id, CASE WHEN item_id % 5 + 1 IN (1, 2) THEN [2, 1, 9] ELSE [2, 1, 9, item_id % 5 + 1] END AS list_distinct_in_order FROM benchmark)) SELECT h.query_id, m.place, h.rank, h.chunk_id FROM m JOIN hits h ON h.query_id = m.query_id AND h.rank = m.rank WHERE h.rank <= 5",
+    "answers_gated": f"WITH {_overlap(5)} SELECT item_id AS query_id, coalesce(best, 0) < 0.9 AS abstained, coalesce(best, 0) >= 0.9 AS generated, coalesce(n, 0) AS n_contexts FROM benchmark LEFT JOIN (SELECT query_id, max(score) AS best, count(*) AS n FROM overlap GROUP BY 1) o ON o.query_id = item_id",
+    "crag_answers": f"WITH {_bm25(3)}, {_bm25(9, p='w', name='wide')}, n AS (SELECT query_id, count(*) AS n FROM bm25 GROUP BY 1), m AS (SELECT query_id, count(*) AS m FROM wide GROUP BY 1), g AS (SELECT item_id AS query_id, coalesce(n, 0) AS n, coalesce(m, 0) AS m, CASE WHEN n IS NULL THEN 'incorrect' WHEN starts_with(text, 'Th') THEN 'ambiguous' WHEN starts_with(text, 'A') THEN 'incorrect' ELSE 'correct' END AS verdict, CASE WHEN n IS NULL THEN 1.0 WHEN starts_with(text, 'Th') THEN 1.0 WHEN starts_with(text, 'A') THEN 0.7 ELSE 0.0 END AS confidence FROM benchmark LEFT JOIN n ON n.query_id = item_id LEFT JOIN m ON m.query_id = item_id) SELECT query_id, verdict, CAST(confidence AS DOUBLE) AS confidence, verdict = 'ambiguous' AND m > 3 AS widened, CASE WHEN verdict = 'ambiguous' THEN m ELSE n END AS n_contexts, verdict = 'incorrect' AS refused FROM g",
+    "batch_by_id": "SELECT DISTINCT CAST(conv_id AS VARCHAR) AS custom_id, CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'told' END AS text FROM conversations",
+    "stemmed_terms": f"WITH t AS (SELECT doc_id, [{_stem('w')} FOR w IN {_tok('text')} IF w NOT IN {STOP_WORDS}] AS t FROM documents) SELECT doc_id, len(t) AS n_terms, md5(array_to_string(t, ' ')) AS terms_md5 FROM t",
+    "serialised_results": f"WITH {_HITS} SELECT query_id, count(*) AS n FROM hits WHERE rank <= 5 GROUP BY 1",
 }
+ORACLES["generation_means"] = f"SELECT count(*) AS n, round(avg(groundedness), 4) AS groundedness, round(avg(relevance), 4) AS relevance, round(avg(correct_refusal), 4) AS correct_refusal FROM ({ORACLES['judge_groundedness']})"
+ORACLES["run_matrix"] = "SELECT kind, max(CASE WHEN run = 'bm25' THEN r END) AS bm25, max(CASE WHEN run = 'overlap' THEN r END) AS overlap FROM (" + f"WITH {_bm25(20)}, {_overlap(20)}, {_GOLDEN}, {_results()}, {_results('other', 'overlap', 'JOIN')}, u AS (SELECT 'bm25' AS run, * FROM results UNION ALL SELECT 'overlap', * FROM other) SELECT run, kind, round(avg(recall_at_5), 4) AS r FROM u GROUP BY ALL UNION ALL SELECT run, 'ALL', round(avg(recall_at_5), 4) FROM u GROUP BY ALL" + ") GROUP BY 1"
+for _name, _column in ({"abstain_gate": "best_score"} | dict.fromkeys(("dense_topk", "dense_topk_prefilter", "bm25_topk", "rrf_fusion", "rrf_weighted", "rrf_k_sweep", "variants_fusion", "rerank_overlap", "graph_retrieve_1hop", "multihop_accumulate", "embedded_search", "vector_table_search", "transformed_retrieval", "identity_retrieval", "multihop_loop"), "score")).items():
+    ORACLES[_name] = f"SELECT * REPLACE (round({_column}, 6) AS {_column}) FROM ({ORACLES[_name]})"

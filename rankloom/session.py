@@ -31,6 +31,14 @@ class Settings:
             raise ValueError("top_k must be between 1 and 25")
 
 
+def check_request(question: str, k: int) -> None:
+    """What a service asks of a request: 1 to 2000 characters, 1 to 25 results."""
+    if not 1 <= len(question.strip()) <= 2000:
+        raise ValueError("a question has 1 to 2000 characters")
+    if not 1 <= k <= 25:
+        raise ValueError("k must be between 1 and 25")
+
+
 def session(cores: str | None = None, **conf: str) -> SparkSession:
     """A local session for tests and benches; on a cluster use the one that is there."""
     b = SparkSession.builder.master(f"local[{cores or os.environ.get('BENCH_CPUS', '8')}]").appName("rankloom")

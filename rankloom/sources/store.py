@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import json
 import math
+import re
+import tempfile
+import time
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import content_sha, strip, title
+from ..functions.text import content_sha, embed_text, stemmed, strip, title
 
 GOLDEN = "id string, question string, relevant array<string>, answer_contains array<string>, kind string"
 
@@ -23,33 +28,189 @@ def load_documents(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("title", title(F.col("text"), stem)).withColumn("content_sha", content_sha(F.col("text")))
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The path and its file system, whichever store it is in."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+_workspaces: dict[str, str] = {}
+
+
+def workspace(spark: SparkSession) -> str:
+    """A folder of this application below the shared one of spark.checkpoint.dir; a temporary one only where none is set."""
+    app = spark.sparkContext.applicationId
+    if app not in _workspaces:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="rankloom-")
+        _workspaces[app] = f"{base.rstrip('/')}/engine-{uuid.uuid4().hex}"
+    return _workspaces[app]
+
+
 class VectorTable:
-    """Rows (chunk_id, embedding, ...) as Parquet; upserts replace rows by id, each under a new version of the path."""
+    """Rows (chunk_id, embedding, doc_id, text, further columns) as Parquet, searched exactly by cosine.
+
+    Each change writes a new version next to the old one; a version counts once its success mark stands, so a
+    failed write is never read. Opening a path again finds the newest version.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, dimension: int | None = None):
+        self.spark, self.path, self.dimension = spark, path.rstrip("/"), dimension
+
+    def _numbers(self, whole: bool = True) -> list[int]:
+        p, fs = _hadoop(self.spark, self.path)
+        if not fs.exists(p):
+            return []
+        names = [(f.getPath().getName(), f.getPath()) for f in fs.listStatus(p)]
+        at = [(int(n[1:]), q) for n, q in names if n[:1] == "v" and n[1:].isdigit()]
+        jvm = self.spark.sparkContext._jvm
+        return sorted(n for n, q in at if not whole or fs.exists(jvm.org.apache.hadoop.fs.Path(q, "_SUCCESS")))
+
+    @property
+    def version(self) -> int:
+        return max(self._numbers(), default=0)
 
-    def __init__(self, spark: SparkSession, path: str, dimension: int):
-        self.spark, self.path, self.dimension, self.version = spark, path.rstrip("/"), dimension, 0
+    def _write(self, rows: DataFrame) -> None:
+        rows.write.parquet(f"{self.path}/v{max(self._numbers(False), default=0) + 1}")
 
     def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/v{self.version}") if self.version else None
+        v = self.version
+        rows = self.spark.read.parquet(f"{self.path}/v{v}") if v else None
+        return None if rows is None or "embedding" not in rows.columns else rows
 
     def add(self, rows: DataFrame) -> None:
-        checked = rows.withColumn("embedding", F.when(F.size("embedding") == self.dimension, F.col("embedding")).otherwise(F.raise_error(F.lit("wrong dimension"))))
-        old = self.read()
-        every = checked if old is None else upserted(old, checked)
-        every.write.parquet(f"{self.path}/v{self.version + 1}")
-        self.version += 1
-
-    def get(self, ids: DataFrame) -> DataFrame:
-        return self.read().join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        """Adds rows, replacing those of the same chunk_id; of new rows with one id any one stays."""
+        if self.dimension:
+            rows = rows.withColumn("embedding", F.when(F.size("embedding") == self.dimension, F.col("embedding")).otherwise(F.raise_error(F.lit("wrong dimension"))))
+        rows, old = rows.dropDuplicates(["chunk_id"]), self.read()
+        self._write(rows if old is None else upserted(old, rows))
+
+    def search(self, queries: DataFrame, k: int = 5, where: Column | None = None) -> DataFrame:
+        """Lists of k for (query_id, query vector); where is applied before the ranking. An empty table gives none."""
+        from ..operators.retrieve import dense
+
+        rows = self.read()
+        if rows is None:
+            return queries.sparkSession.createDataFrame([], "query_id long, chunk_id string, score double, rank int")
+        return dense(queries, rows, k, where)
+
+    def get(self, ids: DataFrame) -> DataFrame | None:
+        """The rows of these chunk_ids; None from an empty table."""
+        rows = self.read()
+        return None if rows is None else rows.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
 
     def count(self) -> int:
-        return 0 if not self.version else self.read().count()
+        rows = self.read()
+        return 0 if rows is None else rows.count()
 
     def reset(self) -> None:
-        self.version = 0
+        """Empties the table; what is added later starts anew."""
+        self._write(self.spark.createDataFrame([], "chunk_id string"))
+
+
+class PartitionedVectorTable(VectorTable):
+    """As VectorTable, dealt into folders by a column, so that a filter on it reads only its folders; the dimension must be given."""
+
+    def __init__(self, spark: SparkSession, path: str, dimension: int | None, by: str = "doc_id"):
+        if not dimension:
+            raise ValueError("a partitioned table needs its dimension")
+        super().__init__(spark, path, dimension)
+        self.by = by
+
+    def _write(self, rows: DataFrame) -> None:
+        out = rows.repartition(self.by) if self.by in rows.columns else rows
+        w = out.write.partitionBy(self.by) if self.by in rows.columns else out.write
+        w.parquet(f"{self.path}/v{max(self._numbers(False), default=0) + 1}")
+
+
+STORES = {"plain": VectorTable, "partitioned": PartitionedVectorTable}
+
+
+def get_store(spark: SparkSession, kind: str, path: str, dimension: int | None = None) -> VectorTable:
+    """A store by name; an unknown name is told which there are."""
+    if kind not in STORES:
+        raise ValueError(f"unknown store {kind!r}; there are: {', '.join(sorted(STORES))}")
+    return STORES[kind](spark, path, dimension)
+
+
+def payload(chunks: DataFrame, *own: str) -> DataFrame:
+    """Columns other than own as one map of strings, meta; nulls are left out."""
+    rest = [c for c in chunks.columns if c not in own]
+    pairs = F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in rest))
+    return chunks.select(*own, F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull())).alias("meta"))
+
+
+def from_payload(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """The columns of kinds (name and type) back from meta; null where a key is missing."""
+    return rows.select(*[c for c in rows.columns if c != "meta"], *(F.expr(f"try_cast(meta['{c}'] AS {kind})").alias(c) for c, kind in kinds.items()))
+
+
+class Bm25Table:
+    """A lexical index as three Parquet tables: postings (term, chunk_id, tf, size), terms (term, df) and the collection's one row (n, mean)."""
+
+    def __init__(self, spark: SparkSession, path: str, words=None):
+        self.spark, self.path, self.words, self.name = spark, path.rstrip("/"), words or stemmed, "bm25"
+
+    def build(self, chunks: DataFrame) -> None:
+        """Writes the index of (chunk_id, text), and of context where there is one: texts are cut once, the rest is read from what was written."""
+        from ..operators.retrieve import postings
+
+        text = embed_text(F.col("context"), F.col("text")) if "context" in chunks.columns else F.col("text")
+        rows = chunks.select("chunk_id", text.alias("text"))
+        postings(rows, self.words).repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/postings")
+        read = self.spark.read.parquet(f"{self.path}/postings")
+        read.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{self.path}/terms")
+        sizes = read.groupBy("chunk_id").agg(F.first("size").alias("size")).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("words"))
+        whole = rows.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(sizes)).select("n", (F.col("words") / F.when(F.col("n") == 0, 1).otherwise(F.col("n"))).alias("mean"))
+        if not whole.first()["n"]:
+            raise ValueError("an index over no chunks cannot be built")
+        whole.write.mode("overwrite").parquet(f"{self.path}/collection")
+
+    def load(self) -> bool:
+        """Whether all three tables can be read; if not, the index is to be built again."""
+        try:
+            for t, columns in (("postings", {"term", "chunk_id", "tf", "size"}), ("terms", {"term", "df"}), ("collection", {"n", "mean"})):
+                if not columns <= set(self.spark.read.parquet(f"{self.path}/{t}").columns):
+                    return False
+        except AnalysisException:
+            return False
+        return True
+
+    def search(self, queries: DataFrame, k: int = 5) -> DataFrame:
+        """Lists of k for (query_id, query). Only the questions' terms are read from the postings, which lie sorted by term."""
+        from ..operators.retrieve import bm25_scored
+
+        asked = queries.select("query_id", F.explode(F.array_distinct(self.words(F.col("query")))).alias("term"))
+        wanted = asked.select("term").distinct()
+        part = {t: self.spark.read.parquet(f"{self.path}/{t}") for t in ("postings", "terms", "collection")}
+        return bm25_scored(asked, part["postings"].join(wanted, "term", "left_semi"), part["terms"], part["collection"], k)
+
+
+class PrefixCache:
+    """Contexts by key (key, context) as Parquet, each batch of new rows in a folder of its own; a folder that cannot be read counts as empty."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def read(self) -> DataFrame:
+        empty = self.spark.createDataFrame([], "key string, context string")
+        p, fs = _hadoop(self.spark, self.path)
+        out = empty
+        for f in fs.listStatus(p) if fs.exists(p) else []:
+            try:
+                one = self.spark.read.parquet(f.getPath().toString())
+                out = out.unionByName(one.select("key", "context"))
+            except AnalysisException:
+                continue
+        return out.dropDuplicates(["key"])
+
+    def append(self, rows: DataFrame) -> None:
+        rows.select("key", "context").write.parquet(f"{self.path}/{uuid.uuid4().hex}")
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """old with the rows of new in place of those with the same key; of new rows with one key any one stays."""
+    new = new.dropDuplicates([key])
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
@@ -71,26 +232,43 @@ def shown(value: float | None) -> str:
 
 
 def report_row(label: str, summary: dict, at_ceiling: bool = False) -> str:
-    return "| " + " | ".join([label, *(shown(summary.get(k)) for k in ("recall_at_1", "recall_at_3", "recall_at_5", "mrr", "ndcg_at_5")), "⚠️ ceiling" if at_ceiling else ""]) + " |"
+    """A Markdown row; the cost stands in it only where the summary has one."""
+    cost = [f"${summary['cost_usd']:.4f}"] if summary.get("cost_usd") is not None else []
+    return "| " + " | ".join([label, *(shown(summary.get(k)) for k in ("recall_at_1", "recall_at_3", "recall_at_5", "mrr", "ndcg_at_5")), *cost, "⚠️ ceiling" if at_ceiling else ""]) + " |"
 
 
-def append_row(path: str, row: str, marker: str) -> None:
-    """Puts a row under the marker line of a Markdown file."""
+def append_row(path: str, row: str, marker: str, placeholder: str = "no runs yet") -> None:
+    """Puts a row under the marker line of a Markdown file, and drops the placeholder row."""
     with open(path, encoding="utf-8") as f:
         lines = f.read().split("\n")
     at = next((i for i, x in enumerate(lines) if marker in x), None)
     if at is None:
         raise ValueError(f"no {marker} in {path}")
     lines.insert(at + 1, row)
+    lines = [x for x in lines if not (x.startswith("|") and placeholder in x)]
     with open(path, "w", encoding="utf-8") as f:
         f.write("\n".join(lines))
 
 
-def write_run(results: DataFrame, path: str, run_id: str, config: dict) -> None:
-    """Per-question results as JSON lines, by run."""
-    results.withColumn("run_id", F.lit(run_id)).withColumn("config", F.lit(json.dumps(config))).write.mode("append").partitionBy("run_id").json(path)
+def run_name(label: str, at: float | None = None) -> str:
+    """A stamp and 48 characters of the label that fit a file name."""
+    slug = re.sub(r"[^a-z0-9]+", "-", label.lower()).strip("-")[:48]
+    return f"{time.strftime('%Y%m%d-%H%M%S', time.gmtime(at))}-{slug}"
+
+
+def write_run(results: DataFrame, path: str, label: str, config: dict, at: float | None = None) -> str:
+    """Per-question results as JSON lines, by run; returns the run's name."""
+    name = run_name(label, at)
+    results.withColumn("run_id", F.lit(name)).withColumn("config", F.lit(json.dumps(config))).write.mode("append").partitionBy("run_id").json(path)
+    return name
 
 
 def response(scores: Column) -> Column:
     """A scores map as JSON with 6 places."""
     return F.to_json(F.transform_values(scores, lambda _, v: F.round(v, 6)))
+
+
+def serialised(passages: DataFrame) -> DataFrame:
+    """One JSON list per question: rank, chunk_id, doc_id, title, text and score (6 places) of each passage."""
+    each = F.struct("rank", "chunk_id", "doc_id", "title", "text", F.round("score", 6).alias("score"))
+    return passages.groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list(each))).alias("results"))

@@ -2,32 +2,54 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import content_sha
 from ..operators import chunk
 
 
+def _known(spark: SparkSession, path: str, before: int) -> DataFrame | None:
+    """Hashes that batches before this one have written."""
+    try:
+        return spark.read.parquet(path).filter(F.col("batch") < before).select("doc_id", "content_sha")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+    return None
+
+
+def write_batch(df: DataFrame, number: int, path: str, size: int = 512, overlap: int = 64) -> None:
+    """Chunks the documents (doc_id, text) of a batch that no batch before it has seen. What it writes lies under its number, so that the same batch run again replaces it."""
+    new = df.withColumn("content_sha", content_sha(F.col("text"))).dropDuplicates(["doc_id", "content_sha"])
+    known = _known(df.sparkSession, f"{path}/hashes", number)
+    if known is not None:
+        new = new.join(known, ["doc_id", "content_sha"], "left_anti")
+    new = new.persist()
+    new.select("doc_id", "content_sha").write.mode("overwrite").parquet(f"{path}/hashes/batch={number}")
+    chunk.fixed(new, size, overlap).write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
+    new.unpersist()
+
+
 def ingest(stream: DataFrame, path: str, checkpoint: str, size: int = 512, overlap: int = 64):
-    """Chunks documents (doc_id, text) as they come; texts of which the hash is known already are skipped."""
-
-    def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        new = df.withColumn("content_sha", content_sha(F.col("text"))).dropDuplicates(["doc_id", "content_sha"])
-        known = None
-        try:
-            known = spark.read.parquet(f"{path}/hashes")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        if known is not None:
-            new = new.join(known, ["doc_id", "content_sha"], "left_anti")
-        new = new.persist()
-        chunk.fixed(new, size, overlap).withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{path}/chunks")
-        new.select("doc_id", "content_sha").write.mode("append").parquet(f"{path}/hashes")
-        new.unpersist()
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Chunks documents as they come; texts of which the hash is known already are skipped."""
+    return stream.writeStream.foreachBatch(lambda df, n: write_batch(df, n, path, size, overlap)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def events_of(contexts: list[dict], tokens, failed: str | None = None):
+    """The events of one answer, in order: contexts, a token each, and done; error in place of what could not be said."""
+    yield {"event": "contexts", "data": contexts}
+    try:
+        text = ""
+        for t in tokens:
+            text += t
+            yield {"event": "token", "data": t}
+        if failed:
+            raise RuntimeError(failed)
+    except Exception as e:  # the reader is told, and the stream ends
+        yield {"event": "error", "data": str(e)}
+        return
+    yield {"event": "done", "data": text}
 
 
 def event_windows(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
