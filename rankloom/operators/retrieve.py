@@ -22,9 +22,11 @@ def ranked(scored: DataFrame, k: int | None, *ties: str, by: str = "query_id") -
 
 
 def blocks_of(queries: DataFrame, most: int = BROADCAST_BYTES) -> list[DataFrame]:
-    """A stated question set as one block, or as several of about so many bytes. No job is run: the size is the plan's estimate."""
+    """A stated question set as one block, or as several of about so many bytes. A set that the plan knows to be small costs no job; else its bytes are summed."""
     size = int(str(queries._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = min(-(-size // most), 1000) or 1
+    if size > most:
+        size = queries.agg(F.sum(F.length(F.to_json(F.struct(*queries.columns)))).alias("n")).first()["n"] or 0
+    n = max(1, -(-size // most))
     return [queries] if n == 1 else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
 
 

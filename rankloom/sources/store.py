@@ -9,7 +9,8 @@ import tempfile
 import time
 import uuid
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import content_sha, embed_text, stemmed, strip, title
@@ -172,7 +173,7 @@ class Bm25Table:
             for t, columns in (("postings", {"term", "chunk_id", "tf", "size"}), ("terms", {"term", "df"}), ("collection", {"n", "mean"})):
                 if not columns <= set(self.spark.read.parquet(f"{self.path}/{t}").columns):
                     return False
-        except AnalysisException:
+        except (PySparkException, Py4JJavaError):
             return False
         return True
 
@@ -200,7 +201,7 @@ class PrefixCache:
             try:
                 one = self.spark.read.parquet(f.getPath().toString())
                 out = out.unionByName(one.select("key", "context"))
-            except AnalysisException:
+            except (PySparkException, Py4JJavaError):
                 continue
         return out.dropDuplicates(["key"])
 

@@ -54,5 +54,5 @@ def events_of(contexts: list[dict], tokens, failed: str | None = None):
 
 def event_windows(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
     """Tumbling windows by type; with a watermark on streams."""
-    rows = events.withWatermark("ts", late) if late else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
     return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
