@@ -33,7 +33,8 @@ class Rule(NamedTuple):
 RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18, True),
-    Rule("hex", r"[0-9a-f]+", 0, 16, True),
+    # whole runs of [0-9a-f] that are long enough: shorter ones, of which prose is full, are not listed first
+    Rule("hex", r"(?<![0-9a-f])[0-9a-f]{16,}", 0, 16, True),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 0, 40, False),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20, False),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40, False),
@@ -123,11 +124,6 @@ def _spans(text: Column, rule: Rule, number: int) -> Column:
     return F.transform(F.filter(every, lambda x: x["tested"] >= rule.least), lambda x: F.struct(x["at"].alias("at"), F.lit(number).alias("number"), x["end"].alias("end"), F.lit(rule.kind).alias("kind")))
 
 
-def _quick(rule: Rule) -> str:
-    """An expression that holds wherever the rule has a match long enough; for runs of one class, the run itself."""
-    return rule.pattern[:-1] + f"{{{rule.least},}}" if not rule.group and rule.pattern.count("[") == 1 and rule.pattern.startswith("[") else rule.pattern
-
-
 def scan(documents: DataFrame, rules=RULES) -> DataFrame:
     """One row per document: doc_id and secrets, an array of (at, number of the rule, end, kind) by place, then rule."""
     docs = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -136,7 +132,7 @@ def scan(documents: DataFrame, rules=RULES) -> DataFrame:
     none = F.expr("cast(array() as array<struct<at:int,number:int,end:int,kind:string>>)")
     parts = []
     for i, r in enumerate(rules):
-        test = F.col("text").rlike(_quick(r))
+        test = F.col("text").rlike(r.pattern)
         if trigram_query(r.pattern) is not None:
             test = (F.col("rules").bitwiseAND(F.lit(1 << i)) != 0) & test
         parts.append(F.when(test, _spans(F.col("text"), r, i)).otherwise(none))
