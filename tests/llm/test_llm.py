@@ -419,6 +419,39 @@ def test_parity_bitmaps_bound_what_is_apart():
     assert not jaccard_join.possible(jaccard_join.apart(*(np.frombuffer(jaccard_join.parities(r.integers(0, 1 << 63, 400).astype(np.uint64)), "<u8") for _ in range(2))), 400, 400)
 
 
+def test_pipeline_by_content(spark, tmp_path):
+    """Each stage's rows on texts with null and repeated ids, and run() against all of them."""
+    import corpus_pipeline
+
+    a, b, c, d, e = (prose(80) for _ in range(5))
+    near = lambda t: t + " extra words"
+    leak = prose(30) + " " + ITEM + " " + prose(30)
+    rows = [(1, a), (2, a.upper()), (None, b), (None, b), (7, c), (7, c), (8, d), (7, near(d)), (None, near(e)), (30, e), (None, near(b)), (11, "123 !!"), (None, "456 ??"), (None, ""), (12, leak), (None, leak + " more"), (13, "short but fine")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, ITEM), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    lettered = [r for r in rows if any(map(str.isalpha, r[1]))]
+    unique = [r for r in dict.fromkeys(lettered) if r != (1, a)]
+    apart = [r for r in unique if r not in ((7, near(d)), (None, near(e)), (None, near(b)), (None, b), (12, leak), (None, leak + " more"), (8, d))]
+    # of near texts the one with the smallest doc_id stays, null last; of two nulls any one
+    want = [lettered, unique, [*apart, (7, near(d)), (12, leak)], [*apart, (7, near(d))]]
+    now = docs
+    for (name, stage), expected in zip(corpus_pipeline.STAGES, want, strict=False):
+        now = corpus_pipeline.saved(stage(spark, now, str(tmp_path)), "stage")
+        assert now.columns == docs.columns
+        got = sorted(((r.doc_id, r.text) for r in now.collect()), key=key)
+        if name in ("n-gram Jaccard join", "benchmark decontamination"):
+            null_b = [r for r in got if r[1] in (b, near(b))]
+            assert len(null_b) == 1
+            got = [r for r in got if r not in null_b]
+        assert got == sorted(expected, key=key), name
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    pieces = Counter((r.doc_id, r.doc_tokens) for r in out.filter("start = 0").collect())
+    encode = Tokenizer.from_file(tokenizer_path())
+    assert sum(pieces.values()) == now.count() and set(pieces) >= {(i, len(encode.encode(t, add_special_tokens=False).ids) + 1) for i, t in want[-1]}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
