@@ -42,6 +42,10 @@ RULES = (
 )
 
 MANY = 64
+#: Bits used of a number that holds trigrams.
+WORD = 60
+#: Matches whose places are summed in one go.
+RUN = 256
 
 
 def _paths(tree) -> list[tuple[str, ...]]:
@@ -89,38 +93,59 @@ def vocabulary(rules=RULES) -> list[str]:
 def trigram_index(documents: DataFrame, rules=RULES) -> DataFrame:
     """Postings (trigram: its place in vocabulary(rules), doc_id)."""
     low = documents.select("doc_id", F.lower(F.col("text")).alias("low"))
-    have = [F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(vocabulary(rules))]
-    return low.select("doc_id", F.explode(F.array_compact(F.array(*have))).alias("trigram")).select("trigram", "doc_id")
+    have = F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(vocabulary(rules))]).cast("array<int>")
+    return low.select("doc_id", F.explode(F.array_compact(have)).alias("trigram")).select("trigram", "doc_id")
 
 
 def candidates(postings: DataFrame, rules=RULES) -> DataFrame:
-    """Intersects postings: doc_id and, per rule, whether its query holds (one bit each)."""
-    words = vocabulary(rules)
-    if len(words) > 63:
-        raise ValueError("more than 63 trigrams: use fewer rules in one pass")
-    seen = postings.groupBy("doc_id").agg(F.bit_or(F.expr("shiftleft(1L, trigram)")).alias("seen"))
+    """Intersects postings: doc_id and rules, the numbers of the rules whose query holds. Trigrams are kept as bits, WORD to a number."""
+    place = {t: i for i, t in enumerate(vocabulary(rules))}
+    held = [F.bit_or(F.expr(f"if(trigram div {WORD} = {w}, shiftleft(1L, trigram % {WORD}), 0L)")).alias(f"seen{w}") for w in range(len(place) // WORD + 1)]
+    seen = postings.groupBy("doc_id").agg(*held)
+
+    def all_of(trigrams: frozenset[str]) -> Column:
+        masks: dict[int, int] = {}
+        for t in trigrams:
+            w, bit = divmod(place[t], WORD)
+            masks[w] = masks.get(w, 0) | 1 << bit
+        return reduce(lambda a, b: a & b, [F.col(f"seen{w}").bitwiseAND(F.lit(m)) == F.lit(m) for w, m in sorted(masks.items())])
 
     def holds(rule: Rule) -> Column:
-        masks = [sum(1 << words.index(t) for t in q) for q in trigram_query(rule.pattern) or ()]
-        return reduce(lambda a, b: a | b, [F.col("seen").bitwiseAND(F.lit(m)) == F.lit(m) for m in masks], F.lit(False))
+        return reduce(lambda a, b: a | b, [all_of(q) for q in trigram_query(rule.pattern) or ()], F.lit(False))
 
-    bits = [F.when(holds(r), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(rules)]
-    return seen.select("doc_id", reduce(lambda a, b: a.bitwiseOR(b), bits).alias("rules")).filter("rules <> 0")
+    numbers = F.array(*[F.when(holds(r), F.lit(i)) for i, r in enumerate(rules)]).cast("array<int>")
+    return seen.select("doc_id", F.array_compact(numbers).alias("rules")).filter(F.size("rules") > 0)
+
+
+def _runs(rows: Column) -> Column:
+    """Matches in runs of RUN, each with the place where its first gap begins. rows stands in an array to be evaluated once, not for each run."""
+    runs = F.transform(F.array(rows), lambda r: F.transform(F.sequence(F.lit(0), ((F.size(r) - 1) / RUN).cast("int")), lambda i: F.slice(r, i * RUN + 1, RUN)))[0]
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<at:int,run:array<struct<gap:int,size:int,tested:int>>>>)").alias("all"))
+
+    def step(acc, run):
+        behind = F.aggregate(run, acc["at"], lambda at, x: at + x["gap"] + x["size"])
+        return F.struct(behind.alias("at"), F.concat(acc["all"], F.array(F.struct(acc["at"].alias("at"), run.alias("run")))).alias("all"))
+
+    return F.aggregate(runs, start, step, lambda acc: acc["all"])
 
 
 def _spans(text: Column, rule: Rule, number: int) -> Column:
-    """Array of (at, end, number, kind) of one rule: gaps between matches and the matches themselves give the places."""
+    """Array of (at, end, number, kind) of one rule: gaps between matches and the matches themselves give the places.
+
+    Places are running sums. Appending to one array for each match would take time by the square of their number, so
+    sums run within short runs of matches, and once over the runs.
+    """
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     tested = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
     gaps = F.split(text, rule.pattern, -1)
     rows = F.arrays_zip(F.transform(F.slice(gaps, 1, F.size(found)), F.length).alias("gap"), F.transform(found, F.length).alias("size"), F.transform(tested, F.length).alias("tested"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<at:int,end:int,tested:int>>)").alias("all"))
+    none = F.expr("cast(array() as array<struct<at:int,end:int,tested:int>>)")
 
     def step(acc, x):
         at = acc["at"] + x["gap"]
         return F.struct((at + x["size"]).alias("at"), F.concat(acc["all"], F.array(F.struct(at.alias("at"), (at + x["size"]).alias("end"), x["tested"].alias("tested")))).alias("all"))
 
-    every = F.aggregate(rows, start, step, lambda acc: acc["all"])
+    every = F.flatten(F.transform(_runs(rows), lambda r: F.aggregate(r["run"], F.struct(r["at"].alias("at"), none.alias("all")), step, lambda acc: acc["all"])))
     return F.transform(F.filter(every, lambda x: x["tested"] >= rule.least), lambda x: F.struct(x["at"].alias("at"), F.lit(number).alias("number"), x["end"].alias("end"), F.lit(rule.kind).alias("kind")))
 
 
@@ -128,13 +153,13 @@ def scan(documents: DataFrame, rules=RULES) -> DataFrame:
     """One row per document: doc_id and secrets, an array of (at, number of the rule, end, kind) by place, then rule."""
     docs = documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = candidates(trigram_index(docs, rules), rules).hint("shuffle_hash")
-    rows = docs.join(found, "doc_id", "left").withColumn("rules", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.coalesce("rules", F.lit(0))))
+    rows = docs.join(found, "doc_id", "left")
     none = F.expr("cast(array() as array<struct<at:int,number:int,end:int,kind:string>>)")
     parts = []
     for i, r in enumerate(rules):
         test = F.col("text").rlike(r.pattern)
         if trigram_query(r.pattern) is not None:
-            test = (F.col("rules").bitwiseAND(F.lit(1 << i)) != 0) & test
+            test = (F.col("doc_id").isNull() | F.coalesce(F.array_contains("rules", i), F.lit(False))) & test
         parts.append(F.when(test, _spans(F.col("text"), r, i)).otherwise(none))
     return rows.select("doc_id", F.array_sort(F.concat(*parts)).alias("secrets"))
 

@@ -224,6 +224,23 @@ def test_secrets_of_all_kinds_and_long_texts(spark):
     assert all(f"{r.kind}:" in got[4] for r in secrets.RULES)
 
 
+def test_secrets_in_great_number_and_many_rules(spark):
+    """More matches than one run, at its edges too, and more trigrams and rules than fit a number's bits."""
+    sizes = (secrets.RUN - 1, secrets.RUN, secrets.RUN + 1, 3 * secrets.RUN + 5)
+    texts = [" ".join(f"é token={'x' * (5 + j % 12)}" for j in range(n)) for n in sizes]
+    texts += ["".join(f"{chr(97 + j % 26)}q{chr(97 + j // 26)}z{j:03d} " for j in range(80)), "aqaz7 bqaz"]
+    rules = (*secrets.RULES, *(secrets.Rule(f"own{j}", f"{chr(97 + j % 26)}q{chr(97 + j // 26)}z[0-9]+", 0, 3, False) for j in range(80)))
+    assert len(secrets.vocabulary(rules)) > 126 and len(rules) > 63
+    want = [",".join(x for *_, x in sorted((m.start(), n, f"{r.kind}:{m.start()}:{m.end()}") for n, r in enumerate(rules) for m in re.finditer(r.pattern, t, re.A) if len(m[r.group]) >= r.least)) for t in texts]
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[0])], "doc_id long, text string")
+    found = {r.doc_id: ",".join(f"{x.kind}:{x.at}:{x.end}" for x in r.secrets) for r in secrets.scan(df).collect()}
+    assert found == {**{i: _base(t)[1] for i, t in enumerate(texts)}, None: want[0]}
+    postings = secrets.candidates(secrets.trigram_index(df, rules), rules)
+    holds = {r.doc_id: {rules[i].kind for i in r.rules} for r in postings.collect()}
+    assert all({x.split(":")[0] for x in w.split(",") if x} - {"hex"} <= holds[i] for i, w in enumerate(want)) and "own0" in holds[5] and "own79" not in holds[5]
+    assert secrets.candidates(secrets.trigram_index(df, secrets.RULES[2:3]), secrets.RULES[2:3]).count() == 0
+
+
 def test_trigram_queries():
     q = {r.kind: secrets.trigram_query(r.pattern) for r in secrets.RULES}
     assert q["hex"] is None and q["access"] == [frozenset({"aki", "kia"})] and frozenset({"tok", "oke", "ken"}) in q["assign"]
