@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, chunk_store, context_mixing, decontamination, exact_dedup, jaccard_join, language_id, licenses, packing, secrets
+from . import chat, chunk_store, context_mixing, decontamination, exact_dedup, golden_records, jaccard_join, language_id, licenses, packing, quality, secrets, vector_codes
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(_docs(spark, sf_dir))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_golden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden_records.golden(spark.read.parquet(f"{sf_dir}/clients.parquet"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chunk_store": op1_chunk_store,
     "op2_context_mixing": op2_context_mixing,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_chat": op9_chat,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_quality": op11_quality,
+    "op12_golden_records": op12_golden_records,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
@@ -72,4 +87,6 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.norm) AS text_sha256 FROM d JOIN g ON d.norm = g.norm
 """,
+    "op12_golden_records": golden_records.ORACLE,
+    "op13_vector_codes": vector_codes.oracle_sql(),
 }
