@@ -23,12 +23,16 @@ IDENTIFIERS = {
 #: Patterns of entities, most precise first; the group that holds the entity.
 ENTITIES = ((r"\b[A-Z][A-Z0-9]*_[A-Z0-9_]+\b", 0), (r"\b[A-Z]{2,}-[0-9]+\b", 0), (r"`([^`]{2,40})`", 1), (r"\b(?:BM25|RRF|HNSW|IVF|nDCG|MRR|OCR|HyDE|CRAG)\b", 0), (r"\b[A-Z][a-z]+(?:[ \t]+[A-Z][a-z]+){1,3}\b", 0))
 #: Words that no entity begins or ends with.
-STOP_ENTITIES = tuple(
-    "the this that a an it they there some most each both two three one when where which what why how if so and but for with without before after note hence then also only every any no not use used using do does doing is are was were be being".split()
-)
+STOP_ENTITIES = (
+    "the", "this", "that", "a", "an", "it", "they", "there", "some", "most", "each", "both", "two", "three", "one", "when", "where", "which", "what", "why", "how",
+    "if", "so", "and", "but", "for", "with", "without", "before", "after", "note", "hence", "then", "also", "only", "every", "any", "no", "not", "use", "used", "using",
+    "do", "does", "doing", "is", "are", "was", "were", "be", "being",
+)
 #: Separators of the recursive chunker, coarsest first.
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ", "")
 WORD = r"[\p{L}\p{N}_]{2,}"
+#: What stands around an entity and is not part of it; bullets and numbers before a query variant; marks of citations.
+AROUND_ENTITY, BULLET, CITATION = r"^[`.,;:()\[\]]+|[`.,;:()\[\]]+$", r"^\s*(?:[-*•]|[0-9]+[.)])\s*", r"\[([0-9]+(?:\s*,\s*[0-9]+)*)\]"
 
 
 def strip(c: Column) -> Column:
@@ -90,7 +94,7 @@ def looks_like_refusal(answer: Column) -> Column:
 def entities(text: Column, limit: int = 12) -> Column:
     """Typographically marked entities in pattern order, distinct without regard to case, the first `limit`."""
     every = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(g)) for p, g in ENTITIES))
-    clean = F.transform(every, lambda e: collapse(F.regexp_replace(strip(e), r"^[`.,;:()\[\]]+|[`.,;:()\[\]]+$", "")))
+    clean = F.transform(every, lambda e: collapse(F.regexp_replace(strip(e), AROUND_ENTITY, "")))
     fine = first_plausible(clean, None)
     first = F.filter(fine, lambda e, i: F.array_position(F.transform(fine, F.lower), F.lower(e)) == i + 1)
     return F.slice(first, 1, limit)
@@ -110,13 +114,13 @@ def first_plausible(phrases: Column, limit: int | None) -> Column:
 
 def clean_lines(raw: Column, limit: int = 4) -> Column:
     """Query variants from a model's reply: without bullets, numbers and quotes, not short, no headers."""
-    lines = F.transform(F.split(raw, r"\r\n|\n|\r"), lambda x: strip(F.regexp_replace(strip(F.regexp_replace(strip(x), r"^\s*(?:[-*•]|[0-9]+[.)])\s*", "")), r'^"+|"+$', "")))
+    lines = F.transform(F.split(raw, r"\r\n|\n|\r"), lambda x: strip(F.regexp_replace(strip(F.regexp_replace(strip(x), BULLET, "")), r'^"+|"+$', "")))
     return F.slice(F.filter(lines, lambda x: (F.length(x) >= 8) & ~x.endswith(":")), 1, limit)
 
 
 def citations(answer: Column) -> Column:
     """Numbers in [1], [2][4] or [1, 3] marks, in order, distinct."""
-    marks = F.regexp_extract_all(answer, F.lit(r"\[([0-9]+(?:\s*,\s*[0-9]+)*)\]"), F.lit(1))
+    marks = F.regexp_extract_all(answer, F.lit(CITATION), F.lit(1))
     return F.array_distinct(F.transform(F.flatten(F.transform(marks, lambda m: F.split(m, r"\s*,\s*"))), lambda x: x.cast("int")))
 
 

@@ -29,38 +29,39 @@ def is_heading(part: str) -> bool:
     return line.startswith("#") and "\n" not in line
 
 
-def _glued(parts: list[str], sep: str) -> list[str]:
-    """Headings joined to the part after them; those at the end stay as a part."""
-    if sep not in ("\n\n", "\n"):
-        return parts
-    out, waiting = [], []
-    for p in parts:
-        waiting.append(p)
-        if not is_heading(p):
-            out.append(sep.join(waiting))
-            waiting = []
-    return [*out, sep.join(waiting)] if waiting else out
-
-
-def _pieces(text: str, size: int, separators: tuple[str, ...]) -> list[str]:
-    """Parts of at most size characters along the coarsest separator, filled greedily; a part that is too long is cut by the finer ones, and filling begins anew after it."""
-    if len(text) <= size:
-        return [text] if text.strip() else []
-    sep, finer = (separators[0], separators[1:]) if separators else ("", ())
-    if not sep:
-        return [p for i in range(0, len(text), size) if (p := text[i : i + size]).strip()]
-    out, held = [], None
-    for p in _glued(text.split(sep), sep):
-        if held and len(held) + len(sep) + len(p) <= size:
-            held += sep + p
-        elif not held and len(p) <= size:
-            held = p
+def units(text: str, start: int, end: int, separator: str) -> list[tuple[int, int]]:
+    """Spans between the separators of a part of the text. Among paragraphs and lines a heading is no unit of its own: it opens the one after it."""
+    found, at = [], start
+    for m in re.finditer(re.escape(separator), text[start:end]):
+        found.append((at, start + m.start()))
+        at = start + m.end()
+    found.append((at, end))
+    if "\n" not in separator:
+        return found
+    openings = [i for i in range(len(found)) if i == 0 or not is_heading(text[slice(*found[i - 1])])]
+    return [(found[i][0], found[j - 1][1]) for i, j in zip(openings, [*openings[1:], len(found)], strict=True)]
+
+
+def spans(text: str, size: int, separators: tuple[str, ...]) -> list[tuple[int, int]]:
+    """Spans of at most size characters that are not blank: units of the coarsest separator, as many as fit; a longer unit is cut by the next separator and shares no span with its neighbours. The last resort is to cut every size characters."""
+    out, todo = [], [(0, len(text), 0)]
+    while todo:
+        start, end, level = todo.pop()
+        if end - start <= size:
+            if text[start:end].strip():
+                out.append((start, end))
+        elif level >= len(separators) or not separators[level]:
+            todo += [(i, min(i + size, end), level) for i in reversed(range(start, end, size))]
         else:
-            out += [held] if held else []
-            held = p if len(p) <= size else None
-            if held is None:
-                out += _pieces(p, size, finer)
-    return [p for p in [*out, held or ""] if p.strip()]
+            rows: list[tuple[int, int, int]] = []  # spans so far, with the level that cuts those which are too long
+            for a, b in units(text, start, end, separators[level]):
+                fits = rows and rows[-1][1] > rows[-1][0] and rows[-1][2] == level and b - rows[-1][0] <= size
+                if fits:
+                    rows[-1] = (rows[-1][0], b, level)
+                else:
+                    rows.append((a, b, level if b - a <= size else level + 1))
+            todo += reversed(rows)
+    return out
 
 
 def tail_words(text: str, most: int) -> str:
@@ -78,25 +79,20 @@ def recursive(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = OVERLAP, s
 
     @F.pandas_udf("array<struct<text:string,start_char:int,end_char:int>>")
     def split(texts: pd.Series) -> pd.Series:
-        def one(text):
-            rows, at, before = [], 0, None
-            for piece in _pieces(text or "", size, separators):
-                whole = body = piece.strip()
-                found = (text or "").find(body, at)
-                start = at if found < 0 else found
-                tail = tail_words(before, overlap) if before is not None else ""
-                if tail:
-                    whole, start = f"{tail} {body}", max(0, start - len(tail) - 1)
-                rows.append((whole, start, start + len(whole)))
-                at, before = (at if found < 0 else max(at, found + len(body))), body
-            return [dict(zip(("text", "start_char", "end_char"), r, strict=True)) for r in rows]
-
-        return texts.map(one)
+        return texts.map(lambda t: [{"text": c, "start_char": i, "end_char": i + len(c)} for i, c in overlapping(t or "", spans(t or "", size, separators), overlap)])
 
     cut = docs.select("doc_id", F.posexplode(split("text")).alias("chunk_index", "c"))
     return cut.select("doc_id", "chunk_index", F.format_string("%s::%04d", F.col("doc_id").cast("string"), F.col("chunk_index")).alias("chunk_id"), "c.*")
 
 
+def overlapping(text: str, cuts: list[tuple[int, int]], overlap: int) -> list[tuple[int, str]]:
+    """Start and text of each span without white space around it, with the last words of the span before it and a blank in front; the start is then that of these words, as if only the blank stood between."""
+    bodies = [text[a:b].strip() for a, b in cuts]
+    tails = [tail_words(before, overlap) for before in ["", *bodies[:-1]][: len(bodies)]]
+    starts = [a + len(text[a:b]) - len(text[a:b].lstrip()) for a, b in cuts]
+    return [(max(0, at - len(tail) - 1), f"{tail} {body}") if tail else (at, body) for at, body, tail in zip(starts, bodies, tails, strict=True)]
+
+
 def stats(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.min(F.length("text")).alias("min_chars"), F.round(F.avg(F.length("text")), 4).alias("mean_chars"), F.max(F.length("text")).alias("max_chars"), F.count_if(~F.col("text").rlike(r"[.!?:]\s*$")).alias("cut_mid_sentence"))
 
@@ -117,16 +113,16 @@ CONTEXT_CHARS = 12_000
 CONTEXT_SYSTEM = "Say in one or two sentences where the passage stands in the document and what it is about. Reply with these sentences only."
 
 
-def contextualised(chunks: DataFrame, docs: DataFrame, cache: DataFrame, generator, model: str = "") -> tuple[DataFrame, DataFrame]:
-    """Chunks (chunk_id, doc_id, text) with a context from the cache (key, context) or a generator, and the new cache rows. Chunks without a document (doc_id, text) are left out; a failed call gives no context and no row."""
+def contextualised(chunks: DataFrame, docs: DataFrame, cache: DataFrame, generator, model: str = "", log=None) -> tuple[DataFrame, DataFrame]:
+    """Chunks (chunk_id, doc_id, text) with a context from the cache (key, context) or a generator, and the new cache rows. Chunks without a document (doc_id, text) are left out; a failed call gives no context and no row. Replies come through a log, so rows and cache rows are of one reply."""
     from ..functions.text import cache_key, collapse, content_sha
-    from ..providers import generated
+    from ..sources.replies import replied
 
     whole = docs.select("doc_id", content_sha(F.col("text")).alias("sha"), F.substring("text", 1, CONTEXT_CHARS).alias("document"))
     keyed = chunks.join(whole, "doc_id").withColumn("key", cache_key(F.lit(model), F.col("sha"), F.col("chunk_id"), F.col("text")))
     misses = keyed.join(cache.select("key"), "key", "left_anti").dropDuplicates(["key"])
     prompt = F.concat(F.lit("Document:\n"), F.col("document"), F.lit("\n\nPassage:\n"), F.col("text"))
-    new = generated(misses, CONTEXT_SYSTEM, prompt, generator, 120).filter("reply.error is null").select("key", collapse(F.col("reply.text")).alias("context")).filter("context <> ''")
+    new = replied(misses.select("key", "document", "text"), CONTEXT_SYSTEM, prompt, generator, 120, log).filter("reply.error is null").select("key", collapse(F.col("reply.text")).alias("context")).filter("context <> ''")
     return keyed.join(cache.select("key", "context").unionByName(new), "key", "left").drop("document", "key", "sha"), new
 
 
@@ -137,16 +133,15 @@ def paragraphs(docs: DataFrame, least: int = 80) -> DataFrame:
 
 
 def merged_paragraphs(docs: DataFrame, most: int = 600) -> DataFrame:
-    """doc_id, chunk_index, text: paragraphs joined by a blank line as long as they fit; a longer one stays whole."""
+    """doc_id, chunk_index, text: a paragraph joins those before it (after a blank line, which does not count) as long as their characters fit; a longer one stays whole. Empty paragraphs only add to the white space; nothing is stripped."""
     start = F.struct(F.lit("").alias("held"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
-        fits = F.length(acc["held"]) + F.length(p) + 2 <= most
-        empty = acc["held"] == ""
-        return F.struct(F.when(empty | ~fits, p).otherwise(F.concat(acc["held"], F.lit("\n\n"), p)).alias("held"), F.when(empty | fits, acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"]))).alias("out"))
+        empty, full = acc["held"] == "", F.length(acc["held"]) + F.length(p) > most
+        closes = ~empty & full
+        return F.struct(F.when(empty | closes, p).otherwise(F.concat(acc["held"], F.lit("\n\n"), p)).alias("held"), F.when(closes, F.concat(acc["out"], F.array(acc["held"]))).otherwise(acc["out"]).alias("out"))
 
-    parts = F.filter(F.transform(F.split("text", r"\n\n"), strip), lambda p: p != "")
-    done = F.aggregate(parts, start, step, lambda acc: F.when(acc["held"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"]))))
+    done = F.aggregate(F.split("text", r"\n\n"), start, step, lambda acc: F.when(acc["held"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["held"]))))
     return docs.select("doc_id", F.posexplode(done).alias("chunk_index", "text"))
 
 

@@ -16,31 +16,51 @@ def windows(hits: DataFrame, docs: DataFrame, window: int = WINDOW) -> DataFrame
 
 
 def merged_windows(wide: DataFrame, k: int = 5) -> DataFrame:
-    """Folds each question's windows in rank order: a window goes into the first kept one of its document that it overlaps, which is widened. At most a shortlist per question is held."""
-    rows = F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score", "from_char", "to_char")))
-    empty = F.array().cast(f"array<struct<rank:int,doc_id:{wide.schema['doc_id'].dataType.simpleString()},score:double,a:int,b:int,merged:int>>")
+    """Folds each question's windows in rank order: a window goes into the first kept one of its document that it overlaps, which is widened and takes over its scores (not its score). At most a shortlist per question is held."""
+    scores = ["scores"] if "scores" in wide.columns else []
+    rows = F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score", "from_char", "to_char", *scores)), lambda a, b: (a["rank"] - b["rank"]).cast("int"))
+    more = ",scores:map<string,double>" if scores else ""
+    empty = F.array().cast(f"array<struct<rank:int,doc_id:{wide.schema['doc_id'].dataType.simpleString()},score:double,a:int,b:int,merged:int{more}>>")
+
+    def kept(e: Column, a: Column, b: Column, merged: Column, with_: Column | None = None) -> Column:
+        both = [] if not scores else [(e["scores"] if with_ is None else F.map_zip_with(e["scores"], with_["scores"], lambda _, x, y: F.greatest(x, y))).alias("scores")]
+        return F.struct(e["rank"].alias("rank"), e["doc_id"].alias("doc_id"), e["score"].alias("score"), a.alias("a"), b.alias("b"), merged.alias("merged"), *both)
 
     def step(acc: Column, x: Column) -> Column:
         def hit(e: Column) -> Column:
             return (e["doc_id"] == x["doc_id"]) & (x["from_char"] < e["b"]) & (x["to_char"] > e["a"])
 
         first = F.array_min(F.transform(F.filter(acc, hit), lambda e: e["rank"]))
-        wider = F.transform(acc, lambda e: F.when(e["rank"] == first, F.struct(e["rank"].alias("rank"), e["doc_id"].alias("doc_id"), e["score"].alias("score"), F.least(e["a"], x["from_char"]).alias("a"), F.greatest(e["b"], x["to_char"]).alias("b"), (e["merged"] + 1).alias("merged"))).otherwise(e))
-        new = F.array(F.struct(x["rank"].alias("rank"), x["doc_id"].alias("doc_id"), x["score"].alias("score"), x["from_char"].alias("a"), x["to_char"].alias("b"), F.lit(1).alias("merged")))
-        return F.when(first.isNotNull(), wider).otherwise(F.concat(acc, new))
+        wider = F.transform(acc, lambda e: F.when(e["rank"] == first, kept(e, F.least(e["a"], x["from_char"]), F.greatest(e["b"], x["to_char"]), e["merged"] + 1, x)).otherwise(e))
+        return F.when(first.isNotNull(), wider).otherwise(F.concat(acc, F.array(kept(x, x["from_char"], x["to_char"], F.lit(1)))))
 
     folded = wide.groupBy("query_id").agg(rows.alias("rows")).select("query_id", F.posexplode(F.slice(F.aggregate("rows", empty, step), 1, k)).alias("at", "w"))
-    return folded.select("query_id", (F.col("at") + 1).alias("rank"), F.col("w.doc_id").alias("doc_id"), F.col("w.score").alias("score"), F.col("w.a").alias("from_char"), F.col("w.b").alias("to_char"), F.col("w.merged").alias("merged_windows"))
+    return folded.select("query_id", (F.col("at") + 1).alias("rank"), F.col("w.doc_id").alias("doc_id"), F.col("w.score").alias("score"), F.col("w.a").alias("from_char"), F.col("w.b").alias("to_char"), F.col("w.merged").alias("merged_windows"), *(F.col("w.scores").alias("scores") for _ in scores))
+
+
+def window_islands(wide: DataFrame) -> DataFrame:
+    """Windows of one question and document that overlap, also by way of others, as one: query_id, doc_id, from_char, to_char, merged_windows, best_rank, score.
+
+    Gaps and islands: in the order of their starts, a window begins an island if it starts at or after the furthest end of all
+    before it; the running sum of these beginnings numbers the islands. Unlike merged_windows() this does not depend on ranks, and windows that a
+    third one joins are merged.
+    """
+    w = Window.partitionBy("query_id", "doc_id").orderBy("from_char", "to_char", "rank")
+    furthest = F.max("to_char").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(furthest.isNull() | (F.col("from_char") >= furthest), 1).otherwise(0)
+    numbered = wide.withColumn("begins", begins).withColumn("island", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    best = F.min_by("score", "rank").alias("score")
+    return numbered.groupBy("query_id", "doc_id", "island").agg(F.min("from_char").alias("from_char"), F.max("to_char").alias("to_char"), F.count(F.lit(1)).alias("merged_windows"), F.min("rank").alias("best_rank"), best).drop("island")
 
 
 def gate(lists: DataFrame, questions: DataFrame, floor: float = 0.60) -> DataFrame:
     """Whether to abstain: nothing retrieved, or the best score below the floor; a score at the floor passes.
 
-    Where lists has a dense column, a question's best dense score counts if any row has one, as scores of other
+    Where a question's rows have a dense score (in the map scores, or a column dense), the best of these counts, as scores of other
     kinds have no fixed scale; else the best score.
     """
-    score = F.max("score") if "dense" not in lists.columns else F.coalesce(F.max("dense"), F.max("score"))
-    best = lists.groupBy("query_id").agg(score.alias("best_score"))
+    own = [F.max(c) for c in ([F.col("scores")["dense"]] if "scores" in lists.columns else []) + ([F.col("dense")] if "dense" in lists.columns else [])]
+    best = lists.groupBy("query_id").agg(F.coalesce(*own, F.max("score")).alias("best_score"))
     return questions.select("query_id").join(best, "query_id", "left").select("query_id", F.coalesce("best_score", F.lit(0.0)).alias("best_score"), (F.col("best_score").isNull() | (F.col("best_score") < floor)).alias("abstain"))
 
 

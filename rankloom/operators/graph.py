@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..sources.files import written
 from .retrieve import blocks_of, ranked
 
 
@@ -20,21 +21,39 @@ def pruned(graph: DataFrame, max_degree: int = 40) -> DataFrame:
     return graph.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))).filter(F.col("n") <= max_degree).drop("n")
 
 
-def stats(graph: DataFrame) -> DataFrame:
+def stats(graph: DataFrame, mentions: DataFrame | None = None, min_frequency: int = 2) -> DataFrame:
+    """Numbers of entities and edges and the degrees. With mentions (chunk_id, entity), entities that stand in enough chunks but beside no other count too, with degree 0."""
     deg = graph.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    if mentions is not None:
+        often = mentions.groupBy(F.col("entity").alias("src")).agg(F.count_distinct("chunk_id").alias("n")).filter(F.col("n") >= min_frequency).select("src")
+        deg = often.join(deg, "src", "left").select("src", F.coalesce("degree", F.lit(0)).alias("degree"))
     return deg.agg(F.count(F.lit(1)).alias("entities"), F.floor(F.sum("degree") / 2).alias("edges"), F.round(F.avg("degree"), 4).alias("mean_degree"), F.max("degree").alias("max_degree"))
 
 
-def walk(seeds: DataFrame, graph: DataFrame, mentions: DataFrame, hops: int = 1, neighbours: int = 10, k: int = 5) -> DataFrame:
-    """(query_id, entity) seeds, up to so many hops over the heaviest neighbours; a chunk's score is the sum of 1 / (1 + distance) over its reached entities."""
+def reached(seeds: DataFrame, graph: DataFrame, hops: int = 1, neighbours: int = 10) -> DataFrame:
+    """query_id, entity, distance: what lies within so many hops of the seeds (query_id, entity) over the heaviest neighbours of each entity, at its least distance.
+
+    Each level is written before the next is looked for, so a level is joined once, and the walk ends where nothing new is found. A level holds at most
+    `neighbours` times the rows of the one before.
+    """
     near = pruned(graph, neighbours)
-    reached = seeds.select("query_id", "entity", F.lit(0).alias("distance")).distinct()
-    front = reached
+    front = written(seeds.select("query_id", "entity").distinct().withColumn("distance", F.lit(0)), "level")
+    out = front
     for hop in range(1, hops + 1):
-        step = front.join(near, front["entity"] == near["src"]).select("query_id", F.col("dst").alias("entity"), F.lit(hop).alias("distance")).distinct()
-        front = step.join(reached, ["query_id", "entity"], "left_anti")
-        reached = reached.unionByName(front)
-    scored = reached.join(mentions.distinct(), "entity").groupBy("query_id", "chunk_id").agg(F.sum(1 / (1 + F.col("distance"))).alias("score"))
+        step = front.join(near, front["entity"] == near["src"]).select("query_id", F.col("dst").alias("entity")).distinct()
+        new = step.join(out, ["query_id", "entity"], "left_anti").withColumn("distance", F.lit(hop))
+        if hop == hops:
+            return out.unionByName(new)
+        front = written(new, "level")
+        if front.isEmpty():
+            break
+        out = out.unionByName(front)
+    return out
+
+
+def walk(seeds: DataFrame, graph: DataFrame, mentions: DataFrame, hops: int = 1, neighbours: int = 10, k: int = 5) -> DataFrame:
+    """(query_id, entity) seeds, up to so many hops over the heaviest neighbours; a chunk's score is the sum of 1 / (1 + distance) over its reached entities."""
+    scored = reached(seeds, graph, hops, neighbours).join(mentions.distinct(), "entity").groupBy("query_id", "chunk_id").agg(F.sum(1 / (1 + F.col("distance"))).alias("score"))
     return ranked(scored, k)
 
 
@@ -47,10 +66,10 @@ def seeds(questions: DataFrame, entities: DataFrame) -> DataFrame:
     return out
 
 
-def retrieve(questions: DataFrame, graph: DataFrame, mentions: DataFrame, hops: int = 1, k: int = 5) -> DataFrame:
-    """Lists by a walk from the entities that a question names; a question without any has no list. mentions: chunk_id, entity."""
+def retrieve(questions: DataFrame, graph: DataFrame, mentions: DataFrame, hops: int = 1, k: int = 5, named: DataFrame | None = None) -> DataFrame:
+    """Lists by a walk from the entities that a question names; a question without any has no list. mentions: chunk_id, entity; named: the mentions of which a question may name an entity, if these are others."""
     low = mentions.select("chunk_id", F.lower("entity").alias("entity"))
-    return walk(seeds(questions, low), graph, low, hops, k=k)
+    return walk(seeds(questions, low if named is None else named), graph, low, hops, k=k)
 
 
 def frequencies(mentions: DataFrame, top: int | None = None) -> DataFrame:

@@ -112,30 +112,59 @@ def _asked_and_words(queries: DataFrame, docs: DataFrame | None, posts: DataFram
     return asked, words.join(asked.select("term").distinct(), "term", "left_semi")
 
 
+def no_scores() -> Column:
+    return F.expr("cast(map() as map<string,double>)")
+
+
+def with_origin(lists: DataFrame, name: str) -> DataFrame:
+    """Lists with a map of scores (scores) in which their own stands under a name; scores that are there stay."""
+    own = F.create_map(F.lit(name), F.col("score"))
+    return lists.withColumn("scores", _joined(F.coalesce("scores", no_scores()), own) if "scores" in lists.columns else own)
+
+
+def _joined(a: Column, b: Column) -> Column:
+    """Two maps of scores as one; of two scores of one name the better."""
+    return F.map_zip_with(a, b, lambda _, x, y: F.greatest(x, y))
+
+
+def all_scores() -> Column:
+    """The maps of scores of a group as one."""
+    return F.aggregate(F.collect_list("scores"), no_scores(), _joined)
+
+
+def _carried(lists: DataFrame) -> list[Column]:
+    return [all_scores().alias("scores")] if "scores" in lists.columns else []
+
+
 def fuse(lists: dict[str, DataFrame], k: int = TOP_K, rrf_k: int = RRF_K, weights: dict[str, float] | None = None) -> DataFrame:
-    """Reciprocal rank fusion: a union and one aggregation. Ties keep the order of first appearance (list, then rank). ranks: the rank in each list."""
+    """Reciprocal rank fusion: a union and one aggregation. Ties keep the order of first appearance (list, then rank). ranks: the rank in each list. Maps of scores are joined where the lists have them, with the fused score as rrf."""
     rows = None
     for i, (name, r) in enumerate(lists.items()):
-        one = r.select("query_id", "chunk_id", F.col("rank"), F.lit(i).alias("list"), F.lit(name).alias("name"), F.lit(float((weights or {}).get(name, 1.0))).alias("weight"))
-        rows = one if rows is None else rows.unionByName(one)
+        more = ["scores"] if "scores" in r.columns else []
+        one = r.select("query_id", "chunk_id", F.col("rank"), F.lit(i).alias("list"), F.lit(name).alias("name"), F.lit(float((weights or {}).get(name, 1.0))).alias("weight"), *more)
+        rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
     if rows is None:
         raise ValueError("fusion needs at least one list")
-    agg = rows.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") / (F.lit(rrf_k) + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("first"), F.array_sort(F.collect_list(F.struct("name", "rank"))).alias("ranks"))
+    agg = rows.groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") / (F.lit(rrf_k) + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("first"), F.array_sort(F.collect_list(F.struct("name", "rank"))).alias("ranks"), *_carried(rows))
     out = ranked(agg, k, "first", "chunk_id")
-    return out.select("query_id", "chunk_id", "score", "rank", "ranks")
+    out = with_origin(out, "rrf") if "scores" in out.columns else out
+    return out.drop("first").select("query_id", "chunk_id", "score", "rank", "ranks", *(c for c in out.columns if c == "scores"))
 
 
 def fuse_variants(variant_lists: DataFrame, k: int = TOP_K, rrf_k: int = RRF_K) -> DataFrame:
-    """Fuses the lists of a question's variants (query_id, variant, chunk_id, score, rank); a single variant keeps its own scores."""
+    """Fuses the lists of a question's variants (query_id, variant, chunk_id, score, rank, and scores where they have them); a single variant keeps its own scores."""
     n = variant_lists.groupBy("query_id").agg(F.count_distinct("variant").alias("n_variants"))
-    agg = variant_lists.groupBy("query_id", "chunk_id").agg(F.sum(1 / (F.lit(rrf_k) + F.col("rank"))).alias("fused"), F.max("score").alias("own"), F.min(F.struct("variant", "rank")).alias("first"))
+    agg = variant_lists.groupBy("query_id", "chunk_id").agg(F.sum(1 / (F.lit(rrf_k) + F.col("rank"))).alias("fused"), F.max("score").alias("own"), F.min(F.struct("variant", "rank")).alias("first"), *_carried(variant_lists))
     scored = agg.join(n, "query_id").withColumn("score", F.when(F.col("n_variants") == 1, F.col("own")).otherwise(F.col("fused")))
-    return ranked(scored, k, "first", "chunk_id").select("query_id", "chunk_id", "score", "rank", "n_variants")
+    out = ranked(scored, k, "first", "chunk_id")
+    return out.select("query_id", "chunk_id", "score", "rank", "n_variants", *(c for c in out.columns if c == "scores"))
 
 
 def rerank(shortlist: DataFrame, score: Column, k: int = TOP_K) -> DataFrame:
-    """Sorts a shortlist by another score and keeps where each row came from; ties keep the shortlist's order."""
-    return ranked(shortlist.withColumnRenamed("rank", "rank_before").withColumn("score", score), k, "rank_before").withColumn("moved", F.col("rank_before") - F.col("rank"))
+    """Sorts a shortlist by another score and keeps where each row came from, and its map of scores with the new one as rerank; ties keep the shortlist's order."""
+    rows = shortlist.withColumnRenamed("rank", "rank_before").withColumn("score", score)
+    rows = with_origin(rows, "rerank") if "scores" in rows.columns else rows
+    return ranked(rows, k, "rank_before").withColumn("moved", F.col("rank_before") - F.col("rank"))
 
 
 def routed(queries: DataFrame, lexical, semantic) -> DataFrame:
@@ -155,11 +184,11 @@ def accumulated(hops: DataFrame, k: int = TOP_K) -> DataFrame:
     return ranked(hops.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.count_distinct("hop").alias("n_hops")), k)
 
 
-def llm_routed(queries: DataFrame, lexical, semantic, generator) -> DataFrame:
-    """As routed(), by a generator's word: LEXICAL in its reply; an error or any other reply is semantic."""
-    from ..providers import generated
+def llm_routed(queries: DataFrame, lexical, semantic, generator, log=None) -> DataFrame:
+    """As routed(), by a generator's word: LEXICAL in its reply; an error or any other reply is semantic. Each question is asked once, through a log."""
+    from ..sources.replies import replied
 
-    asked = generated(queries, ROUTE_SYSTEM, F.concat(F.lit("Question: "), F.col("query"), F.lit("\n\nRoute:")), generator, 8)
+    asked = replied(queries, ROUTE_SYSTEM, F.concat(F.lit("Question: "), F.col("query"), F.lit("\n\nRoute:")), generator, 8, log)
     flag = asked.withColumn("lexical", F.contains(F.upper(F.coalesce("reply.text", F.lit(""))), F.lit("LEXICAL"))).drop("reply")
     return lexical(flag.filter("lexical").drop("lexical")).withColumn("route", F.lit(1.0)).unionByName(semantic(flag.filter("not lexical").drop("lexical")).withColumn("route", F.lit(0.0)))
 

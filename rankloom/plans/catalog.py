@@ -8,28 +8,31 @@ path and application, and read by the queries that need them.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import providers as P
 from ..functions import text as X
 from ..operators import answer, chunk, context, graph, metrics, retrieve as R, transform
 from ..session import table
-from ..sources import store
+from ..sources import files, replies, store
 from ..streaming.ingest import event_windows
 from . import oracles
 
 #: Rows whose id is divisible by this are the questions of a search.
 EVERY = 100
-_written: dict[tuple[str, str, str], str] = {}
+_written: dict[tuple, str] = {}
+
+
+def _state(s, d):
+    """What changes when a table below d does: names, sizes and times of its files."""
+    return tuple((n, size, at, tuple(files.listed(s, f"{d}/{n}"))) for n, size, at in files.listed(s, d))
 
 
 def _once(s, d, name, write):
-    """The path under which something made from the tables of d lies; it is written when first asked for."""
-    key = (s.sparkContext.applicationId, d, name)
+    """The path under which something made from the tables of d lies; it is written when first asked for, and again once the tables have changed."""
+    key = (s.sparkContext.applicationId, d, _state(s, d), name)
     if key not in _written:
-        path = f"{store.workspace(s)}/{name}-{uuid.uuid4().hex}"
+        path = files.fresh(s, name)
         write(path)
         _written[key] = path
     return _written[key]
@@ -494,9 +497,9 @@ def hash_embedding(s, d):
 
 
 def embedded_search(s, d):
-    """Texts of questions and documents through an embedder, then a search."""
-    e = P.HashEmbedder()
-    docs = P.embedded(_docs(s, d), F.col("text"), e).select("chunk_id", "embedding")
+    """Questions through an embedder, documents through the same one as built-in functions, then a search."""
+    e = P.SignedHashEmbedder()
+    docs = _docs(s, d).select("chunk_id", P.hash_vector(F.col("text")).alias("embedding"))
     return R.dense(P.embedded(_questions(s, d), F.col("query"), e, "v", query=True).select("query_id", F.col("v").alias("query")), docs)
 
 
@@ -548,7 +551,7 @@ def _passages(s, d):
 
 
 def answers_generated(s, d):
-    return answer.answered(_questions(s, d), _passages(s, d), P.EchoGenerator(), 2500).select("query_id", "answer", "prompt_chars", "n_contexts")
+    return answer.answered(_questions(s, d), _passages(s, d), P.QuotingGenerator(), 2500).select("query_id", "answer", "prompt_chars", "n_contexts")
 
 
 def answers_cited(s, d):
@@ -559,21 +562,21 @@ def answers_cited(s, d):
 def answers_gated(s, d):
     lists = _overlap(s, d)
     docs = lists.join(_docs(s, d), "chunk_id").select("query_id", "rank", "chunk_id", F.col("chunk_id").alias("doc_id"), "text", F.lit("").alias("title"))
-    return answer.gated_answers(_questions(s, d), docs, lists, P.EchoGenerator(), 0.9).select("query_id", "abstained", (F.col("input_tokens") > 0).alias("generated"), "n_contexts")
+    return answer.gated_answers(_questions(s, d), docs, lists, P.QuotingGenerator(), 0.9).select("query_id", "abstained", (F.col("input_tokens") > 0).alias("generated"), "n_contexts")
 
 
 def crag_answers(s, d):
     """Verdicts by a grader that finds one phrase ambiguous and one question's passages wrong."""
     grader = P.RuleGenerator(("Question: Th", 'Well {"verdict": "ambiguous", "confidence": 2}'), ("Question: A", '{"verdict": "Incorrect", "confidence": "0.7", "reason": "off"}'), default="no json")
     docs = _docs(s, d).select("chunk_id", F.col("chunk_id").alias("doc_id"), "text", F.lit("").alias("title"))
-    out = answer.corrected(_questions(s, d), lambda q, k: _bm25(s, d, k, q), lambda x: x.join(docs, "chunk_id"), P.EchoGenerator(), grader, 3)
+    out = answer.corrected(_questions(s, d), lambda q, k: _bm25(s, d, k, q), lambda x: x.join(docs, "chunk_id"), P.QuotingGenerator(), grader, 3)
     return out.select("query_id", "verdict", "confidence", "widened", "n_contexts", (F.col("answer") == answer.REFUSAL).alias("refused"))
 
 
 def batch_by_id(s, d):
     asked = table(s, d, "conversations").select(F.col("conv_id").cast("string").alias("custom_id"), F.when(F.col("conv_id") % 3 == 0, "fail").otherwise("tell").alias("prompt"))
     made = P.RuleGenerator(("fail", ValueError("no")), default="told")
-    return P.batch_replies(asked, "", made)
+    return replies.batch_replies(asked, "", made)
 
 
 def stemmed_terms(s, d):

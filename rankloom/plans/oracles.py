@@ -15,6 +15,10 @@ _CHUNKS = """c0 AS (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text)
 chunks AS (SELECT doc_id, CAST(start_char / 448 AS INT) AS chunk_index, printf('%d::%04d', doc_id, CAST(start_char / 448 AS INT)) AS chunk_id, regexp_replace(substring(text, CAST(start_char AS INT) + 1, 512), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS text, CAST(start_char AS INT) AS start_char, CAST(start_char AS INT) + length(regexp_replace(substring(text, CAST(start_char AS INT) + 1, 512), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS end_char FROM c0 WHERE regexp_replace(substring(text, CAST(start_char AS INT) + 1, 512), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') <> '')"""
 
 
+def _words(c: str) -> str:
+    return f"regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}_]+')"
+
+
 def _rank(k: int | None, ties: str = "chunk_id", source: str = "scored") -> str:
     cut = f" WHERE rank <= {k}" if k else ""
     return f"(SELECT * FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, {ties}) AS rank FROM {source}){cut})"
@@ -89,12 +93,13 @@ _FEW = f"(SELECT item_id AS query_id, array_to_string({_tok('text')}[1:3], ' ')
 _FIXED = "(SELECT item_id AS query_id, 'the of and in' AS text FROM benchmark)"
 _STRIP = "regexp_replace({x}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
 _OVER = "rs AS (SELECT b.query_id, b.chunk_id, o.score, b.rank AS rank_before FROM bm25 b JOIN overlap o ON o.query_id = b.query_id AND o.chunk_id = b.chunk_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, rank_before) AS rank FROM rs)"
-_HASHED = "[CAST('0x' || substr(sha256(lower({t})), CAST((i % 32) * 2 + 1 AS INT), 2) AS INT) / 255.0 FOR i IN range(16)]"
+#: A hash of each word of a text; of these, signed counts by place, as a vector of length 1.
+_HASHED = "[CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) FOR w IN regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}_]+')]"
+_SIGNED = "[coalesce(list_sum([1 - 2 * ((n // 16) % 2) FOR n IN codes IF n % 16 = i]), 0)::DOUBLE FOR i IN range(16)]"
 
 
-def _unit(t: str) -> str:
-    v = _HASHED.format(t=t)
-    return f"[x / sqrt(list_sum([y * y FOR y IN {v}])) FOR x IN {v}]"
+def _units(table: str, key: str) -> str:
+    return f"(SELECT {key}, [CASE WHEN size > 0 THEN x / size ELSE x END FOR x IN v] AS v FROM (SELECT {key}, v, sqrt(list_sum([y * y FOR y IN v])) AS size FROM (SELECT {key}, {_SIGNED} AS v FROM (SELECT {key}, {_HASHED.format(t='text')} AS codes FROM {table}))))"
 
 
 def _stem(w: str) -> str:
@@ -178,8 +183,8 @@ ORACLES = {
     "moved_questions": f"WITH {_bm25(20)}, {_overlap(20)}, {_GOLDEN}, {_results()}, {_results('other', 'overlap', 'JOIN')} SELECT query_id, a.first_rank AS before, b.first_rank AS after FROM results a FULL JOIN other b USING (query_id) WHERE a.first_rank IS DISTINCT FROM b.first_rank",
     "passages_spread": f"WITH {_HITS} SELECT h.query_id, count(DISTINCT h.doc_id) AS n_docs, CAST(sum(length(c.text)) AS BIGINT) AS chars FROM hits h JOIN chunks c ON c.chunk_id = h.chunk_id WHERE h.rank <= 5 GROUP BY 1",
     "refusals_by_config": f"WITH {_GATE}, {_GOLDEN}, a AS (SELECT config, len(relevant) > 0 AS answerable, CAST(best_score < config AS INT) AS refused FROM gate JOIN golden USING (query_id), (SELECT CAST(unnest([0.5, 0.8]) AS DOUBLE) AS config)) SELECT config, count(*) AS n, round(avg(CASE WHEN NOT answerable THEN refused END), 4) AS correct_refusal, round(avg(CASE WHEN answerable THEN refused END), 4) AS false_refusal FROM a GROUP BY 1",
-    "hash_embedding": f"SELECT doc_id, round(v[1], 6) AS v0, round(v[8], 6) AS v7, round(v[16], 6) AS v15 FROM (SELECT doc_id, {_unit('text')} AS v FROM documents)",
-    "embedded_search": f"WITH v AS (SELECT doc_id, {_unit('text')} AS v FROM documents), q AS (SELECT item_id, {_unit('text')} AS q FROM benchmark), es AS (SELECT item_id AS query_id, doc_id AS chunk_id, list_dot_product(CAST(v AS DOUBLE[]), CAST(q AS DOUBLE[])) AS score FROM q, v), x AS {_rank(5, source='es')} SELECT * FROM x",
+    "hash_embedding": f"SELECT doc_id, round(v[1], 6) AS v0, round(v[8], 6) AS v7, round(v[16], 6) AS v15 FROM {_units('documents', 'doc_id')}",
+    "embedded_search": f"WITH v AS {_units('documents', 'doc_id')}, q AS (SELECT item_id, v AS q FROM {_units('benchmark', 'item_id')}), es AS (SELECT item_id AS query_id, doc_id AS chunk_id, list_dot_product(v, q) AS score FROM q, v), x AS {_rank(5, source='es')} SELECT * FROM x",
     "vector_table_search": f"WITH {_dense(5, ' AND v.label = 3')} SELECT * FROM dense",
     "payload_round_trip": "SELECT doc_id, lang, source, n_chars FROM documents",
     "transform_rewrite": "SELECT item_id AS query_id, text || '|Short query\"' AS variants FROM benchmark",
@@ -187,7 +192,7 @@ ORACLES = {
     "identity_retrieval": f"WITH {_bm25(5)} SELECT *, 1 AS n_variants FROM bm25",
     "multihop_loop": f"WITH {_bm25(5)}, {_bm25(5, p='f', name='fixed', asked=_FIXED)}, g AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT * FROM bm25 UNION ALL SELECT * FROM fixed) GROUP BY ALL), x AS {_rank(5, source='g')} SELECT * FROM x",
     "multihop_trace": "SELECT item_id AS query_id, 2 AS hops, text || '|the of and in' AS queries, 'follow-up repeated an earlier query' AS stopped_because FROM benchmark",
-    "answers_generated": f"WITH {_BLOCKS}, c AS (SELECT query_id, sum(length(block) + 2) - 2 AS chars FROM used WHERE used <= 2500 GROUP BY 1), n AS (SELECT query_id, count(*) AS n FROM blocks GROUP BY 1), p AS (SELECT item_id AS query_id, CAST(CASE WHEN chars IS NULL THEN length('No context passages were retrieved.') + 2 + length('Question: ' || text) + 2 + length('Say that the corpus contains nothing relevant to this question.') ELSE length('Context passages:') + 2 + chars + 2 + length('Question: ' || text) + 2 + length('Answer:') END AS BIGINT) AS chars FROM benchmark LEFT JOIN c ON c.query_id = item_id) SELECT p.query_id, '[answer over ' || chars || ' prompt characters]' AS answer, chars AS prompt_chars, coalesce(n, 0) AS n_contexts FROM p LEFT JOIN n ON n.query_id = p.query_id",
+    "answers_generated": f"WITH {_BLOCKS}, c AS (SELECT query_id, sum(length(block) + 2) - 2 AS chars FROM used WHERE used <= 2500 GROUP BY 1), n AS (SELECT query_id, count(*) AS n FROM blocks GROUP BY 1), p AS (SELECT item_id AS query_id, CAST(CASE WHEN chars IS NULL THEN length('No context passages were retrieved.') + 2 + length('Question: ' || text) + 2 + length('Say that the corpus contains nothing relevant to this question.') ELSE length('Context passages:') + 2 + chars + 2 + length('Question: ' || text) + 2 + length('Answer:') END AS BIGINT) AS chars FROM benchmark LEFT JOIN c ON c.query_id = item_id), l AS (SELECT query_id, rank, line, i, len(list_intersect({_words('line')}, {_words('string_split(text, chr(10))[1]')})) AS shared FROM (SELECT query_id, rank, unnest(string_split(block, chr(10))[2:]) AS line, generate_subscripts(string_split(block, chr(10))[2:], 1) AS i FROM used WHERE used <= 2500) JOIN benchmark ON item_id = query_id), b AS (SELECT * FROM l WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, rank, i) = 1) SELECT p.query_id, CASE WHEN b.line IS NULL THEN 'Nothing in the passages answers this.' ELSE trim(b.line) || ' [' || b.rank || ']' END AS answer, chars AS prompt_chars, coalesce(n, 0) AS n_contexts FROM p LEFT JOIN n ON n.query_id = p.query_id LEFT JOIN b ON b.query_id = p.query_id",
     "answers_cited": f"WITH {_HITS}, m AS (SELECT item_id AS query_id, unnest(list_distinct_in_order) AS rank, generate_subscripts(list_distinct_in_order, 1) - 1 AS place FROM (SELECT item_id, CASE WHEN item_id % 5 + 1 IN (1, 2) THEN [2, 1, 9] ELSE [2, 1, 9, item_id % 5 + 1] END AS list_distinct_in_order FROM benchmark)) SELECT h.query_id, m.place, h.rank, h.chunk_id FROM m JOIN hits h ON h.query_id = m.query_id AND h.rank = m.rank WHERE h.rank <= 5",
     "answers_gated": f"WITH {_overlap(5)} SELECT item_id AS query_id, coalesce(best, 0) < 0.9 AS abstained, coalesce(best, 0) >= 0.9 AS generated, coalesce(n, 0) AS n_contexts FROM benchmark LEFT JOIN (SELECT query_id, max(score) AS best, count(*) AS n FROM overlap GROUP BY 1) o ON o.query_id = item_id",
     "crag_answers": f"WITH {_bm25(3)}, {_bm25(9, p='w', name='wide')}, n AS (SELECT query_id, count(*) AS n FROM bm25 GROUP BY 1), m AS (SELECT query_id, count(*) AS m FROM wide GROUP BY 1), g AS (SELECT item_id AS query_id, coalesce(n, 0) AS n, coalesce(m, 0) AS m, CASE WHEN n IS NULL THEN 'incorrect' WHEN starts_with(text, 'Th') THEN 'ambiguous' WHEN starts_with(text, 'A') THEN 'incorrect' ELSE 'correct' END AS verdict, CASE WHEN n IS NULL THEN 1.0 WHEN starts_with(text, 'Th') THEN 1.0 WHEN starts_with(text, 'A') THEN 0.7 ELSE 0.0 END AS confidence FROM benchmark LEFT JOIN n ON n.query_id = item_id LEFT JOIN m ON m.query_id = item_id) SELECT query_id, verdict, CAST(confidence AS DOUBLE) AS confidence, verdict = 'ambiguous' AND m > 3 AS widened, CASE WHEN verdict = 'ambiguous' THEN m ELSE n END AS n_contexts, verdict = 'incorrect' AS refused FROM g",

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import math
 import re
-import tempfile
 import time
 import uuid
 
@@ -14,126 +13,32 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import content_sha, embed_text, stemmed, strip, title
+from . import files
+from .files import workspace
+from .vectors import CellVectorTable, PartitionedVectorTable, VectorTable, get_store, within
+
+__all__ = ["CellVectorTable", "PartitionedVectorTable", "VectorTable", "get_store", "workspace"]
 
 GOLDEN = "id string, question string, relevant array<string>, answer_contains array<string>, kind string"
 
 
 def load_documents(spark: SparkSession, root: str) -> DataFrame:
-    """Text files below root (.md, .txt, .rst; no readme.md): doc_id is the path from root. An error if none has text."""
-    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
-    base = F.regexp_extract("path", rf"(?:^|/){root.rstrip('/').rsplit('/', 1)[-1]}/(.*)$", 1)
-    rows = rows.select(base.alias("doc_id"), strip(F.col("text")).alias("text")).filter(F.lower("doc_id").rlike(r"\.(md|txt|rst)$") & ~F.lower("doc_id").rlike(r"(^|/)readme\.md$") & (F.col("text") != ""))
+    """Text files below a folder of any name (.md, .txt, .rst; no readme.md): doc_id is the path from root. An error if none has text."""
+    p, fs = files.hadoop(spark, root)
+    if not fs.exists(p):
+        raise FileNotFoundError(root)
+    base = fs.makeQualified(p).toUri().getPath().rstrip("/") + "/"
+    plain = re.sub(r"([\[\]{}*?\\])", r"\\\1", root)  # a path, no pattern
+    rows = spark.read.text(plain, wholetext=True, recursiveFileLookup=True).select(F.col("value").alias("text"), F.regexp_replace("_metadata.file_path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "").alias("path"))
+    whole = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))  # files are named by encoded paths, in which a plus is a plus
+    rows = rows.select(F.substring(whole, len(base) + 1, 1 << 30).alias("doc_id"), strip(F.col("text")).alias("text"))
+    rows = rows.filter(F.lower("doc_id").rlike(r"\.(md|txt|rst)$") & ~F.lower("doc_id").rlike(r"(^|/)readme\.md$") & (F.col("text") != ""))
     if rows.isEmpty():
         raise FileNotFoundError(f"no documents in {root}")
     stem = F.regexp_extract("doc_id", r"([^/]*)\.[^.]*$", 1)
     return rows.withColumn("title", title(F.col("text"), stem)).withColumn("content_sha", content_sha(F.col("text")))
 
 
-def _hadoop(spark: SparkSession, path: str):
-    """The path and its file system, whichever store it is in."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-_workspaces: dict[str, str] = {}
-
-
-def workspace(spark: SparkSession) -> str:
-    """A folder of this application below the shared one of spark.checkpoint.dir; a temporary one only where none is set."""
-    app = spark.sparkContext.applicationId
-    if app not in _workspaces:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="rankloom-")
-        _workspaces[app] = f"{base.rstrip('/')}/engine-{uuid.uuid4().hex}"
-    return _workspaces[app]
-
-
-class VectorTable:
-    """Rows (chunk_id, embedding, doc_id, text, further columns) as Parquet, searched exactly by cosine.
-
-    Each change writes a new version next to the old one; a version counts once its success mark stands, so a
-    failed write is never read. Opening a path again finds the newest version.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, dimension: int | None = None):
-        self.spark, self.path, self.dimension = spark, path.rstrip("/"), dimension
-
-    def _numbers(self, whole: bool = True) -> list[int]:
-        p, fs = _hadoop(self.spark, self.path)
-        if not fs.exists(p):
-            return []
-        names = [(f.getPath().getName(), f.getPath()) for f in fs.listStatus(p)]
-        at = [(int(n[1:]), q) for n, q in names if n[:1] == "v" and n[1:].isdigit()]
-        jvm = self.spark.sparkContext._jvm
-        return sorted(n for n, q in at if not whole or fs.exists(jvm.org.apache.hadoop.fs.Path(q, "_SUCCESS")))
-
-    @property
-    def version(self) -> int:
-        return max(self._numbers(), default=0)
-
-    def _write(self, rows: DataFrame) -> None:
-        rows.write.parquet(f"{self.path}/v{max(self._numbers(False), default=0) + 1}")
-
-    def read(self) -> DataFrame | None:
-        v = self.version
-        rows = self.spark.read.parquet(f"{self.path}/v{v}") if v else None
-        return None if rows is None or "embedding" not in rows.columns else rows
-
-    def add(self, rows: DataFrame) -> None:
-        """Adds rows, replacing those of the same chunk_id; of new rows with one id any one stays."""
-        if self.dimension:
-            rows = rows.withColumn("embedding", F.when(F.size("embedding") == self.dimension, F.col("embedding")).otherwise(F.raise_error(F.lit("wrong dimension"))))
-        rows, old = rows.dropDuplicates(["chunk_id"]), self.read()
-        self._write(rows if old is None else upserted(old, rows))
-
-    def search(self, queries: DataFrame, k: int = 5, where: Column | None = None) -> DataFrame:
-        """Lists of k for (query_id, query vector); where is applied before the ranking. An empty table gives none."""
-        from ..operators.retrieve import dense
-
-        rows = self.read()
-        if rows is None:
-            return queries.sparkSession.createDataFrame([], "query_id long, chunk_id string, score double, rank int")
-        return dense(queries, rows, k, where)
-
-    def get(self, ids: DataFrame) -> DataFrame | None:
-        """The rows of these chunk_ids; None from an empty table."""
-        rows = self.read()
-        return None if rows is None else rows.join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
-
-    def count(self) -> int:
-        rows = self.read()
-        return 0 if rows is None else rows.count()
-
-    def reset(self) -> None:
-        """Empties the table; what is added later starts anew."""
-        self._write(self.spark.createDataFrame([], "chunk_id string"))
-
-
-class PartitionedVectorTable(VectorTable):
-    """As VectorTable, dealt into folders by a column, so that a filter on it reads only its folders; the dimension must be given."""
-
-    def __init__(self, spark: SparkSession, path: str, dimension: int | None, by: str = "doc_id"):
-        if not dimension:
-            raise ValueError("a partitioned table needs its dimension")
-        super().__init__(spark, path, dimension)
-        self.by = by
-
-    def _write(self, rows: DataFrame) -> None:
-        out = rows.repartition(self.by) if self.by in rows.columns else rows
-        w = out.write.partitionBy(self.by) if self.by in rows.columns else out.write
-        w.parquet(f"{self.path}/v{max(self._numbers(False), default=0) + 1}")
-
-
-STORES = {"plain": VectorTable, "partitioned": PartitionedVectorTable}
-
-
-def get_store(spark: SparkSession, kind: str, path: str, dimension: int | None = None) -> VectorTable:
-    """A store by name; an unknown name is told which there are."""
-    if kind not in STORES:
-        raise ValueError(f"unknown store {kind!r}; there are: {', '.join(sorted(STORES))}")
-    return STORES[kind](spark, path, dimension)
-
-
 def payload(chunks: DataFrame, *own: str) -> DataFrame:
     """Columns other than own as one map of strings, meta; nulls are left out."""
     rest = [c for c in chunks.columns if c not in own]
@@ -177,14 +82,14 @@ class Bm25Table:
             return False
         return True
 
-    def search(self, queries: DataFrame, k: int = 5) -> DataFrame:
-        """Lists of k for (query_id, query). Only the questions' terms are read from the postings, which lie sorted by term."""
+    def search(self, queries: DataFrame, k: int = 5, among: DataFrame | None = None) -> DataFrame:
+        """Lists of k for (query_id, query); among: chunk_ids that alone are ranked (words weigh as in the whole index). Only the questions' terms are read from the postings, which lie sorted by term."""
         from ..operators.retrieve import bm25_scored
 
         asked = queries.select("query_id", F.explode(F.array_distinct(self.words(F.col("query")))).alias("term"))
         wanted = asked.select("term").distinct()
         part = {t: self.spark.read.parquet(f"{self.path}/{t}") for t in ("postings", "terms", "collection")}
-        return bm25_scored(asked, part["postings"].join(wanted, "term", "left_semi"), part["terms"], part["collection"], k)
+        return bm25_scored(asked, within(part["postings"].join(wanted, "term", "left_semi"), among), part["terms"], part["collection"], k)
 
 
 class PrefixCache:
@@ -195,11 +100,10 @@ class PrefixCache:
 
     def read(self) -> DataFrame:
         empty = self.spark.createDataFrame([], "key string, context string")
-        p, fs = _hadoop(self.spark, self.path)
         out = empty
-        for f in fs.listStatus(p) if fs.exists(p) else []:
+        for name, *_ in files.listed(self.spark, self.path):
             try:
-                one = self.spark.read.parquet(f.getPath().toString())
+                one = self.spark.read.parquet(f"{self.path}/{name}")
                 out = out.unionByName(one.select("key", "context"))
             except (PySparkException, Py4JJavaError):
                 continue
@@ -270,6 +174,7 @@ def response(scores: Column) -> Column:
 
 
 def serialised(passages: DataFrame) -> DataFrame:
-    """One JSON list per question: rank, chunk_id, doc_id, title, text and score (6 places) of each passage."""
-    each = F.struct("rank", "chunk_id", "doc_id", "title", "text", F.round("score", 6).alias("score"))
-    return passages.groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list(each))).alias("results"))
+    """One JSON list per question: rank, chunk_id, doc_id, title, text, score and, where there is one, the map of scores (6 places) of each passage."""
+    scores = [F.transform_values("scores", lambda _, v: F.round(v, 6)).alias("scores")] if "scores" in passages.columns else []
+    each = F.struct("rank", "chunk_id", "doc_id", "title", "text", F.round("score", 6).alias("score"), *scores)
+    return passages.groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list(each), lambda a, b: (a["rank"] - b["rank"]).cast("int"))).alias("results"))
