@@ -145,17 +145,9 @@ def tolerant_list(raw: Column) -> Column:
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
 
 
-def stem(word: Column) -> Column:
-    """A light English suffix stripper: plurals, -ing, -ed, -ly, where three letters stay before them."""
-    out = F.regexp_replace(word, r"^(\w{2,})ies$", "$1y")
-    out = F.regexp_replace(out, r"^(\w{2,}(?:ss|sh|ch|x|z))es$", "$1")
-    out = F.regexp_replace(out, r"^(\w{2,}[^s\W])s$", "$1")
-    return F.regexp_replace(out, r"^(\w{3,}?)(?:ingly|edly|ing|ed|ly)$", "$1")
-
-
-def stemmed(c: Column) -> Column:
-    """tokens() without stop words, stemmed."""
-    return F.transform(F.filter(tokens(c), lambda w: ~w.isin(*STOP_WORDS)), stem)
+def unstopped(c: Column) -> Column:
+    """tokens() without stop words."""
+    return F.filter(tokens(c), lambda w: ~w.isin(*STOP_WORDS))
 
 
 def common_prefix(a: Column, b: Column) -> Column:

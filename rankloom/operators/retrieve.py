@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import looks_lexical, tokens
+from ..functions.stemmer import stems
+from ..functions.text import looks_lexical, tokens, unstopped
 from ..session import EVAL_DEPTH, RRF_K, TOP_K
 
 K1, B = 1.5, 0.75
@@ -56,6 +57,14 @@ def term_statistics(docs: DataFrame) -> DataFrame:
     return df.join(F.broadcast(n)).select("term", "df", F.round(F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), 6).alias("idf"))
 
 
+def stemmed(docs: DataFrame) -> DataFrame:
+    """docs (with text) with terms: the stems of a text's words without stop words, in order. Each distinct word is stemmed once and joined back; a row needs no key."""
+    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
+    words = keyed.select("_row", F.posexplode(unstopped(F.col("text"))).alias("at", "word"))
+    terms = words.join(stems(words), "word").groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "stem"))), lambda x: x["stem"]).alias("terms"))
+    return keyed.join(terms, "_row", "left").withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<string>)"))).drop("_row")
+
+
 def postings(docs: DataFrame, words=None) -> DataFrame:
     """(chunk_id, text) to chunk_id, term, tf, size: one row for each distinct word of a chunk. words: how a text is cut; tokens by default."""
     cut = (words or tokens)(F.col("text"))

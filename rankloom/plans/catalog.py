@@ -75,7 +75,8 @@ def _doc_index(s, d):
 
 
 def _posts(s, d):
-    return s.read.parquet(f"{_doc_index(s, d).path}/postings")
+    asked = _questions(s, d).select(F.explode(X.tokens(F.col("query"))).alias("term"))
+    return _doc_index(s, d).postings(asked)
 
 
 def _bm25(s, d, k=5, questions=None):
@@ -580,7 +581,7 @@ def batch_by_id(s, d):
 
 
 def stemmed_terms(s, d):
-    return table(s, d, "documents").select("doc_id", F.size(X.stemmed(F.col("text"))).alias("n_terms"), F.md5(F.array_join(X.stemmed(F.col("text")), " ")).alias("terms_md5"))
+    return R.stemmed(table(s, d, "documents").select("doc_id", "text")).select("doc_id", F.size("terms").alias("n_terms"), F.md5(F.array_join("terms", " ")).alias("terms_md5"))
 
 
 def serialised_results(s, d):

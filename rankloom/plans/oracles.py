@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.stemmer import BEGINNINGS, DOUBLES, KEPT, KEPT_AFTER_1A, LI_ENDINGS, OWN_STEM, STEP_2, STEP_3, STEP_4
 from ..functions.text import IDENTIFIERS, REFUSAL_MARKERS, STOP_WORDS
 
 _WORD = r"[\p{L}\p{N}_]{2,}"
@@ -91,6 +92,32 @@ _JT = "list_distinct(regexp_extract_all(lower({c}), '[a-z0-9][a-z0-9\\-_.]*'))"
 
 _FEW = f"(SELECT item_id AS query_id, array_to_string({_tok('text')}[1:3], ' ') AS text FROM benchmark)"
 _FIXED = "(SELECT item_id AS query_id, 'the of and in' AS text FROM benchmark)"
+def _stems(words: str) -> str:
+    """CTEs that stem the column word of a table of distinct words step by step; the last is stems (word, stem)."""
+    def suffix(name, column, source, pattern):
+        return f"{name} AS (SELECT *, regexp_extract({column}, '({pattern})$') AS x FROM {source}), {name}b AS (SELECT *, left({column}, length({column}) - length(x)) AS base FROM {name})"
+
+    def replaced(step):
+        return "CASE x " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in step.items()) + " END"
+
+    region, short = "^[^aeiouy]*[aeiouy]+[^aeiouy]", "(^[aeiouy][^aeiouy]|[^aeiouy][aeiouy][^aeiouywxY])$"
+    return f"""st0 AS (SELECT word, regexp_replace(CASE WHEN word LIKE 'y%' THEN 'Y' || substr(word, 2) ELSE word END, '([aeiouy])y', '\\1Y', 'g') AS s FROM {words}),
+st1 AS (SELECT *, CASE WHEN regexp_matches(s, '^({'|'.join(BEGINNINGS)})') THEN length(regexp_extract(s, '^({'|'.join(BEGINNINGS)})')) WHEN regexp_matches(s, '{region}') THEN length(regexp_extract(s, '{region}')) ELSE length(s) END AS r1 FROM st0),
+st2 AS (SELECT *, CASE WHEN regexp_matches(substr(s, r1 + 1), '{region}') THEN r1 + length(regexp_extract(substr(s, r1 + 1), '{region}')) ELSE length(s) END AS r2 FROM st1),
+st3 AS (SELECT word, r1, r2, CASE WHEN s LIKE '%sses' THEN left(s, length(s) - 2) WHEN regexp_matches(s, 'ie[ds]$') THEN left(s, length(s) - CASE WHEN length(s) > 4 THEN 2 ELSE 1 END) WHEN regexp_matches(s, '[us]s$') THEN s WHEN regexp_matches(s, '[aeiouy].+s$') THEN left(s, length(s) - 1) ELSE s END AS a FROM st2),
+{suffix('st4', 'a', 'st3', 'eedly|ingly|edly|eed|ing|ed')},
+st5 AS (SELECT word, r1, r2, a, CASE WHEN x LIKE 'eed%' THEN CASE WHEN length(base) >= r1 THEN base || 'ee' ELSE a END WHEN x <> '' AND regexp_matches(base, '[aeiouy]') THEN CASE WHEN regexp_matches(base, '(at|bl|iz)$') THEN base || 'e' WHEN regexp_matches(base, '({'|'.join(DOUBLES)})$') THEN left(base, length(base) - 1) WHEN r1 >= length(base) AND regexp_matches(base, '{short}') THEN base || 'e' ELSE base END ELSE a END AS b FROM st4b),
+st6 AS (SELECT word, r1, r2, a, CASE WHEN length(b) > 2 AND regexp_matches(b, '[^aeiouy][yY]$') THEN left(b, length(b) - 1) || 'i' ELSE b END AS c FROM st5),
+{suffix('st7', 'c', 'st6', '|'.join(STEP_2))},
+st8 AS (SELECT word, r1, r2, a, CASE WHEN x <> '' AND length(base) >= r1 AND (x NOT IN ('ogi', 'li') OR (x = 'ogi' AND base LIKE '%l') OR (x = 'li' AND regexp_matches(base, '[{LI_ENDINGS}]$'))) THEN base || {replaced(STEP_2)} ELSE c END AS d FROM st7b),
+{suffix('st9', 'd', 'st8', '|'.join(STEP_3))},
+st10 AS (SELECT word, r1, r2, a, CASE WHEN x <> '' AND length(base) >= CASE WHEN x = 'ative' THEN r2 ELSE r1 END THEN base || {replaced(STEP_3)} ELSE d END AS e FROM st9b),
+{suffix('st11', 'e', 'st10', '|'.join(STEP_4))},
+st12 AS (SELECT word, r1, r2, a, CASE WHEN x <> '' AND length(base) >= r2 AND (x <> 'ion' OR regexp_matches(base, '[st]$')) THEN base ELSE e END AS f FROM st11b),
+st13 AS (SELECT word, a, CASE WHEN f LIKE '%e' AND (length(f) - 1 >= r2 OR (length(f) - 1 >= r1 AND NOT regexp_matches(left(f, length(f) - 1), '{short}'))) THEN left(f, length(f) - 1) WHEN f LIKE '%ll' AND length(f) - 1 >= r2 THEN left(f, length(f) - 1) ELSE f END AS g FROM st12),
+stems AS (SELECT word, CASE WHEN length(word) <= 2 OR word IN {KEPT} THEN word {' '.join(f"WHEN word = '{k}' THEN '{v}'" for k, v in OWN_STEM.items())} WHEN a IN {KEPT_AFTER_1A} THEN a ELSE replace(g, 'Y', 'y') END AS stem FROM st13)"""
+
+
 _STRIP = "regexp_replace({x}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
 _OVER = "rs AS (SELECT b.query_id, b.chunk_id, o.score, b.rank AS rank_before FROM bm25 b JOIN overlap o ON o.query_id = b.query_id AND o.chunk_id = b.chunk_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, rank_before) AS rank FROM rs)"
 #: A hash of each word of a text; of these, signed counts by place, as a vector of length 1.
@@ -197,7 +224,7 @@ ORACLES = {
     "answers_gated": f"WITH {_overlap(5)} SELECT item_id AS query_id, coalesce(best, 0) < 0.9 AS abstained, coalesce(best, 0) >= 0.9 AS generated, coalesce(n, 0) AS n_contexts FROM benchmark LEFT JOIN (SELECT query_id, max(score) AS best, count(*) AS n FROM overlap GROUP BY 1) o ON o.query_id = item_id",
     "crag_answers": f"WITH {_bm25(3)}, {_bm25(9, p='w', name='wide')}, n AS (SELECT query_id, count(*) AS n FROM bm25 GROUP BY 1), m AS (SELECT query_id, count(*) AS m FROM wide GROUP BY 1), g AS (SELECT item_id AS query_id, coalesce(n, 0) AS n, coalesce(m, 0) AS m, CASE WHEN n IS NULL THEN 'incorrect' WHEN starts_with(text, 'Th') THEN 'ambiguous' WHEN starts_with(text, 'A') THEN 'incorrect' ELSE 'correct' END AS verdict, CASE WHEN n IS NULL THEN 1.0 WHEN starts_with(text, 'Th') THEN 1.0 WHEN starts_with(text, 'A') THEN 0.7 ELSE 0.0 END AS confidence FROM benchmark LEFT JOIN n ON n.query_id = item_id LEFT JOIN m ON m.query_id = item_id) SELECT query_id, verdict, CAST(confidence AS DOUBLE) AS confidence, verdict = 'ambiguous' AND m > 3 AS widened, CASE WHEN verdict = 'ambiguous' THEN m ELSE n END AS n_contexts, verdict = 'incorrect' AS refused FROM g",
     "batch_by_id": "SELECT DISTINCT CAST(conv_id AS VARCHAR) AS custom_id, CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'told' END AS text FROM conversations",
-    "stemmed_terms": f"WITH t AS (SELECT doc_id, [{_stem('w')} FOR w IN {_tok('text')} IF w NOT IN {STOP_WORDS}] AS t FROM documents) SELECT doc_id, len(t) AS n_terms, md5(array_to_string(t, ' ')) AS terms_md5 FROM t",
+    "stemmed_terms": f"WITH t AS (SELECT doc_id, [w FOR w IN {_tok('text')} IF w NOT IN {STOP_WORDS}] AS t FROM documents), u AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS i FROM t), ws AS (SELECT DISTINCT word FROM u), {_stems('ws')}, j AS (SELECT doc_id, count(*) AS n_terms, string_agg(stem, ' ' ORDER BY i) AS terms FROM u JOIN stems USING (word) GROUP BY doc_id) SELECT d.doc_id, coalesce(n_terms, 0) AS n_terms, md5(coalesce(terms, '')) AS terms_md5 FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id",
     "serialised_results": f"WITH {_HITS} SELECT query_id, count(*) AS n FROM hits WHERE rank <= 5 GROUP BY 1",
 }
 ORACLES["generation_means"] = f"SELECT count(*) AS n, round(avg(groundedness), 4) AS groundedness, round(avg(relevance), 4) AS relevance, round(avg(correct_refusal), 4) AS correct_refusal FROM ({ORACLES['judge_groundedness']})"

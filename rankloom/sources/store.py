@@ -12,12 +12,13 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import content_sha, embed_text, stemmed, strip, title
+from ..functions.text import content_sha, strip, title
 from . import files
 from .files import workspace
-from .vectors import CellVectorTable, PartitionedVectorTable, VectorTable, get_store, within
+from .lexical import Bm25Table
+from .vectors import CellVectorTable, PartitionedVectorTable, VectorTable, get_store
 
-__all__ = ["CellVectorTable", "PartitionedVectorTable", "VectorTable", "get_store", "workspace"]
+__all__ = ["Bm25Table", "CellVectorTable", "PartitionedVectorTable", "VectorTable", "get_store", "workspace"]
 
 GOLDEN = "id string, question string, relevant array<string>, answer_contains array<string>, kind string"
 
@@ -51,47 +52,6 @@ def from_payload(rows: DataFrame, kinds: dict[str, str]) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "meta"], *(F.expr(f"try_cast(meta['{c}'] AS {kind})").alias(c) for c, kind in kinds.items()))
 
 
-class Bm25Table:
-    """A lexical index as three Parquet tables: postings (term, chunk_id, tf, size), terms (term, df) and the collection's one row (n, mean)."""
-
-    def __init__(self, spark: SparkSession, path: str, words=None):
-        self.spark, self.path, self.words, self.name = spark, path.rstrip("/"), words or stemmed, "bm25"
-
-    def build(self, chunks: DataFrame) -> None:
-        """Writes the index of (chunk_id, text), and of context where there is one: texts are cut once, the rest is read from what was written."""
-        from ..operators.retrieve import postings
-
-        text = embed_text(F.col("context"), F.col("text")) if "context" in chunks.columns else F.col("text")
-        rows = chunks.select("chunk_id", text.alias("text"))
-        postings(rows, self.words).repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/postings")
-        read = self.spark.read.parquet(f"{self.path}/postings")
-        read.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{self.path}/terms")
-        sizes = read.groupBy("chunk_id").agg(F.first("size").alias("size")).agg(F.coalesce(F.sum("size"), F.lit(0)).alias("words"))
-        whole = rows.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(sizes)).select("n", (F.col("words") / F.when(F.col("n") == 0, 1).otherwise(F.col("n"))).alias("mean"))
-        if not whole.first()["n"]:
-            raise ValueError("an index over no chunks cannot be built")
-        whole.write.mode("overwrite").parquet(f"{self.path}/collection")
-
-    def load(self) -> bool:
-        """Whether all three tables can be read; if not, the index is to be built again."""
-        try:
-            for t, columns in (("postings", {"term", "chunk_id", "tf", "size"}), ("terms", {"term", "df"}), ("collection", {"n", "mean"})):
-                if not columns <= set(self.spark.read.parquet(f"{self.path}/{t}").columns):
-                    return False
-        except (PySparkException, Py4JJavaError):
-            return False
-        return True
-
-    def search(self, queries: DataFrame, k: int = 5, among: DataFrame | None = None) -> DataFrame:
-        """Lists of k for (query_id, query); among: chunk_ids that alone are ranked (words weigh as in the whole index). Only the questions' terms are read from the postings, which lie sorted by term."""
-        from ..operators.retrieve import bm25_scored
-
-        asked = queries.select("query_id", F.explode(F.array_distinct(self.words(F.col("query")))).alias("term"))
-        wanted = asked.select("term").distinct()
-        part = {t: self.spark.read.parquet(f"{self.path}/{t}") for t in ("postings", "terms", "collection")}
-        return bm25_scored(asked, within(part["postings"].join(wanted, "term", "left_semi"), among), part["terms"], part["collection"], k)
-
-
 class PrefixCache:
     """Contexts by key (key, context) as Parquet, each batch of new rows in a folder of its own; a folder that cannot be read counts as empty."""
 
