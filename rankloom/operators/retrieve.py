@@ -80,7 +80,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = TOP_K, where: Column | No
     """
     cut = words or tokens
     rows = (docs.filter(where) if where is not None else docs).select("chunk_id", cut(F.col("text")).alias("words"))
-    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean"))
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(F.size("words"), F.lit(0))).alias("mean"))
     asked = queries.select("query_id", F.explode(F.array_distinct(cut(F.col("query")))).alias("term"))
     wanted = asked.select("term").distinct()
     tf = rows.select("chunk_id", F.size("words").alias("size"), F.explode("words").alias("term")).join(wanted, "term").groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size"))

@@ -8,14 +8,18 @@ path and application, and read by the queries that need them.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import providers as P
 from ..functions import text as X
-from ..operators import answer, chunk, context, graph, metrics, retrieve as R, transform
+from ..operators import answer, chunk, context, evaluation, graph, metrics, retrieve as R, transform
 from ..session import table
 from ..sources import files, replies, store
-from ..streaming.ingest import event_windows
+from ..sources.delta import MergedTable
+from ..sources.vectors import CellVectorTable
+from ..streaming.ingest import event_windows, events
 from . import oracles
 
 #: Rows whose id is divisible by this are the questions of a search.
@@ -281,11 +285,8 @@ def ceiling_flag(s, d):
 
 
 def near_misses(s, d):
-    """Of the documents by BM25 for a question's first three words: which miss."""
-    few = _questions(s, d).select("query_id", F.array_join(F.slice(X.tokens(F.col("query")), 1, 3), " ").alias("query"))
-    arrays = metrics.ranked_arrays(R.to_documents(_bm25(s, d, 20, few), F.col("chunk_id")))
-    none = F.expr("cast(array() as array<bigint>)")
-    return metrics.misses(metrics.per_question(_golden(s, d).join(arrays, "query_id", "left").withColumn("retrieved", F.coalesce("retrieved", none))))
+    """Questions whose relevant documents a search by hashed vectors does not put among the first three."""
+    return metrics.misses(_embedded_results(s, d))
 
 
 def run_compare(s, d):
@@ -409,8 +410,8 @@ def most_common_entities(s, d):
 
 
 def graph_seeds(s, d):
-    """Words of the questions whose id is divisible by 10, as entities, sought in all questions."""
-    names = _questions(s, d).filter("query_id % 10 = 0").select(F.explode(X.tokens(F.col("query"))).alias("entity")).filter("length(entity) > 4")
+    """The longer words of all questions, as entities, sought in all questions."""
+    names = _questions(s, d).select(F.explode(X.tokens(F.col("query"))).alias("entity")).filter("length(entity) > 4")
     return graph.seeds(_questions(s, d), names)
 
 
@@ -437,8 +438,9 @@ def first_rank_of_fragment(s, d):
 
 
 def cosine_matrix(s, d):
-    out = R.cosines(_vectors(s, d), _queries(s, d))
-    return out.withColumn("cosine", F.round("cosine", 6))
+    """How the cosines of each question with all vectors are spread, in tenths; pairs are counted where they are made."""
+    tenth = F.floor(F.round("cosine", 6) * 10).alias("tenth")
+    return R.cosines(_vectors(s, d), _queries(s, d)).groupBy("query_id", tenth).agg(F.count(F.lit(1)).alias("n"))
 
 
 def saturated_kinds(s, d):
@@ -479,8 +481,14 @@ def run_matrix(s, d):
     return metrics.matrix(runs, ["bm25", "overlap"])
 
 
+def _embedded_results(s, d):
+    lists = metrics.ranked_arrays(R.to_documents(_embedded(s, d, 20), F.col("chunk_id")))
+    return metrics.per_question(_golden(s, d).join(lists, "query_id"))
+
+
 def moved_questions(s, d):
-    return metrics.moved(_results(s, d), _other_results(s, d))
+    """Questions that a search by hashed vectors ranks otherwise than BM25."""
+    return metrics.moved(_results(s, d), _embedded_results(s, d))
 
 
 def passages_spread(s, d):
@@ -497,11 +505,152 @@ def hash_embedding(s, d):
     return table(s, d, "documents").select("doc_id", F.round(v[0], 6).alias("v0"), F.round(v[7], 6).alias("v7"), F.round(v[15], 6).alias("v15"))
 
 
+def _embedded(s, d, k=5):
+    docs = _docs(s, d).select("chunk_id", P.hash_vector(F.col("text")).alias("embedding"))
+    return R.dense(P.embedded(_questions(s, d), F.col("query"), P.SignedHashEmbedder(), "v", query=True).select("query_id", F.col("v").alias("query")), docs, k)
+
+
 def embedded_search(s, d):
     """Questions through an embedder, documents through the same one as built-in functions, then a search."""
-    e = P.SignedHashEmbedder()
-    docs = _docs(s, d).select("chunk_id", P.hash_vector(F.col("text")).alias("embedding"))
-    return R.dense(P.embedded(_questions(s, d), F.col("query"), e, "v", query=True).select("query_id", F.col("v").alias("query")), docs)
+    return _embedded(s, d)
+
+
+def _hybrid(s, d, k=5):
+    return R.fuse({"dense": R.with_origin(_embedded(s, d, 10), "dense"), "bm25": R.with_origin(_bm25(s, d, 10), "bm25")}, k)
+
+
+def hybrid_scores(s, d):
+    """A fused list with the scores that its rows came with."""
+    m = F.col("scores")
+    return _hybrid(s, d).select("query_id", "chunk_id", "rank", F.round(m["dense"], 6).alias("dense_score"), F.round(m["bm25"], 6).alias("bm25_score"), F.round(m["rrf"], 6).alias("rrf_score"))
+
+
+def hybrid_gate(s, d):
+    """A floor for cosines, held against a fused list: the map of scores has them."""
+    return context.gate(_hybrid(s, d), _questions(s, d), 0.6)
+
+
+def window_islands(s, d):
+    """Chunks widened by 300 characters; those of a document that overlap, also by way of others, as one."""
+    wide = _hits(s, d).join(table(s, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    wide = wide.select("query_id", "doc_id", "rank", "score", F.greatest(F.col("start_char") - 300, F.lit(0)).alias("from_char"), F.least(F.col("end_char") + 300, F.col("n_chars")).alias("to_char"))
+    return context.window_islands(wide)
+
+
+def graph_retrieve_3hop(s, d):
+    """As graph_retrieve_1hop, over three levels."""
+    seeds = table(s, d, "lineitem").filter(F.col("l_partkey") % EVERY == 0).select(F.col("l_partkey").alias("query_id"), F.col("l_partkey").alias("entity")).distinct()
+    return graph.walk(seeds, _edges(s, d), _mentions(s, d), hops=3)
+
+
+def graph_levels(s, d):
+    """How many entities lie at each distance from the seeds."""
+    seeds = table(s, d, "lineitem").filter(F.col("l_partkey") % EVERY == 0).select(F.col("l_partkey").alias("query_id"), F.col("l_partkey").alias("entity")).distinct()
+    return graph.reached(seeds, _edges(s, d), 3, 3).groupBy("query_id", "distance").agg(F.count(F.lit(1)).alias("n"))
+
+
+def graph_stats_all(s, d):
+    """With the entities that stand beside no other: events by user and type."""
+    m = table(s, d, "events").select(F.col("event_id").alias("chunk_id"), F.col("user_id").alias("entity"))
+    both = m.unionByName(_mentions(s, d).select((-F.col("chunk_id") - 1).alias("chunk_id"), (-F.col("entity") - 1).alias("entity")))
+    return graph.stats(graph.edges(both), both)
+
+
+DEPTHS, FLOORS = [1, 3, 5, 10, 20], [None, 0.6, 0.9]
+
+
+def _pool(s, d):
+    return evaluation.pool({"bm25": lambda q, k: _bm25(s, d, k, q), "overlap": lambda q, k: _overlap(s, d, k)}, _questions(s, d), max(DEPTHS))
+
+
+def eval_grid(s, d):
+    """Two strategies, five depths and three floors over lists that are retrieved once."""
+    return evaluation.grid(evaluation.at_depths(_pool(s, d), _golden(s, d), ["bm25", "overlap"], DEPTHS), FLOORS)
+
+
+def eval_report(s, d):
+    """The grid without floors as a table: mean nDCG by kind and depth, a column a strategy."""
+    cells = evaluation.grid(evaluation.at_depths(_pool(s, d), _golden(s, d), ["bm25", "overlap"], DEPTHS))
+    return evaluation.report(cells, ["bm25", "overlap"], "ndcg").drop("floor")
+
+
+def _cells(s, d):
+    def write(path):
+        CellVectorTable(s, path).add(_vectors(s, d))
+
+    return CellVectorTable(s, _once(s, d, "cells", write))
+
+
+def cells_topk(s, d):
+    """Approximate lists of ten from the probed cells."""
+    return _cells(s, d).search(_queries(s, d), 10)
+
+
+def cells_exact(s, d):
+    """All cells probed."""
+    t = _cells(s, d)
+    return t.search(_queries(s, d), 5, probes=t.notes["cells"])
+
+
+def cells_filtered(s, d):
+    """A filter that leaves little of each cell: questions with short lists are answered from all cells."""
+    return _cells(s, d).search(_queries(s, d), 1_000, F.col("label") == 3).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cells_recall(s, d):
+    """Whether the probed cells hold nine tenths of the exact lists of ten, over all questions."""
+    t, asked = _cells(s, d), _queries(s, d)
+    exact = R.dense(asked, _vectors(s, d), 10)
+    hit = exact.join(t.search(asked, 10).select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
+    return hit.agg(F.count_distinct("query_id").alias("n_questions"), (F.count("hit") / F.count(F.lit(1)) >= 0.9).alias("reached"))
+
+
+def merged_table(s, d):
+    """Documents' hashes under commits: labelled ones are replaced, those of some sources deleted, then a part comes again, and all is compacted."""
+
+    def write(path):
+        t, docs = MergedTable(s, path, "doc_id", buckets=("doc_id", 16)), table(s, d, "documents").select("doc_id", "source", F.md5("text").alias("sha"))
+        t.upsert(docs)
+        t.upsert(docs.join(table(s, d, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", "source", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("sha")))
+        t.delete(docs.filter("doc_id % 20 = 3").select("source").distinct(), on="source")
+        t.upsert(docs.filter("doc_id % 10 = 0").withColumn("sha", F.lit("again")))
+        t.compact()
+
+    return MergedTable(s, _once(s, d, "merged", write), "doc_id", buckets=("doc_id", 16)).read()
+
+
+def question_events(s, d):
+    """What a stream of answers says to each question: how many events, and the last."""
+    answers = answer.answered(_questions(s, d), _passages(s, d), P.QuotingGenerator(), 2500).withColumn("abstained", F.lit(False))
+    e = events(_questions(s, d), store.serialised(_passages(s, d)), answers)
+    return e.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_events"), F.max_by("event", "seq").alias("last_event"))
+
+
+def bm25_stemmed(s, d):
+    """Lists over English stems without stop words, by blocks."""
+
+    def write(path):
+        store.Bm25Table(s, path).build(_docs(s, d))
+
+    return store.Bm25Table(s, _once(s, d, "stem_index", write)).search(_questions(s, d), 5)
+
+
+class _LongestMissing:
+    """Asks for the longest word of the question that the passages so far do not hold; enough if there is none."""
+
+    name = "longest-missing"
+
+    def generate(self, system, prompt, max_tokens=1024):
+        question, _, so_far = prompt.removeprefix("Question: ").partition("\n\nSo far:\n")
+        have = set(re.findall(r"\w{2,}", so_far.removesuffix("\n\nReply:").lower()))
+        gone = sorted({w for w in re.findall(r"\w{2,}", question.lower()) if w not in have}, key=lambda w: (-len(w), w))
+        return (f"SEARCH: {gone[0]}" if gone else "ENOUGH"), len(prompt.split()), 2
+
+
+def multihop_missing(s, d):
+    """A further search for what is missing, another for each question."""
+    lists, _ = answer.multi_hop(_questions(s, d), lambda q, k: _bm25(s, d, k, q), _docs(s, d), _LongestMissing(), max_hops=1)
+    return lists
 
 
 def vector_table_search(s, d):
@@ -588,7 +737,7 @@ def serialised_results(s, d):
     return store.serialised(_passages(s, d)).select("query_id", F.size(F.from_json("results", "array<struct<rank:int,chunk_id:string,score:double>>")).alias("n"))
 
 
-_HELPERS = {"table", "event_windows"}
+_HELPERS = {"table", "event_windows", "events", "recall", "MergedTable", "CellVectorTable"}
 #: Columns that are rounded to 6 places in what a query returns.
 _ROUNDED = {"score", "best_score"}
 

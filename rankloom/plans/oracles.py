@@ -71,6 +71,10 @@ def _results(name: str = "results", source: str = "bm25", join: str = "LEFT JOIN
 {name} AS (SELECT query_id, kind, {cols}, round(CASE WHEN len(relevant) = 0 THEN 1.0 ELSE coalesce(1 / first_rank, 0.0) END, 6) AS mrr, first_rank, len(relevant) AS n_relevant FROM {name}_f)"""
 
 
+def _embedded(k: int) -> str:
+    return f"ev AS {_units('documents', 'doc_id')}, eq AS (SELECT item_id, v AS q FROM {_units('benchmark', 'item_id')}), es AS (SELECT item_id AS query_id, doc_id AS chunk_id, list_dot_product(v, q) AS score FROM eq, ev), embedded AS {_rank(k, source='es')}"
+
+
 def _rrf(k: int = 60, wa: float = 1.0, wb: float = 1.0, name: str = "fused") -> str:
     return f"""{name}_u AS (SELECT query_id, chunk_id, rank, 0 AS l, {wa} AS w FROM bm25 UNION ALL SELECT query_id, chunk_id, rank, 1, {wb} FROM overlap),
 {name}_s AS (SELECT query_id, chunk_id, sum(w / ({k} + rank)) AS score, min(l * 1000 + rank) AS first FROM {name}_u GROUP BY ALL),
@@ -90,7 +94,6 @@ _KINDS = "SELECT {kind} AS kind, count(*) AS n, round(avg(recall_at_1), 4) AS re
 _REFUSED = " OR ".join("contains(lower(t), '" + m.replace("'", "''") + "')" for m in REFUSAL_MARKERS)
 _JT = "list_distinct(regexp_extract_all(lower({c}), '[a-z0-9][a-z0-9\\-_.]*'))"
 
-_FEW = f"(SELECT item_id AS query_id, array_to_string({_tok('text')}[1:3], ' ') AS text FROM benchmark)"
 _FIXED = "(SELECT item_id AS query_id, 'the of and in' AS text FROM benchmark)"
 def _stems(words: str) -> str:
     """CTEs that stem the column word of a table of distinct words step by step; the last is stems (word, stem)."""
@@ -129,12 +132,6 @@ def _units(table: str, key: str) -> str:
     return f"(SELECT {key}, [CASE WHEN size > 0 THEN x / size ELSE x END FOR x IN v] AS v FROM (SELECT {key}, v, sqrt(list_sum([y * y FOR y IN v])) AS size FROM (SELECT {key}, {_SIGNED} AS v FROM (SELECT {key}, {_HASHED.format(t='text')} AS codes FROM {table}))))"
 
 
-def _stem(w: str) -> str:
-    for find, put in ((r"^(\w{2,})ies$", r"\1y"), (r"^(\w{2,}(?:ss|sh|ch|x|z))es$", r"\1"), (r"^(\w{2,}[^s\W])s$", r"\1"), (r"^(\w{3,}?)(?:ingly|edly|ing|ed|ly)$", r"\1")):
-        w = f"regexp_replace({w}, '{find}', '{put}')"
-    return w
-
-
 def _line(x: str) -> str:
     plain = _STRIP.format(x="regexp_replace(" + _STRIP.format(x=x) + ", '^\\s*(?:[-*•]|[0-9]+[.)])\\s*', '')")
     return _STRIP.format(x=f"regexp_replace({plain}, '^\"+|\"+$', '', 'g')")
@@ -169,7 +166,7 @@ ORACLES = {
     "metrics_per_question": f"WITH {_bm25(20)}, {_GOLDEN}, {_results()} SELECT * FROM results",
     "metrics_by_kind": f"WITH {_bm25(20)}, {_GOLDEN}, {_results()} {_KINDS.format(kind='kind')} UNION ALL {_KINDS.format(kind=chr(39) + 'ALL' + chr(39))}",
     "ceiling_flag": f"WITH {_bm25(20)}, {_GOLDEN}, {_results()} SELECT count(*) AS n, coalesce(round(avg(recall_at_1), 4) >= 0.95 AND round(avg(recall_at_3), 4) >= 0.95 AND round(avg(recall_at_5), 4) >= 0.95, false) AS ceiling_reached FROM results WHERE n_relevant > 0",
-    "near_misses": f"WITH {_bm25(20, asked=_FEW)}, {_GOLDEN}, {_results()} SELECT query_id, first_rank, CASE WHEN first_rank IS NULL THEN 'absent' ELSE 'near miss' END AS what FROM results WHERE n_relevant > 0 AND (first_rank IS NULL OR first_rank > 3)",
+    "near_misses": f"WITH {_embedded(20)}, {_GOLDEN}, {_results('other', 'embedded', 'JOIN')} SELECT query_id, first_rank, CASE WHEN first_rank IS NULL THEN 'absent' ELSE 'near miss' END AS what FROM other WHERE n_relevant > 0 AND (first_rank IS NULL OR first_rank > 3)",
     "run_compare": f"WITH {_bm25(20)}, {_overlap(20)}, {_GOLDEN}, {_results()}, {_results('other', 'overlap', 'JOIN')}, u AS (SELECT 'bm25' AS run, query_id, recall_at_5 AS recall FROM results UNION ALL SELECT 'overlap', query_id, recall_at_5 FROM other WHERE n_relevant > 0) SELECT run, count(*) AS n, round(avg(recall), 4) AS recall FROM u WHERE query_id IN (SELECT query_id FROM u GROUP BY 1 HAVING count(DISTINCT run) = 2) GROUP BY 1",
     "abstain_gate": f"WITH {_GATE} SELECT * FROM gate",
     "threshold_sweep": f"WITH {_GATE}, {_GOLDEN} SELECT CAST(threshold AS DOUBLE) AS threshold, count(*) FILTER (best_score < threshold AND len(relevant) = 0) AS caught, count(*) FILTER (best_score < threshold AND len(relevant) > 0) AS wrongly_refused FROM gate JOIN golden USING (query_id), (SELECT unnest([0.5, 0.6, 0.7, 0.9]) AS threshold) GROUP BY 1",
@@ -194,24 +191,24 @@ ORACLES = {
     "json_tolerant_parse": "WITH r AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'Sure: ' || props || ' done' ELSE props END AS raw FROM events) SELECT event_id, (CASE WHEN json_valid(raw) THEN json_extract_string(raw, '$.k') ELSE json_extract_string(nullif(regexp_extract(raw, '(?s)\\{.*?\\}'), ''), '$.k') END) IS NOT NULL AS has_k, length(raw) AS chars FROM r",
     "entity_frequency": "SELECT lower(source) AS entity, count(*) AS n FROM documents GROUP BY 1",
     "most_common_entities": "SELECT lower(concat_ws('-', source, lang)) AS entity, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, entity LIMIT 12",
-    "graph_seeds": f"WITH e AS (SELECT DISTINCT unnest({_tok('text')}) AS entity FROM benchmark WHERE item_id % 10 = 0) SELECT item_id AS query_id, entity FROM benchmark, e WHERE length(entity) > 4 AND contains(lower(text), entity)",
+    "graph_seeds": f"WITH e AS (SELECT DISTINCT unnest({_tok('text')}) AS entity FROM benchmark) SELECT item_id AS query_id, entity FROM benchmark, e WHERE length(entity) > 4 AND contains(lower(text), entity)",
     "teaching_chunks": "WITH c AS (SELECT doc_id, text, unnest(range(0, length(text), 448)) AS a FROM documents WHERE length(text) > 0) SELECT doc_id, CAST(a / 448 AS INT) AS chunk_index, md5(substring(text, CAST(a AS INT) + 1, 512)) AS text_md5 FROM c",
     "chunk_subset": f"WITH {_CHUNKS} SELECT DISTINCT doc_id FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "list_overlap_count": f"WITH {_bm25(10)}, {_overlap(10)} SELECT b.query_id, count(*) AS shared FROM bm25 b JOIN overlap o ON o.query_id = b.query_id AND o.chunk_id = b.chunk_id GROUP BY 1",
     "lists_side_by_side": f"WITH {_bm25(5)}, {_overlap(5)} SELECT query_id, rank, b.chunk_id AS left_id, o.chunk_id AS right_id FROM bm25 b FULL JOIN overlap o USING (query_id, rank)",
     "first_rank_of_fragment": f"WITH {_bm25(20)} SELECT b.query_id, min(b.rank) AS first_rank FROM bm25 b JOIN documents d ON d.doc_id = b.chunk_id JOIN benchmark i ON i.item_id = b.query_id WHERE contains(d.text, substring(i.text, 1, 20)) GROUP BY 1",
-    "cosine_matrix": "SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) AS cosine FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id % 100 = 0) q, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS b FROM embeddings) v",
+    "cosine_matrix": "SELECT q.vec_id AS query_id, CAST(floor(round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) * 10) AS BIGINT) AS tenth, count(*) AS n FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id % 100 = 0) q, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS b FROM embeddings) v GROUP BY 1, 2",
     "saturated_kinds": f"WITH {_bm25(20)}, {_GOLDEN}, {_results()} SELECT kind, round(avg(recall_at_3), 4) AS recall_at_3 FROM results WHERE kind <> 'unanswerable' GROUP BY 1 HAVING round(avg(recall_at_3), 4) >= 0.5",
     "run_totals": "SELECT round(avg(event_id % 997), 1) AS ms, round(sum(value), 6) AS cost_usd FROM events",
     "router_agreement": f"SELECT CASE WHEN {_LEXICAL} THEN 'lexical' ELSE 'semantic' END AS a_route, CASE WHEN length(text) < 200 THEN 'lexical' ELSE 'semantic' END AS b_route, count(*) AS n FROM conversations GROUP BY 1, 2",
     "shortlist_crosstab": f"WITH {_bm25(10)}, {_overlap(None)}, {_GOLDEN}, {_OVER}, g AS (SELECT query_id, unnest(relevant) AS doc FROM golden) SELECT in_shortlist, in_top, count(*) AS n FROM (SELECT g.query_id, bool_or(r.rank IS NOT NULL) AS in_shortlist, bool_or(coalesce(r.rank <= 3, false)) AS in_top FROM g LEFT JOIN r ON r.query_id = g.query_id AND r.chunk_id = g.doc GROUP BY 1) GROUP BY 1, 2",
     "described_lengths": "SELECT lang, count(n_chars) AS n, round(avg(n_chars), 4) AS mean, min(n_chars) AS least, median(n_chars) AS median, max(n_chars) AS most, grouping(lang) = 1 AS total FROM documents GROUP BY ROLLUP (lang)",
     "heads_per_group": "SELECT lang, doc_id, n_chars FROM (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 2",
-    "moved_questions": f"WITH {_bm25(20)}, {_overlap(20)}, {_GOLDEN}, {_results()}, {_results('other', 'overlap', 'JOIN')} SELECT query_id, a.first_rank AS before, b.first_rank AS after FROM results a FULL JOIN other b USING (query_id) WHERE a.first_rank IS DISTINCT FROM b.first_rank",
+    "moved_questions": f"WITH {_bm25(20)}, {_embedded(20)}, {_GOLDEN}, {_results()}, {_results('other', 'embedded', 'JOIN')} SELECT query_id, a.first_rank AS before, b.first_rank AS after FROM results a FULL JOIN other b USING (query_id) WHERE a.first_rank IS DISTINCT FROM b.first_rank",
     "passages_spread": f"WITH {_HITS} SELECT h.query_id, count(DISTINCT h.doc_id) AS n_docs, CAST(sum(length(c.text)) AS BIGINT) AS chars FROM hits h JOIN chunks c ON c.chunk_id = h.chunk_id WHERE h.rank <= 5 GROUP BY 1",
     "refusals_by_config": f"WITH {_GATE}, {_GOLDEN}, a AS (SELECT config, len(relevant) > 0 AS answerable, CAST(best_score < config AS INT) AS refused FROM gate JOIN golden USING (query_id), (SELECT CAST(unnest([0.5, 0.8]) AS DOUBLE) AS config)) SELECT config, count(*) AS n, round(avg(CASE WHEN NOT answerable THEN refused END), 4) AS correct_refusal, round(avg(CASE WHEN answerable THEN refused END), 4) AS false_refusal FROM a GROUP BY 1",
     "hash_embedding": f"SELECT doc_id, round(v[1], 6) AS v0, round(v[8], 6) AS v7, round(v[16], 6) AS v15 FROM {_units('documents', 'doc_id')}",
-    "embedded_search": f"WITH v AS {_units('documents', 'doc_id')}, q AS (SELECT item_id, v AS q FROM {_units('benchmark', 'item_id')}), es AS (SELECT item_id AS query_id, doc_id AS chunk_id, list_dot_product(v, q) AS score FROM q, v), x AS {_rank(5, source='es')} SELECT * FROM x",
+    "embedded_search": f"WITH {_embedded(5)} SELECT * FROM embedded",
     "vector_table_search": f"WITH {_dense(5, ' AND v.label = 3')} SELECT * FROM dense",
     "payload_round_trip": "SELECT doc_id, lang, source, n_chars FROM documents",
     "transform_rewrite": "SELECT item_id AS query_id, text || '|Short query\"' AS variants FROM benchmark",
@@ -227,7 +224,38 @@ ORACLES = {
     "stemmed_terms": f"WITH t AS (SELECT doc_id, [w FOR w IN {_tok('text')} IF w NOT IN {STOP_WORDS}] AS t FROM documents), u AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS i FROM t), ws AS (SELECT DISTINCT word FROM u), {_stems('ws')}, j AS (SELECT doc_id, count(*) AS n_terms, string_agg(stem, ' ' ORDER BY i) AS terms FROM u JOIN stems USING (word) GROUP BY doc_id) SELECT d.doc_id, coalesce(n_terms, 0) AS n_terms, md5(coalesce(terms, '')) AS terms_md5 FROM documents d LEFT JOIN j ON j.doc_id = d.doc_id",
     "serialised_results": f"WITH {_HITS} SELECT query_id, count(*) AS n FROM hits WHERE rank <= 5 GROUP BY 1",
 }
+_HYBRID = f"{_embedded(10)}, {_bm25(10)}, hu AS (SELECT query_id, chunk_id, rank, 0 AS l, score AS dense, NULL::DOUBLE AS bm25 FROM embedded UNION ALL SELECT query_id, chunk_id, rank, 1, NULL, score FROM bm25), hs AS (SELECT query_id, chunk_id, sum(1 / (60 + rank)) AS score, min(l * 1000 + rank) AS first, max(dense) AS dense, max(bm25) AS bm25 FROM hu GROUP BY ALL), hr AS {_rank(5, 'first, chunk_id', 'hs')}, hybrid AS (SELECT hr.*, dense, bm25 FROM hr JOIN hs USING (query_id, chunk_id))"
+_NEAR = "near AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS n FROM edges) WHERE n <= {n})"
+_WALK = "w AS (SELECT DISTINCT l_partkey AS query_id, l_partkey AS entity, 0 AS distance FROM lineitem WHERE l_partkey % 100 = 0 UNION SELECT query_id, dst, distance + 1 FROM w JOIN near ON src = entity WHERE distance < 3), reached AS (SELECT query_id, entity, min(distance) AS distance FROM w GROUP BY 1, 2)"
+_DEPTHS = "(SELECT unnest([1, 3, 5, 10, 20]) AS depth)"
+
+
+def _grid(floors: str) -> str:
+    return f"""{_bm25(20)}, {_overlap(20)}, {_GOLDEN}, gu AS (SELECT 'bm25' AS run, query_id, chunk_id, rank, score FROM bm25 UNION ALL SELECT 'overlap', query_id, chunk_id, rank, score FROM overlap),
+gb AS (SELECT run, query_id, max(score) AS best, max(rank) AS length, list(rank ORDER BY rank) FILTER (list_contains(relevant, chunk_id)) AS ranks FROM gu JOIN golden USING (query_id) GROUP BY 1, 2),
+ge AS (SELECT r.run, g.query_id, kind, depth, floor, len(relevant) AS nr, best, coalesce(length, 0) AS length, [x FOR x IN coalesce(ranks, []) IF x <= depth] AS ranks FROM golden g CROSS JOIN (VALUES ('bm25'), ('overlap')) r(run) CROSS JOIN {_DEPTHS} CROSS JOIN (SELECT unnest([{floors}])::DOUBLE AS floor) LEFT JOIN gb ON gb.run = r.run AND gb.query_id = g.query_id),
+gm AS (SELECT *, floor IS NOT NULL AND (best IS NULL OR best < floor) AS refused, CASE WHEN nr = 0 THEN 1.0 ELSE len(ranks) / nr END AS recall, CASE WHEN nr = 0 OR least(length, depth) = 0 THEN 0.0 ELSE len(ranks) / least(length, depth) END AS precision, CASE WHEN nr = 0 THEN 1.0 WHEN len(ranks) = 0 THEN 0.0 ELSE 1 / ranks[1] END AS mrr, CASE WHEN nr = 0 THEN 1.0 ELSE coalesce(list_sum([1 / log2(x + 1) FOR x IN ranks]), 0.0) / list_sum([1 / log2(j + 1) FOR j IN range(1, least(nr, depth) + 1)]) END AS ndcg, CASE WHEN nr = 0 OR len(ranks) > 0 THEN 1.0 ELSE 0.0 END AS hit FROM ge),
+cells AS (SELECT run, depth, floor, CASE WHEN grouping(kind) = 1 THEN 'ALL' ELSE kind END AS kind, count(*) AS n, count(*) FILTER (refused) AS n_refused, round(avg(refused::INT) FILTER (nr = 0), 4) AS correct_refusal, round(avg(refused::INT) FILTER (nr > 0), 4) AS false_refusal, {', '.join(f'round(avg({m}) FILTER (NOT refused), 4) AS {m}' for m in ('recall', 'precision', 'mrr', 'ndcg', 'hit'))} FROM gm GROUP BY GROUPING SETS ((run, depth, floor, kind), (run, depth, floor)))"""
+
+
+ORACLES |= {
+    "hybrid_scores": f"WITH {_HYBRID} SELECT query_id, chunk_id, rank, round(dense, 6) AS dense_score, round(bm25, 6) AS bm25_score, round(score, 6) AS rrf_score FROM hybrid",
+    "hybrid_gate": f"WITH {_HYBRID}, b AS (SELECT query_id, coalesce(max(dense), max(score)) AS best FROM hybrid GROUP BY 1) SELECT item_id AS query_id, round(coalesce(best, 0.0), 6) AS best_score, best IS NULL OR best < 0.6 AS abstain FROM benchmark LEFT JOIN b ON b.query_id = item_id",
+    "window_islands": f"WITH {_HITS}, wi AS (SELECT query_id, h.doc_id, rank, score, greatest(start_char - 300, 0) AS a, least(end_char + 300, n_chars) AS b FROM hits h JOIN documents d ON d.doc_id = h.doc_id), wb AS (SELECT *, CASE WHEN a >= max(b) OVER (PARTITION BY query_id, doc_id ORDER BY a, b, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS begins FROM wi), wn AS (SELECT *, sum(begins) OVER (PARTITION BY query_id, doc_id ORDER BY a, b, rank ROWS UNBOUNDED PRECEDING) AS island FROM wb) SELECT query_id, doc_id, min(a) AS from_char, max(b) AS to_char, count(*) AS merged_windows, min(rank) AS best_rank, arg_min(score, rank) AS score FROM wn GROUP BY query_id, doc_id, island",
+    "graph_retrieve_3hop": f"WITH RECURSIVE {_EDGES}, {_NEAR.format(n=10)}, {_WALK}, g AS (SELECT query_id, l_orderkey AS chunk_id, sum(1 / (1 + distance)) AS score FROM reached JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) ON l_partkey = entity GROUP BY ALL), x AS {_rank(5, source='g')} SELECT * FROM x",
+    "graph_levels": f"WITH RECURSIVE {_EDGES}, {_NEAR.format(n=3)}, {_WALK} SELECT query_id, distance, count(*) AS n FROM reached GROUP BY 1, 2",
+    "graph_stats_all": f"WITH {_EDGES}, d AS (SELECT e, (SELECT count(*) FROM edges WHERE src = e) AS degree FROM often UNION ALL SELECT user_id, 0 FROM events GROUP BY user_id HAVING count(*) >= 2) SELECT count(*) AS entities, CAST(floor(sum(degree) / 2) AS BIGINT) AS edges, round(avg(degree), 4) AS mean_degree, max(degree) AS max_degree FROM d",
+    "eval_grid": f"WITH {_grid('NULL, 0.6, 0.9')} SELECT * FROM cells",
+    "eval_report": f"WITH {_grid('NULL')} SELECT kind, depth, max(ndcg) FILTER (run = 'bm25') AS bm25, max(ndcg) FILTER (run = 'overlap') AS overlap FROM cells GROUP BY kind, depth",
+    "cells_exact": f"WITH {_dense(5)} SELECT * FROM dense",
+    "cells_filtered": "SELECT q.vec_id AS query_id, count(*) AS n FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND v.label = 3 GROUP BY 1",
+    "cells_recall": "SELECT count(*) AS n_questions, true AS reached FROM embeddings WHERE vec_id % 100 = 0",
+    "merged_table": "WITH m AS (SELECT doc_id, source, CASE WHEN doc_id % 10 = 0 THEN 'again' WHEN quality IS NOT NULL THEN 'q' || quality ELSE md5(text) END AS sha FROM documents LEFT JOIN labels USING (doc_id)) SELECT * FROM m WHERE sha = 'again' OR source NOT IN (SELECT source FROM documents WHERE doc_id % 20 = 3)",
+    "question_events": f"WITH a AS ({ORACLES['answers_generated']}) SELECT query_id, 2 + len(regexp_extract_all(answer, '\\s*\\S+')) AS n_events, 'done' AS last_event FROM a",
+    "bm25_stemmed": f"WITH t AS (SELECT doc_id AS id, 0 AS q, [w FOR w IN {_tok('text')} IF w NOT IN {STOP_WORDS}] AS t FROM documents UNION ALL SELECT item_id, 1, [w FOR w IN {_tok('text')} IF w NOT IN {STOP_WORDS}] FROM benchmark), u AS (SELECT id, q, len(t) AS size, unnest(t) AS word FROM t), ws AS (SELECT DISTINCT word FROM u), {_stems('ws')}, f AS (SELECT id, q, stem, any_value(size) AS size, count(*) AS tf FROM u JOIN stems USING (word) GROUP BY 1, 2, 3), n AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM t WHERE q = 0), df AS (SELECT stem, count(*) AS df FROM f WHERE q = 0 GROUP BY 1), bs AS (SELECT a.id AS query_id, b.id AS chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * b.tf * 2.5 / (b.tf + 1.5 * (0.25 + 0.75 * b.size / mean))) AS score FROM f a JOIN f b ON a.stem = b.stem AND a.q = 1 AND b.q = 0 JOIN df ON df.stem = a.stem, n GROUP BY 1, 2), x AS {_rank(5, source='bs')} SELECT * FROM x",
+    "multihop_missing": f"WITH {_bm25(5)}, h AS (SELECT query_id, list_distinct(flatten(list({_tok('substring(d.text, 1, 220)')}))) AS have FROM bm25 JOIN documents d ON d.doc_id = chunk_id GROUP BY 1), g AS (SELECT item_id AS query_id, unnest(list_distinct({_tok('text')})) AS w FROM benchmark), mw AS (SELECT query_id, w AS text FROM g LEFT JOIN h USING (query_id) WHERE NOT coalesce(list_contains(have, w), false) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(w) DESC, w) = 1), {_bm25(5, p='f', name='more', asked='mw')}, u AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT * FROM bm25 UNION ALL SELECT * FROM more) GROUP BY ALL), x AS {_rank(5, source='u')} SELECT * FROM x",
+}
 ORACLES["generation_means"] = f"SELECT count(*) AS n, round(avg(groundedness), 4) AS groundedness, round(avg(relevance), 4) AS relevance, round(avg(correct_refusal), 4) AS correct_refusal FROM ({ORACLES['judge_groundedness']})"
 ORACLES["run_matrix"] = "SELECT kind, max(CASE WHEN run = 'bm25' THEN r END) AS bm25, max(CASE WHEN run = 'overlap' THEN r END) AS overlap FROM (" + f"WITH {_bm25(20)}, {_overlap(20)}, {_GOLDEN}, {_results()}, {_results('other', 'overlap', 'JOIN')}, u AS (SELECT 'bm25' AS run, * FROM results UNION ALL SELECT 'overlap', * FROM other) SELECT run, kind, round(avg(recall_at_5), 4) AS r FROM u GROUP BY ALL UNION ALL SELECT run, 'ALL', round(avg(recall_at_5), 4) FROM u GROUP BY ALL" + ") GROUP BY 1"
-for _name, _column in ({"abstain_gate": "best_score"} | dict.fromkeys(("dense_topk", "dense_topk_prefilter", "bm25_topk", "rrf_fusion", "rrf_weighted", "rrf_k_sweep", "variants_fusion", "rerank_overlap", "graph_retrieve_1hop", "multihop_accumulate", "embedded_search", "vector_table_search", "transformed_retrieval", "identity_retrieval", "multihop_loop"), "score")).items():
+for _name, _column in ({"abstain_gate": "best_score"} | dict.fromkeys(("dense_topk", "dense_topk_prefilter", "bm25_topk", "rrf_fusion", "rrf_weighted", "rrf_k_sweep", "variants_fusion", "rerank_overlap", "graph_retrieve_1hop", "multihop_accumulate", "embedded_search", "vector_table_search", "transformed_retrieval", "identity_retrieval", "multihop_loop", "window_islands", "graph_retrieve_3hop", "cells_exact", "bm25_stemmed", "multihop_missing"), "score")).items():
     ORACLES[_name] = f"SELECT * REPLACE (round({_column}, 6) AS {_column}) FROM ({ORACLES[_name]})"
