@@ -51,8 +51,9 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     Rows find what stays by hash, length, SHA-256 and doc_id, so copies of one text spread over the tasks; of rows
     that agree in all four one is taken where they have met.
     """
-    norm, key = normalised(F.col("text")), ["_h", "_n", "_sha", "_id"]
+    norm, key = normalised(F.col("text")), ["h", "n", "sha", "id"]
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = documents.withColumns({"_h": content_hash(norm), "_n": F.octet_length(norm), "_sha": F.sha2(norm.cast("binary"), 256), "_id": ident})
-    kept = groups(documents).select(F.col("h").alias("_h"), F.col("n_bytes").alias("_n"), F.col("text_sha256").alias("_sha"), F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("_id"))
-    return rows.join(kept, key, "left_semi").dropDuplicates(key).select(*documents.columns)
+    # the caller's columns travel as one, so that no name of theirs meets one of these
+    rows = documents.select(F.struct("*").alias("row"), content_hash(norm).alias("h"), F.octet_length(norm).alias("n"), F.sha2(norm.cast("binary"), 256).alias("sha"), ident.alias("id"))
+    kept = groups(documents).select("h", F.col("n_bytes").alias("n"), F.col("text_sha256").alias("sha"), F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("id"))
+    return rows.join(kept, key, "left_semi").dropDuplicates(key).select("row.*")

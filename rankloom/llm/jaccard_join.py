@@ -505,8 +505,8 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     if ids["n"] == ids["distinct"]:
         kept = linked(documents).filter("doc_id = component_id").select("doc_id")
         return documents.join(kept, "doc_id", "left_semi").select(*documents.columns)
-    numbered = saved(documents.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = linked(numbered.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-    first = F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
-    kept = numbered.select("_row", "doc_id").join(found, "_row").groupBy("component_id").agg(first.alias("_row")).select("_row")
-    return numbered.join(kept, "_row", "left_semi").select(*documents.columns)
+    numbered = saved(documents.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
+    found = linked(numbered.select(F.col("number").alias("doc_id"), "row.text")).select(F.col("doc_id").alias("number"), "component_id")
+    first = F.min_by("number", F.struct(F.col("doc_id").isNull(), "doc_id", "number"))
+    kept = numbered.select("number", "row.doc_id").join(found, "number").groupBy("component_id").agg(first.alias("number")).select("number")
+    return numbered.join(kept, "number", "left_semi").select("row.*")

@@ -250,3 +250,33 @@ def test_every_order_of_rows_gives_one_record():
         r = golden_records.Ordered(pd.DataFrame(list(p)).astype({"nation_id": "Int64", "cents": "Int64", "client_id": "Int64"})).records().iloc[0]
         found.add((r["name"], r["segment"], r["balance_cents"], r["n_records"]))
     assert found == {("zz", "a", 5, 3)}
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns that are named like a stage's own come back as they were; on empty tables, too."""
+    from rankloom.llm import exact_dedup, jaccard_join, language_id
+
+    rng = random.Random(9)
+    long_ = sentence(rng, 80)
+    names = ["_h", "_n", "_sha", "_id", "_row", "h", "n", "sha", "id", "row", "number", "norm", "keep_id", "lang"]
+    rows = [(1, long_), (1, long_), (2, long_ + " tail"), (None, long_), (3, sentence(rng, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", *(F.concat(F.lit(f"{c} of "), F.length("text").cast("string")).alias(c) for c in names))
+    for stage, n in ((exact_dedup.deduplicated, 3), (jaccard_join.deduplicated, 2), (language_id.identified, None)):
+        got = stage(docs).collect()
+        assert n is None or len(got) == n
+        assert all(r[c] == f"{c} of {len(r.text)}" for r in got for c in names)
+        none = stage(docs.limit(0))
+        assert none.columns == docs.columns and none.count() == 0
+
+
+def test_one_long_word(spark):
+    """A word of very many bytes is scored and counted, and never reaches the driver."""
+    from rankloom.llm import context_mixing
+
+    long_ = "x" * 300_000
+    docs = spark.createDataFrame([(1, "a b a"), (2, f"a {long_}"), (3, long_), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in context_mixing.scored(docs, F.lit(False)).collect()}
+    total, kinds = 4 + 3 + 2 + 1, 4
+    log = lambda *c: sum(np.log10((x + 1) / (total + kinds + 1)) for x in c)
+    assert got[3].n_known == 2 and got[3].base_score == pytest.approx(log(2, 4)) and got[2].base_score == pytest.approx(log(3, 2, 4)) and got[4].n_tokens == 1
+    assert all(np.isfinite(r.score) and r.score < 0 for r in got.values())
