@@ -4,8 +4,8 @@ For each item the windows of as many words as it has are compared with it. Every
 gets a SimHash of BITS bits, and a multi-index over the items' fingerprints yields the items to compare it with:
 the fingerprints are cut into BLOCKS blocks, and if two differ in at most RADIUS bits, some block differs in
 at most RADIUS // BLOCKS bits; each block is listed under half of these flips and looked up with the other
-half, so every fingerprint within the radius is found. Items of one size have an index of their own; with few of
-them the blocks are compared directly, as tables of flips would be longer than the items. Then the exact weighted shingle similarity (sum of minima
+half, so every fingerprint within the radius is found. One index holds the items of all sizes; of what it gives, those of the window's
+size count. Then the exact weighted shingle similarity (sum of minima
 over sum of maxima of the shingles' counts, five words) decides: SIMILARITY or more is contamination.
 
 A window of n shingles can only reach the similarity with an item of m if 3/7 (n + m) of its places hold shingles
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
@@ -42,8 +43,6 @@ from .common import alone, bounded, column, mixed, pieces, spans, texts, words_o
 WORDS, SIMILARITY, BITS, RADIUS, BLOCKS, ITEMS, BYTES = 5, 0.75, 128, 39, 8, 2_000, 4 << 20
 #: Windows and shingles under way at a time.
 WINDOWS, STRETCH = 256, 4096
-#: Fingerprints up to which blocks are compared directly.
-FEW = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -85,21 +84,28 @@ def thrice(s: np.ndarray) -> np.ndarray:
 
 
 class HammingIndex:
-    """All fingerprints within RADIUS of a query, by blocks of 16 bits; complete by the pigeonhole principle."""
+    """All fingerprints within RADIUS of a query, by blocks of 16 bits; complete by the pigeonhole principle. Its tables have len(flips) entries for each fingerprint and block, and are made where they are first used: what is broadcast is the fingerprints."""
 
     def __init__(self, prints: np.ndarray):
         self.prints = prints
-        near = RADIUS // BLOCKS
-        self.blocks = np.ascontiguousarray(prints).view("<u2").reshape(len(prints), BLOCKS)
-        if len(prints) <= FEW:
-            return
-        self.stored, self.asked = self.flips(near // 2), self.flips(near - near // 2)
-        self.tables = []
+
+    @cached_property
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each block the first place of each of its 65,536 values, and the fingerprints by the values under which they are listed."""
+        out, stored = [], self.flips(RADIUS // BLOCKS // 2)
+        blocks = np.ascontiguousarray(self.prints).view("<u2").reshape(len(self.prints), BLOCKS)
         for k in range(BLOCKS):
-            value = (self.blocks[:, k, None] ^ self.stored[None]).ravel()
+            value = (blocks[:, k, None] ^ stored[None]).ravel()
             order = np.argsort(value, kind="stable")
-            first = np.searchsorted(value[order], np.arange((1 << 16) + 1)).astype(np.int32)
-            self.tables.append((first, (order // len(self.stored)).astype(np.int32)))
+            out.append((np.searchsorted(value[order], np.arange((1 << 16) + 1)).astype(np.int32), (order // len(stored)).astype(np.int32)))
+        return out
+
+    @cached_property
+    def asked(self) -> np.ndarray:
+        return self.flips(RADIUS // BLOCKS - RADIUS // BLOCKS // 2)
+
+    def __getstate__(self) -> dict:
+        return {"prints": self.prints}
 
     @staticmethod
     def flips(most: int) -> np.ndarray:
@@ -108,13 +114,11 @@ class HammingIndex:
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, fingerprint) of which some block is near enough, each once."""
         blocks, pairs = np.ascontiguousarray(prints).view("<u2").reshape(len(prints), BLOCKS), []
-        if len(self.prints) <= FEW:
-            return np.nonzero((np.bitwise_count(blocks[:, None] ^ self.blocks[None]) <= RADIUS // BLOCKS).any(-1))
         for k, (first, listed) in enumerate(self.tables):
             asked = (blocks[:, k, None] ^ self.asked[None]).astype(np.int64)
             begin, n = first[asked].astype(np.int64), first[asked + 1] - first[asked]
             query = np.repeat(np.repeat(np.arange(len(prints)), len(self.asked)), n.ravel())
-            pairs.append(np.unique(query * len(self.prints) + listed[spans(begin.ravel(), n.ravel())]))
+            pairs.append(query * len(self.prints) + listed[spans(begin.ravel(), n.ravel())])
         found = np.unique(np.concatenate(pairs))
         return found // max(1, len(self.prints)), found % max(1, len(self.prints))
 
@@ -160,7 +164,7 @@ class Benchmark:
         self.sizes, self.often = np.array(sizes, np.int64), np.array(often, bool)
         self.prints = np.array(prints, "<u8").reshape(len(prints), BITS // 64)
         self.by_size = {m: np.flatnonzero(self.sizes == m) for m in np.unique(self.sizes).tolist()}
-        self.index = {m: HammingIndex(self.prints[i]) for m, i in self.by_size.items()}
+        self.index = HammingIndex(self.prints)
         self.known = {w: np.array(sorted(k), np.uint64) for w, k in known.items()}
 
     @staticmethod
@@ -232,14 +236,12 @@ class Benchmark:
         """Holds windows against the items of some sizes that the index gives for them, and keeps the best window of each."""
         prints = self.fingerprints(keys, n, starts)
         swamped = often[starts + n - 1] >= starts
-        pairs = []
-        for m in sizes:
-            items = self.by_size[m]
-            q, i = self.index[m].near(prints)
-            pairs += zip(q.tolist(), items[i].tolist(), strict=True)
-            if self.often[items].any() or swamped.any():
-                q, i = np.nonzero(self.often[items][None] | swamped[:, None])
-                pairs += zip(q.tolist(), items[i].tolist(), strict=True)
+        fits = np.isin(self.sizes, sizes)
+        q, i = self.index.near(prints)
+        pairs = list(zip(q[fits[i]].tolist(), i[fits[i]].tolist(), strict=True))
+        if (self.often & fits).any() or swamped.any():
+            q, i = np.nonzero((self.often[None] | swamped[:, None]) & fits[None])
+            pairs += zip(q.tolist(), i.tolist(), strict=True)
         bags: dict[int, Counter] = {}
         for q_, i_ in sorted(set(pairs)):
             start = int(starts[q_])

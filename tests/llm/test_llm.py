@@ -319,6 +319,27 @@ def test_hamming_index_is_complete():
     assert set(zip(*(x.tolist() for x in few.near(asked)), strict=True)) == {(q, i) for q, i in want if i < 50}
     share = len(index.candidates(r.integers(0, 1 << 63, (200, 2)).astype("<u8"))[0]) / (200 * 300)
     assert share < 0.35  # the blocks alone leave out two thirds of unrelated pairs
+    none = decontamination.HammingIndex(np.empty((0, 2), "<u8"))
+    assert not len(none.near(asked)[0])
+
+
+def test_fingerprints_at_the_similarity_are_found():
+    """Thousands of windows whose similarity to an item is 0.75 or a little more, of every size, through the index."""
+    r, lost, windows = np.random.default_rng(8), 0, 0
+    for n in (7, 16, 55, 200):
+        items = r.integers(0, 1 << 63, (60, n)).astype("<u8")
+        index = decontamination.HammingIndex(np.array([decontamination.simhash(x) for x in items]))
+        keep = -(-6 * n // 7)
+        prints, of = [], r.integers(60, size=1500)
+        for i in of:
+            w = items[i].copy()
+            w[r.permutation(n)[keep:]] = r.integers(0, 1 << 63, n - keep).astype("<u8")
+            prints.append(decontamination.simhash(w))
+        q, i = index.near(np.array(prints))
+        found = set(zip(q.tolist(), i.tolist(), strict=True))
+        lost += sum((k, int(x)) not in found for k, x in enumerate(of))
+        windows += len(of)
+    assert windows == 6000 and lost <= 2
 
 
 def test_decontamination_of_short_and_repeated_items(spark):
