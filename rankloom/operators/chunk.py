@@ -132,6 +132,13 @@ def paragraphs(docs: DataFrame, least: int = 80) -> DataFrame:
     return cut.select("doc_id", "paragraph", strip(F.col("p")).alias("text")).filter(F.length("text") > least)
 
 
+def first_right_rank(lists: DataFrame, relevant: DataFrame, depth: int | None = None) -> DataFrame:
+    """query_id, first_rank: the best rank (within a depth) of a list's row (query_id, doc_id, rank), as of a search among paragraphs, whose document is relevant (query_id, doc_id); null where none is."""
+    seen = lists if depth is None else lists.filter(F.col("rank") <= depth)
+    hit = seen.join(relevant.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("first_rank"))
+    return lists.select("query_id").distinct().join(hit, "query_id", "left")
+
+
 def merged_paragraphs(docs: DataFrame, most: int = 600) -> DataFrame:
     """doc_id, chunk_index, text: a paragraph joins those before it (after a blank line, which does not count) as long as their characters fit; a longer one stays whole. Empty paragraphs only add to the white space; nothing is stripped."""
     start = F.struct(F.lit("").alias("held"), F.expr("cast(array() as array<string>)").alias("out"))

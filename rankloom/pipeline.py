@@ -25,7 +25,7 @@ STRATEGIES = ("dense", "bm25", "hybrid", "rerank", "router", "parent", "graph")
 
 @dataclass(frozen=True)
 class Options:
-    """What a pipeline is made with, apart from its settings. contextual: chunks get a context from the cheap generator when they are ingested. keep_replies: replies are kept below the path, and the same prompt is not asked again by later calls."""
+    """What a pipeline is made with, apart from its settings. contextual: chunks get a context from the cheap generator when they are ingested; replies are logged below the path, so that an ingest that was lost goes on where it ended. keep_replies: replies are kept below the path, and the same prompt is not asked again by later calls."""
 
     profile: str = "test"
     store: str = "plain"
@@ -80,7 +80,7 @@ class Pipeline:
         rows = rows.join(self.table("documents").select("doc_id", "title"), "doc_id")
         if self.options.contextual:
             cache, made = PrefixCache(self.spark, f"{self.path}/contexts"), self.provider("cheap")
-            rows, new = chunk.contextualised(rows, self.table("documents").select("doc_id", "text"), cache.read(), made, made.name, self.log)
+            rows, new = chunk.contextualised(rows, self.table("documents").select("doc_id", "text"), cache.read(), made, made.name, ReplyLog(self.spark, f"{self.path}/replies"))
             cache.append(new)
             rows = rows.withColumn("context", F.coalesce("context", F.lit("")))
         else:

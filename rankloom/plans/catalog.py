@@ -121,10 +121,13 @@ def _chunks(s, d):
     return s.read.parquet(_once(s, d, "chunks", lambda path: chunk.fixed(table(s, d, "documents")).write.parquet(path)))
 
 
+def _chunk_index(s, d):
+    return _index(s, d, "chunk_index", lambda: _chunks(s, d).select("chunk_id", "text"))
+
+
 def _hits(s, d):
     c = _chunks(s, d).select("doc_id", "chunk_id", "start_char", "end_char")
-    index = _index(s, d, "chunk_index", lambda: _chunks(s, d).select("chunk_id", "text"))
-    return index.search(_questions(s, d), 15).join(c, "chunk_id")
+    return _chunk_index(s, d).search(_questions(s, d), 15).join(c, "chunk_id")
 
 
 def _mentions(s, d):
@@ -530,6 +533,16 @@ def hybrid_gate(s, d):
     return context.gate(_hybrid(s, d), _questions(s, d), 0.6)
 
 
+def paragraph_ranks(s, d):
+    """A search by hashed vectors among the documents' lines of more than 80 characters, as paragraphs: the rank of the first line of a relevant document."""
+    lines = chunk.paragraphs(table(s, d, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")))
+    rows = lines.select(F.concat_ws("#", F.col("doc_id").cast("string"), F.col("paragraph").cast("string")).alias("chunk_id"), P.hash_vector(F.col("text")).alias("embedding"))
+    asked = P.embedded(_questions(s, d), F.col("query"), P.SignedHashEmbedder(), "v", query=True).select("query_id", F.col("v").alias("query"))
+    lists = R.dense(asked, rows, 10).withColumn("doc_id", F.split_part("chunk_id", F.lit("#"), F.lit(1)).cast("long"))
+    relevant = _golden(s, d).select("query_id", F.explode("relevant").alias("doc_id"))
+    return chunk.first_right_rank(lists, relevant)
+
+
 def window_islands(s, d):
     """Chunks widened by 300 characters; those of a document that overlap, also by way of others, as one."""
     wide = _hits(s, d).join(table(s, d, "documents").select("doc_id", "n_chars"), "doc_id")
@@ -737,6 +750,8 @@ def serialised_results(s, d):
     return store.serialised(_passages(s, d)).select("query_id", F.size(F.from_json("results", "array<struct<rank:int,chunk_id:string,score:double>>")).alias("n"))
 
 
+#: What queries read once it is written, for timing apart.
+INDEXES = {"doc_index": _doc_index, "chunks": _chunks, "chunk_index": _chunk_index, "cells": _cells}
 _HELPERS = {"table", "event_windows", "events", "recall", "MergedTable", "CellVectorTable"}
 #: Columns that are rounded to 6 places in what a query returns.
 _ROUNDED = {"score", "best_score"}

@@ -241,6 +241,7 @@ cells AS (SELECT run, depth, floor, CASE WHEN grouping(kind) = 1 THEN 'ALL' ELSE
 ORACLES |= {
     "hybrid_scores": f"WITH {_HYBRID} SELECT query_id, chunk_id, rank, round(dense, 6) AS dense_score, round(bm25, 6) AS bm25_score, round(score, 6) AS rrf_score FROM hybrid",
     "hybrid_gate": f"WITH {_HYBRID}, b AS (SELECT query_id, coalesce(max(dense), max(score)) AS best FROM hybrid GROUP BY 1) SELECT item_id AS query_id, round(coalesce(best, 0.0), 6) AS best_score, best IS NULL OR best < 0.6 AS abstain FROM benchmark LEFT JOIN b ON b.query_id = item_id",
+    "paragraph_ranks": f"WITH pl AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents), pp AS (SELECT doc_id || '#' || i AS id, doc_id, {_STRIP.format(x='t')} AS text FROM pl WHERE length({_STRIP.format(x='t')}) > 80), pv AS {_units('pp', 'id')}, pq AS {_units('benchmark', 'item_id')}, ps AS (SELECT item_id AS query_id, id AS chunk_id, list_dot_product(pv.v, pq.v) AS score FROM pq, pv), px AS {_rank(10, source='ps')}, {_GOLDEN} SELECT px.query_id, min(rank) FILTER (list_contains(relevant, CAST(string_split(chunk_id, '#')[1] AS BIGINT))) AS first_rank FROM px JOIN golden USING (query_id) GROUP BY 1",
     "window_islands": f"WITH {_HITS}, wi AS (SELECT query_id, h.doc_id, rank, score, greatest(start_char - 300, 0) AS a, least(end_char + 300, n_chars) AS b FROM hits h JOIN documents d ON d.doc_id = h.doc_id), wb AS (SELECT *, CASE WHEN a >= max(b) OVER (PARTITION BY query_id, doc_id ORDER BY a, b, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS begins FROM wi), wn AS (SELECT *, sum(begins) OVER (PARTITION BY query_id, doc_id ORDER BY a, b, rank ROWS UNBOUNDED PRECEDING) AS island FROM wb) SELECT query_id, doc_id, min(a) AS from_char, max(b) AS to_char, count(*) AS merged_windows, min(rank) AS best_rank, arg_min(score, rank) AS score FROM wn GROUP BY query_id, doc_id, island",
     "graph_retrieve_3hop": f"WITH RECURSIVE {_EDGES}, {_NEAR.format(n=10)}, {_WALK}, g AS (SELECT query_id, l_orderkey AS chunk_id, sum(1 / (1 + distance)) AS score FROM reached JOIN (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) ON l_partkey = entity GROUP BY ALL), x AS {_rank(5, source='g')} SELECT * FROM x",
     "graph_levels": f"WITH RECURSIVE {_EDGES}, {_NEAR.format(n=3)}, {_WALK} SELECT query_id, distance, count(*) AS n FROM reached GROUP BY 1, 2",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rankloom import cli, providers as P
 from rankloom.functions import text as X
-from rankloom.operators import answer, chunk, context, graph, metrics, retrieve as R, transform
+from rankloom.operators import answer, chunk, context, evaluation, graph, metrics, retrieve as R, transform
 from rankloom.pipeline import Options, Pipeline, pipeline_at
 from rankloom.session import Settings, check_request
 from rankloom.sources import store
@@ -397,6 +397,63 @@ def test_pipeline_end_to_end(spark, pipe):
         pipe.set_strategy("none")
 
 
+def test_pipeline_filters_scores_and_gate(spark, pipe):
+    """A condition on the chunks holds for every strategy before anything is ranked; lists say where their scores come from; a floor for cosines works on fused and reranked lists."""
+    asked = spark.createDataFrame([(1, "MAX_RETRIES settings of the alpha service"), (2, "?!")], "query_id long, query string")
+    of = pipe.table("chunks").select("chunk_id", "doc_id")
+    want = {"dense": {"dense"}, "bm25": {"bm25"}, "hybrid": {"dense", "bm25", "rrf"}, "rerank": {"dense", "bm25", "rrf", "rerank"}, "router": {"bm25", "rerank"}, "parent": {"dense", "bm25", "rrf"}, "graph": {"graph"}}
+    for name, origins in want.items():
+        pipe.set_strategy(name)
+        got = pipe.retrieve(asked, 3, F.col("doc_id") != "a.md").join(of, "chunk_id").collect()
+        assert got and {r.doc_id for r in got} <= {"b.md", "c.md"}, name
+        for r in pipe.retrieve(asked.filter("query_id = 1"), 3).collect():
+            assert set(r.scores) <= origins | {"dense", "bm25"} and any(abs(r.score - v) < 1e-12 for v in r.scores.values()), name
+    for name in ("hybrid", "rerank", "parent"):
+        gated = Pipeline(spark, pipe.path, Settings(strategy=name, score_floor=0.3))
+        assert rows(gated.ask(asked), "query_id", "abstained") == [(1, False), (2, True)], name
+    pipe.set_strategy("hybrid")
+    shown = json.loads(pipe.retrieve_response(asked.filter("query_id = 1"), 2).first()["results"])
+    assert set(shown[0]["scores"]) >= {"rrf"} and [x["rank"] for x in shown] == [1, 2]
+
+
+def test_contextual_pipeline(spark, corpus, tmp_path):
+    """Chunks get their contexts when they are ingested, each is asked for once, also over two ingests, and searches find words of the contexts only."""
+    calls = str(tmp_path / "calls")
+    open(calls, "w").close()
+    P.register("situated", "embedder", P.SignedHashEmbedder)
+    P.register("situated", "reranker", P.RareWordReranker)
+    P.register("situated", "generator", lambda: Counting(calls, P.RuleGenerator(("Passage:\n# Beta", "Situated in the zebra handbook."), default="Elsewhere.")))
+    p = Pipeline(spark, str(tmp_path / "t"), Settings(chunk_size=80, overlap=10, strategy="bm25"), Options(profile="situated", contextual=True))
+    docs = store.load_documents(spark, corpus)
+    first = p.ingest(docs)
+    asked = spark.createDataFrame([(1, "zebra handbook")], "query_id long, query string")
+    found = p.passages(p.retrieve(asked, 3)).collect()
+    assert [r.doc_id for r in found] == ["b.md"] and found[0].context == "Situated in the zebra handbook." and "zebra" not in found[0].text
+    with open(calls) as f:
+        n = len(f.read().splitlines())
+    assert n == first["chunks"]
+    p.ingest(docs)
+    with open(calls) as f:
+        assert len(f.read().splitlines()) == n
+    p.set_strategy("rerank")
+    assert p.retrieve(asked, 1).join(p.table("chunks"), "chunk_id").first()["doc_id"] == "b.md"  # the reranker reads contexts too
+
+
+def test_evaluation_of_a_pipeline(spark, pipe):
+    golden = spark.createDataFrame([("q1", "alpha service settings", ["a.md"], "lookup"), ("q2", "vector search", ["b.md", "c.md"], "multi"), ("q3", "quarterly taxes", [], "unanswerable")], "id string, question string, relevant array<string>, kind string")
+    docs = pipe.table("documents")
+    cells = evaluation.evaluate(pipe, golden, docs, ["bm25", "hybrid"], [1, 3], [None, 0.3])
+    at = {(r.run, r.depth, r.floor, r.kind): r for r in cells.collect()}
+    assert len(at) == 2 * 2 * 2 * 4 and at["bm25", 3, None, "lookup"].recall == 1.0 and at["bm25", 1, None, "multi"].recall == 0.5 and at["bm25", 1, None, "ALL"].n == 3
+    assert at["hybrid", 1, None, "ALL"].n_refused == 0 and at["bm25", 1, 0.3, "unanswerable"].correct_refusal == 1.0
+    with pytest.raises(ValueError, match="q1: missing document"):
+        evaluation.evaluate(pipe, golden.withColumn("relevant", F.when(F.col("id") == "q1", F.array(F.lit("gone.md"))).otherwise(F.col("relevant"))), docs, ["bm25"], [1])
+    pipe.set_strategy("hybrid")
+    asked = golden.select(F.expr("cast(substring(id, 2) as long)").alias("query_id"), F.col("question").alias("query"))
+    frame = evaluation.results_frame(pipe.passages(pipe.retrieve(asked, 2)), ["dense", "bm25"], 20)
+    assert frame.columns == ["query_id", "rank", "doc_id", "chunk_id", "score", "dense_score", "bm25_score", "text"] and max(len(r.text) for r in frame.collect()) <= 20
+
+
 def test_commands(spark, corpus, tmp_path, capsys):
     path = ["--path", str(tmp_path / "t"), "--strategy", "bm25"]
     assert cli.main([*path, "ingest", corpus], spark)["documents"] == 3
