@@ -3,8 +3,8 @@
 For each item the windows of as many words as it has are compared with it. Every window that could qualify
 gets a SimHash of BITS bits, and a multi-index over the items' fingerprints yields the items to compare it with:
 the fingerprints are cut into BLOCKS blocks, and if two differ in at most RADIUS bits, some block differs in
-at most RADIUS // BLOCKS bits; each block is listed under half of these flips and looked up with the other
-half, so every fingerprint within the radius is found. One index holds the items of all sizes; of what it gives, those of the window's
+at most RADIUS // BLOCKS bits; each block is listed under all flips of one bit less and looked up with one bit flipped
+or none, as there are many more windows than items, so every fingerprint within the radius is found. One index holds the items of all sizes; of what it gives, those of the window's
 size count. Then the exact weighted shingle similarity (sum of minima
 over sum of maxima of the shingles' counts, five words) decides: SIMILARITY or more is contamination.
 
@@ -84,7 +84,7 @@ def thrice(s: np.ndarray) -> np.ndarray:
 
 
 class HammingIndex:
-    """All fingerprints within RADIUS of a query, by blocks of 16 bits; complete by the pigeonhole principle. Its tables have len(flips) entries for each fingerprint and block, and are made where they are first used: what is broadcast is the fingerprints."""
+    """All fingerprints within RADIUS of a query, by blocks of 16 bits; complete by the pigeonhole principle. Its tables have 697 entries of four bytes for each fingerprint and block, 45 MB for ITEMS of them, and are made where they are first used: what is broadcast is the fingerprints."""
 
     def __init__(self, prints: np.ndarray):
         self.prints = prints
@@ -92,7 +92,7 @@ class HammingIndex:
     @cached_property
     def tables(self) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each block the first place of each of its 65,536 values, and the fingerprints by the values under which they are listed."""
-        out, stored = [], self.flips(RADIUS // BLOCKS // 2)
+        out, stored = [], self.flips(RADIUS // BLOCKS - 1)
         blocks = np.ascontiguousarray(self.prints).view("<u2").reshape(len(self.prints), BLOCKS)
         for k in range(BLOCKS):
             value = (blocks[:, k, None] ^ stored[None]).ravel()
@@ -102,7 +102,7 @@ class HammingIndex:
 
     @cached_property
     def asked(self) -> np.ndarray:
-        return self.flips(RADIUS // BLOCKS - RADIUS // BLOCKS // 2)
+        return self.flips(1)
 
     def __getstate__(self) -> dict:
         return {"prints": self.prints}
