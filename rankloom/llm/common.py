@@ -19,10 +19,12 @@ _made: dict[str, object] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one is set only where none is."""
+    """The shared folder of spark.checkpoint.dir; a temporary one is set only where none is, and only for a local session: on a cluster its machines would not see each other's files."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="rankloom-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
