@@ -4,7 +4,8 @@ From each rule's regular expression a Boolean trigram query is derived: an OR ov
 the trigrams that each must contain. The index holds, for the trigrams of the queries, the documents in
 whose lower-cased text they stand; its postings are intersected per document, and only candidates are
 verified with the rule's expression. A rule of which some alternative has no mandatory trigram scans all
-texts. Built-in functions only.
+texts; parts of an expression that would give more than MANY alternatives count as anything, so that such a rule
+may scan all texts, too. Built-in functions only.
 
 Spans are code points, end exclusive, leftmost and non-overlapping within a kind. Defined results: a null
 text counts as empty; a row whose doc_id is null is scanned by all rules; repeated rows give one result
