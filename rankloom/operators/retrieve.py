@@ -35,7 +35,7 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, where: Column | None = None) -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, k: int | None = TOP_K, where: Column | None = None) -> DataFrame:
     """Exact cosine top-k of unit vectors. A filter is applied below the ranking, so it reaches the scan and never under-returns.
 
     The question set is stated and is broadcast in blocks of a bounded size (blocks_of): each block scans the

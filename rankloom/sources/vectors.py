@@ -188,8 +188,8 @@ class CellVectorTable(VectorTable):
         self.rows._commit(now, now["parts"], notes={"probes": int(np.argmax(share >= self.recall)) + 1})
         return share.tolist()
 
-    def search(self, queries: DataFrame, k: int = 5, where: Column | None = None, among: DataFrame | None = None, probes: int | None = None) -> DataFrame:
-        """Lists of k from the probed cells' rows, scored exactly. probes: their number; the table's own by default, all cells make the search exact."""
+    def search(self, queries: DataFrame, k: int | None = 5, where: Column | None = None, among: DataFrame | None = None, probes: int | None = None) -> DataFrame:
+        """Lists of k from the probed cells' rows, scored exactly. probes: their number; the table's own by default, all cells make the search exact. k None: whole lists, which only all cells hold."""
         from ..operators.retrieve import BROADCAST_BYTES, blocks_of, dense, dot, ranked
 
         rows = self.read()
@@ -197,7 +197,7 @@ class CellVectorTable(VectorTable):
             return self.spark.createDataFrame([], LIST)
         rows = within(rows, among)
         n = min(probes or self.notes["probes"], self.notes["cells"])
-        if n >= self.notes["cells"]:
+        if k is None or n >= self.notes["cells"]:
             return dense(queries, rows, k, where)
         some, out = rows.filter(where) if where is not None else rows, None
         centres = self.centres()
