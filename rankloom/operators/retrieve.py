@@ -222,9 +222,11 @@ def first_rank_of(lists: DataFrame, docs: DataFrame, fragment: Column) -> DataFr
 
 def cosines(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """Cosines of a stated set (query_id, query) with all vectors: query_id, chunk_id, cosine; vectors need not have length 1."""
-    out = None
+    # lengths are taken before the pairs are made
+    rows, out = vectors.select("chunk_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("_length")), None
     for q in blocks_of(queries):
-        norm = F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(dot(F.col("query"), F.col("query")))
-        one = vectors.join(F.broadcast(q), F.lit(True)).select("query_id", "chunk_id", F.when(norm > 0, dot(F.col("embedding"), F.col("query")) / norm).alias("cosine"))
+        asked = q.select("query_id", "query", F.sqrt(dot(F.col("query"), F.col("query"))).alias("_asked"))
+        norm = F.col("_length") * F.col("_asked")
+        one = rows.join(F.broadcast(asked), F.lit(True)).select("query_id", "chunk_id", F.when(norm > 0, dot(F.col("embedding"), F.col("query")) / norm).alias("cosine"))
         out = one if out is None else out.unionByName(one)
     return out
