@@ -35,9 +35,13 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 AROUND_ENTITY, BULLET, CITATION = r"^[`.,;:()\[\]]+|[`.,;:()\[\]]+$", r"^\s*(?:[-*•]|[0-9]+[.)])\s*", r"\[([0-9]+(?:\s*,\s*[0-9]+)*)\]"
 
 
+#: The white space characters of [\\s\\p{Z}].
+SPACES = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    """Without white space at either end (trim() takes only blanks)."""
-    return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    """Without white space at either end: what [\\s\\p{Z}] takes, looked at from the ends only."""
+    return F.trim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
