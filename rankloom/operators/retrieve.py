@@ -39,11 +39,18 @@ def dense(queries: DataFrame, vectors: DataFrame, k: int | None = TOP_K, where:
     """Exact cosine top-k of unit vectors. A filter is applied below the ranking, so it reaches the scan and never under-returns.
 
     The question set is stated and is broadcast in blocks of a bounded size (blocks_of): each block scans the
-    vectors once and keeps k rows per question and task before the shuffle.
+    vectors once and keeps k rows per question and batch before the shuffle (scan.vectors). Whole lists (k None) and
+    questions whose vectors differ in length are scored pair by pair.
     """
+    from . import scan
+
     rows = vectors.filter(where) if where is not None else vectors
     out = None
-    for q in blocks_of(queries):
+    for q in blocks_of(queries, scan.VECTOR_BYTES) if k else blocks_of(queries):
+        top = scan.vectors(q, rows, k) if k else None
+        if top is not None:
+            out = top if out is None else out.unionByName(top)
+            continue
         scored = rows.join(F.broadcast(q), F.lit(True)).select("query_id", "chunk_id", dot(F.col("embedding"), F.col("query")).alias("score"))
         top = ranked(scored, k)
         out = top if out is None else out.unionByName(top)
