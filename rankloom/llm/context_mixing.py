@@ -6,19 +6,20 @@ white space bytes stands the empty word. A word's probability is mixed from thre
 * Bit predictors. A word and a terminator are coded as the binary decisions of a Huffman code over the corpus' bytes.
   Five predictors give a logit for each decision from counts under a hashed context: the last 1, 2, 3 or 5 bytes of
   the word, or the word so far, with the code node. Weights are gated by how often a predictor's context was seen
-  (CLASSES); they are learned by Newton steps of the logistic loss on LEARNED words of the count table, with one of each
-  word's occurrences taken out of the counts. Each document refines them by gradient steps after every BLOCK
-  words: for decisions whose longest context was seen and for the others, a gain of the short contexts, one of the
+  (CLASSES); they are learned by Newton steps of the logistic loss over all occurrences of all words of the count table,
+  with one of each word's occurrences taken out of the counts: tasks add up slopes and curvatures, the driver gets the
+  sums. Each document refines them by gradient steps after every BLOCK words: for decisions whose longest context was seen and for the others, a gain of the short contexts, one of the
   long ones, and a bias.
 * The count table of all training words, exact and as large as the corpus makes it: frequent words (HEAD of them at
-  most, of SHORT bytes at most) are looked up in a broadcast table, the others join it.
+  most, of SHORT bytes at most) are looked up in a broadcast table, the others join it. How much it is worth against the
+  bits is learned over the same occurrences.
 * The document so far: how often the word has stood in it.
 
 Only what stands before a word (before its block, for the refinement) decides its prediction, and each source is a
 distribution over words, so the sum of the logarithms, with those of the white space bytes, is the length of a real code:
 score and bits per byte come from it. The predictors' tables have a fixed number of slots, as contexts of a few bytes
-do not grow without end; what grows with the corpus is the count table. Tasks add up decisions of distinct words in
-dense tables, which are summed block by block and broadcast as a logit and a class in two bytes for each slot.
+do not grow without end; what grows with the corpus is the count table. Tasks add up decisions of distinct words
+(of beginnings that neighbours in the sorted count table share, once) in dense tables, which are summed block by block and broadcast as a logit and a class in two bytes for each slot.
 
 The baseline is the add-one unigram score over words.
 
@@ -44,10 +45,16 @@ from .common import alone, bounded, coded, column, pieces, release, saved, spans
 ORDERS, SLOT_BITS = (1, 2, 3, 5, None), (16, 18, 20, 21, 21)
 LONG = 3  # predictors from this one on are long
 HEAD, BLOCK, CELLS, LANES = 1 << 18, 32, 1 << 16, 128
-#: Words from which the weights are learned: so many frequent ones and so many others.
-LEARNED = 3000
-#: Bytes of a word, at most, that the head holds or the weights are learned from: at most HEAD * SHORT bytes of words reach the driver.
+#: Bytes of a word, at most, that the head holds: at most HEAD * SHORT bytes of words reach the driver.
 SHORT = 64
+#: Weights of the predictors by class before the first Newton step: where the steps begin, which decides how many are needed.
+FIRST = (*[(0, 0.75, 0.75, 0.8, 0.85, 0.85, 0.75, 0.4, 0.15, 0)] * 3, (0, 1, 1, 1, 0.9, 0.9, 0.7, 0.5, 0.4, 0.3), (0, 0.4, 0.4, 0.5, 0.6, 0.8, 0.8, 0.7, 0.6, 0.5))
+#: Newton steps at most, and the gain in nats a word below which a step is the last one: what it leaves is of the order of its square; and how much the first weights hold.
+STEPS, GAIN, NEAR = 12, 1e-3, 1e-5
+#: Bins of the count table's odds against the bits: so many in a nat, and nats at most (beyond them the share of either is 1 to the last digit).
+FINE, FAR = 256, 64
+#: Decisions that are weighed at a time, so that what is held fits a cache.
+WEIGHED = 1 << 15
 RATE = 0.0002
 SCALE, SMALL = 12.0, 0.4  # an 8-bit logit is the logit times SCALE; added to both counts
 #: Least counts of the classes that gate the weights.
@@ -116,11 +123,15 @@ def words_so_far(data: np.ndarray) -> np.ndarray:
 
 def laid_out(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all words (large strings), each with PAD bytes before it, the last a space, and a space after it; first places and lengths (with that space)."""
-    raw = pc.cast(words, pa.large_binary()).to_pylist()
-    size = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
-    before = b"\0" * (PAD - 1) + b" "
-    data = np.frombuffer(before + (b" " + before).join([*raw, b""])[: -PAD if raw else None], np.uint8)
-    return data, np.cumsum(size + PAD) - size, size
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    size = np.diff(ends) + 1
+    start = np.cumsum(size + PAD) - size
+    data = np.zeros(int(start[-1] + size[-1]), np.uint8)
+    data[start - 1] = data[start + size - 1] = SPACE
+    data[spans(start, size - 1)] = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    return data, start, size
 
 
 def contexts(data: np.ndarray, at: np.ndarray, so_far: np.ndarray) -> list[np.ndarray]:
@@ -139,10 +150,8 @@ def contexts(data: np.ndarray, at: np.ndarray, so_far: np.ndarray) -> list[np.nd
     return out
 
 
-def decisions(code: Code, words: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """For distinct words: the number of decisions of each, the slots of each predictor (in its own table), and the bits."""
-    data, start, size = laid_out(words)
-    at = spans(start, size)
+def decided(code: Code, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """For the bytes at these places: the number of decisions of each, the slots of each predictor (in its own table), and the bits."""
     byte = data[at]
     n = code.length[byte]
     way = spans(code.first[byte], n)
@@ -152,7 +161,30 @@ def decisions(code: Code, words: pa.Array) -> tuple[np.ndarray, list[np.ndarray]
         x ^= node
         x *= np.uint32(_MULTIPLY[k])
         slots.append(x >> np.uint32(32 - SLOT_BITS[k]))
-    return np.add.reduceat(n, np.cumsum(size) - size) if len(size) else n, slots, code.bit[way]
+    return n, slots, code.bit[way]
+
+
+def decisions(code: Code, words: pa.Array) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """For distinct words: the number of decisions of each, the slots of each predictor (in its own table), and the bits."""
+    data, start, size = laid_out(words)
+    n, slots, bit = decided(code, data, spans(start, size))
+    return np.add.reduceat(n, np.cumsum(size) - size) if len(size) else n, slots, bit
+
+
+def branches(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all words laid out, places of the bytes that end a beginning which the word before does not share, the number of such a byte for each byte of each word, and the words' lengths (with a space). In sorted words each beginning is met once."""
+    data, start, size = laid_out(words)
+    no, at = spans(np.zeros(len(size), np.int64), size), spans(start, size)
+    word = np.repeat(np.arange(len(size)), size)
+    same = (word > 0) & (no < size[word - 1])
+    same &= data[np.where(same, start[word - 1] + no, 0)] == data[at]
+    # the first byte that differs, and all after it, are new; the others are the last new ones at their distance from the start
+    first = np.minimum.reduceat(np.where(same, size[word], no), np.cumsum(size) - size) if len(size) else size
+    new = no >= first[word]
+    order = np.argsort(no.astype(np.uint16) if len(no) and size.max() < 1 << 16 else no, kind="stable")
+    branch = np.empty(len(no), np.int64)
+    branch[order] = np.cumsum(new[order]) - 1
+    return data, at[order][new[order]], branch, size
 
 
 def _byte_words(batches):
@@ -179,13 +211,14 @@ def _trained(code):
         code_ = code.value
         total = np.zeros((2, int(code_.base[-1])))
         for batch in pieces(batches, "token", limit=256 << 10):
-            n, slots, bit = decisions(code_, column(batch, "token").cast(pa.large_string()))
-            times = np.repeat(column(batch, "n").to_numpy().astype(np.float64), n)
+            data, at, branch, size = branches(column(batch, "token").cast(pa.large_string()))
+            n, slots, bit = decided(code_, data, at)
+            times = np.repeat(np.bincount(branch, np.repeat(column(batch, "n").to_numpy().astype(np.float64), size), len(at)), n)
             ones = times * bit
             for k, x in enumerate(slots):
                 a, b = int(code_.base[k]), int(code_.base[k + 1])
-                total[0, a:b] += np.bincount(x, times, b - a)
-                total[1, a:b] += np.bincount(x, ones, b - a)
+                np.add.at(total[0, a:b], x, times)
+                np.add.at(total[1, a:b], x, ones)
         cells = total.reshape(2, -1, CELLS)
         for i in np.flatnonzero(cells[0].any(1)).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(cells[:, i].astype("<f4").tobytes(), 1)], pa.binary())], ["block", "counts"])
@@ -242,45 +275,133 @@ def without_one() -> np.ndarray:
     return out
 
 
+def cut(code: Code, tables: np.ndarray) -> list[np.ndarray]:
+    """The slots of each predictor."""
+    return [tables[a:b] for a, b in zip(code.base[:-1].tolist(), code.base[1:].tolist(), strict=True)]
+
+
+def values() -> np.ndarray:
+    """The logit of each slot value; class 0 (not seen) gives nothing."""
+    out = ((np.arange(1 << 16) & 255) - 128.0) / SCALE
+    out[:256] = 0
+    return out
+
+
+def _weighed(shared, weights: np.ndarray, steps: bool):
+    """Goes through all words (token, n). With steps: sums of the logistic loss, its slopes and curvatures under the weights, numbered, and the number of occurrences as number -1. Else: occurrences by bins of ln of the count table's odds against the bits, and their sums of it."""
+
+    def run(batches):
+        alone("mixing")
+        code, tables, in_all = shared.value
+        tables, kinds, depth, left = cut(code, tables), len(CLASSES), len(ORDERS), without_one()
+        # for each bit and slot value, without one decision, the class and the logit's byte; all else goes by these
+        small = (class_of()[left] * 256 + (left & 255)).astype(np.uint16).ravel()
+        value, gate = np.tile(values()[256:512], kinds), np.repeat(np.arange(kinds), 256)
+        value[:256] = 0
+        parts = [w[gate] * value for w in weights]
+        pairs = [(j, k) for j in range(depth) for k in range(j, depth)]
+        slopes, curves, lost, occurrences = np.zeros((depth, kinds)), np.zeros((len(pairs), kinds * kinds)), 0.0, 0.0
+        odds = np.zeros((2, 2 * FINE * FAR + 1))
+        for batch in pieces(batches, "token", limit=256 << 10):
+            data, at, branch, size = branches(column(batch, "token").cast(pa.large_string()))
+            count = column(batch, "n").to_numpy().astype(np.float64)
+            n, slots, bit = decided(code, data, at)
+            if steps:
+                times, loss = np.repeat(np.bincount(branch, np.repeat(count, size), len(at)), n), None
+                occurrences += count.sum()
+            else:
+                times, loss = None, np.empty(len(bit))
+            for a in range(0, len(bit), WEIGHED):
+                here = slice(a, a + WEIGHED)
+                up = bit[here]
+                high = up.astype(np.int32) << 16
+                codes = [small[t[s[here]] | high].astype(np.int64) for t, s in zip(tables, slots, strict=True)]
+                z = sum(p[c] for p, c in zip(parts, codes, strict=True))
+                e = np.exp(-np.clip(z * (up * 2.0 - 1), -20, 20))
+                if not steps:
+                    loss[here] = np.log1p(e)
+                    continue
+                lost += float((np.log1p(e) * times[here]).sum())  # no matrix product: its threads would wait for each other
+                p = e / (1 + e)
+                down = (1 - up * 2.0) * p * times[here]
+                curve = p / (1 + e) * times[here]
+                x, g = [value[c] for c in codes], [c >> 8 for c in codes]
+                for k in range(depth):
+                    slopes[k] += np.bincount(g[k], down * x[k], kinds)
+                by, row = [curve * y for y in x], [h * kinds for h in g]
+                for i, (j, k) in enumerate(pairs):
+                    curves[i] += np.bincount(row[j] + g[k], by[j] * x[k], kinds * kinds)
+            if not steps:
+                whole = np.add.reduceat(loss, np.cumsum(n) - n)[branch] if len(n) else loss
+                own = np.add.reduceat(whole, np.cumsum(size) - size) if len(size) else whole
+                some = count > 1  # one occurrence is taken out: a word that stands once is never in the table
+                ln = np.log((count[some] - 1) / in_all) + own[some]
+                near = np.clip(np.rint((ln + FAR) * FINE), 0, odds.shape[1] - 1).astype(np.int64)
+                odds[0] += np.bincount(near, count[some], odds.shape[1])
+                odds[1] += np.bincount(near, count[some] * ln, odds.shape[1])
+                occurrences += count.sum()
+        if steps:
+            x = np.concatenate([[lost], slopes.ravel(), curves.ravel()])
+            some, y = np.arange(len(x)), np.zeros(len(x))
+        else:
+            some = np.flatnonzero(odds[0])
+            x, y = odds[0][some], odds[1][some]
+        if occurrences:
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(x, occurrences)), pa.array(np.append(y, 0.0))], ["at", "x", "y"])
+
+    return run
+
+
+def learned(words: DataFrame, code: Code, tables: np.ndarray, in_all: float) -> tuple[np.ndarray, float]:
+    """Weights by predictor and class, and the count table's share, from all words (token, n). Sums of a fixed number reach the driver."""
+    depth, kinds = len(ORDERS), len(CLASSES)
+    first = np.array(FIRST)
+    shared = words.sparkSession.sparkContext.broadcast((code, tables, in_all))
+
+    def summed(weights, steps):
+        run = _weighed(shared, weights.reshape(depth, kinds), steps)
+        got = words.select("token", "n").mapInArrow(run, "at int, x double, y double").groupBy("at").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).toArrow()
+        at, x, y = (got[c].to_numpy() for c in ("at", "x", "y"))
+        return at[at >= 0], x[at >= 0], y[at >= 0], float(x[at < 0].sum())
+
+    w, least, step = first.ravel(), math.inf, np.zeros(first.size)
+    for _ in range(STEPS):  # Newton steps of the logistic loss, held near the first weights
+        at, x, _, times = summed(w, True)
+        if not times:
+            return first, 0.5
+        sums = np.zeros(at.max() + 1)
+        sums[at] = x / times
+        away = w - first.ravel()
+        loss, down, half = sums[0] + NEAR / 2 * away @ away, sums[1 : 1 + w.size] + NEAR * away, sums[1 + w.size :].reshape(-1, kinds, kinds)
+        if loss > least:  # too far: half of the way back
+            step = step / 2
+            w = w + step
+            continue
+        curve = np.zeros((depth, kinds, depth, kinds))
+        for c, (j, k) in zip(half, [(j, k) for j in range(depth) for k in range(j, depth)], strict=True):
+            curve[j, :, k], curve[k, :, j] = c, c.T
+        least, best, step = loss, w, np.linalg.solve(curve.reshape(w.size, -1) + NEAR * np.eye(w.size), down)
+        w = w - step
+        if down @ step < 2 * GAIN:
+            break
+    else:
+        w = best
+    # how much the count table is worth against the bits: expectation steps
+    _, x, y, times = summed(w, False)
+    share, odds = 0.5, np.exp(np.clip(y / np.maximum(x, 1), -FAR, FAR))
+    for _ in range(30):
+        a = share * odds
+        share = float(np.clip((x * (a / (a + 1 - share))).sum() / times, 0.02, 0.98))
+    return w.reshape(depth, kinds), share
+
+
 class Model:
     """Code, tables, gated weights and the mixing of the sources."""
 
-    def __init__(self, code: Code, tables: np.ndarray, sample: pa.Array, counts: np.ndarray, times: np.ndarray, in_all: float):
-        """sample, counts, times: the words to learn from, how often each stands in the corpus, and how much each counts."""
-        self.code = code
-        self.tables = [tables[a:b] for a, b in zip(code.base[:-1].tolist(), code.base[1:].tolist(), strict=True)]
-        self.share = 0.5
-        value = ((np.arange(1 << 16) & 255) - 128.0) / SCALE
-        value[:256] = 0
-        gate, depth = class_of(), len(ORDERS)
-        weights = np.zeros((depth, len(CLASSES)))
-        weights[:, 1:] = 1 / depth
-        if len(sample):
-            n, slots, bit = decisions(code, sample)
-            left = without_one()
-            codes = [left[bit, t[s]] for t, s in zip(self.tables, slots, strict=True)]
-            weight = np.repeat(times / times.sum(), n)
-            x = np.zeros((len(bit), weights.size), np.float32)
-            for k, c in enumerate(codes):
-                x[np.arange(len(bit)), k * len(CLASSES) + gate[c]] = value[c]
-            w = weights.ravel().copy()
-            for _ in range(8):  # Newton steps of the weighted logistic loss, held near the first weights
-                p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -20, 20)))
-                down = x.T @ (weight * (p - bit)).astype(np.float32) + 1e-5 * (w - weights.ravel())
-                curve = (x * (weight * p * (1 - p)).astype(np.float32)[:, None]).T @ x + 1e-5 * np.eye(len(w))
-                w = w - np.linalg.solve(curve.astype(np.float64), down.astype(np.float64))
-            weights = w.reshape(weights.shape)
-        self.weights = weights
-        #: For each predictor the weighted logit of each slot value; class 0 (not seen) gives nothing.
-        self.parts = [(weights[k][gate] * value).astype(np.float32) for k in range(depth)]
-        if len(sample):  # how much the count table is worth against the bits: expectation steps
-            z = sum((p[c] for p, c in zip(self.parts, codes, strict=True)), np.zeros(len(bit), np.float32))
-            own = -np.add.reduceat(np.logaddexp(0, np.where(bit, -z, z).astype(np.float64)), np.cumsum(n) - n)
-            known = (counts - 1) / in_all  # one occurrence is taken out
-            for _ in range(30):
-                a = self.share * known
-                r = a / (a + (1 - self.share) * np.exp(own) + 1e-300)
-                self.share = float(np.clip((times * r).sum() / times.sum(), 0.02, 0.98))
+    def __init__(self, code: Code, tables: np.ndarray, weights: np.ndarray, share: float, in_all: float):
+        self.code, self.tables, self.weights, self.share, self.in_all = code, cut(code, tables), weights, share, in_all
+        #: For each predictor the weighted logit of each slot value.
+        self.parts = [(w[class_of()] * values()).astype(np.float32) for w in weights]
 
     def features(self, words: pa.Array) -> tuple[np.ndarray, ...]:
         """For distinct words: first decision and number of decisions of each; for each decision the logit of the short and the long contexts, whether the longest was seen, and the sign of the bit."""
@@ -304,17 +425,6 @@ class Model:
         return first, many, *(np.concatenate(x) for x in zip(self.kept[2:], fresh[2:], strict=True))
 
 
-def learned(top: pa.Table, rest: pa.Table, distinct: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The words to learn from, their counts and their weights: the most frequent ones, and others that stand for all that are left."""
-    seen = set(top["token"].to_pylist())
-    fresh = np.array([x not in seen for x in rest["token"].to_pylist()], bool)
-    words = [*top["token"].to_pylist(), *(x for x, f in zip(rest["token"].to_pylist(), fresh.tolist(), strict=True) if f)]
-    n = np.concatenate([top["n"].to_numpy(), rest["n"].to_numpy()[fresh]]).astype(np.float64)
-    each = np.ones(len(n))
-    each[len(seen) :] = max(1.0, (distinct - len(seen)) / max(1, int(fresh.sum())))
-    return pa.array(words, pa.large_string()), n, n * each
-
-
 def word_logs(features: tuple, at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """ln of the probability that the bits give each word (numbers of distinct words, rows at offsets): blocks of all rows in step, each row with its own refinement."""
     first, many, short, long_, seen, sign = features
@@ -398,12 +508,12 @@ def split(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 SCORED = "key struct<doc_id:long,hash:long>, token string, free float, rate float, n_tokens long, head_known long, head_logs double, head_score double, bytes long"
 
 
-def _scored(model, head, sides):
+def _scored(model, head, ends):
     """For each document a row with what its frequent words give, its token END and its hash, and a row for each other word: ln of the probability without the count table, and ln of what one count adds."""
 
     def run(batches):
         alone("mixing")
-        m, known_words, (counts, logs), (ends, in_all) = model.value, head.value[0], head.value[1], sides
+        m, known_words, (counts, logs) = model.value, head.value[0], head.value[1]
         known = pa.array(known_words, pa.large_string())
         for batch in pieces(batches, limit=3 << 20):
             text = texts(batch)
@@ -420,7 +530,7 @@ def _scored(model, head, sides):
             sums = np.concatenate([[0.0], np.cumsum(met)])
             alpha = (0.5 + sums[:-1] - np.repeat(sums[offsets[:-1]], size)) / (25.0 + before)
             free = np.logaddexp(np.log(alpha * past + 1e-300), np.log((1 - alpha) * (1 - m.share)) + own)
-            rate = np.log((1 - alpha) * m.share / in_all)
+            rate = np.log((1 - alpha) * m.share / m.in_all)
             p, e = place[at], empty[at]
             c = np.where(e, ends["empty"], np.where(p >= 0, counts[p] if len(counts) else 0, 0))
             settled = e | (p >= 0)
@@ -458,7 +568,7 @@ def scored(documents: DataFrame, out_of: Column | None = None) -> DataFrame:
     spark = bounded(documents).sparkSession
     docs = documents.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     apart = held_out(F.col("doc_id")) if out_of is None else out_of
-    both = saved(docs.filter(~apart).select("text").mapInArrow(_byte_words, "token string, byte int, n long").groupBy("token", "byte").agg(F.sum("n").alias("n")), "counts")
+    both = saved(docs.filter(~apart).select("text").mapInArrow(_byte_words, "token string, byte int, n long").groupBy("token", "byte").agg(F.sum("n").alias("n")).sortWithinPartitions("token"), "counts")
     release(spark)
     counts = both.filter("token is not null").select("token", "n")
     words = counts.filter(F.col("token") != END)
@@ -479,17 +589,15 @@ def scored(documents: DataFrame, out_of: Column | None = None) -> DataFrame:
     code = Code(byte)
     tables = fit_tables(words, code)
     scale = math.log10(n + v + 1)
-    # what reaches the driver is bounded in bytes too: longer words are never in the head, nor learned from; they join the count table
-    short = words.filter(F.octet_length("token") <= SHORT)
-    top = short.orderBy(F.desc("n"), "token").limit(HEAD).toArrow()
-    rest = short.orderBy(F.xxhash64("token"), "token").limit(LEARNED).toArrow()
-    model = Model(code, tables, *learned(top.slice(0, LEARNED), rest, max(1, v - 1)), in_all)
+    model = Model(code, tables, *learned(words, code, tables, in_all), in_all)
+    # what reaches the driver is bounded in bytes too: longer words are never in the head; they join the count table
+    top = words.filter(F.octet_length("token") <= SHORT).orderBy(F.desc("n"), "token").limit(HEAD).toArrow()
     release(spark)
     c = top["n"].to_numpy().astype(np.float64)
     head = spark.sparkContext.broadcast((top["token"].to_pylist(), (c, np.log10(c + 1.0) - scale)))
-    sides = ({"empty": max(0.0, in_all - (n - n_ends)), "logs": logs}, in_all)
+    ends = {"empty": max(0.0, in_all - (n - n_ends)), "logs": logs}
     keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("hash")).alias("key"), "text")
-    rows = keyed.mapInArrow(_scored(spark.sparkContext.broadcast(model), head, sides), SCORED).join(counts, "token", "left")
+    rows = keyed.mapInArrow(_scored(spark.sparkContext.broadcast(model), head, ends), SCORED).join(counts, "token", "left")
     word = F.col("n_tokens").isNull()
     least = F.log10(F.coalesce("n", F.lit(0)) + F.lit(1.0)) - F.lit(scale)
     more = F.col("rate").cast("double") + F.log("n")

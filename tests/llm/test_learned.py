@@ -280,3 +280,77 @@ def test_one_long_word(spark):
     log = lambda *c: sum(np.log10((x + 1) / (total + kinds + 1)) for x in c)
     assert got[3].n_known == 2 and got[3].base_score == pytest.approx(log(2, 4)) and got[2].base_score == pytest.approx(log(3, 2, 4)) and got[4].n_tokens == 1
     assert all(np.isfinite(r.score) and r.score < 0 for r in got.values())
+
+
+def test_weights_are_learned_from_all_words(spark, monkeypatch):
+    """The predictors' weights and the count table's share are those of all training words, long ones too, wherever the Newton steps begin; plain loops over whole words, which share no beginnings, say so."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from rankloom.llm import context_mixing
+
+    pick = random.Random(14)
+    parts = ["".join(pick.choice("aeiounrstlé") for _ in range(pick.randint(1, 3))) for _ in range(60)]
+    pool = ["".join(pick.choice(parts) for _ in range(pick.randint(1, 6))) for _ in range(15_000)] + ["far" * 30]
+    pool += [x + "," for x in pool[:3000]]
+    texts = [" ".join(pool[int(len(pool) * pick.random() ** 2)] for _ in range(200)) + " " + pool[15_000] for _ in range(150)]
+    made, init = [], context_mixing.Model.__init__
+
+    def kept(self, *given):
+        init(self, *given)
+        made.append((self, given[-1]))
+
+    monkeypatch.setattr(context_mixing.Model, "__init__", kept)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    context_mixing.scored(docs, F.lit(False)).count()
+    model, in_all = made[-1]
+    counts = Counter(w for t in texts for w in t.split())
+    words = pick.sample(sorted(counts), len(counts))
+    assert len(words) > 9000 and in_all == sum(counts.values())
+    times = np.array([counts[w] for w in words], float)
+    n, slots, bit = context_mixing.decisions(model.code, pa.array(words, pa.large_string()))
+    left, gate = context_mixing.without_one(), context_mixing.class_of()
+    value = ((np.arange(1 << 16) & 255) - 128.0) / context_mixing.SCALE * (np.arange(1 << 16) > 255)
+    x = np.zeros((len(bit), model.weights.size))
+    for k, (t, s) in enumerate(zip(model.tables, slots, strict=True)):
+        c = left[bit, t[s]]
+        x[np.arange(len(bit)), k * len(context_mixing.CLASSES) + gate[c]] = value[c]
+    weight, sign = np.repeat(times / times.sum(), n), bit * 2.0 - 1
+    lost = lambda w: np.logaddexp(0, -sign * (x @ w))
+    w = np.full(x.shape[1], 1 / len(context_mixing.ORDERS))
+    for _ in range(12):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        w = w - np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-7 * np.eye(len(w)), x.T @ (weight * (p - bit)))
+    best = weight @ lost(w)
+    assert abs(weight @ lost(model.weights.ravel()) - best) < 5e-4  # nats a word, of dozens
+    own, share = np.exp(-np.add.reduceat(lost(model.weights.ravel()), np.cumsum(n) - n)), 0.5
+    for _ in range(30):
+        a = share * (times - 1) / in_all
+        share = np.clip((times * a / (a + (1 - share) * own)).sum() / times.sum(), 0.02, 0.98)
+    assert model.share == pytest.approx(share, abs=1e-5)
+    counted = spark.createDataFrame(list(counts.items()), "token string, n long").repartition(4)
+    tables = np.concatenate(model.tables)
+    for begin in (0.2, 0.6):  # from the second the first whole steps go too far
+        monkeypatch.setattr(context_mixing, "FIRST", np.full(model.weights.shape, begin))
+        again, _ = context_mixing.learned(counted, model.code, tables, in_all)
+        assert abs(weight @ lost(again.ravel()) - best) < 5e-4, begin
+
+
+def test_beginnings_are_met_once():
+    """Bytes of beginnings that neighbours share are laid out once in sorted words; in any order each word's bytes are found again."""
+    import pyarrow as pa
+
+    from rankloom.llm import context_mixing
+
+    pick = random.Random(15)
+    words = sorted({"".join(pick.choice("abé") for _ in range(pick.randint(1, 7))) for _ in range(300)})
+    long_ = [*words[:9], "a" * 70_000, "a" * 70_001 + "b"]
+    for given in (words, pick.sample(words, len(words)), long_, words[:1], []):
+        whole = pa.array(["before", *given], pa.large_string())
+        data, at, branch, size = context_mixing.branches(whole.slice(1))
+        assert bytes(data[at[branch]]) == "".join(w + " " for w in given).encode() and len(size) == len(given)
+        if given is words:
+            assert len(at) == len({w[:i] for w in ((x + " ").encode() for x in given) for i in range(1, len(w) + 1)})
+        if given is long_:
+            assert len(at) < 70_100
