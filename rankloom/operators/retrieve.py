@@ -227,13 +227,12 @@ def first_rank_of(lists: DataFrame, docs: DataFrame, fragment: Column) -> DataFr
     return lists.join(docs, "chunk_id").filter(F.contains(F.col("text"), fragment)).groupBy("query_id").agg(F.min("rank").alias("first_rank"))
 
 
-def cosines(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Cosines of a stated set (query_id, query) with all vectors: query_id, chunk_id, cosine; vectors need not have length 1."""
-    # lengths are taken before the pairs are made
-    rows, out = vectors.select("chunk_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("_length")), None
-    for q in blocks_of(queries):
-        asked = q.select("query_id", "query", F.sqrt(dot(F.col("query"), F.col("query"))).alias("_asked"))
-        norm = F.col("_length") * F.col("_asked")
-        one = rows.join(F.broadcast(asked), F.lit(True)).select("query_id", "chunk_id", F.when(norm > 0, dot(F.col("embedding"), F.col("query")) / norm).alias("cosine"))
+def cosines(vectors: DataFrame, queries: DataFrame, places: int | None = None) -> DataFrame:
+    """Cosines of a stated set (query_id, query) with all vectors: query_id, chunk_id, cosine, to so many places; vectors need not have length 1. Blocks of questions are held against batches of vectors (scan.cosines)."""
+    from . import scan
+
+    out = None
+    for q in blocks_of(queries, scan.VECTOR_BYTES):
+        one = scan.cosines(q, vectors, places)
         out = one if out is None else out.unionByName(one)
     return out
