@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import files
@@ -206,7 +207,8 @@ class CellVectorTable(VectorTable):
             opened = sorted(r["c"] for r in asked.select(F.explode("cells").alias("c")).distinct().collect())  # at most MOST_CELLS
             one = asked.select("query_id", "query", F.explode("cells").alias("_cell"))
             near = some.filter(F.col("cell").isin(opened)).join(F.broadcast(one), F.col("cell") == F.col("_cell"))
-            top = files.written(ranked(near.select("query_id", "chunk_id", dot(F.col("embedding"), F.col("query")).alias("score")), k), "probed")
+            # k rows a question, kept on disk: what comes of them reads them more than once
+            top = ranked(near.select("query_id", "chunk_id", dot(F.col("embedding"), F.col("query")).alias("score")), k).persist(StorageLevel.DISK_ONLY)
             full = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
             few = q.join(full.select("query_id"), "query_id", "left_anti")
             whole = top.join(full.select("query_id"), "query_id", "left_semi").unionByName(dense(few.select("query_id", "query"), rows, k, where))
