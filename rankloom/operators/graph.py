@@ -12,6 +12,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.files import written
 from .retrieve import PLACES, blocks_of, ranked
+from .scan import bounded
 
 
 def _sets(mentions: DataFrame, min_frequency: int) -> DataFrame:
@@ -89,7 +90,7 @@ def heaviest(mentions: DataFrame, max_degree: int = 10, min_frequency: int = 2)
     names = ["src", "dst", "weight"]
     rows = _sets(mentions, min_frequency).select(F.explode("e").alias("src"), "e").repartition("src").sortWithinPartitions("src")
     kind = rows.schema["src"].dataType
-    return rows.mapInArrow(lambda batches: _heaviest(batches, max_degree, names), StructType([StructField("src", kind), StructField("dst", kind), StructField("weight", LongType())]))
+    return bounded(rows).mapInArrow(lambda batches: _heaviest(batches, max_degree, names), StructType([StructField("src", kind), StructField("dst", kind), StructField("weight", LongType())]))
 
 
 def stats(graph: DataFrame, mentions: DataFrame | None = None, min_frequency: int = 2) -> DataFrame:
